@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op4_best_fit_packing
 from .quality_rules import op5_quality_rules
+from .simhash import op10_simhash
+from .token_files import op9_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_best_fit_packing": op4_best_fit_packing,
         "op5_quality_rules": op5_quality_rules,
+        "op9_token_files": op9_token_files,
+        "op10_simhash": op10_simhash,
     }
 
 
