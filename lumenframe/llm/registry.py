@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .packing import op4_best_fit_packing
 from .quality_rules import op5_quality_rules
 from .simhash import op10_simhash
+from .substring_dedup import op2_substring_dedup
 from .token_files import op9_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_substring_dedup": op2_substring_dedup,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_quality_rules": op5_quality_rules,
         "op9_token_files": op9_token_files,
