@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op4_best_fit_packing
+from .quality_classifier import op6_quality_classifier
 from .quality_rules import op5_quality_rules
 from .simhash import op10_simhash
 from .substring_dedup import op2_substring_dedup
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": op2_substring_dedup,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_quality_rules": op5_quality_rules,
+        "op6_quality_classifier": op6_quality_classifier,
         "op9_token_files": op9_token_files,
         "op10_simhash": op10_simhash,
     }
