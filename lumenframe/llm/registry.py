@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op8_decontaminate
 from .packing import op4_best_fit_packing
 from .quality_classifier import op6_quality_classifier
 from .quality_rules import op5_quality_rules
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_quality_rules": op5_quality_rules,
         "op6_quality_classifier": op6_quality_classifier,
+        "op8_decontaminate": op8_decontaminate,
         "op9_token_files": op9_token_files,
         "op10_simhash": op10_simhash,
     }
