@@ -7,20 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op8_decontaminate
+from .html_text import op1_html_text
+from .language_id import language_id_pages, op3_language_id
 from .packing import op4_best_fit_packing
 from .quality_classifier import op6_quality_classifier
 from .quality_rules import op5_quality_rules
 from .simhash import op10_simhash
 from .substring_dedup import op2_substring_dedup
 from .token_files import op9_token_files
+from .url_filters import OP7_SQL, op7_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_text": op1_html_text,
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_language_id": op3_language_id,
+        "language_id_pages": language_id_pages,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_quality_rules": op5_quality_rules,
         "op6_quality_classifier": op6_quality_classifier,
+        "op7_url_filters": op7_url_filters,
         "op8_decontaminate": op8_decontaminate,
         "op9_token_files": op9_token_files,
         "op10_simhash": op10_simhash,
@@ -28,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_url_filters": OP7_SQL}
