@@ -200,6 +200,28 @@ def resample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, temperatu
     return keyed.select("doc_id", "log_weight", (F.col("g") >= least).alias("kept"))
 
 
+def accept(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, temperature: float = TEMPERATURE) -> DataFrame:
+    """The rows of ``docs`` that resampling keeps, with their columns. Texts stay where they are: no join brings them."""
+    ratios, at = fit(docs, labels, sample)
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+    where = docs.columns.index("text")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        words = Words(shared.value)
+        for b in batches:
+            got = [log_weight(t, words) for t in b.column(where).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=[*b.schema.names, "__log_weight"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    scored = map_batches(docs, each, f"{fields}, `__log_weight` double").withColumn("__g", F.col("__log_weight") / temperature + gumbel())
+    keyed = materialise(scored, "weights")
+    k = keyed.where(F.col("__log_weight") >= at).count()
+    if k == 0:
+        return docs.limit(0)
+    least = kth_largest(keyed.select(F.col("__g").alias("g")), k)
+    return keyed.where(F.col("__g") >= least).drop("__g", "__log_weight")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: weight and verdict of every document."""
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -102,6 +102,16 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: in
     return fps.join(lookup, "fp").select(key, "fp", "component_id")
 
 
+def first_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, more columns) whose id is the smallest of their group.
+
+    Texts are not shuffled where Spark can broadcast the ids that go, else once. Rows with a null id stay.
+    """
+    g = groups(docs, shingle=shingle)
+    gone = g.where("doc_id > component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: fingerprint and component of every document."""
     g = groups(table(spark, sf_dir, "documents"))
