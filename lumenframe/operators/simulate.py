@@ -33,50 +33,40 @@ SINE_KINDS: dict[str, tuple[tuple[float, float], tuple[int, int], tuple[float, f
 }
 
 
-def _ph(period: Column, epoch: Column) -> Column:
-    x = (F.col("t") - epoch) / period
-    return x - F.floor(x)
-
-
-def _epoch(period: Column, seed: int) -> Column:
-    return F.col("_t0") + period * uniform("epoch", 0.0, 1.0, seed)
-
-
-def parameters(kind: str, seed: int = 1) -> dict[str, Column]:
-    """Parameters of a kind as columns of objectid."""
+def parameters(kinds: DataFrame, seed: int = 1) -> DataFrame:
+    """``kinds`` (objectid, kind) with the parameters of each object's kind; those that a kind lacks are null."""
     u = lambda n, a, b: uniform(n, a, b, seed)
-    if kind == "planet":
-        d = u("duration", 0.01, 0.30)
-        return {"period": u("period", 0.1, 50.0), "depth": u("depth", 1e-4, 0.0201), "duration": d, "ingress": d * u("ingress", 0.05, 0.5)}
-    if kind == "eb":
-        return {"period": u("period", 0.2, 100.0), "depth": u("depth", 1e-4, 0.7001), "duration": u("duration", 0.01, 0.45), "ratio": u("ratio", 0.01, 1.0), "secondary": normal("secondary", 0.5, 0.1, seed)}
-    if kind == "flare":
-        return {"amplitude": u("amplitude", 0.01, 1.0), "rise": u("rise", 0.007, 0.047), "decay": u("decay", 0.04, 0.203), "n_flares": F.floor(u("n", 1.0, 5.0))}
-    (p0, p1), (o0, o1), (a0, a1), _ = SINE_KINDS[kind]
-    return {"period": u("period", p0, p1), "order": F.floor(u("order", o0, o1 + 1)), "amplitude": u("amplitude", a0, a1)}
-
-
-def model_of(kind: str, is_flux: bool = False, seed: int = 1, most_terms: int = 11) -> Column:
-    """The variation at time t of the object's parameters, around zero; needs ``_t0`` and ``_t1``, its time range."""
-    p = parameters(kind, seed)
-    sign = -1.0 if is_flux else 1.0
-    if kind == "planet":
-        x = _ph(p["period"], _epoch(p["period"], seed))
-        d = F.least(x, 1.0 - x)
-        return sign * p["depth"] * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (p["duration"] / 2 - d) / p["ingress"]))
-    if kind == "eb":
-        x = _ph(p["period"], _epoch(p["period"], seed))
-        d, s, std, half = F.least(x, 1.0 - x), F.abs(x - p["secondary"]), p["duration"] / 5, p["duration"] / 2
-        return sign * p["depth"] * F.when(s <= half, p["ratio"] * F.exp(-s * s / (2 * std * std))).when(d <= half, F.exp(-d * d / (2 * std * std))).otherwise(0.0)
-    if kind == "flare":
-        out = F.lit(0.0)
-        for i in range(4):
-            dt = F.col("t") - (F.col("_t0") + (F.col("_t1") - F.col("_t0")) * uniform(f"peak{i}", 0.0, 1.0, seed))
-            out = out + F.when(F.lit(i) < p["n_flares"], F.when(dt < 0, F.exp(-dt * dt / (2 * p["rise"] * p["rise"]))).otherwise(F.exp(-dt / p["decay"]))).otherwise(0.0)
-        return -sign * p["amplitude"] * out
-    x, shift = _ph(p["period"], _epoch(p["period"], seed)), SINE_KINDS[kind][3]
-    terms = [F.when(F.lit(i) <= p["order"], p["amplitude"] / (2.0 ** (i - 1)) * F.sin(2 * math.pi * i * x + shift + i * shift)).otherwise(0.0) for i in range(1, most_terms)]
-    return sum(terms[1:], terms[0])
+    kind = F.col("kind")
+    sines = lambda n, at: F.coalesce(*[F.when(kind == k, u(n, *v[at])) for k, v in SINE_KINDS.items()])
+    p = kinds.withColumns({
+        "period": F.when(kind == "planet", u("period", 0.1, 50.0)).when(kind == "eb", u("period", 0.2, 100.0)).otherwise(sines("period", 0)),
+        "depth": F.when(kind == "planet", u("depth", 1e-4, 0.0201)).when(kind == "eb", u("depth", 1e-4, 0.7001)),
+        "duration": F.when(kind == "planet", u("duration", 0.01, 0.30)).when(kind == "eb", u("duration", 0.01, 0.45)),
+        "ratio": F.when(kind == "eb", u("ratio", 0.01, 1.0)),
+        "secondary": F.when(kind == "eb", normal("secondary", 0.5, 0.1, seed)),
+        "amplitude": F.when(kind == "flare", u("amplitude", 0.01, 1.0)).otherwise(sines("amplitude", 2)),
+        "rise": F.when(kind == "flare", u("rise", 0.007, 0.047)),
+        "decay": F.when(kind == "flare", u("decay", 0.04, 0.203)),
+        "peaks": F.when(kind == "flare", F.slice(F.array(*[u(f"peak{i}", 0.0, 1.0) for i in range(4)]), F.lit(1), F.floor(u("n", 1.0, 5.0)).cast("int"))),
+        "order": F.coalesce(*[F.when(kind == k, F.floor(u("order", v[1][0], v[1][1] + 1))) for k, v in SINE_KINDS.items()]),
+        "shift": F.coalesce(*[F.when(kind == k, F.lit(float(v[3]))) for k, v in SINE_KINDS.items()]),
+        "at": u("epoch", 0.0, 1.0),
+    })
+    return p.withColumn("ingress", F.when(kind == "planet", F.col("duration") * u("ingress", 0.05, 0.5)))
+
+
+def variation(is_flux: bool = False) -> Column:
+    """The variation around zero of a row with parameters(), its time t and the time range _t0 to _t1 of its object."""
+    sign = "-1D" if is_flux else "1D"
+    half = "duration / 2"
+    near = "least(_x, 1 - _x)"
+    bell = lambda d: f"exp(-({d}) * ({d}) / (2 * (duration / 5) * (duration / 5)))"
+    return F.expr(f"""CASE
+        WHEN kind IS NULL THEN 0D
+        WHEN kind = 'planet' THEN {sign} * depth * greatest(0D, least(1D, ({half} - {near}) / ingress))
+        WHEN kind = 'eb' THEN {sign} * depth * CASE WHEN abs(_x - secondary) <= {half} THEN ratio * {bell('_x - secondary')} WHEN {near} <= {half} THEN {bell(near)} ELSE 0D END
+        WHEN kind = 'flare' THEN -({sign}) * amplitude * aggregate(peaks, 0D, (a, p) -> a + CASE WHEN t < _t0 + p * (_t1 - _t0) THEN exp(-pow(t - _t0 - p * (_t1 - _t0), 2) / (2 * rise * rise)) ELSE exp(-(t - _t0 - p * (_t1 - _t0)) / decay) END)
+        ELSE amplitude * aggregate(sequence(1, cast(order AS int)), 0D, (a, i) -> a + sin({2 * math.pi}D * i * _x + (i + 1) * shift) / pow(2D, i - 1)) END""")
 
 
 KINDS = ["planet", "eb", "flare", *SINE_KINDS]
@@ -88,9 +78,9 @@ def inject(lc: DataFrame, kinds: DataFrame, is_flux: bool = False, seed: int = 1
     ``kinds``: (objectid, kind); objects without one get noise alone.
     """
     c = lc.withColumns({"_t0": F.min("t").over(whole()), "_t1": F.max("t").over(whole()), "_m": F.median("m").over(whole()), "_e": F.median("e").over(whole())})
-    c = c.withColumns({"_dm": F.median(F.abs(F.col("m") - F.col("_m"))).over(whole()), "_de": F.median(F.abs(F.col("e") - F.col("_e"))).over(whole())}).join(kinds, KEY, "left")
-    model = F.coalesce(*[F.when(F.col("kind") == k, model_of(k, is_flux, seed)) for k in KINDS], F.lit(0.0))
-    m = F.col("_m") + model + normal("m", 0.0, 1.0, seed, "t", "seq") * MAD_STD * F.col("_dm")
+    c = c.withColumns({"_dm": F.median(F.abs(F.col("m") - F.col("_m"))).over(whole()), "_de": F.median(F.abs(F.col("e") - F.col("_e"))).over(whole())}).join(parameters(kinds, seed), KEY, "left")
+    c = c.withColumn("_x", (F.col("t") - F.col("_t0") - F.col("at") * F.col("period")) / F.col("period")).withColumn("_x", F.col("_x") - F.floor("_x"))
+    m = F.col("_m") + variation(is_flux) + normal("m", 0.0, 1.0, seed, "t", "seq") * MAD_STD * F.col("_dm")
     e = F.col("_e") + normal("e", 0.0, 1.0, seed, "t", "seq") * MAD_STD * F.col("_de")
     return c.select(KEY, "t", m.alias("m"), e.alias("e"), "seq", "kind")
 
