@@ -4,7 +4,14 @@ The tokenizer's pre-tokenizer never joins characters across white space and drop
 space, lower case) never look across it, so a text's ids are its words' ids in a row. Words that a worker has not seen
 are encoded by the library in one call per batch; the others come from a table of at most KNOWN words, cleared when
 full. A text with the control characters 1C to 1F, which Python but not the tokenizer takes for white space, is encoded
-as it is. ``by_words`` says whether the tokenizer is of this kind; others encode whole texts.
+as it is.
+
+A word of letters, perhaps with punctuation after it, is encoded as these two, for the pre-tokenizer splits there;
+the letters are put in lower case first, as the normalizer would. So "Word," and "word" share the costly part. Letters
+alone make one pre-token, whose last id alone is that of a token with the end-of-word mark; thus many words can be
+encoded in one text and told apart by that mark.
+
+``by_words`` says whether the tokenizer is of this kind; others encode whole texts.
 """
 
 from __future__ import annotations
@@ -19,13 +26,25 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words in a worker's table.
-KNOWN = 400_000
+KNOWN = 800_000
 
 #: Characters of the longest word kept in the table.
 LONGEST = 48
 
+#: The pre-tokenizer's pattern that all this holds for (a fixed value of the public vocabulary file).
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+#: Words encoded in one text.
+TOGETHER = 4000
+
+#: Punctuation that may follow a word; the apostrophe is left out, as it has rules of its own.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
 _ODD = re.compile("[\x1c-\x1f]")
 
+#: Letters that have one lower-case letter, whatever is around, and that NFC leaves alone.
+_PLAIN = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]+")
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -51,18 +70,55 @@ def by_words(path: str) -> bool:
         spec = json.load(f)
     kinds = [x["type"] for x in ((spec.get("normalizer") or {}).get("normalizers") or [])]
     split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-    return kinds == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("invert") is True and split.get("behavior") == "Removed" and spec.get("post_processor") is None and not any(" " in x["content"] for x in spec["added_tokens"])
+    return kinds == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("invert") is True and split.get("behavior") == "Removed" and split.get("pattern", {}).get("Regex") == _PATTERN and spec["model"].get("end_of_word_suffix") == "</w>" and spec.get("post_processor") is None and not any(" " in x["content"] for x in spec["added_tokens"])
 
 
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str) -> None:
-        self.of, self.known, self.words = tokenizer(path), {}, by_words(path)
+        self.of, self.known, self.parts, self.words = tokenizer(path), {}, {}, by_words(path)
+        vocabulary = self.of.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.of.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_plain(self, words: list[str]) -> None:
+        """Adds words of plain lower-case letters to the parts."""
+        chunks = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for chunk, x in zip(chunks, self.of.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(chunk):
+                data, at = ids.tobytes(), 0
+                for w, end in zip(chunk, (4 * ends).tolist(), strict=True):
+                    self.parts[w] = data[at:end]
+                    at = end
+            else:
+                self.parts.update(zip(chunk, self._encode(chunk), strict=True))
+
+    def _learn(self, words: list[str]) -> None:
+        """Adds words to the table."""
+        split, odd, parts = [], [], self.parts
+        for w in words:
+            core = w.rstrip(_MARKS)
+            if core and _PLAIN.fullmatch(core):
+                split.append((w, core.lower(), w[len(core) :]))
+            else:
+                odd.append(w)
+        if len(parts) + len(split) > KNOWN:
+            parts.clear()
+        self._encode_plain([c for c in {c for _, c, _ in split} if c not in parts])
+        tails = [m for m in {m for _, _, m in split} if m and m not in parts]
+        parts.update(zip(tails, self._encode(tails), strict=True))
+        parts[""] = b""
+        self.known.update((w, parts[c] + parts[m]) for w, c, m in split)
+        for i in range(0, len(odd), TOGETHER):
+            part = odd[i : i + TOGETHER]
+            self.known.update(zip(part, self._encode(part), strict=True))
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; none for a null or empty one."""
         if not self.words:
@@ -74,9 +130,7 @@ class Encoder:
         if len(known) + len(brief) > KNOWN:
             known.clear()
             brief = [w for w in set().union(*(w for w in split if w)) if len(w) <= LONGEST]
-        for i in range(0, len(brief), 20_000):
-            part = brief[i : i + 20_000]
-            known.update(zip(part, self._encode(part), strict=True))
+        self._learn(brief)
         for t, words in zip(texts, split, strict=True):
             if words is None:
                 out.append(self._encode([t])[0] if t else b"")
