@@ -41,7 +41,7 @@ def box_search(s: SparkSession, d: str) -> DataFrame:
 
 
 #: A second catalog: suppliers at positions of their own.
-SUP = "sup AS (SELECT s_suppkey AS objectid, (s_suppkey * 137) % 360 + 0.75 AS ra, (s_suppkey * 53) % 180 - 89.25 AS decl FROM supplier)"
+SUP = "sup AS (SELECT s_suppkey AS objectid, ((s_suppkey * 137) % 360 + 0.75)::DOUBLE AS ra, ((s_suppkey * 53) % 180 - 89.25)::DOUBLE AS decl FROM supplier)"
 
 
 def _suppliers(s: SparkSession, d: str) -> DataFrame:

@@ -264,7 +264,7 @@ def string_length(s: SparkSession, d: str) -> DataFrame:
     return rounded(periodograms.string_length(events(s, d), *GRID), length=5)
 
 
-SPANS = "sp AS (SELECT objectid, min(t) AS t0, max(t) AS t1 FROM lc GROUP BY 1), tt AS (SELECT objectid, unnest(range(floor((t0 - 60310.7) / 1.3)::BIGINT, ceil((t1 - 60310.7) / 1.3)::BIGINT + 1)) AS transit, t0, t1 FROM sp), tw AS (SELECT objectid, transit, 60310.7 + transit * 1.3 AS tmid FROM tt WHERE 60310.7 + transit * 1.3 > t0 AND 60310.7 + transit * 1.3 < t1)"
+SPANS = "sp AS (SELECT objectid, min(t) AS t0, max(t) AS t1 FROM lc GROUP BY 1), tt AS (SELECT objectid, unnest(range(floor((t0 - 60310.7::DOUBLE) / 1.3::DOUBLE)::BIGINT, ceil((t1 - 60310.7::DOUBLE) / 1.3::DOUBLE)::BIGINT + 1)) AS transit, t0, t1 FROM sp), tw AS (SELECT objectid, transit, 60310.7::DOUBLE + transit * 1.3::DOUBLE AS tmid FROM tt WHERE 60310.7::DOUBLE + transit * 1.3::DOUBLE > t0 AND 60310.7::DOUBLE + transit * 1.3::DOUBLE < t1)"
 
 
 def _windows(lc: DataFrame) -> DataFrame:
@@ -276,7 +276,7 @@ def transit_times(s: SparkSession, d: str) -> DataFrame:
     return rounded(_windows(events(s, d)))
 
 
-@query("out_of_transit", f"{LC}, {SPANS} SELECT objectid, seq FROM lc WHERE NOT EXISTS (SELECT 1 FROM tw WHERE tw.objectid = lc.objectid AND t BETWEEN tmid - 0.1 AND tmid + 0.1)")
+@query("out_of_transit", f"{LC}, {SPANS} SELECT objectid, seq FROM lc WHERE NOT EXISTS (SELECT 1 FROM tw WHERE tw.objectid = lc.objectid AND t BETWEEN tmid - 0.1::DOUBLE AND tmid + 0.1::DOUBLE)")
 def out_of_transit(s: SparkSession, d: str) -> DataFrame:
     lc = events(s, d)
     return transits.out_of_transit(lc, _windows(lc)).select("objectid", "seq")

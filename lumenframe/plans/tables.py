@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: SQL of the light curves below, for DuckDB.
 EVENTS_SQL = "SELECT user_id AS objectid, epoch_us(ts)::DOUBLE / 86400000000.0 + 40587.5 AS t, value AS m, 0.001 * value AS e, event_id AS seq, event_type AS inst FROM events"
 SUPPLIES_SQL = "SELECT l_suppkey AS objectid, epoch_us(l_shipdate)::DOUBLE / 86400000000.0 + 40587.5 AS t, l_extendedprice AS m, 0.001 * l_extendedprice AS e, l_orderkey * 10 + l_linenumber AS seq, l_returnflag AS inst FROM lineitem"
-STARS_SQL = "SELECT c_custkey AS objectid, (c_custkey * 137) % 360 + 0.25 AS ra, (c_custkey * 53) % 180 - 89.75 AS decl, 10 + c_acctbal / 2500.0 AS jmag, 9.5 + c_acctbal / 2600.0 AS hmag, 9.25 + c_acctbal / 2700.0 AS kmag, c_nationkey AS nation FROM customer"
+STARS_SQL = "SELECT c_custkey AS objectid, ((c_custkey * 137) % 360 + 0.25)::DOUBLE AS ra, ((c_custkey * 53) % 180 - 89.75)::DOUBLE AS decl, 10 + c_acctbal / 2500.0 AS jmag, 9.5 + c_acctbal / 2600.0 AS hmag, 9.25 + c_acctbal / 2700.0 AS kmag, c_nationkey AS nation FROM customer"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
