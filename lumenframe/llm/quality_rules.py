@@ -60,7 +60,7 @@ def measure(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     """
     t = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     t = t.select("k", "t", F.array_remove(F.split("t", r"[\x20\x09-\x0D]+"), "").alias("w"), F.split("t", "\n").alias("l"))
-    t = t.select("k", "t", "w", F.expr("filter(l, x -> length(translate(x, ' \\t\\x0b\\f\\r', '')) > 0)".replace("\\x0b", "\x0b")).alias("l"), F.size("w").alias("n"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
+    t = t.select("k", "t", "w", F.filter("l", lambda x: F.length(F.translate(x, SPACES, "")) > 0).alias("l"), F.size("w").alias("n"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
     hashes = ", ".join(f"h[i + {j}]" if j else "h[i]" for j in range(WINDOW))
     t = t.withColumn("v", F.expr(f"CASE WHEN n > {WINDOW} THEN transform(sequence(0, n - {WINDOW}), i -> xxhash64({hashes})) END"))
     t = t.withColumn("s", F.expr("CASE WHEN v IS NOT NULL AND size(array_distinct(v)) < size(v) THEN sort_array(transform(v, (x, i) -> struct(x AS h, i AS p))) END"))
