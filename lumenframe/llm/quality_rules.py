@@ -52,6 +52,21 @@ def verdict(rules: list[tuple[str, str, float | None, float | None]] = RULES) ->
     return out
 
 
+def _let(name: str, value: str, then: str) -> str:
+    """SQL that evaluates ``value`` once and names it in ``then``, however often a filter is pushed into it."""
+    return f"element_at(transform(array({value}), {name} -> {then}), 1)"
+
+
+def repeated_words(words: str, window: int = WINDOW) -> str:
+    """SQL for the number of words of an array that lie in windows found at two or more places."""
+    hashes = ", ".join(f"h[i + {j}]" for j in range(window))
+    order = "sort_array(transform(v, (x, i) -> struct(x AS h, i AS p)))"
+    places = "sort_array(transform(filter(s, (x, j) -> (j > 0 AND get(s, j - 1).h = x.h) OR get(s, j + 1).h = x.h), x -> x.p))"
+    count = f"aggregate(p, named_struct('n', 0L, 'e', 0), (a, x) -> named_struct('n', a.n + x + {window} - greatest(x, a.e), 'e', x + {window}), a -> a.n)"
+    some = _let("s", order, _let("p", places, count))
+    return _let("h", f"transform({words}, w -> xxhash64(w))", f"CASE WHEN size(h) > {window} THEN " + _let("v", f"transform(sequence(0, size(h) - {window}), i -> xxhash64({hashes}))", f"CASE WHEN size(array_distinct(v)) < size(v) THEN {some} ELSE 0L END") + " ELSE 0L END")
+
+
 def measure(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Every document's counts: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and those of RULES.
 
@@ -60,12 +75,7 @@ def measure(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     """
     t = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     t = t.select("k", "t", F.array_remove(F.split("t", r"[\x20\x09-\x0D]+"), "").alias("w"), F.split("t", "\n").alias("l"))
-    t = t.select("k", "t", "w", F.filter("l", lambda x: F.length(F.translate(x, SPACES, "")) > 0).alias("l"), F.size("w").alias("n"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
-    hashes = ", ".join(f"h[i + {j}]" if j else "h[i]" for j in range(WINDOW))
-    t = t.withColumn("v", F.expr(f"CASE WHEN n > {WINDOW} THEN transform(sequence(0, n - {WINDOW}), i -> xxhash64({hashes})) END"))
-    t = t.withColumn("s", F.expr("CASE WHEN v IS NOT NULL AND size(array_distinct(v)) < size(v) THEN sort_array(transform(v, (x, i) -> struct(x AS h, i AS p))) END"))
-    t = t.withColumn("p", F.expr("CASE WHEN s IS NOT NULL THEN sort_array(transform(filter(s, (x, j) -> (j > 0 AND get(s, j - 1).h = x.h) OR (j + 1 < size(s) AND get(s, j + 1).h = x.h)), x -> x.p)) END"))
-    covered = F.expr(f"CASE WHEN p IS NULL THEN 0L ELSE aggregate(p, named_struct('n', 0L, 'e', 0), (a, x) -> named_struct('n', a.n + x + {WINDOW} - greatest(x, a.e), 'e', x + {WINDOW}), a -> a.n) END")
+    t = t.select("k", "t", "w", F.filter("l", lambda x: F.length(F.translate(x, SPACES, "")) > 0).alias("l"), F.size("w").alias("n"))
     left = lambda drop: F.length("t") - F.length(F.translate("t", drop, ""))
     return t.select(
         F.col("k").alias(key),
@@ -73,7 +83,7 @@ def measure(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
         (F.length("t") - left(SPACES)).cast("long").alias("word_chars"),
         left(SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
-        covered.alias("n_repeat_words"),
+        F.expr(repeated_words("w")).alias("n_repeat_words"),
         F.size(F.filter("w", lambda w: w.isin(*dict.fromkeys(STOP_WORDS)))).cast("long").alias("n_stop"),
         F.size("l").cast("long").alias("n_lines"),
         F.size(F.filter("l", lambda x: x.rlike(r"^\s*[-*•|]"))).cast("long").alias("n_bullet_lines"),
