@@ -103,3 +103,34 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: list[
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: the rules over every document."""
     return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql(rules: list[tuple[str, str, float | None, float | None]] = RULES) -> str:
+    """DuckDB SQL of op5, from the same threshold table."""
+    space = r"[\x20\x09-\x0D]"
+    stops = ", ".join("'" + w + "'" for w in dict.fromkeys(STOP_WORDS))
+    passes = []
+    for _, expression, low, high in rules:
+        top, bottom = expression.split(" / ")
+        value = f"({top})::DOUBLE / nullif({bottom}, 0)"
+        passes += [f"coalesce({value} {op} {bound}, true)" for op, bound in ((">=", low), ("<=", high)) if bound is not None]
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '{space}+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(regexp_replace(x, '{space}', '', 'g')) > 0) AS l
+  FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d)),
+r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM g, range({WINDOW}) q(j) WHERE c > 1 GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '{space}', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(list_filter(w, lambda x: x IN ({stops}))) AS n_stop, len(l) AS n_lines,
+         len(list_filter(l, lambda x: regexp_matches(x, '^\s*[-*•|]'))) AS n_bullet_lines, len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_ellipsis_lines,
+         length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_upper, length(t) - length(regexp_replace(t, '\p{{L}}', '', 'g')) AS n_letters
+  FROM d LEFT JOIN r ON d.doc_id = r.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND {' AND '.join(passes)} AS kept
+FROM m
+"""
+
+
+OP5_SQL = _sql()

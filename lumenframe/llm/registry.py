@@ -11,9 +11,9 @@ from .html_text import op1_html_text
 from .language_id import language_id_pages, op3_language_id
 from .packing import op4_best_fit_packing
 from .quality_classifier import op6_quality_classifier
-from .quality_rules import op5_quality_rules
+from .quality_rules import OP5_SQL, op5_quality_rules
 from .simhash import op10_simhash
-from .substring_dedup import op2_substring_dedup
+from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .token_files import op9_token_files
 from .url_filters import OP7_SQL, op7_url_filters
 
@@ -35,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filters": OP7_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op5_quality_rules": OP5_SQL, "op7_url_filters": OP7_SQL}

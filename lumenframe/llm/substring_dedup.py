@@ -195,3 +195,17 @@ def remove(docs: DataFrame, window: int = WINDOW, k: int = K, carry: bool = True
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: what every document loses and keeps."""
     return remove(table(spark, sf_dir, "documents"), carry=False)
+
+
+#: The same rows by brute force over all windows.
+OP2_SQL = rf"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+v AS (SELECT doc_id, i, md5(array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d)),
+g AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS first FROM v) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM g, range({WINDOW}) q(j)),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS s FROM words WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = words.doc_id AND gone.i = words.i) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
