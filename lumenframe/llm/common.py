@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="lumenframe-")
     spark.conf.set("spark.checkpoint.dir", f"file://{made}")
