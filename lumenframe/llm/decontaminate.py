@@ -9,7 +9,8 @@ index is built; an unedited passage is found by any table. Candidates are verifi
 to the best stretch around the window, which must be at most EDITS of the item's words.
 
 Before the walk, windows are passed over that can't be within that distance: each edit breaks at most two of an
-item's word pairs, so a window needs the rest of its pairs among those of the items. No true window is lost by that.
+item's word pairs, so a window needs the rest of its pairs among those of the items, where a pair that repeats the one
+before it counts once. No true window is lost by that.
 
 The items are the query set: they are gathered in blocks of at most BLOCK items and every document is scanned against
 each block. Items with no word are not searched; those too short for one edit must occur as they are. Null and empty
@@ -39,15 +40,19 @@ SAMPLED, RECALL, MOST_TABLES = 3, 0.95, 40
 BLOCK = 20_000
 
 #: Words that a worker remembers.
-KNOWN = 400_000
+KNOWN = 1_200_000
 
 _EDGE = re.compile(r"^\W+|\W+$")
 _HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("distance", pa.int32())]))
 _HIT_DDL = "array<struct<item_id:bigint,start:int,end:int,distance:int>>"
 
 
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
+
+
 def plain(word: str) -> str:
-    return _EDGE.sub("", word.lower())
+    w = word.lower().strip(_MARKS)
+    return w if w.isalnum() else _EDGE.sub("", w)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -122,7 +127,8 @@ class Index:
         for at, (_, w) in enumerate(self.items):
             self.by_length.setdefault(len(w), []).append(at)
         self.pairs_of = {n: np.unique(np.array([a * self.width + b for m in members for a, b in zip(self.items[m][1], self.items[m][1][1:], strict=False)], np.int64)) for n, members in self.by_length.items()}
-        self.fewest = min((max(0, n - 1 - 2 * self.allowed(n)) for n in self.by_length), default=0)
+        self.need = {n: max(0, n - 1 - 2 * self.allowed(n) - max(sum(a == b == c for a, b, c in zip(w, w[1:], w[2:], strict=False)) for w in (self.items[m][1] for m in members))) for n, members in self.by_length.items()}
+        self.fewest = min(self.need.values(), default=0)
         self.longest = max(self.by_length, default=0)
         self.tables = self._tables(recall)
         self.found: dict[int, list[tuple[Walk, dict[int, list[int]]]]] = {n: [self._table(t, n) for t in range(self.tables)] for n in self.by_length}
@@ -169,6 +175,10 @@ class Index:
         key = ids[both] * self.width + ids[both + 1]
         common = _among(key, self.pairs)
         both, key = both[common], key[common]
+        if len(key):
+            # a pair that repeats the one before it counts once, in the items' needs as well
+            new = np.append(True, (key[1:] != key[:-1]) | (both[1:] != both[:-1] + 1))
+            both, key = both[new], key[new]
         if self.fewest and not _near(both, self.fewest, self.longest):
             return []
         best: dict[int, tuple[int, int, int]] = {}
@@ -176,10 +186,12 @@ class Index:
             if n > len(ids) + self.allowed(n):
                 continue
             k = self.allowed(n)
-            need = max(0, n - 1 - 2 * k)
+            need = self.need[n]
             padded = np.concatenate([ids, np.zeros(max(0, n - len(ids)) + k, np.int64)])
             places = np.arange(len(padded) - n + 1)
             if need:
+                if not _near(both, need, n):
+                    continue
                 own = both[_among(key, self.pairs_of[n])]
                 if not _near(own, need, n):
                     continue
