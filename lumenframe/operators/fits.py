@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .series import KEY
+from .series import KEY, finite_filter
 
 
 def fold(t: np.ndarray, m: np.ndarray, e: np.ndarray, period: float, epoch: float | None = None) -> tuple[np.ndarray, ...]:
@@ -224,7 +224,7 @@ def fit(lc: DataFrame, model: str, period: str | float = "period", least: int =
         return pd.DataFrame([{KEY: pdf[KEY].iloc[0], "model": model, "params": got["params"], "errs": got["errs"], "chisq": got["chisq"], "redchisq": got["redchisq"], "epoch": got["epoch"], "n": len(t), "residual_mad": mad}])
 
     kind = lc.schema[KEY].dataType.simpleString()
-    return lc.select(KEY, "t", "m", "e", "seq", "_p").groupBy(KEY).applyInPandas(run, f"{KEY} {kind}, model string, params array<double>, errs array<double>, chisq double, redchisq double, epoch double, n long, residual_mad double")
+    return finite_filter(lc).select(KEY, "t", "m", "e", "seq", "_p").groupBy(KEY).applyInPandas(run, f"{KEY} {kind}, model string, params array<double>, errs array<double>, chisq double, redchisq double, epoch double, n long, residual_mad double")
 
 
 def prewhiten(lc: DataFrame, period: float, order: int = 8) -> DataFrame:
@@ -240,4 +240,4 @@ def prewhiten(lc: DataFrame, period: float, order: int = 8) -> DataFrame:
         series = np.median(m) + sum(a * np.cos(2 * np.pi * i * p + f) for i, (a, f) in enumerate(zip(got["params"][:n], got["params"][n:], strict=True)))
         return pdf.assign(m=m - series + np.median(m))
 
-    return lc.select(KEY, "t", "m", "e", "seq").groupBy(KEY).applyInPandas(run, lc.select(KEY, "t", "m", "e", "seq").schema)
+    return finite_filter(lc).select(KEY, "t", "m", "e", "seq").groupBy(KEY).applyInPandas(run, lc.select(KEY, "t", "m", "e", "seq").schema)

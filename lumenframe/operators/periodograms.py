@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import KEY, by_time, whole
+from .series import KEY, by_time, finite_filter, whole
 
 TWO_PI = 2.0 * math.pi
 
@@ -32,7 +32,7 @@ def with_frequencies(lc: DataFrame, first: float, step: float, number: int) -> D
 def gls(lc: DataFrame, first: float, step: float, number: int) -> DataFrame:
     """(objectid, k, freq, power): generalized Lomb-Scargle with a floating mean, from one aggregation."""
     w = 1.0 / (F.col("e") * F.col("e"))
-    lc = lc.withColumns({"w": w / F.sum(w).over(whole()), "x": F.col("t") - F.min("t").over(whole())})
+    lc = finite_filter(lc).withColumns({"w": w / F.sum(w).over(whole()), "x": F.col("t") - F.min("t").over(whole())})
     r = with_frequencies(lc.select(KEY, "x", "m", "w"), first, step, number).withColumns({"c": F.cos(TWO_PI * F.col("freq") * F.col("x")), "s": F.sin(TWO_PI * F.col("freq") * F.col("x"))})
     v = lambda a: F.sum(F.expr(f"w * {a}"))
     g = r.groupBy(KEY, "k").agg(F.min("freq").alias("freq"), v("m").alias("Y"), v("c").alias("C"), v("s").alias("S"), v("m * m").alias("YYh"), v("m * c").alias("YCh"), v("m * s").alias("YSh"), v("c * c").alias("CCh"), v("c * s").alias("CSh"), F.sum("w").alias("W"))
@@ -209,7 +209,7 @@ def by_kernel(lc: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarra
         return pd.DataFrame({KEY: pdf[KEY].iloc[0], "k": k, "freq": first + step * k, **{c: got[c] for c in columns}})
 
     kind = lc.schema[KEY].dataType.simpleString()
-    rows = lc.select(KEY, "t", "m", "e", "seq").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((number - 1) // chunk))))
+    rows = finite_filter(lc).select(KEY, "t", "m", "e", "seq").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((number - 1) // chunk))))
     return rows.groupBy(KEY, "chunk").applyInPandas(run, f"{KEY} {kind}, k long, freq double, " + ", ".join(f"{c} double" for c in columns))
 
 

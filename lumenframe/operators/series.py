@@ -74,7 +74,7 @@ def normalize(lc: DataFrame, gap: float = 4.0, to: str | float = "globalmedian",
     """Each time group's median taken out, then the object's median (or a number, or nothing for "zero") put in."""
     g = timegroups(lc, gap).withColumns({"_group": F.median("m").over(Window.partitionBy(KEY, "tgroup")), "_all": F.median("m").over(whole())})
     level = F.col("_all") if to == "globalmedian" else F.lit(1.0 if is_flux else 0.0) if to == "zero" else F.lit(float(to))
-    m = F.col("m") / F.col("_group") * level if is_flux else F.col("m") - F.col("_group") + level
+    m = F.try_divide("m", "_group") * level if is_flux else F.col("m") - F.col("_group") + level
     return g.withColumn("m", m).drop("_group", "_all")
 
 
@@ -131,6 +131,7 @@ def time_bin(lc: DataFrame, seconds: float, least: int = 7) -> DataFrame:
 
 def phase_bin(folded: DataFrame, width: float = 0.005, least: int = 7, weighted: bool = False) -> DataFrame:
     """(objectid, bin, n, phase, m): medians, or means weighted by 1 / e^2, of each phase bin."""
+    folded = finite_filter(folded) if weighted else folded
     m = F.sum(F.col("m") / (F.col("e") * F.col("e"))) / F.sum(1.0 / (F.col("e") * F.col("e"))) if weighted else F.median("m")
     return _bins(folded, "phase", width, least, F.min("phase").over(whole()), [F.median("phase").alias("phase"), m.alias("m")]).drop("_low")
 
@@ -143,7 +144,7 @@ def fill_gaps(lc: DataFrame, cadence: float | None = None, fill: float = 0.0, si
     """
     c = sigclip(lc, sigma)
     med = F.median("m").over(whole())
-    c = c.withColumn("m", F.col("m") / med - 1.0 if is_flux else F.col("m") - med).withColumn("_dt", F.round(F.col("t") - F.lag("t").over(by_time()), 9))
+    c = c.withColumn("m", F.try_divide(F.col("m"), med) - 1.0 if is_flux else F.col("m") - med).withColumn("_dt", F.round(F.col("t") - F.lag("t").over(by_time()), 9))
     step = F.mode(F.when(F.col("_dt") > 0, F.col("_dt"))) if cadence is None else F.lit(float(cadence))
     span = c.groupBy(KEY).agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"), step.alias("_step")).where("_step > 0")
     grid = span.select(KEY, "_t0", "_step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_t1") - F.col("_t0")) / F.col("_step")))).alias("k"))
@@ -172,6 +173,6 @@ def concatenate(parts: list[DataFrame], is_flux: bool = False, normalize_parts:
         p = p.withColumn("lcn", F.lit(i))
         if normalize_parts:
             med = F.median("m").over(whole())
-            p = p.withColumn("m", F.col("m") / med if is_flux else F.col("m") - med)
+            p = p.withColumn("m", F.try_divide(F.col("m"), med) if is_flux else F.col("m") - med)
         out = p if out is None else out.unionByName(p)
     return out

@@ -120,7 +120,7 @@ def phase_bin(s: SparkSession, d: str) -> DataFrame:
     return rounded(series.phase_bin(series.phase_fold(events(s, d), 2.5), 0.1, 5))
 
 
-@query("phase_bin_weighted", f"{LC}, {FOLD}, b AS ({BIN.format(v='phase', w='0.1::DOUBLE', src='p')}) SELECT objectid, bin, count(*) AS n, round(median(phase), 6) AS phase, round(sum(m / (e * e)) / sum(1.0 / (e * e)), 5) AS m FROM b WHERE abs(v - (lo + bin * 0.1::DOUBLE)) <= 0.1::DOUBLE / 2 GROUP BY ALL HAVING count(*) >= 5")
+@query("phase_bin_weighted", f"{LC}, {FOLD}, b AS ({BIN.format(v='phase', w='0.1::DOUBLE', src='(SELECT * FROM p WHERE e <> 0)')}) SELECT objectid, bin, count(*) AS n, round(median(phase), 6) AS phase, round(sum(m / (e * e)) / sum(1.0 / (e * e)), 5) AS m FROM b WHERE abs(v - (lo + bin * 0.1::DOUBLE)) <= 0.1::DOUBLE / 2 GROUP BY ALL HAVING count(*) >= 5")
 def phase_bin_weighted(s: SparkSession, d: str) -> DataFrame:
     return rounded(series.phase_bin(series.phase_fold(events(s, d), 2.5), 0.1, 5, weighted=True), m=5)
 
@@ -212,7 +212,7 @@ def best_magcol(s: SparkSession, d: str) -> DataFrame:
     return features.best_magcol(f)
 
 
-GLS = f"gw AS (SELECT objectid, m, t - min(t) OVER p AS x, 1 / (e * e) / sum(1 / (e * e)) OVER p AS w FROM lc WINDOW p AS (PARTITION BY objectid)), {FREQ}, tr AS (SELECT objectid, k, freq, m, w, cos(2 * pi() * freq * x) AS c, sin(2 * pi() * freq * x) AS s FROM gw, f), su AS (SELECT objectid, k, freq, sum(w * m) AS y, sum(w * c) AS c, sum(w * s) AS s, sum(w * m * m) AS yyh, sum(w * m * c) AS ych, sum(w * m * s) AS ysh, sum(w * c * c) AS cch, sum(w * c * s) AS csh, sum(w) AS w FROM tr GROUP BY ALL), sv AS (SELECT objectid, k, freq, yyh - y * y AS yy, ych - y * c AS yc, ysh - y * s AS ys, cch - c * c AS cc, w - cch - s * s AS ss, csh - c * s AS cs FROM su), gls AS (SELECT objectid, k, freq, (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / (yy * (cc * ss - cs * cs)) AS power FROM sv)"
+GLS = f"gw AS (SELECT objectid, m, t - min(t) OVER p AS x, 1 / (e * e) / sum(1 / (e * e)) OVER p AS w FROM lc WHERE e <> 0 WINDOW p AS (PARTITION BY objectid)), {FREQ}, tr AS (SELECT objectid, k, freq, m, w, cos(2 * pi() * freq * x) AS c, sin(2 * pi() * freq * x) AS s FROM gw, f), su AS (SELECT objectid, k, freq, sum(w * m) AS y, sum(w * c) AS c, sum(w * s) AS s, sum(w * m * m) AS yyh, sum(w * m * c) AS ych, sum(w * m * s) AS ysh, sum(w * c * c) AS cch, sum(w * c * s) AS csh, sum(w) AS w FROM tr GROUP BY ALL), sv AS (SELECT objectid, k, freq, yyh - y * y AS yy, ych - y * c AS yc, ysh - y * s AS ys, cch - c * c AS cc, w - cch - s * s AS ss, csh - c * s AS cs FROM su), gls AS (SELECT objectid, k, freq, (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / (yy * (cc * ss - cs * cs)) AS power FROM sv)"
 
 
 @query("gls_periodogram", f"{LC}, {GLS} SELECT objectid, k::INT AS k, round(freq, 6) AS freq, round(power, 6) AS power FROM gls")
