@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lumenframe.llm import components, decontaminate, html_text, language_id, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_files, tokens, url_filters
+from lumenframe.llm import components, decontaminate, html_text, language_id, near_copies, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_files, tokens, url_filters
 
 SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp long, cell long, edge string, th string"
@@ -141,6 +141,44 @@ def test_links_connect_as_all_pairs_do(spark, crowded):
     assert same(got) == same(want)
 
 
+def jaccard(a, b):
+    runs = lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    x, y = runs(words(a.lower())), runs(words(b.lower()))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+@pytest.mark.parametrize("crowded", [1, 24])
+def test_near_copies_of_the_whole_band(spark, crowded, monkeypatch):
+    monkeypatch.setattr(near_copies.links, "__defaults__", (crowded, 2))
+    r = random.Random(11)
+    texts = {}
+    for i in range(60):
+        base = [f"w{r.randrange(5000)}" for _ in range(r.choice([40, 120, 300]))]
+        texts[1000 - i] = " ".join(base)
+        copy = list(base)
+        for k in r.sample(range(len(base)), max(1, round(len(base) * r.choice([0.005, 0.015, 0.022, 0.04, 0.1])))):
+            copy[k] = "X"
+        texts[i] = " ".join(copy)
+    hot = [f"h{k}" for k in range(200)]
+    for i in range(60):
+        texts[2000 + i] = " ".join(hot[: 50 + i] + ["Y"] + hot[50 + i :])
+    texts |= {3000: "", 3001: " \n", 3002: "two Words", 3003: "TWO words"}
+    ids = sorted(texts)
+    root = {i: i for i in ids}
+    pairs = [(a, b) for a in ids for b in ids if a < b and jaccard(texts[a], texts[b]) >= 0.8]
+    assert sum(jaccard(texts[a], texts[b]) < 0.9 and a < 2000 for a, b in pairs) > 10
+    for _ in ids:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame([(i, texts[i], "en") for i in ids] + [(None, texts[3000], "en")], "doc_id long, text string, lang string")
+    import corpus_pipeline
+
+    got = [x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(x for x in got if x is not None) == [i for i in ids if root[i] == i]
+    assert None in got
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
 def test_components_of_a_long_path_and_of_none(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 501)], "a long, b long")
     got = {r.node: r.root for r in components.components(path).collect()}
