@@ -8,25 +8,26 @@ Three kinds of evidence meet in one posterior per text:
 * the place: a prior for the host, smoothed towards its address suffix, which is smoothed towards all rows; these, too,
   from grouped counts over all rows of the languages that the texts alone suggest.
 
-The trigram models are fitted on at most SAMPLE rows with a declared language, those with the smallest hashes of their
-ids. Counts by place are one row for each host before they meet the rows again. A null or empty text has no likelihood
+The trigram models are fitted on at most SAMPLE rows of each declared language, those with the smallest hashes of their
+ids, so how common a language is does not decide whether it has a model: LEAST rows in the whole table do. Counts by place are one row for each host before they meet the rows again. A null or empty text has no likelihood
 of its own and takes the language of declaration and place; a null declaration counts as "und". Hosts may be null, too:
 such rows share a prior. Repeated rows are each judged.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialise, table
 
-#: Rows that the models are fitted on, at most.
-SAMPLE = 4000
+#: Rows that the model of a language is fitted on, at most.
+SAMPLE = 1000
 
 #: Buckets of the trigram hash.
 BUCKETS = 1 << 16
@@ -37,7 +38,7 @@ OVERLAP = 3.0
 #: Weight of the wider prior, in rows.
 TO_SUFFIX, TO_ALL = 5.0, 20.0
 
-#: Languages with fewer rows in the sample than this are not modelled.
+#: Languages with fewer rows in the table than this are not modelled.
 LEAST = 5
 
 
@@ -47,9 +48,25 @@ def trigrams(text: str | None) -> np.ndarray:
     return ((b[:-2] * 65_599 + b[1:-1] * 263 + b[2:]) * np.uint32(2_654_435_761) >> np.uint32(16)) if text else np.zeros(0, np.uint32)
 
 
+def sampled(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(text, declared): of each language with LEAST rows or more, those with the smallest hashes of their keys.
+
+    If no language has LEAST rows, all are taken. A threshold on the hash, from the language's count, leaves about twice
+    the sample before the rows of a language meet to be ranked.
+    """
+    told = rows.where("declared <> 'und' AND text IS NOT NULL").select("key", "text", "declared")
+    counts = materialise(told.groupBy("declared").agg(F.count(F.lit(1)).alias("n")), "declared")
+    enough = counts.where(F.col("n") >= LEAST)
+    counts = enough if enough.limit(1).count() else counts
+    share = (F.shiftrightunsigned(F.xxhash64("key"), 11).cast("double") + 0.5) / float(1 << 53)
+    few = told.withColumn("share", share).join(counts, "declared").where(F.col("share") * F.col("n") < 2 * sample + 50)
+    ranked = few.withColumn("at", F.row_number().over(Window.partitionBy("declared").orderBy("share", "key")))
+    return ranked.where(F.col("at") <= sample).select("text", "declared")
+
+
 def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities BUCKETS x languages) from ``rows`` (key, text, declared)."""
-    chosen = materialise(rows.where("declared <> 'und' AND text IS NOT NULL").orderBy(F.xxhash64("key"), "key").limit(sample).select("text", "declared"), "sample")
+    chosen = materialise(sampled(rows, sample), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         n: dict[str, np.ndarray] = {}
@@ -58,14 +75,14 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
             for t, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 n[d] = n.get(d, 0) + np.bincount(trigrams(t), minlength=BUCKETS)
                 texts[d] = texts.get(d, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([texts[d] for d in n], pa.int64()), pa.array([x.astype("<i8").tobytes() for x in n.values()], pa.binary())], names=["declared", "texts", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([texts[d] for d in n], pa.int64()), pa.array([zlib.compress(x.astype("<i8").tobytes(), 1) for x in n.values()], pa.binary())], names=["declared", "texts", "counts"])
 
     total: dict[str, list] = {}
     for x in map_batches(chosen.coalesce(4), count, "declared string, texts long, counts binary").collect():
         t = total.setdefault(x["declared"], [0, np.zeros(BUCKETS, np.int64)])
         t[0] += x["texts"]
-        t[1] += np.frombuffer(x["counts"], "<i8")
-    found = sorted(d for d, (n, _) in total.items() if n >= LEAST) or sorted(total) or ["und"]
+        t[1] += np.frombuffer(zlib.decompress(x["counts"]), "<i8")
+    found = sorted(total) or ["und"]
     counts = np.stack([total[d][1] if d in total else np.zeros(BUCKETS, np.int64) for d in found], 1).astype(np.float64)
     p = (counts + 0.1) / (counts.sum(0) + 0.1 * BUCKETS)
     return found, np.log(p).astype(np.float32)

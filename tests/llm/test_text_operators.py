@@ -339,6 +339,19 @@ def test_languages(spark):
     assert language_id.identify(empty).count() == 0
 
 
+def test_rare_languages_are_modelled(spark):
+    r = random.Random(8)
+    w = {"en": "the and of with there".split(), "de": "der und von mit nicht".split(), "fi": "ja oli joka mutta kun".split(), "xx": ["zz"]}
+    kinds = ["en"] * 500 + ["de"] * 200 + ["fi"] * language_id.LEAST + ["xx"] * (language_id.LEAST - 1)
+    rows = [(i, " ".join(r.choices(w[x], k=30)), x, f"h{i % 3}", "com") for i, x in enumerate(kinds)]
+    d = spark.createDataFrame([*rows, (9000, "joka oli mutta kun ja", None, "h9", "com")], "key long, text string, declared string, host string, suffix string")
+    size = collections.Counter(x.declared for x in language_id.sampled(d.select("key", "text", "declared"), 100).collect())
+    assert size == {"en": 100, "de": 100, "fi": language_id.LEAST}
+    got = {x.key: x.lang for x in language_id.identify(d, 100).collect()}
+    assert all(got[i] == x for i, x in enumerate(kinds) if x != "xx")
+    assert got[9000] == "fi"
+
+
 def test_url_list_as_of_fetch(spark):
     ts = lambda d: f"2024-01-{d:02d} 00:00:00"
     e = spark.createDataFrame([("a.org", ts(2), "add"), ("a.org", ts(3), "add"), ("a.org", ts(5), "remove"), ("a.org", ts(8), "add"), ("x.a.org", ts(4), "add"), (None, ts(1), "add"), ("b.org", ts(1), "remove"), ("c.org", ts(1), "add"), ("c.org", ts(1), "remove")], "pattern string, at string, action string").selectExpr("pattern", "cast(at AS timestamp_ntz) AS at", "action")
