@@ -1,20 +1,32 @@
-"""Period searches. The scores that are sums over points are grouped aggregates over (object, frequency); those that
-recurse or search boxes run as NumPy kernels, one call for each object and chunk of frequencies."""
+"""Period searches: NumPy kernels over blocks of frequencies, one call for each object and stretch of its grid.
+
+A grid is one (first, step, number) for all objects, or a table with a row for each object, which frequency_grids() and
+bls_grids() make from its times. Points are joined with their object's grid and shuffled by object and stretch; a stretch
+has about WORK pairs of point and frequency, so a small object is one call and a large one is spread over many tasks.
+No row is made for a point and a frequency.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .series import KEY, by_time, finite_filter, whole
+from .fits import savgol
+from .series import KEY, finite_filter, sigclip
 
 TWO_PI = 2.0 * math.pi
 
+#: Pairs of point and frequency in a call of a kernel, and in an array within it.
+WORK, BLOCK = 1 << 28, 1 << 19
+
+Grid = tuple[float, float, int] | DataFrame
+Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]]
+
 
 def frequency_grid(t_min: float, t_max: float, n_points: int, samples_per_peak: int = 5, nyquist_factor: int = 5, min_freq: float | None = None, max_freq: float | None = None) -> tuple[float, float, int]:
     """(first, step, number) of an automatic grid."""
@@ -24,67 +36,272 @@ def frequency_grid(t_min: float, t_max: float, n_points: int, samples_per_peak:
     return f0, df, n
 
 
-def with_frequencies(lc: DataFrame, first: float, step: float, number: int) -> DataFrame:
-    """Every point with every frequency: rows are points times frequencies, made and summed within a task."""
-    return lc.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(number - 1)))).withColumn("freq", F.lit(first) + F.col("k") * step)
+def frequency_grids(lc: DataFrame, samples_per_peak: int = 5, nyquist_factor: int = 5, min_freq: float | None = None, max_freq: float | None = None, least: int = 10) -> DataFrame:
+    """(objectid, first, step, number): the automatic grid of each object with ``least`` points or more at two times or more."""
+    g = finite_filter(lc).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), (F.max("t") - F.min("t")).alias("span")).where((F.col("n") >= least) & (F.col("span") > 0))
+    g = g.withColumn("step", 1.0 / (F.col("span") * samples_per_peak))
+    g = g.withColumn("first", F.lit(float(min_freq)) if min_freq is not None else 0.5 * F.col("step"))
+    n = F.ceil((F.lit(float(max_freq)) - F.col("first")) / F.col("step")) if max_freq is not None else F.floor(0.5 * samples_per_peak * nyquist_factor * F.col("n"))
+    return g.select(KEY, "first", "step", n.cast("long").alias("number")).where("number > 0")
+
 
+def bls_auto(time_span: float, start_period: float, end_period: float, qmin: float = 0.01) -> tuple[float, float, int, int]:
+    """(first, step, number, bins): bins = ceil(2 / qmin), 3000 at most; step 0.25 qmin / span; from 2 / span at least.
 
-def gls(lc: DataFrame, first: float, step: float, number: int) -> DataFrame:
-    """(objectid, k, freq, power): generalized Lomb-Scargle with a floating mean, from one aggregation."""
-    w = 1.0 / (F.col("e") * F.col("e"))
-    lc = finite_filter(lc).withColumns({"w": w / F.sum(w).over(whole()), "x": F.col("t") - F.min("t").over(whole())})
-    r = with_frequencies(lc.select(KEY, "x", "m", "w"), first, step, number).withColumns({"c": F.cos(TWO_PI * F.col("freq") * F.col("x")), "s": F.sin(TWO_PI * F.col("freq") * F.col("x"))})
-    v = lambda a: F.sum(F.expr(f"w * {a}"))
-    g = r.groupBy(KEY, "k").agg(F.min("freq").alias("freq"), v("m").alias("Y"), v("c").alias("C"), v("s").alias("S"), v("m * m").alias("YYh"), v("m * c").alias("YCh"), v("m * s").alias("YSh"), v("c * c").alias("CCh"), v("c * s").alias("CSh"), F.sum("w").alias("W"))
-    g = g.selectExpr(KEY, "k", "freq", "YYh - Y * Y AS YY", "YCh - Y * C AS YC", "YSh - Y * S AS YS", "CCh - C * C AS CC", "(W - CCh) - S * S AS SS", "CSh - C * S AS CS")
-    return g.selectExpr(KEY, "k", "freq", "try_divide(SS * YC * YC + CC * YS * YS - 2 * CS * YC * YS, YY * (CC * SS - CS * CS)) AS power")
+    The number follows from the periods before the first frequency is raised, so the grid then goes past the first period.
+    """
+    low, high = 1.0 / end_period, 1.0 / start_period
+    step = 0.25 * qmin / time_span
+    return max(low, 2.0 / time_span), step, int(math.ceil((high - low) / step)), min(3000, int(math.ceil(2.0 / qmin)))
 
 
-def spectral_window(lc: DataFrame, first: float, step: float, number: int) -> DataFrame:
-    """(objectid, k, freq, power): the periodogram of the sampling itself, of a constant one.
+def bls_grids(lc: DataFrame, start_period: float | Column = 0.1, end_period: float | Column = 100.0, qmin: float = 0.01, least: int = 10) -> DataFrame:
+    """(objectid, first, step, number): bls_auto() of each object's time span."""
+    low, high = 1.0 / (end_period if isinstance(end_period, Column) else F.lit(float(end_period))), 1.0 / (start_period if isinstance(start_period, Column) else F.lit(float(start_period)))
+    g = finite_filter(lc).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), (F.max("t") - F.min("t")).alias("span")).where((F.col("n") >= least) & (F.col("span") > 0))
+    g = g.withColumn("step", 0.25 * qmin / F.col("span"))
+    return g.select(KEY, F.greatest(low, 2.0 / F.col("span")).alias("first"), "step", F.ceil((high - low) / F.col("step")).cast("long").alias("number")).where("number > 0")
 
-    With tau from the sums at twice the frequency, the rotated sums follow from the plain ones, so one pass will do.
+
+def search(lc: DataFrame, grid: Grid, kernel: Kernel, columns: list[str], work: int = WORK) -> DataFrame:
+    """(objectid, k, freq, columns): ``kernel(t, m, e, freqs)`` over each object's grid, in stretches.
+
+    Points with a value, time or error that is not finite, or an error of zero, are left out; times are relative to the
+    first. Objects without a grid or with no point left give no row. Scores that are not finite are null.
     """
-    lc = lc.withColumn("x", F.col("t") - F.min("t").over(whole()))
-    r = with_frequencies(lc.select(KEY, "x"), first, step, number).withColumn("a", TWO_PI * F.col("freq") * F.col("x"))
-    g = r.groupBy(KEY, "k").agg(F.min("freq").alias("freq"), F.count(F.lit(1)).alias("n"), F.sum(F.cos("a")).alias("c1"), F.sum(F.sin("a")).alias("s1"), F.sum(F.cos(2 * F.col("a"))).alias("c2"), F.sum(F.sin(2 * F.col("a"))).alias("s2"))
-    g = g.withColumn("th", F.atan(F.try_divide("s2", "c2")) / 2)
-    c = F.col("c1") * F.cos("th") + F.col("s1") * F.sin("th")
-    s = F.col("s1") * F.cos("th") - F.col("c1") * F.sin("th")
-    half = (F.col("c2") * F.cos(2 * F.col("th")) + F.col("s2") * F.sin(2 * F.col("th"))) / 2
-    return g.select(KEY, "k", "freq", (0.5 * (F.try_divide(c * c, F.col("n") / 2 + half) + F.try_divide(s * s, F.col("n") / 2 - half))).alias("power"))
+    parts = stretches(lc, grid, work)
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, m, e, k, freqs = opened(pdf)
+        found = [kernel(t, m, e, freqs[i:j]) for i, j in _blocks(len(t), len(freqs))]
+        got = {c: np.concatenate([q[c] for q in found]) for c in columns}
+        return pd.DataFrame({KEY: pdf[KEY].iloc[0], "k": k, "freq": freqs, **{c: np.where(np.isfinite(v), v, np.nan) for c, v in got.items()}})
 
-def _folded_bins(lc: DataFrame, first: float, step: float, number: int, bins: int) -> DataFrame:
-    lc = lc.withColumn("x", F.col("t") - F.min("t").over(whole()))
-    r = with_frequencies(lc.select(KEY, "x", "m"), first, step, number).withColumn("p", F.col("x") * F.col("freq"))
-    return r.withColumn("bin", F.floor((F.col("p") - F.floor("p")) * bins).cast("int"))
+    kind = lc.schema[KEY].dataType.simpleString()
+    return parts.groupBy(KEY, "part").applyInPandas(run, f"{KEY} {kind}, k long, freq double, " + ", ".join(f"{c} double" for c in columns))
+
+
+def stretches(lc: DataFrame, grid: Grid, work: int = WORK) -> DataFrame:
+    """The points of each object, once for each stretch of its grid: (objectid, t, m, e, seq, first, step, number, size, part)."""
+    rows = finite_filter(lc).select(KEY, "t", "m", "e", "seq")
+    n = rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
+    g = n.join(grid.select(KEY, "first", "step", "number"), KEY) if isinstance(grid, DataFrame) else n.select(KEY, "_n", F.lit(float(grid[0])).alias("first"), F.lit(float(grid[1])).alias("step"), F.lit(int(grid[2])).cast("long").alias("number"))
+    size = F.greatest(F.lit(1), F.least(F.col("number"), F.floor(F.lit(work) / F.col("_n")))).cast("long")
+    g = g.withColumn("size", size).select(KEY, "first", "step", "number", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("number") - 1) / F.col("size")))).alias("part"))
+    return rows.join(g, KEY)
+
+
+def opened(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """(times from the first, m, e, k, frequencies) of a stretch, in order of time."""
+    pdf = pdf.sort_values(["t", "seq"], kind="stable")
+    t, m, e = (pdf[c].to_numpy(float) for c in ("t", "m", "e"))
+    x = pdf.iloc[0]
+    k = np.arange(int(x["part"]) * int(x["size"]), min(int(x["number"]), (int(x["part"]) + 1) * int(x["size"])))
+    return t - t[0], m, e, k, float(x["first"]) + k * float(x["step"])
+
+
+def _blocks(points: int, count: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of blocks of frequencies whose arrays have about BLOCK elements."""
+    size = max(1, BLOCK // max(1, points))
+    for i in range(0, count, size):
+        yield i, min(i + size, count)
+
+
+def turns(x: np.ndarray, freqs: np.ndarray) -> np.ndarray:
+    """exp(2 pi i f x) for each of evenly spaced frequencies and each point: rows by doubling, a product each."""
+    number = len(freqs)
+    z = np.empty((number, len(x)), complex)
+    z[0] = np.exp(TWO_PI * 1j * freqs[0] * x)
+    have, ahead = 1, np.exp(TWO_PI * 1j * (freqs[-1] - freqs[0]) / max(1, number - 1) * x)
+    while have < number:
+        more = min(have, number - have)
+        np.multiply(z[:more], ahead, out=z[have : have + more])
+        have, ahead = have + more, ahead * ahead
+    return z
+
+
+def gls_power(x: np.ndarray, m: np.ndarray, e: np.ndarray, freqs: np.ndarray) -> dict[str, np.ndarray]:
+    """Generalized Lomb-Scargle power with a floating mean."""
+    w = 1.0 / (e * e)
+    w = w / w.sum()
+    y = m - w @ m
+    z = turns(x, freqs)
+    plain, by_y, twice = z @ w, z @ (w * y), (z * z) @ w
+    c, s, yc, ys = plain.real, plain.imag, by_y.real, by_y.imag
+    cc, ss, cs = 0.5 * (1.0 + twice.real) - c * c, 0.5 * (1.0 - twice.real) - s * s, 0.5 * twice.imag - c * s
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return {"power": (ss * yc * yc + cc * ys * ys - 2.0 * cs * yc * ys) / ((w @ (y * y)) * (cc * ss - cs * cs))}
+
+
+def window_power(x: np.ndarray, m: np.ndarray, e: np.ndarray, freqs: np.ndarray) -> dict[str, np.ndarray]:
+    """Lomb-Scargle power of the sampling, of a constant one: with tau from the sums at twice the frequency."""
+    z = turns(x, freqs)
+    one, two = z.sum(1), (z * z).sum(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        th = np.arctan(two.imag / two.real) / 2.0
+        turned = one * np.exp(-1j * th)
+        half = (two * np.exp(-2j * th)).real / 2.0
+        n = len(x) / 2.0
+        return {"power": 0.5 * (turned.real**2 / (n + half) + turned.imag**2 / (n - half))}
+
+
+def folded(x: np.ndarray, freqs: np.ndarray) -> np.ndarray:
+    """Phases from the first time for each frequency and point."""
+    p = np.outer(freqs, x)
+    return p - np.floor(p)
+
+
+def _bins(x: np.ndarray, freqs: np.ndarray, bins: int) -> np.ndarray:
+    """Number of the phase bin of each frequency and point; bins of later frequencies follow those of earlier ones."""
+    b = np.minimum((folded(x, freqs) * bins).astype(np.int64), bins - 1)
+    return b + bins * np.arange(len(freqs))[:, None]
+
+
+def pdm_kernel(bins: int = 20, least: int = 9) -> Kernel:
+    """Phase dispersion minimization; bins with more than ``least`` points count."""
+
+    def theta(x: np.ndarray, m: np.ndarray, e: np.ndarray, freqs: np.ndarray) -> dict[str, np.ndarray]:
+        y, number = m - m.mean(), len(freqs)
+        b = _bins(x, freqs, bins).ravel()
+        sums = lambda v=None: np.bincount(b, None if v is None else np.broadcast_to(v, (number, len(x))).ravel(), number * bins).reshape(number, bins)
+        n, s, q = sums(), sums(y), sums(y * y)
+        use = n > least
+        with np.errstate(divide="ignore", invalid="ignore"):
+            top = np.where(use, q - s * s / n, 0.0).sum(1) / ((n * use).sum(1) - use.sum(1))
+            return {"theta": np.where(use.any(1), top / y.var(ddof=1), np.nan)}
+
+    return theta
+
+
+def aov_kernel(bins: int = 20, least: int = 9) -> Kernel:
+    """Analysis of variance with medians; s2 takes deviations from the overall median."""
+
+    def theta(x: np.ndarray, m: np.ndarray, e: np.ndarray, freqs: np.ndarray) -> dict[str, np.ndarray]:
+        order = np.argsort(m, kind="stable")
+        y = m[order] - np.median(m)
+        out = np.empty(len(freqs))
+        for i in range(0, len(freqs), 60_000 // bins):  # keys of 16 bits are sorted in linear time
+            k = min(60_000 // bins, len(freqs) - i)
+            key = _bins(x[order], freqs[i : i + k], bins).astype(np.uint16).ravel()
+            n = np.bincount(key, None, k * bins)
+            ys = np.broadcast_to(y, (k, len(y))).ravel()
+            by = ys[np.argsort(key, kind="stable")]
+            start = np.cumsum(n) - n
+            low, high = np.minimum(start + np.maximum(n - 1, 0) // 2, len(by) - 1), np.minimum(start + n // 2, len(by) - 1)
+            med = 0.5 * (by[low] + by[high])
+            use = (n > least).reshape(k, bins)
+            total = np.bincount(key, ys * ys, k * bins).reshape(k, bins)
+            groups = use.sum(1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                s1 = np.where(use, (n * med * med).reshape(k, bins), 0.0).sum(1) / (groups - 1)
+                out[i : i + k] = np.where(groups > 0, s1 / (np.where(use, total, 0.0).sum(1) / (len(y) - groups)), np.nan)
+        return {"theta": out}
+
+    return theta
+
+
+def string_kernel(x: np.ndarray, m: np.ndarray, e: np.ndarray, freqs: np.ndarray) -> dict[str, np.ndarray]:
+    """Length of the folded curve, magnitudes scaled to a quarter around zero."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        y = (m - m.min()) / (2.0 * (m.max() - m.min())) - 0.25
+    p = folded(x, freqs)
+    order = np.argsort(p, axis=1, kind="stable")
+    dp, dy = np.diff(np.take_along_axis(p, order, 1)), np.diff(y[order])
+    return {"length": np.sqrt(dp * dp + dy * dy).sum(1)}
+
+
+def aovhm_kernel(harmonics: int = 6) -> Kernel:
+    """Multi-harmonic analysis of variance, by recursive orthogonal projection."""
+
+    def theta(x: np.ndarray, m: np.ndarray, e: np.ndarray, freqs: np.ndarray) -> dict[str, np.ndarray]:
+        w = 1.0 / e
+        y = (m - np.sum(m * w * w) / np.sum(w * w)) * w
+        total, n, terms = np.sum(y * y), len(x), 2 * harmonics
+        z = turns(x, freqs)
+        target = y * z**harmonics
+        basis, turned = np.broadcast_to(w.astype(complex), z.shape), np.ones_like(z)
+        out = np.zeros(len(freqs))
+        for _ in range(terms):
+            norm = np.maximum(np.sum(np.abs(basis) ** 2, 1), 1e-8)
+            out += np.abs(np.sum(basis.conj() * target, 1)) ** 2 / norm
+            share = np.sum(w * z * basis, 1) / norm
+            basis = basis * z - share[:, None] * turned * basis.conj()
+            turned = turned * z
+        return {"theta": (n - terms - 1.0) * out / (terms * np.maximum(total - out, 1e-9))}
+
+    return theta
+
+
+def bls_kernel(bins: int = 200, qmin: float = 0.01, qmax: float = 0.1) -> Kernel:
+    """Box least squares: signal residue, depth, duration in phase and phase of ingress of the best box.
+
+    Weighted sums in phase bins, then prefix sums over the doubled circle give every box at once. Of equal boxes the
+    shortest, then the earliest counts.
+    """
+    lengths = range(max(1, int(qmin * bins)), max(2, int(qmax * bins) + 2))
+
+    def power(x: np.ndarray, m: np.ndarray, e: np.ndarray, freqs: np.ndarray) -> dict[str, np.ndarray]:
+        w = 1.0 / (e * e)
+        w = w / w.sum()
+        y, number = m - np.sum(w * m), len(freqs)
+        b = _bins(x, freqs, bins).ravel()
+        sums = lambda v: np.bincount(b, np.broadcast_to(v, (number, len(x))).ravel(), number * bins).reshape(number, bins)
+        around = lambda v: np.cumsum(np.concatenate([np.zeros((number, 1)), v, v], 1), 1)
+        cw, cy = around(sums(w)), around(sums(w * y))
+        best, size, start, rr, sy = (np.zeros(number) for _ in range(5))
+        best -= 1.0
+        rows = np.arange(number)
+        for n in lengths:
+            r, s = cw[:, n : bins + n] - cw[:, :bins], cy[:, n : bins + n] - cy[:, :bins]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                sr = np.where((r > 1e-12) & (r < 1 - 1e-12), s * s / (r * (1 - r)), 0.0)
+            j = sr.argmax(1)
+            new = sr[rows, j] > best
+            best, size, start, rr, sy = (np.where(new, a, c) for a, c in ((sr[rows, j], best), (n, size), (j, start), (r[rows, j], rr), (s[rows, j], sy)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            depth = np.where((rr > 0) & (rr < 1), sy / (rr * (1 - rr)), 0.0)
+        return {"power": np.sqrt(np.maximum(best, 0.0)), "depth": depth, "duration": size / bins, "ingress": start / bins}
+
+    return power
+
+
+def _grid(first: float | DataFrame, step: float | None, number: int | None) -> Grid:
+    return first if isinstance(first, DataFrame) else (first, step, number)
+
+
+def gls(lc: DataFrame, first: float | DataFrame, step: float | None = None, number: int | None = None) -> DataFrame:
+    """(objectid, k, freq, power): generalized Lomb-Scargle."""
+    return search(lc, _grid(first, step, number), gls_power, ["power"])
 
 
-def pdm(lc: DataFrame, first: float, step: float, number: int, bins: int = 20, least: int = 9) -> DataFrame:
-    """(objectid, k, freq, theta): phase dispersion minimization; bins with more than ``least`` points count."""
-    total = lc.groupBy(KEY).agg(F.var_samp("m").alias("v0"))
-    b = _folded_bins(lc, first, step, number, bins).groupBy(KEY, "k", "bin").agg(F.min("freq").alias("freq"), F.count(F.lit(1)).alias("n"), F.var_samp("m").alias("v")).where(F.col("n") > least)
-    g = b.groupBy(KEY, "k").agg(F.min("freq").alias("freq"), F.sum(F.col("v") * (F.col("n") - 1)).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("bins"))
-    return g.join(total, KEY).select(KEY, "k", "freq", F.try_divide(F.try_divide("top", F.col("n") - F.col("bins")), F.col("v0")).alias("theta"))
+def spectral_window(lc: DataFrame, first: float | DataFrame, step: float | None = None, number: int | None = None) -> DataFrame:
+    """(objectid, k, freq, power): the periodogram of the sampling itself."""
+    return search(lc.withColumns({"m": F.lit(1.0), "e": F.lit(1.0)}), _grid(first, step, number), window_power, ["power"])
 
 
-def aov(lc: DataFrame, first: float, step: float, number: int, bins: int = 20, least: int = 9) -> DataFrame:
-    """(objectid, k, freq, theta): analysis of variance with medians; s2 takes deviations from the overall median."""
-    total = lc.groupBy(KEY).agg(F.median("m").alias("med"), F.count(F.lit(1)).alias("ndet"))
-    b = _folded_bins(lc, first, step, number, bins).join(total, KEY).groupBy(KEY, "k", "bin").agg(F.min("freq").alias("freq"), F.min("med").alias("med"), F.min("ndet").alias("ndet"), F.count(F.lit(1)).alias("n"), F.median("m").alias("bm"), F.sum(F.pow(F.col("m") - F.col("med"), 2)).alias("d")).where(F.col("n") > least)
-    g = b.groupBy(KEY, "k").agg(F.min("freq").alias("freq"), F.min("ndet").alias("ndet"), F.sum(F.col("n") * F.pow(F.col("bm") - F.col("med"), 2)).alias("s1"), F.sum("d").alias("s2"), F.count(F.lit(1)).alias("bins"))
-    return g.select(KEY, "k", "freq", F.try_divide(F.try_divide("s1", F.col("bins") - 1), F.try_divide("s2", F.col("ndet") - F.col("bins"))).alias("theta"))
+def pdm(lc: DataFrame, first: float | DataFrame, step: float | None = None, number: int | None = None, bins: int = 20, least: int = 9) -> DataFrame:
+    """(objectid, k, freq, theta); frequencies without a bin that counts are left out."""
+    return search(lc, _grid(first, step, number), pdm_kernel(bins, least), ["theta"])
 
 
-def string_length(lc: DataFrame, first: float, step: float, number: int) -> DataFrame:
-    """(objectid, k, freq, length): the length of the folded curve, magnitudes scaled to a quarter around zero."""
-    lc = lc.withColumn("x", F.col("t") - F.min("t").over(whole())).withColumns({"lo": F.min("m").over(whole()), "hi": F.max("m").over(whole())})
-    lc = lc.withColumn("y", F.try_divide(F.col("m") - F.col("lo"), 2 * (F.col("hi") - F.col("lo"))) - 0.25)
-    r = with_frequencies(lc.select(KEY, "x", "y", "seq"), first, step, number).withColumn("p", F.col("x") * F.col("freq") - F.floor(F.col("x") * F.col("freq")))
-    w = Window.partitionBy(KEY, "k").orderBy("p", "x", "seq")
-    d = r.withColumns({"dp": F.col("p") - F.lag("p").over(w), "dy": F.col("y") - F.lag("y").over(w)})
-    return d.groupBy(KEY, "k").agg(F.min("freq").alias("freq"), F.sum(F.sqrt(F.col("dp") * F.col("dp") + F.col("dy") * F.col("dy"))).alias("length"))
+def aov(lc: DataFrame, first: float | DataFrame, step: float | None = None, number: int | None = None, bins: int = 20, least: int = 9) -> DataFrame:
+    """(objectid, k, freq, theta)."""
+    return search(lc, _grid(first, step, number), aov_kernel(bins, least), ["theta"])
+
+
+def string_length(lc: DataFrame, first: float | DataFrame, step: float | None = None, number: int | None = None) -> DataFrame:
+    """(objectid, k, freq, length)."""
+    return search(lc, _grid(first, step, number), string_kernel, ["length"])
+
+
+def aovhm(lc: DataFrame, first: float | DataFrame, step: float | None = None, number: int | None = None, harmonics: int = 6) -> DataFrame:
+    """(objectid, k, freq, theta)."""
+    return search(lc, _grid(first, step, number), aovhm_kernel(harmonics), ["theta"])
+
+
+def bls(lc: DataFrame, first: float | DataFrame, step: float | None = None, number: int | None = None, bins: int = 200, qmin: float = 0.01, qmax: float = 0.1) -> DataFrame:
+    """(objectid, k, freq, power, depth, duration, ingress)."""
+    return search(lc, _grid(first, step, number), bls_kernel(bins, qmin, qmax), ["power", "depth", "duration", "ingress"])
 
 
 def peaks(scores: DataFrame, score: str = "power", best: int = 5, epsilon: float = 0.1, largest: bool = True) -> DataFrame:
@@ -149,94 +366,176 @@ def aovhm_fap(theta: float, n: int, harmonics: int) -> float:
     return f_cdf(theta, 2.0 * harmonics, n - 2.0 * harmonics - 1.0)
 
 
-def aovhm_theta(t: np.ndarray, m: np.ndarray, e: np.ndarray, freqs: np.ndarray, harmonics: int = 6) -> np.ndarray:
-    """Multi-harmonic analysis of variance for all frequencies at once, by recursive orthogonal projection."""
-    w = 1.0 / e
-    y = (m - np.sum(m * w * w) / np.sum(w * w)) * w
-    total, n, terms = np.sum(y * y), len(t), 2 * harmonics
-    z = np.exp(2j * np.pi * np.outer(freqs, t - t.min()))
-    target = y * z**harmonics
-    basis, turned = np.broadcast_to(w.astype(complex), z.shape), np.ones_like(z)
-    theta = np.zeros(len(freqs))
-    for _ in range(terms):
-        norm = np.maximum(np.sum(np.abs(basis) ** 2, 1), 1e-8)
-        theta += np.abs(np.sum(basis.conj() * target, 1)) ** 2 / norm
-        share = np.sum(w * z * basis, 1) / norm
-        basis = basis * z - share[:, None] * turned * basis.conj()
-        turned = turned * z
-    return (n - terms - 1.0) * theta / (terms * np.maximum(total - theta, 1e-9))
-
-
-def bls_power(t: np.ndarray, m: np.ndarray, e: np.ndarray, freqs: np.ndarray, bins: int = 200, qmin: float = 0.01, qmax: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Box least squares: (signal residue, depth, duration in phase, phase of ingress) for each frequency.
-
-    Weighted sums in phase bins, then prefix sums over the doubled circle give every box at once.
+def acf_period(acf: DataFrame, cadence: float, smooth: int = 21, degree: int = 2, most: int = 10, interval: int | None = None) -> DataFrame:
+    """(objectid, best_lag, naive_period, period, height) from ``acf`` (objectid, lag, acf), at most a maximum lag's rows each.
+
+    The autocorrelation is smoothed by a Savitzky-Golay filter (or not, where ``smooth`` is 0). Peaks are the first ``most``
+    points above all within ``interval`` (half of ``smooth``); a peak's height is over the mean of the minima beside it, and
+    peaks without one on either side do not count. Of the first and second peak the higher is the best lag. The period is
+    the slope of a line through (0, best lag, later peaks' lags) times the cadence; null with fewer than two peaks.
     """
-    w = 1.0 / (e * e)
-    w = w / w.sum()
-    y = m - np.sum(w * m)
-    lengths = np.arange(max(1, int(qmin * bins)), max(2, int(qmax * bins) + 2))
-    out = [np.zeros(len(freqs)) for _ in range(4)]
-    x = t - t.min()
-    for k, f in enumerate(freqs):
-        b = np.minimum(((x * f) % 1.0 * bins).astype(int), bins - 1)
-        bw, by = np.bincount(b, w, bins), np.bincount(b, w * y, bins)
-        cw, cy = (np.concatenate([[0.0], np.cumsum(np.concatenate([v, v]))]) for v in (bw, by))
-        r = np.stack([cw[n : bins + n] - cw[:bins] for n in lengths])
-        s = np.stack([cy[n : bins + n] - cy[:bins] for n in lengths])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            sr = np.where((r > 1e-12) & (r < 1 - 1e-12), s * s / (r * (1 - r)), 0.0)
-        i, j = np.unravel_index(np.argmax(sr), sr.shape)
-        rr = r[i, j]
-        out[0][k], out[1][k], out[2][k], out[3][k] = math.sqrt(sr[i, j]), s[i, j] / (rr * (1 - rr)) if 0 < rr < 1 else 0.0, lengths[i] / bins, j / bins
-    return tuple(out)
+    near = max(1, smooth // 2) if interval is None else interval
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("lag")
+        lag, y = pdf["lag"].to_numpy(float), pdf["acf"].to_numpy(float)
+        y = savgol(y, smooth, degree) if smooth and len(y) >= smooth else y
+        n = len(y)
+        beside = [[y[min(max(i + s * d, 0), n - 1)] for d in range(1, near + 1) for s in (-1, 1)] for i in range(n)]
+        tops = [i for i in range(n) if y[i] > max(beside[i])]
+        lows = [i for i in range(n) if y[i] < min(beside[i])]
+        heights, lags = [0.0] * most, [0.0] * most
+        for rank, i in enumerate(tops[:most]):
+            left, right = [j for j in lows if j < i], [j for j in lows if j > i]
+            if left and right:
+                heights[rank], lags[rank] = y[i] - (y[left[-1]] + y[right[0]]) / 2.0, lag[i]
+        best = 0 if most < 2 or heights[0] > heights[1] else 1
+        if heights[best] == 0.0:
+            return pd.DataFrame({KEY: [pdf[KEY].iloc[0]], "best_lag": [None], "naive_period": [None], "period": [None], "height": [None]})
+        line = np.array([0.0, lags[best], *[x for x in lags if x > lags[best]]]) * cadence
+        slope = np.polyfit(np.arange(len(line)), line, 1)[0] if len(line) > 2 else None
+        return pd.DataFrame({KEY: [pdf[KEY].iloc[0]], "best_lag": [int(lags[best])], "naive_period": [lags[best] * cadence], "period": [slope], "height": [heights[best]]})
+
+    kind = acf.schema[KEY].dataType.simpleString()
+    return acf.groupBy(KEY).applyInPandas(run, f"{KEY} {kind}, best_lag long, naive_period double, period double, height double")
+
+
+def bootstrap_fap(lc: DataFrame, grid: Grid, kernel: Kernel = gls_power, score: str = "power", trials: int = 250, largest: bool = True, seed: int = 3, work: int = WORK) -> DataFrame:
+    """(objectid, best, fap): the share of ``trials`` in which magnitudes drawn anew, with replacement, score as well or better.
+
+    fap is (1 + such trials) / (trials + 1). Draws follow from seed, object and trial, so a rerun is the same. Each stretch
+    of a grid gives the best score of each trial; stretches are combined by object and trial.
+    """
 
-def bls_auto(time_span: float, start_period: float, end_period: float, qmin: float = 0.01, step_size: float = 5e-4) -> tuple[float, float, int, int]:
-    """(first, step, number, bins): bins = ceil(2 / qmin), 3000 at most; step 0.25 qmin / span; from 2 / span at least."""
-    low, high = 1.0 / end_period, 1.0 / start_period
-    step = 0.25 * qmin / time_span
-    return max(low, 2.0 / time_span), step, int(math.ceil((high - low) / step)), min(3000, int(math.ceil(2.0 / qmin)))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, m, e, _, freqs = opened(pdf)
+        name = pdf[KEY].iloc[0]
+        best = []
+        for trial in range(trials + 1):  # trial 0 is the series as it is
+            drawn = m if trial == 0 else m[np.random.default_rng((seed, trial, xxhash64(str(name)))).integers(0, len(m), len(m))]
+            v = np.concatenate([kernel(t, drawn, e, freqs[i:j])[score] for i, j in _blocks(len(t), len(freqs))])
+            v = v[np.isfinite(v)]
+            best.append((v.max() if largest else -v.min()) if len(v) else np.nan)
+        return pd.DataFrame({KEY: name, "trial": np.arange(trials + 1), "score": best})
 
+    kind = lc.schema[KEY].dataType.simpleString()
+    got = stretches(lc, grid, max(1, work // (trials + 1))).groupBy(KEY, "part").applyInPandas(run, f"{KEY} {kind}, trial int, score double")
+    top = got.groupBy(KEY, "trial").agg(F.max("score").alias("score"))
+    g = top.groupBy(KEY).agg(F.max(F.when(F.col("trial") == 0, F.col("score"))).alias("own"), F.collect_list(F.when(F.col("trial") > 0, F.col("score"))).alias("drawn"))
+    best = F.col("own") if largest else -F.col("own")
+    return g.select(KEY, best.alias("best"), ((1 + F.size(F.filter("drawn", lambda x: x >= F.col("own")))) / F.lit(trials + 1.0)).alias("fap"))
 
-def by_kernel(lc: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], columns: list[str], first: float, step: float, number: int, chunk: int = 2000) -> DataFrame:
-    """(objectid, k, freq, columns): ``kernel(t, m, e, freqs)`` for every object and chunk of frequencies."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "seq"])
-        k = np.arange(int(pdf["chunk"].iloc[0]) * chunk, min(number, (int(pdf["chunk"].iloc[0]) + 1) * chunk))
-        got = kernel(*(pdf[c].to_numpy(float) for c in ("t", "m", "e")), first + step * k)
-        return pd.DataFrame({KEY: pdf[KEY].iloc[0], "k": k, "freq": first + step * k, **{c: got[c] for c in columns}})
+def xxhash64(text: str) -> int:
+    """A hash of a name that is the same in every process."""
+    import zlib
 
-    kind = lc.schema[KEY].dataType.simpleString()
-    rows = finite_filter(lc).select(KEY, "t", "m", "e", "seq").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((number - 1) // chunk))))
-    return rows.groupBy(KEY, "chunk").applyInPandas(run, f"{KEY} {kind}, k long, freq double, " + ", ".join(f"{c} double" for c in columns))
+    return zlib.crc32(text.encode()) << 32 | zlib.adler32(text.encode())
+
+
+def _column(f: Callable[..., float]):  # noqa: ANN202
+    """``f`` of numbers as a column expression, null where an argument is; for the few rows of a table of peaks."""
+
+    @F.pandas_udf("double")
+    def column(*values: pd.Series) -> pd.Series:
+        rows = zip(*(v.astype(float) for v in values), strict=True)
+        return pd.Series([f(*r) if all(map(math.isfinite, r)) else None for r in rows], dtype="float64")
 
+    return lambda *c: column(*[F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(float(x)) for x in c])
 
-def aovhm(lc: DataFrame, first: float, step: float, number: int, harmonics: int = 6) -> DataFrame:
-    return by_kernel(lc, lambda t, m, e, f: {"theta": aovhm_theta(t, m, e, f, harmonics)}, ["theta"], first, step, number)
 
+def fap(method: str, score: Column | str, n: Column | str, groups: int, independent: Column | float = 1.0) -> Column:
+    """False-alarm probability of a peak by method: pdm (groups: bins), aov (bins), mav (harmonics)."""
+    if method == "pdm":
+        return _column(lambda z, k, m: pdm_fap(z, int(k), groups, m))(score, n, independent)
+    if method == "aov":
+        return _column(lambda z, k: aov_fap(z, int(k), groups))(score, n)
+    if method == "mav":
+        return _column(lambda z, k: aovhm_fap(z, int(k), groups))(score, n)
+    raise ValueError(f"no method {method!r}")
 
-def bls(lc: DataFrame, first: float, step: float, number: int, bins: int = 200, qmin: float = 0.01, qmax: float = 0.1) -> DataFrame:
-    return by_kernel(lc, lambda t, m, e, f: dict(zip(("power", "depth", "duration", "ingress"), bls_power(t, m, e, f, bins, qmin, qmax), strict=True)), ["power", "depth", "duration", "ingress"], first, step, number)
 
+#: Period finders by name: (kernel, score, whether the largest score is best). register_method() adds to them.
+METHODS: dict[str, tuple[Kernel, str, bool]] = {
+    "gls": (gls_power, "power", True), "win": (window_power, "power", True), "pdm": (pdm_kernel(), "theta", False), "aov": (aov_kernel(), "theta", True),
+    "mav": (aovhm_kernel(), "theta", True), "bls": (bls_kernel(), "power", True), "string": (string_kernel, "length", False),
+}
 
-def acf_period(acf: DataFrame, cadence: float, smooth: int = 3) -> DataFrame:
-    """(objectid, best_lag, period): highest local maximum of the smoothed autocorrelation beyond lag 0."""
-    w = Window.partitionBy(KEY).orderBy("lag")
-    s = acf.withColumn("s", F.avg("acf").over(w.rowsBetween(-smooth, smooth)))
-    top = s.withColumns({"a": F.lag("s").over(w), "b": F.lead("s").over(w)}).where("s > a AND s >= b AND lag > 0")
-    return top.groupBy(KEY).agg(F.max_by("lag", F.struct("s", -F.col("lag"))).alias("best_lag")).select(KEY, "best_lag", (F.col("best_lag") * cadence).alias("period"))
 
+def register_method(name: str, kernel: Kernel, score: str, largest: bool = True) -> None:
+    """Adds a period finder, or replaces one."""
+    METHODS[name] = (kernel, score, largest)
 
-def bootstrap_fap(lc: DataFrame, finder: Callable[[DataFrame], DataFrame], best: DataFrame, trials: int = 50, seed: int = 3) -> DataFrame:
-    """(objectid, fap): magnitudes drawn anew with replacement, ``finder`` gives (objectid, score) of each trial.
 
-    fap is (1 + trials at least as good) / (trials + 1). Draws are hashes, so a rerun is the same.
+def find_periods(lc: DataFrame, methods: list[str], grids: dict[str, Grid] | None = None, best: int = 5, epsilon: float = 0.1, sigma: float | tuple[float, float] | None = 10.0, least: int = 10) -> DataFrame:
+    """(objectid, method, rank, period, score): the best peaks of every object by every method, in one table.
+
+    Series are clipped first and need ``least`` points. Methods without a grid of their own share the automatic one, of each
+    object. The points are read once for each method; nothing but peaks leaves an object's tasks.
+    """
+    lc = sigclip(lc, sigma).select(KEY, "t", "m", "e", "seq")
+    out = None
+    for name in methods:
+        kernel, score, largest = METHODS[name]
+        grid = (grids or {}).get(name)
+        scores = search(lc if name != "win" else lc.withColumns({"m": F.lit(1.0), "e": F.lit(1.0)}), frequency_grids(lc, least=least) if grid is None else grid, kernel, [score])
+        found = peaks(scores, score, best, epsilon, largest).select(KEY, F.lit(name).alias("method"), "rank", "period", F.col(score).alias("score"))
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
+def box_stats(lc: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(objectid, rank, n_in, depth, rms, snr) of boxes (objectid, rank, period, epoch, depth, duration) around phase 0.
+
+    The model is the median less the depth inside the box; snr is sqrt(n_in) |depth| / the deviation of the residuals.
+    """
+    j = finite_filter(lc).select(KEY, "t", "m").join(boxes.select(KEY, "rank", "period", "epoch", "depth", "duration"), KEY)
+    x = (F.col("t") - F.col("epoch")) / F.col("period")
+    j = j.withColumn("p", x - F.floor(x)).withColumn("inside", (F.col("p") < F.col("duration") / 2) | (F.col("p") > 1 - F.col("duration") / 2))
+    r = F.col("m") + F.when(F.col("inside"), F.col("depth")).otherwise(0.0)
+    g = j.groupBy(KEY, "rank").agg(F.count_if("inside").alias("n_in"), F.min("depth").alias("depth"), F.stddev_pop(r).alias("rms"))
+    return g.select(KEY, "rank", "n_in", "depth", "rms", F.try_divide(F.sqrt(F.col("n_in").cast("double")) * F.abs("depth"), F.col("rms")).alias("snr"))
+
+
+def bls_stats(lc: DataFrame, peaks: DataFrame, percent: float = 10.0, bins: int = 200, qmin: float = 0.01, qmax: float = 0.4, ingress: float = 0.1, sigma: float | None = 10.0, least: int = 10) -> DataFrame:
+    """(objectid, rank, period, epoch, depth, duration, ingress, n_in, snr, status) of each peak (objectid, rank, period).
+
+    The box search runs again within ``percent`` of the peak's period. A trapezoid that starts from the box, its epoch at the
+    faintest point of a spline over phase, is fitted; status is "ok" and snr is sqrt(points in transit) |depth| / the
+    deviation of the residuals. Where no fit converges the box stands in, with status "box".
     """
-    n = lc.withColumn("i", F.row_number().over(by_time()) - 1).withColumn("n", F.count(F.lit(1)).over(whole()))
-    drawn = n.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials)))).withColumn("j", F.pmod(F.xxhash64("trial", "i", F.lit(seed), KEY), F.col("n")))
-    mags = n.select(F.col(KEY).alias("o2"), F.col("i").alias("i2"), F.col("m").alias("m2"))
-    rows = drawn.join(mags, (F.col(KEY) == F.col("o2")) & (F.col("j") == F.col("i2"))).select(F.struct(KEY, "trial").alias(KEY), "t", F.col("m2").alias("m"), "e", "seq")
-    scores = finder(rows).select(F.col(f"{KEY}.{KEY}").alias(KEY), F.col("score").alias("drawn"))
-    return scores.join(best, KEY).groupBy(KEY).agg(((F.count_if(F.col("drawn") >= F.col("score")) + 1) / (F.count(F.lit(1)) + 1)).alias("fap"))
+    from .fits import fit_spline, fit_trapezoid, fold
+
+    kernel = bls_kernel(bins, qmin, qmax)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t", "seq"], kind="stable")
+        t, m, e = (pdf[c].to_numpy(float) for c in ("t", "m", "e"))
+        out = {c: [pdf[c].iloc[0]] for c in (KEY, "rank")}
+        p, span = float(pdf["period"].iloc[0]), t[-1] - t[0]
+        if len(t) < least or span <= 0 or not p > 0:
+            return pd.DataFrame(out | dict.fromkeys(("period", "epoch", "depth", "duration", "ingress", "n_in", "snr"), [None]) | {"status": ["too few points"]})
+        first, step, number, _ = bls_auto(span, p - p * percent / 100.0, p + p * percent / 100.0, qmin)
+        freqs = first + step * np.arange(max(1, number))
+        found = [kernel(t - t[0], m, e, freqs[i:j]) for i, j in _blocks(len(t), len(freqs))]
+        got = {c: np.concatenate([f[c] for f in found]) for c in found[0]}
+        i = int(got["power"].argmax())
+        period, depth, duration = 1.0 / freqs[i], -float(got["depth"][i]), float(got["duration"][i])
+        epoch = fit_spline(t, m, e, period, 0.05)["epoch"]
+        fitted = fit_trapezoid(t, m, e, period, epoch, depth, duration, min(ingress * duration, duration / 2))
+        status, slope = "ok", None
+        if fitted["params"] is not None and np.isfinite(fitted["fit"]).all():
+            _, epoch, depth, duration, slope = fitted["params"]
+            phase, mags = fold(t, m, e, period, epoch)[:2]
+            left = mags - fitted["fit"]
+        else:
+            status = "box"
+            phase, mags = fold(t, m, e, period, epoch)[:2]
+            left = mags - np.median(mags) + np.where((phase < duration / 2) | (phase > 1 - duration / 2), depth, 0.0)
+        n = int(((phase < duration / 2) | (phase > 1 - duration / 2)).sum())
+        rms = float(left.std())
+        return pd.DataFrame(out | {"period": [period], "epoch": [epoch], "depth": [depth], "duration": [duration], "ingress": [slope], "n_in": [n], "snr": [math.sqrt(n) * abs(depth) / rms if rms else None], "status": [status]})
+
+    kind = lc.schema[KEY].dataType.simpleString()
+    rows = sigclip(lc, sigma).select(KEY, "t", "m", "e", "seq").join(peaks.select(KEY, F.col("rank").cast("int").alias("rank"), "period"), KEY)
+    return rows.groupBy(KEY, "rank").applyInPandas(run, f"{KEY} {kind}, rank int, period double, epoch double, depth double, duration double, ingress double, n_in long, snr double, status string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coords, models, photometry, times
 from ..operators import catalog, fits, periodograms, selection, series, simulate, spatial, transits, trends
-from .series_queries import GRID, LC, rounded
+from .series_queries import LC, rounded
 from .tables import STARS_SQL, events, stars, supplies, table
 
 Q: dict[str, tuple] = {}
@@ -340,22 +340,12 @@ def update_documents(s: SparkSession, d: str) -> DataFrame:
 @query("documents_assemble", None)
 def documents_assemble(s: SparkSession, d: str) -> DataFrame:
     lc = events(s, d)
-    peaks = periodograms.peaks(periodograms.gls(lc, *GRID), best=3)
+    peaks = periodograms.peaks(periodograms.gls(lc, periodograms.frequency_grids(lc)), best=3)
     binned = series.phase_bin(series.phase_fold(lc, 2.5), 0.1, 5)
     info = lc.groupBy("objectid").agg(F.count(F.lit(1)).alias("ndet"))
     return catalog.assemble(info, {"peaks": (peaks, ["rank"]), "phased": (binned, ["bin"])})
 
 
-@query("bls_periodogram", None)
-def bls_periodogram(s: SparkSession, d: str) -> DataFrame:
-    return rounded(periodograms.bls(events(s, d), *GRID, bins=50, qmin=0.02, qmax=0.2))
-
-
-@query("aovhm_theta", None)
-def aovhm_theta(s: SparkSession, d: str) -> DataFrame:
-    return rounded(periodograms.aovhm(events(s, d), *GRID, harmonics=3))
-
-
 def _fit(model: str, **options: object):  # noqa: ANN202
     def run(s: SparkSession, d: str) -> DataFrame:
         return fits.fit(series.sigclip(events(s, d), 5.0), model, 2.5, **options).select("objectid", "model", "chisq", "redchisq", "n", "residual_mad")
@@ -417,10 +407,3 @@ def classify_random_forest(s: SparkSession, d: str) -> DataFrame:
     v = selection.feature_vectors(f, ["jmag", "hmag", "kmag", "ra", "decl"], labels)
     model, _ = selection.train_classifier(v, folds=2, trees=(10,), depths=(3,))
     return selection.classify(model, v)
-
-
-@query("bootstrap_fap", None)
-def bootstrap_fap(s: SparkSession, d: str) -> DataFrame:
-    lc = events(s, d).select("objectid", "t", "m", "e", "seq")
-    find = lambda x: periodograms.gls(x, GRID[0], GRID[1], 20).groupBy("objectid").agg(F.max("power").alias("score"))
-    return periodograms.bootstrap_fap(lc, find, find(lc), trials=5)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import features, periodograms, series, transits, trends
 from .tables import EVENTS_SQL, SUPPLIES_SQL, events, supplies
 
-#: First frequency, step and number of the grid in these queries, in cycles a day.
+#: First frequency, step and number of a short grid, in cycles a day, for the queries that compare every box or trial.
 GRID = (0.05, 0.01, 60)
 
 LC = f"WITH lc AS ({EVENTS_SQL})"
@@ -18,7 +18,8 @@ MED = "SELECT *, median(m) OVER (PARTITION BY objectid) AS med FROM {src}"
 #: One clipping pass from table a to table b.
 CLIP = "{b}1 AS (SELECT *, median(m) OVER (PARTITION BY objectid) AS med FROM {a}), {b}2 AS (SELECT *, 1.483 * median(abs(m - med)) OVER (PARTITION BY objectid) AS sg FROM {b}1), {b} AS (SELECT objectid, t, m, e, seq, inst FROM {b}2 WHERE {cond})"
 SYM = CLIP.format(a="lc", b="c", cond="abs(m - med) < 2.0 * sg")
-FREQ = f"f AS (SELECT k, {GRID[0]}::DOUBLE + k * {GRID[1]}::DOUBLE AS freq FROM range({GRID[2]}) r(k))"
+#: The automatic grid of each object, as frequency_grids() makes it.
+FREQ = "gr AS (SELECT objectid, 1.0 / ((max(t) - min(t)) * 5) AS df, floor(12.5 * count(*))::BIGINT AS nf FROM lc WHERE e <> 0 GROUP BY 1 HAVING count(*) >= 10 AND max(t) > min(t)), f AS (SELECT objectid, nf, df, k, 0.5 * df + k * df AS freq FROM (SELECT *, unnest(range(nf)) AS k FROM gr))"
 PHASE = "(x - floor(x))"
 
 
@@ -143,11 +144,13 @@ def autocorrelation(s: SparkSession, d: str) -> DataFrame:
     return rounded(series.autocorrelation(series.fill_gaps(events(s, d), 0.5), 10))
 
 
-def acf_period(s: SparkSession, d: str) -> DataFrame:
-    return periodograms.acf_period(series.autocorrelation(series.fill_gaps(events(s, d), 0.5), 30), 0.5)
+ACF = "z AS (SELECT objectid, k, m - avg(m) OVER (PARTITION BY objectid) AS m FROM filled), tot AS (SELECT objectid, sum(m * m) AS s0 FROM z GROUP BY 1), ac AS (SELECT a.objectid, (b.k - a.k)::INT AS lag, sum(a.m * b.m) / any_value(s0) AS acf FROM z a JOIN z b ON a.objectid = b.objectid AND b.k BETWEEN a.k AND a.k + 30 JOIN tot t ON t.objectid = a.objectid GROUP BY ALL)"
+PEAKS = "w1 AS (SELECT *, max(acf) OVER l AS a1, max(acf) OVER r AS a2, min(acf) OVER l AS b1, min(acf) OVER r AS b2, min(lag) OVER w AS l0, max(lag) OVER w AS l1 FROM ac WINDOW w AS (PARTITION BY objectid), l AS (PARTITION BY objectid ORDER BY lag ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), r AS (PARTITION BY objectid ORDER BY lag ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)), tops AS (SELECT *, row_number() OVER (PARTITION BY objectid ORDER BY lag) AS rank FROM w1 WHERE acf > a1 AND acf > a2 AND lag NOT IN (l0, l1)), lows AS (SELECT * FROM w1 WHERE acf < b1 AND acf < b2 AND lag NOT IN (l0, l1)), hs AS (SELECT t.objectid, t.rank, t.lag, t.acf - ((SELECT arg_max(acf, lag) FROM lows x WHERE x.objectid = t.objectid AND x.lag < t.lag) + (SELECT arg_min(acf, lag) FROM lows x WHERE x.objectid = t.objectid AND x.lag > t.lag)) / 2 AS h FROM tops t WHERE rank <= 10), two AS (SELECT objectid, coalesce(max(h) FILTER (rank = 1), 0) AS h1, coalesce(max(h) FILTER (rank = 2), 0) AS h2, max(lag) FILTER (rank = 1) AS g1, max(lag) FILTER (rank = 2) AS g2 FROM hs GROUP BY 1), bl AS (SELECT o.objectid, CASE WHEN h1 > h2 THEN g1 WHEN h2 <> 0 THEN g2 END AS lag, CASE WHEN h1 > h2 THEN h1 WHEN h2 <> 0 THEN h2 END AS h FROM (SELECT DISTINCT objectid FROM ac) o LEFT JOIN two USING (objectid)), ln AS (SELECT objectid, 0 AS y, 0.0 AS x FROM bl WHERE lag IS NOT NULL UNION ALL SELECT objectid, 1, lag FROM bl WHERE lag IS NOT NULL UNION ALL SELECT hs.objectid, 1 + row_number() OVER (PARTITION BY hs.objectid ORDER BY hs.lag), hs.lag FROM hs JOIN bl ON bl.objectid = hs.objectid AND hs.lag > bl.lag WHERE h IS NOT NULL), sl AS (SELECT objectid, regr_slope(x * 0.5::DOUBLE, y) AS period FROM ln GROUP BY 1 HAVING count(*) > 2)".replace("hs.lag > bl.lag WHERE h IS NOT NULL", "hs.lag > bl.lag WHERE hs.h IS NOT NULL")
 
 
-Q["acf_period"] = (acf_period, None)
+@query("acf_period", f"{LC}, {FILLED}, {ACF}, {PEAKS} SELECT bl.objectid, lag AS best_lag, round(lag * 0.5::DOUBLE, 6) AS naive_period, round(period, 6) AS period, round(h, 6) AS height FROM bl LEFT JOIN sl ON bl.objectid = sl.objectid")
+def acf_period(s: SparkSession, d: str) -> DataFrame:
+    return rounded(periodograms.acf_period(series.autocorrelation(series.fill_gaps(events(s, d), 0.5), 30), 0.5, smooth=0, interval=2))
 
 STET = "a AS (SELECT *, count(*) OVER w AS n, median(m) OVER w AS med FROM lc WINDOW w AS (PARTITION BY objectid)), b AS (SELECT *, n / (n - 1) * (m - med) / e AS s, t - lag(t) OVER (PARTITION BY objectid ORDER BY t, seq) AS dt FROM a WHERE n > 9), c AS (SELECT *, lag(s) OVER (PARTITION BY objectid ORDER BY t, seq) AS ps, median(dt) OVER (PARTITION BY objectid) AS step FROM b), d AS (SELECT *, exp(-dt / step) * s * ps AS p FROM c)"
 
@@ -212,56 +215,128 @@ def best_magcol(s: SparkSession, d: str) -> DataFrame:
     return features.best_magcol(f)
 
 
-GLS = f"gw AS (SELECT objectid, m, t - min(t) OVER p AS x, 1 / (e * e) / sum(1 / (e * e)) OVER p AS w FROM lc WHERE e <> 0 WINDOW p AS (PARTITION BY objectid)), {FREQ}, tr AS (SELECT objectid, k, freq, m, w, cos(2 * pi() * freq * x) AS c, sin(2 * pi() * freq * x) AS s FROM gw, f), su AS (SELECT objectid, k, freq, sum(w * m) AS y, sum(w * c) AS c, sum(w * s) AS s, sum(w * m * m) AS yyh, sum(w * m * c) AS ych, sum(w * m * s) AS ysh, sum(w * c * c) AS cch, sum(w * c * s) AS csh, sum(w) AS w FROM tr GROUP BY ALL), sv AS (SELECT objectid, k, freq, yyh - y * y AS yy, ych - y * c AS yc, ysh - y * s AS ys, cch - c * c AS cc, w - cch - s * s AS ss, csh - c * s AS cs FROM su), gls AS (SELECT objectid, k, freq, (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / (yy * (cc * ss - cs * cs)) AS power FROM sv)"
+GLS = f"gw AS (SELECT objectid, m, t - min(t) OVER p AS x, 1 / (e * e) / sum(1 / (e * e)) OVER p AS w FROM lc WHERE e <> 0 WINDOW p AS (PARTITION BY objectid)), {FREQ}, tr AS (SELECT gw.objectid, k, freq, m, w, cos(2 * pi() * freq * x) AS c, sin(2 * pi() * freq * x) AS s FROM gw JOIN f ON gw.objectid = f.objectid), su AS (SELECT objectid, k, freq, sum(w * m) AS y, sum(w * c) AS c, sum(w * s) AS s, sum(w * m * m) AS yyh, sum(w * m * c) AS ych, sum(w * m * s) AS ysh, sum(w * c * c) AS cch, sum(w * c * s) AS csh, sum(w) AS w FROM tr GROUP BY ALL), sv AS (SELECT objectid, k, freq, yyh - y * y AS yy, ych - y * c AS yc, ysh - y * s AS ys, cch - c * c AS cc, w - cch - s * s AS ss, csh - c * s AS cs FROM su), gls AS (SELECT objectid, k, freq, (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / (yy * (cc * ss - cs * cs)) AS power FROM sv)"
+#: The greedy walk over scores (table sc: objectid, k, freq, v; the least v is best), by recursion over ranks.
+WALK = "cand AS (SELECT objectid, 1 / freq AS p, v, row_number() OVER (PARTITION BY objectid ORDER BY v, k) AS r FROM sc WHERE freq > 0 AND v IS NOT NULL), walk AS (SELECT objectid, 0::BIGINT AS r, []::DOUBLE[] AS got, []::DOUBLE[] AS vs, NULL::DOUBLE AS last FROM cand WHERE r = 1 UNION ALL SELECT w.objectid, c.r, CASE WHEN ok THEN list_append(got, c.p) ELSE got END, CASE WHEN ok THEN list_append(vs, c.v) ELSE vs END, c.p FROM walk w JOIN cand c ON c.objectid = w.objectid AND c.r = w.r + 1, LATERAL (SELECT len(got) < {best} AND (last IS NULL OR (abs(c.p - last) > 0.1 * last AND len(list_filter(got, lambda y: abs(c.p - y) <= 0.1 * y)) = 0)) AS ok) WHERE len(got) < {best}), won AS (SELECT objectid, arg_max(got, r) AS got, arg_max(vs, r) AS vs FROM walk GROUP BY 1), pk AS (SELECT objectid, unnest(range(1, len(got) + 1))::INT AS rank, unnest(got) AS period, unnest(vs) AS v FROM won)"
+REC = LC.replace("WITH lc", "WITH RECURSIVE lc")
+
 
+def _grids(lc: DataFrame) -> DataFrame:
+    return periodograms.frequency_grids(lc)
 
-@query("gls_periodogram", f"{LC}, {GLS} SELECT objectid, k::INT AS k, round(freq, 6) AS freq, round(power, 6) AS power FROM gls")
+
+@query("gls_periodogram", f"{LC}, {GLS} SELECT objectid, k, round(freq, 6) AS freq, round(power, 4) AS power FROM gls")
 def gls_periodogram(s: SparkSession, d: str) -> DataFrame:
-    return rounded(periodograms.gls(events(s, d), *GRID))
+    lc = events(s, d)
+    return rounded(periodograms.gls(lc, _grids(lc)), power=4)
 
 
-@query("gls_best_period", f"{LC}, {GLS} SELECT objectid, round(1 / max_by(freq, power), 6) AS period, round(max(power), 6) AS power FROM gls GROUP BY 1")
+@query("gls_best_period", f"{LC}, {GLS} SELECT objectid, round(1 / max_by(freq, power), 6) AS period, round(max(power), 4) AS power FROM gls GROUP BY 1")
 def gls_best_period(s: SparkSession, d: str) -> DataFrame:
-    return rounded(periodograms.peaks(periodograms.gls(events(s, d), *GRID), best=1).select("objectid", "period", "power"))
+    lc = events(s, d)
+    return rounded(periodograms.peaks(periodograms.gls(lc, _grids(lc)), best=1).select("objectid", "period", "power"), power=4)
 
 
+@query("peaks_topn", f"{REC}, {GLS}, sc AS (SELECT objectid, k, freq, -power AS v FROM gls), {WALK.format(best=5)} SELECT objectid, rank, round(period, 6) AS period, round(-v, 4) AS power FROM pk")
 def peaks_topn(s: SparkSession, d: str) -> DataFrame:
-    return rounded(periodograms.peaks(periodograms.gls(events(s, d), *GRID)))
-
-
-Q["peaks_topn"] = (peaks_topn, None)
+    lc = events(s, d)
+    return rounded(periodograms.peaks(periodograms.gls(lc, _grids(lc))), power=4)
 
 
-@query("gls_fap", f"{LC}, {GLS}, b AS (SELECT objectid, max(power) AS power FROM gls GROUP BY 1), n AS (SELECT objectid, count(*)::DOUBLE AS n, max(t) - min(t) AS span FROM lc GROUP BY 1) SELECT b.objectid, round(1 - (1 - (1 - power) ^ ((n - 3) / 2)) ^ least(n, {GRID[2]}, {GRID[1]} * ({GRID[2]} - 1) * span), 6) AS fap FROM b JOIN n ON b.objectid = n.objectid")
+@query("gls_fap", f"{LC}, {GLS}, b AS (SELECT objectid, max(power) AS power FROM gls GROUP BY 1), n AS (SELECT objectid, count(*)::DOUBLE AS n, max(t) - min(t) AS span FROM lc GROUP BY 1) SELECT b.objectid, round(1 - (1 - (1 - power) ^ ((n - 3) / 2)) ^ least(n, nf, df * (nf - 1) * span), 5) AS fap FROM b JOIN n ON b.objectid = n.objectid JOIN gr ON gr.objectid = b.objectid")
 def gls_fap(s: SparkSession, d: str) -> DataFrame:
     lc = events(s, d)
-    best = periodograms.gls(lc, *GRID).groupBy("objectid").agg(F.max("power").alias("power"))
-    n = lc.groupBy("objectid").agg(F.count(F.lit(1)).cast("double").alias("n"), (F.max("t") - F.min("t")).alias("span"))
-    m = periodograms.independent_frequencies(F.lit(GRID[1] * (GRID[2] - 1)), F.col("span"), F.col("n"), F.lit(GRID[2]))
-    return rounded(best.join(n, "objectid").select("objectid", periodograms.gls_fap(F.col("power"), F.col("n"), m).alias("fap")))
+    grids = _grids(lc)
+    best = periodograms.gls(lc, grids).groupBy("objectid").agg(F.max("power").alias("power"))
+    n = lc.groupBy("objectid").agg(F.count(F.lit(1)).cast("double").alias("n"), (F.max("t") - F.min("t")).alias("span")).join(grids, "objectid")
+    m = periodograms.independent_frequencies(F.col("step") * (F.col("number") - 1), F.col("span"), F.col("n"), F.col("number"))
+    return rounded(best.join(n, "objectid").select("objectid", periodograms.gls_fap(F.col("power"), F.col("n"), m).alias("fap")), 5)
 
 
-@query("spectral_window", f"{LC}, gw AS (SELECT objectid, t - min(t) OVER (PARTITION BY objectid) AS x FROM lc), {FREQ}, a AS (SELECT objectid, k, freq, count(*) AS n, sum(cos(2 * pi() * freq * x)) AS c1, sum(sin(2 * pi() * freq * x)) AS s1, sum(cos(4 * pi() * freq * x)) AS c2, sum(sin(4 * pi() * freq * x)) AS s2 FROM gw, f GROUP BY ALL), b AS (SELECT *, atan(s2 / c2) / 2 AS th FROM a) SELECT objectid, k::INT AS k, round(freq, 6) AS freq, round(0.5 * ((c1 * cos(th) + s1 * sin(th)) ^ 2 / (n / 2 + (c2 * cos(2 * th) + s2 * sin(2 * th)) / 2) + (s1 * cos(th) - c1 * sin(th)) ^ 2 / (n / 2 - (c2 * cos(2 * th) + s2 * sin(2 * th)) / 2)), 5) AS power FROM b")
+@query("spectral_window", f"{LC}, gw AS (SELECT objectid, t - min(t) OVER (PARTITION BY objectid) AS x FROM lc), {FREQ}, a AS (SELECT gw.objectid, k, freq, count(*) AS n, sum(cos(2 * pi() * freq * x)) AS c1, sum(sin(2 * pi() * freq * x)) AS s1, sum(cos(4 * pi() * freq * x)) AS c2, sum(sin(4 * pi() * freq * x)) AS s2 FROM gw JOIN f ON gw.objectid = f.objectid GROUP BY ALL), b AS (SELECT *, atan(s2 / c2) / 2 AS th FROM a) SELECT objectid, k, round(freq, 6) AS freq, round(0.5 * ((c1 * cos(th) + s1 * sin(th)) ^ 2 / (n / 2 + (c2 * cos(2 * th) + s2 * sin(2 * th)) / 2) + (s1 * cos(th) - c1 * sin(th)) ^ 2 / (n / 2 - (c2 * cos(2 * th) + s2 * sin(2 * th)) / 2)), 3) AS power FROM b")
 def spectral_window(s: SparkSession, d: str) -> DataFrame:
-    return rounded(periodograms.spectral_window(events(s, d), *GRID), power=5)
+    lc = events(s, d)
+    return rounded(periodograms.spectral_window(lc, _grids(lc)), power=3)
 
 
-FOLDED = f"gx AS (SELECT objectid, m, seq, t - min(t) OVER (PARTITION BY objectid) AS x FROM lc), {FREQ}, fb AS (SELECT objectid, k, freq, m, floor((x * freq - floor(x * freq)) * 5)::INT AS bin FROM gx, f)"
+FOLDED = f"gx AS (SELECT objectid, m, seq, t - min(t) OVER (PARTITION BY objectid) AS x FROM lc WHERE e <> 0), {FREQ}, fb AS (SELECT gx.objectid, k, freq, m, floor((x * freq - floor(x * freq)) * 5)::INT AS bin FROM gx JOIN f ON gx.objectid = f.objectid)"
 
 
-@query("pdm_theta", f"{LC}, {FOLDED}, v AS (SELECT objectid, var_samp(m) AS v0 FROM lc GROUP BY 1), b AS (SELECT objectid, k, freq, bin, count(*) AS n, var_samp(m) AS s2 FROM fb GROUP BY ALL HAVING count(*) > 5), g AS (SELECT objectid, k, freq, sum(s2 * (n - 1)) AS top, sum(n) AS n, count(*) AS bins FROM b GROUP BY ALL) SELECT g.objectid, k::INT AS k, round(freq, 6) AS freq, round(top / (n - bins) / v0, 6) AS theta FROM g JOIN v ON g.objectid = v.objectid")
+@query("pdm_theta", f"{LC}, {FOLDED}, v AS (SELECT objectid, var_samp(m) AS v0 FROM lc GROUP BY 1), b AS (SELECT objectid, k, freq, bin, count(*) AS n, var_samp(m) AS s2 FROM fb GROUP BY ALL HAVING count(*) > 5), g AS (SELECT objectid, k, freq, sum(s2 * (n - 1)) AS top, sum(n) AS n, count(*) AS bins FROM b GROUP BY ALL) SELECT g.objectid, k, round(freq, 6) AS freq, round(top / (n - bins) / v0, 5) AS theta FROM g JOIN v ON g.objectid = v.objectid")
 def pdm_theta(s: SparkSession, d: str) -> DataFrame:
-    return rounded(periodograms.pdm(events(s, d), *GRID, bins=5, least=5))
+    lc = events(s, d)
+    return rounded(periodograms.pdm(lc, _grids(lc), bins=5, least=5).where("theta IS NOT NULL"), theta=5)
 
 
-@query("aov_theta", f"{LC}, {FOLDED}, v AS (SELECT objectid, median(m) AS med, count(*) AS nd FROM lc GROUP BY 1), b AS (SELECT fb.objectid, k, freq, bin, any_value(nd) AS nd, any_value(med) AS med, count(*) AS n, median(m) AS bm, sum((m - med) ^ 2) AS d FROM fb JOIN v ON fb.objectid = v.objectid GROUP BY ALL HAVING count(*) > 5) SELECT objectid, k::INT AS k, round(freq, 6) AS freq, round(sum(n * (bm - med) ^ 2) / nullif(count(*) - 1, 0) / (sum(d) / (any_value(nd) - count(*))), 6) AS theta FROM b GROUP BY objectid, k, freq")
+@query("aov_theta", f"{LC}, {FOLDED}, v AS (SELECT objectid, median(m) AS med, count(*) AS nd FROM lc GROUP BY 1), b AS (SELECT fb.objectid, k, freq, bin, any_value(nd) AS nd, any_value(med) AS med, count(*) AS n, median(m) AS bm, sum((m - med) ^ 2) AS d FROM fb JOIN v ON fb.objectid = v.objectid GROUP BY ALL HAVING count(*) > 5) SELECT objectid, k, round(freq, 6) AS freq, round(sum(n * (bm - med) ^ 2) / (count(*) - 1) / (sum(d) / (any_value(nd) - count(*))), 5) AS theta FROM b GROUP BY objectid, k, freq HAVING count(*) > 1")
 def aov_theta(s: SparkSession, d: str) -> DataFrame:
-    return rounded(periodograms.aov(events(s, d), *GRID, bins=5, least=5))
+    lc = events(s, d)
+    return rounded(periodograms.aov(lc, _grids(lc), bins=5, least=5).where("theta IS NOT NULL"), theta=5)
 
 
-@query("string_length", f"{LC}, sl AS (SELECT objectid, seq, t - min(t) OVER w AS x, (m - min(m) OVER w) / (2 * (max(m) OVER w - min(m) OVER w)) - 0.25 AS y FROM lc WINDOW w AS (PARTITION BY objectid)), {FREQ}, a AS (SELECT objectid, k, freq, seq, x, y, x * freq - floor(x * freq) AS p FROM sl, f), b AS (SELECT objectid, k, freq, p - lag(p) OVER w AS dp, y - lag(y) OVER w AS dy FROM a WINDOW w AS (PARTITION BY objectid, k ORDER BY p, x, seq)) SELECT objectid, k::INT AS k, round(freq, 6) AS freq, round(sum(sqrt(dp * dp + dy * dy)), 5) AS length FROM b GROUP BY ALL")
+@query("string_length", f"{LC}, sl AS (SELECT objectid, seq, t - min(t) OVER w AS x, (m - min(m) OVER w) / (2 * (max(m) OVER w - min(m) OVER w)) - 0.25 AS y FROM lc WHERE e <> 0 WINDOW w AS (PARTITION BY objectid)), {FREQ}, a AS (SELECT sl.objectid, k, freq, seq, x, y, x * freq - floor(x * freq) AS p FROM sl JOIN f ON sl.objectid = f.objectid), b AS (SELECT objectid, k, freq, p - lag(p) OVER w AS dp, y - lag(y) OVER w AS dy FROM a WINDOW w AS (PARTITION BY objectid, k ORDER BY p, x, seq)) SELECT objectid, k, round(freq, 6) AS freq, round(sum(sqrt(dp * dp + dy * dy)), 4) AS length FROM b GROUP BY ALL")
 def string_length(s: SparkSession, d: str) -> DataFrame:
-    return rounded(periodograms.string_length(events(s, d), *GRID), length=5)
+    lc = events(s, d)
+    return rounded(periodograms.string_length(lc, _grids(lc)), length=4)
+
+
+@query("aovhm_theta", f"{LC}, {GLS}, n AS (SELECT objectid, count(*) AS n FROM gw GROUP BY 1), th AS (SELECT objectid, k, freq, yyh - y * y AS yy, ((ych - y * c) ^ 2 + (ysh - y * s) ^ 2) / (1 - c * c - s * s) AS th FROM su) SELECT th.objectid, k, round(freq, 6) AS freq, round((n - 3) * th / (2 * (yy - th)), 3) AS theta FROM th JOIN n ON n.objectid = th.objectid")
+def aovhm_theta(s: SparkSession, d: str) -> DataFrame:
+    """With one harmonic its two projections have a closed form, which the SQL uses; tests have more harmonics."""
+    lc = events(s, d)
+    return rounded(periodograms.aovhm(lc, _grids(lc), harmonics=1), theta=3)
+
+
+BLS = "gr AS (SELECT objectid, 0.25 * 0.05 / (max(t) - min(t)) AS df, greatest(1 / 8.0, 2.0 / (max(t) - min(t))) AS f0, ceil((1 / 2.0 - 1 / 8.0) / (0.25 * 0.05 / (max(t) - min(t))))::BIGINT AS nf FROM lc WHERE e <> 0 GROUP BY 1 HAVING count(*) >= 10 AND max(t) > min(t)), f AS (SELECT objectid, k, f0 + k * df AS freq FROM (SELECT *, unnest(range(nf)) AS k FROM gr)), gx AS (SELECT objectid, x, w, w * (m - sum(w * m) OVER p) AS wy FROM (SELECT objectid, m, t - min(t) OVER p AS x, 1 / (e * e) / sum(1 / (e * e)) OVER p AS w FROM lc WHERE e <> 0 WINDOW p AS (PARTITION BY objectid)) WINDOW p AS (PARTITION BY objectid)), bb AS (SELECT gx.objectid, k, freq, floor((x * freq - floor(x * freq)) * 20)::INT AS bin, sum(w) AS w, sum(wy) AS wy FROM gx JOIN f ON gx.objectid = f.objectid GROUP BY ALL), bx AS (SELECT objectid, k, freq, i, n, sum(w) AS r, sum(wy) AS s FROM bb, range(20) a(i), range(1, 6) q(n) WHERE (bin - i + 20) % 20 < n GROUP BY ALL), bls AS (SELECT objectid, k, freq, sqrt(max(CASE WHEN r > 1e-12 AND r < 1 - 1e-12 THEN s * s / (r * (1 - r)) ELSE 0 END)) AS power FROM bx GROUP BY ALL)"
+
+
+@query("bls_periodogram", f"{LC}, {BLS} SELECT objectid, k, round(freq, 6) AS freq, round(power, 4) AS power FROM bls")
+def bls_periodogram(s: SparkSession, d: str) -> DataFrame:
+    lc = events(s, d)
+    return rounded(periodograms.bls(lc, periodograms.bls_grids(lc, 2.0, 8.0, 0.05), bins=20, qmin=0.05, qmax=0.2).select("objectid", "k", "freq", "power"), power=4)
+
+
+@query("find_periods", f"{REC}, {GLS}, {FOLDED.split(', gr AS')[0]}, fb AS {FOLDED.split(', fb AS ')[1]}, v AS (SELECT objectid, var_samp(m) AS v0 FROM lc GROUP BY 1), b AS (SELECT objectid, k, freq, bin, count(*) AS n, var_samp(m) AS s2 FROM fb GROUP BY ALL HAVING count(*) > 5), g AS (SELECT objectid, k, freq, sum(s2 * (n - 1)) AS top, sum(n) AS n, count(*) AS bins FROM b GROUP BY ALL), pt AS (SELECT g.objectid, k, freq, top / (n - bins) / v0 AS theta FROM g JOIN v ON g.objectid = v.objectid), sc AS (SELECT objectid::VARCHAR || '/gls' AS objectid, k, freq, -power AS v FROM gls UNION ALL SELECT objectid::VARCHAR || '/pdm', k, freq, theta FROM pt), {WALK.format(best=3)} SELECT split_part(objectid, '/', 1)::BIGINT AS objectid, split_part(objectid, '/', 2) AS method, rank, round(period, 5) AS period, round(abs(v), 4) AS score FROM pk")
+def find_periods(s: SparkSession, d: str) -> DataFrame:
+    """Two methods over every object, each on the object's automatic grid."""
+    periodograms.register_method("pdm5", periodograms.pdm_kernel(5, 5), "theta", False)
+    got = periodograms.find_periods(events(s, d), ["gls", "pdm5"], best=3, sigma=None)
+    return rounded(got.withColumn("method", F.regexp_replace("method", "5", "")), period=5, score=4)
+
+
+@query("box_stats", f"{LC}, bx AS (SELECT objectid, 1 AS rank, 1.7 + (objectid % 5) * 0.3 AS period, 60310.5 AS epoch, 0.5 AS depth, 0.1 + (objectid % 3) * 0.05 AS duration FROM lc GROUP BY objectid), p AS (SELECT lc.objectid, rank, m, depth, duration, (t - epoch) / period - floor((t - epoch) / period) AS p FROM lc JOIN bx ON lc.objectid = bx.objectid WHERE e <> 0), q AS (SELECT *, p < duration / 2 OR p > 1 - duration / 2 AS i FROM p) SELECT objectid, rank, count(*) FILTER (i) AS n_in, min(depth) AS depth, round(stddev_pop(m + CASE WHEN i THEN depth ELSE 0 END), 6) AS rms, round(sqrt(count(*) FILTER (i)) * min(depth) / stddev_pop(m + CASE WHEN i THEN depth ELSE 0 END), 6) AS snr FROM q GROUP BY ALL")
+def box_stats(s: SparkSession, d: str) -> DataFrame:
+    lc = events(s, d)
+    boxes = lc.select("objectid").distinct().selectExpr("objectid", "1 AS rank", "1.7D + (objectid % 5) * 0.3D AS period", "60310.5D AS epoch", "0.5D AS depth", "0.1D + (objectid % 3) * 0.05D AS duration")
+    return rounded(periodograms.box_stats(lc, boxes))
+
+
+@query("bls_stats")
+def bls_stats(s: SparkSession, d: str) -> DataFrame:
+    """The best box of every object, refitted."""
+    lc = events(s, d)
+    grids = periodograms.bls_grids(lc, 2.0, 8.0, 0.05)
+    best = periodograms.peaks(periodograms.bls(lc, grids, bins=20, qmin=0.05, qmax=0.2), best=1)
+    return periodograms.bls_stats(lc, best, bins=20, qmin=0.05, qmax=0.2)
+
+
+@query("peak_faps")
+def peak_faps(s: SparkSession, d: str) -> DataFrame:
+    """False-alarm probabilities of the best peaks by phase dispersion, variance and harmonic analysis."""
+    lc = events(s, d)
+    n = lc.groupBy("objectid").agg(F.count(F.lit(1)).alias("n"))
+    grids = _grids(lc)
+    best = lambda scores, largest: periodograms.peaks(scores, "theta", 1, largest=largest).join(n, "objectid")
+    pdm = best(periodograms.pdm(lc, grids, bins=5, least=5), False).select("objectid", F.lit("pdm").alias("method"), "theta", periodograms.fap("pdm", "theta", "n", 5, F.col("n").cast("double")).alias("fap"))
+    aov = best(periodograms.aov(lc, grids, bins=5, least=5), True).select("objectid", F.lit("aov").alias("method"), "theta", periodograms.fap("aov", "theta", "n", 5).alias("fap"))
+    mav = best(periodograms.aovhm(lc, grids, harmonics=2), True).select("objectid", F.lit("mav").alias("method"), "theta", periodograms.fap("mav", "theta", "n", 2).alias("fap"))
+    return pdm.unionAll(aov).unionAll(mav)
+
+
+@query("bootstrap_fap")
+def bootstrap_fap(s: SparkSession, d: str) -> DataFrame:
+    lc = events(s, d)
+    return periodograms.bootstrap_fap(lc, _grids(lc))
 
 
 SPANS = "sp AS (SELECT objectid, min(t) AS t0, max(t) AS t1 FROM lc GROUP BY 1), tt AS (SELECT objectid, unnest(range(floor((t0 - 60310.7::DOUBLE) / 1.3::DOUBLE)::BIGINT, ceil((t1 - 60310.7::DOUBLE) / 1.3::DOUBLE)::BIGINT + 1)) AS transit, t0, t1 FROM sp), tw AS (SELECT objectid, transit, 60310.7::DOUBLE + transit * 1.3::DOUBLE AS tmid FROM tt WHERE 60310.7::DOUBLE + transit * 1.3::DOUBLE > t0 AND 60310.7::DOUBLE + transit * 1.3::DOUBLE < t1)"

@@ -93,6 +93,86 @@ def test_gls_matches_the_weighted_fit(waves):
     assert r.power == pytest.approx(1 - chi / base, rel=1e-7)
 
 
+@pytest.mark.parametrize("name", ["gls", "win", "pdm", "aov", "mav", "bls", "string"])
+def test_kernels_equal_one_frequency_at_a_time(name):
+    """A block of frequencies gives what each frequency gives alone, where no power is carried from one to the next."""
+    r = np.random.default_rng(7)
+    x = np.sort(np.append(r.uniform(0, 40, 219), 0.0))
+    m, e = np.sin(2 * np.pi * x / 3.3) + r.normal(0, 0.3, 220), r.uniform(0.05, 0.2, 220)
+    freqs = 0.011 + 0.013 * np.arange(130)
+    kernel, score, _ = periodograms.METHODS[name]
+    one = np.concatenate([kernel(x, m, e, freqs[i : i + 1])[score] for i in range(130)])
+    assert np.allclose(kernel(x, m, e, freqs)[score], one, rtol=1e-7, atol=1e-9)
+
+
+def test_stretches_of_a_grid_are_the_grid(waves):
+    whole = periodograms.search(waves, (0.1, 0.01, 50), periodograms.gls_power, ["power"])
+    parts = periodograms.search(waves, (0.1, 0.01, 50), periodograms.gls_power, ["power"], work=1500)
+    a, b = ({(r.objectid, r.k): (r.freq, r.power) for r in x.collect()} for x in (whole, parts))
+    assert a.keys() == b.keys() and len(a) == 50 * waves.select("objectid").distinct().count()
+    assert all(a[k] == pytest.approx(b[k], rel=1e-9) for k in a)
+
+
+def test_grids_of_objects(waves):
+    some = series.finite_filter(waves)
+    for g in periodograms.frequency_grids(waves).collect():
+        t = arrays(some, g.objectid)[0]
+        assert (g["first"], g.step, g.number) == pytest.approx(periodograms.frequency_grid(t.min(), t.max(), len(t)))
+    for g in periodograms.bls_grids(waves, 0.5, 10.0, 0.05).collect():
+        t = arrays(some, g.objectid)[0]
+        assert (g["first"], g.step, g.number) == pytest.approx(periodograms.bls_auto(t.max() - t.min(), 0.5, 10.0, 0.05)[:3])
+
+
+def test_statistics_of_a_transit(spark):
+    t = np.linspace(0, 30, 1500)
+    r = np.random.default_rng(3)
+    p = (t - 1.0) / 3.0 % 1.0
+    m = 10.0 + 0.02 * ((p < 0.04) | (p > 0.96)) + r.normal(0, 0.002, 1500)  # fainter: larger magnitudes
+    lc = spark.createDataFrame([(1, float(a), float(b), 0.002, i) for i, (a, b) in enumerate(zip(t, m, strict=True))], COLS)
+    s = periodograms.bls_stats(lc, spark.createDataFrame([(1, 1, 3.05), (1, 2, 1.2)], "objectid int, rank int, period double"), qmax=0.2).orderBy("rank").collect()
+    assert [x["rank"] for x in s] == [1, 2]
+    assert s[0].status == "ok" and s[0].period == pytest.approx(3.0, rel=0.01) and abs(s[0].depth) == pytest.approx(0.02, rel=0.15) and s[0].duration == pytest.approx(0.08, rel=0.4)
+    assert s[0].snr > 40 > s[1].snr
+    box = periodograms.box_stats(lc, spark.createDataFrame([(1, 1, 3.0, 1.0, -0.02, 0.08)], "objectid int, rank int, period double, epoch double, depth double, duration double")).first()
+    inside = (p < 0.04) | (p > 0.96)
+    assert box.n_in == inside.sum() and box.rms == pytest.approx(np.std(m - 0.02 * inside), rel=1e-6)
+
+
+def test_bootstrap_tells_signal_from_noise(spark):
+    r = np.random.default_rng(9)
+    t = np.sort(r.uniform(0, 20, 60))
+    rows = [(k, float(a), float(b), 0.1, i) for k, y in ((1, np.sin(2 * np.pi * t / 2.5) + r.normal(0, 0.1, 60)), (2, r.normal(0, 1, 60))) for i, (a, b) in enumerate(zip(t, y, strict=True))]
+    lc = spark.createDataFrame(rows, COLS)
+    got = {x.objectid: x.fap for x in periodograms.bootstrap_fap(lc, (0.1, 0.02, 40), trials=99).collect()}
+    assert got[1] == 0.01 and got[2] > 0.05
+    again = {x.objectid: x.fap for x in periodograms.bootstrap_fap(lc, (0.1, 0.02, 40), trials=99, work=200_000).collect()}
+    assert again == got
+    pdm = periodograms.bootstrap_fap(lc, (0.1, 0.02, 40), periodograms.pdm_kernel(5, 5), "theta", trials=49, largest=False)
+    assert {x.objectid: x.fap for x in pdm.collect()}[1] == 0.02
+
+
+def test_period_of_an_autocorrelation(spark):
+    lags = np.arange(200)
+    acf = np.cos(2 * np.pi * lags / 24) * np.exp(-lags / 300)
+    d = spark.createDataFrame([(1, int(k), float(v)) for k, v in zip(lags, acf)] + [(2, int(k), float(np.exp(-k / 30))) for k in lags], "objectid int, lag int, acf double")
+    got = {x.objectid: x for x in periodograms.acf_period(d, 0.5).collect()}
+    assert got[1].period == pytest.approx(12.0, rel=0.02) and got[1].naive_period == pytest.approx(12.0, rel=0.05) and got[1].height > 0.5
+    assert got[2].best_lag is None and got[2].period is None
+
+
+def test_one_table_for_all_methods(waves):
+    got = periodograms.find_periods(waves, ["gls", "pdm", "bls"], {"bls": (0.3, 0.002, 150)}, best=2).collect()
+    assert {x.method for x in got} == {"gls", "pdm", "bls"}
+    assert all(x.period == pytest.approx(2.5, rel=0.05) for x in got if x.objectid == 1 and x["rank"] == 1 and x.method == "gls")
+
+
+def test_faps_as_columns(spark):
+    d = spark.createDataFrame([(0.4, 80), (None, 80)], "theta double, n int")
+    r = d.select(periodograms.fap("pdm", "theta", "n", 20, 50.0).alias("p"), periodograms.fap("aov", "theta", "n", 20).alias("a"), periodograms.fap("mav", "theta", "n", 6).alias("m")).collect()
+    assert tuple(r[0]) == pytest.approx((periodograms.pdm_fap(0.4, 80, 20, 50.0), periodograms.aov_fap(0.4, 80, 20), periodograms.aovhm_fap(0.4, 80, 6)))
+    assert tuple(r[1]) == (None, None, None)
+
+
 def test_fap_functions():
     assert periodograms.f_cdf(1.0, 4, 4) == pytest.approx(0.5, abs=1e-9)
     assert periodograms._incomplete_beta(2, 3, 0.4) == pytest.approx(0.5248, abs=1e-4)
