@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .series import KEY, MAD_STD, by_time, finite_filter, whole
@@ -12,84 +12,130 @@ PERCENTILES = [5.0, 10.0, 17.5, 25.0, 32.5, 40.0, 60.0, 67.5, 75.0, 82.5, 90.0,
 LEAST = 10
 
 
+Aggregates = dict[str, Column]
+
+
+def frame(lc: DataFrame, is_flux: bool = False, weight_by_time: bool = True) -> DataFrame:
+    """The finite points with what the features sum: window columns over the object, all from one shuffle by object.
+
+    Point-to-point measures leave out the last point of a series and those with no time to the next (``on`` is false);
+    their neighbours are those that stay. Columns that a feature does not use are pruned from its plan.
+    """
+    stay = Window.partitionBy(KEY, "on")
+    lc = finite_filter(lc).withColumns({
+        "n": F.count(F.lit(1)).over(whole()), "med": F.median("m").over(whole()), "x": F.col("t") - F.min("t").over(whole()),
+        "dt": F.col("t") - F.lag("t").over(by_time()), "on": F.coalesce(F.lead("t").over(by_time()) - F.col("t") != 0, F.lit(False)),
+        "f": F.col("m") if is_flux else F.pow(F.lit(10.0), -0.4 * F.col("m")),
+    })
+    lc = lc.withColumns({"ad": F.abs(F.col("m") - F.col("med")), "s": F.try_divide(F.col("n"), F.col("n") - 1) * (F.col("m") - F.col("med")) / F.col("e"), "step": F.median("dt").over(whole())})
+    lc = lc.withColumns({"mad": F.median("ad").over(whole()), "before": F.lag("s").over(by_time())})
+    near = stay.orderBy("t", "seq")
+    lc = lc.withColumns({"pt": F.col("t") - F.lag("t").over(near), "pm": F.col("m") - F.lag("m").over(near), "pmed": F.median("m").over(stay)})
+    w = F.exp(F.try_divide(-F.col("dt"), F.col("step"))) if weight_by_time else F.lit(1.0)
+    return lc.withColumn("p", w * F.col("s") * F.col("before"))
+
+
+def _stetson() -> Aggregates:
+    return {"j": F.sum(F.signum("p") * F.sqrt(F.abs("p"))), "a": F.sum(F.abs("s")), "q": F.sum(F.col("s") * F.col("s"))}
+
+
+def _stetson_out() -> dict[str, Column]:
+    n = F.col("ndet")
+    return {"stetson_j": F.col("j") / n, "stetson_k": F.try_divide(F.col("a") / F.sqrt(n.cast("double")), F.sqrt("q"))}
+
+
+def _moments() -> Aggregates:
+    w = 1.0 / (F.col("e") * F.col("e"))
+    return {
+        "median": F.min("med"), "wmean": F.sum(F.col("m") * w) / F.sum(w), "mad_": F.min("mad"), "skew": F.skewness("m"), "kurtosis": F.kurtosis("m"),
+        "beyond1std": F.count_if(F.col("ad") > MAD_STD * F.col("mad")) / F.count(F.lit(1)), "mag_percentiles": F.percentile("m", F.array(*[F.lit(p / 100) for p in PERCENTILES])),
+    }
+
+
+def _moments_out() -> dict[str, Column]:
+    own = {c: F.col(c) for c in ("median", "wmean")} | {"mad": F.col("mad_")} | {c: F.col(c) for c in ("skew", "kurtosis", "beyond1std", "mag_percentiles")}
+    return own | {"stdev": MAD_STD * F.col("mad_"), "mag_iqr": F.col("mag_percentiles")[8] - F.col("mag_percentiles")[3]}
+
+
+def _flux() -> Aggregates:
+    return {"fmed": F.median("f"), "top": F.max(F.abs("f")), "fp": F.percentile("f", F.array(*[F.lit(p / 100) for p in PERCENTILES]))}
+
+
+def _flux_out() -> dict[str, Column]:
+    span = lambda a, b: F.col("fp")[b] - F.col("fp")[a]
+    wide = span(0, 11)
+    ratios = {"mid20": span(5, 6), "mid35": span(4, 7), "mid50": span(3, 8), "mid65": span(2, 9), "mid80": span(1, 10)}
+    return {"flux_median": F.col("fmed"), "flux_percent_amplitude": F.try_divide("top", "fmed"), "flux_percentiles": F.col("fp")} | {f"flux_percentile_ratio_{k}": F.try_divide(v, wide) for k, v in ratios.items()} | {"percent_difference_flux_percentile": F.try_divide(wide, F.col("fmed"))}
+
+
+def _ptp() -> Aggregates:
+    kept = lambda c: F.when(F.col("on"), c)
+    w = kept(1.0 / (F.col("pt") * F.col("pt")))
+    pm = kept(F.col("pm"))
+    return {
+        "pn": F.count_if("on"), "pad": F.median(F.abs(pm)), "psq": F.sum(pm * pm), "pvar": F.var_pop(kept(F.col("m"))), "pmad": F.median(kept(F.abs(F.col("m") - F.col("pmed")))),
+        "w": F.sum(w), "wavg": F.avg(w), "wmed": F.median(w), "wsq": F.sum(w * pm * pm), "wad": F.sum(w * F.abs(pm)), "pspan": F.max(kept(F.col("t"))) - F.min(kept(F.col("t"))),
+    }
+
+
+def _ptp_out() -> dict[str, Column]:
+    rv, span2 = F.pow(MAD_STD * F.col("pmad"), 2), F.col("pspan") * F.col("pspan")
+    return {
+        "eta_normal": F.try_divide(F.try_divide("psq", "pvar"), F.col("pn") - 1.0), "eta_robust": F.try_divide(F.try_divide(F.col("pad"), rv), F.col("pn") - 1.0),
+        "eta_uneven_normal": F.try_divide(F.col("wsq"), F.col("pvar") * F.col("w")) * F.col("wavg") * span2, "eta_uneven_robust": F.try_divide(F.col("wad"), rv * F.col("w")) * F.col("wmed") * span2,
+    }
+
+
+def _series() -> Aggregates:
+    w, x, m = F.pow("e", F.lit(-4.0)), F.col("x"), F.col("m")
+    return {"mintime": F.min("t"), "maxtime": F.max("t"), "hi": F.max("m"), "lo": F.min("m"), "smed": F.min("med"), "sw": F.sum(w), "wx": F.sum(w * x), "wy": F.sum(w * m), "wxx": F.sum(w * x * x), "wxy": F.sum(w * x * m)}
+
+
+def _series_out() -> dict[str, Column]:
+    w = F.col("sw")
+    slope = F.try_divide(w * F.col("wxy") - F.col("wx") * F.col("wy"), w * F.col("wxx") - F.col("wx") * F.col("wx"))
+    at_first = (F.col("wy") - slope * F.col("wx")) / w
+    span = F.col("maxtime") - F.col("mintime")
+    return {
+        "mintime": F.col("mintime"), "maxtime": F.col("maxtime"), "timelength": span, "amplitude": 0.5 * (F.col("hi") - F.col("lo")), "ndetobslength_ratio": F.try_divide(F.col("ndet"), span),
+        "linear_fit_slope": at_first - slope * F.col("mintime"), "linear_fit_true_slope": slope, "magnitude_ratio": F.try_divide(F.col("hi") - F.col("smed"), F.col("hi") - F.col("lo")),
+    }
+
+
+def _measured(frame: DataFrame, parts: list[tuple[Aggregates, dict[str, Column]]]) -> DataFrame:
+    sums = {k: v for a, _ in parts for k, v in a.items()}
+    g = frame.groupBy(KEY).agg(F.count(F.lit(1)).alias("ndet"), *[v.alias(k) for k, v in sums.items()]).where(F.col("ndet") >= LEAST)
+    return g.select(KEY, "ndet", *[v.alias(k) for _, o in parts for k, v in o.items()])
+
+
 def stetson(lc: DataFrame, weight_by_time: bool = True) -> DataFrame:
     """(objectid, ndet, stetson_j, stetson_k). J sums over n - 1 pairs of neighbours but divides by n."""
-    n = F.count(F.lit(1)).over(whole())
-    lc = finite_filter(lc).withColumn("n", n).where(F.col("n") >= LEAST)
-    lc = lc.withColumn("s", F.col("n") / (F.col("n") - 1) * (F.col("m") - F.median("m").over(whole())) / F.col("e")).withColumn("dt", F.col("t") - F.lag("t").over(by_time())).withColumn("before", F.lag("s").over(by_time()))
-    lc = lc.withColumn("step", F.median("dt").over(whole()))
-    w = F.exp(F.try_divide(-F.col("dt"), F.col("step"))) if weight_by_time else F.lit(1.0)
-    p = w * F.col("s") * F.col("before")
-    g = lc.withColumn("p", p).groupBy(KEY).agg(F.max("n").alias("ndet"), F.sum(F.signum("p") * F.sqrt(F.abs("p"))).alias("j"), F.sum(F.abs("s")).alias("a"), F.sum(F.col("s") * F.col("s")).alias("q"))
-    return g.select(KEY, "ndet", (F.col("j") / F.col("ndet")).alias("stetson_j"), F.try_divide(F.col("a") / F.sqrt(F.col("ndet").cast("double")), F.sqrt("q")).alias("stetson_k"))
+    return _measured(frame(lc, weight_by_time=weight_by_time), [(_stetson(), _stetson_out())])
 
 
 def moments(lc: DataFrame) -> DataFrame:
     """Median, weighted mean, MAD, 1.483 MAD, population skew, excess kurtosis, share beyond one sigma, percentiles."""
-    lc = finite_filter(lc).withColumn("med", F.median("m").over(whole()))
-    lc = lc.withColumn("mad", F.median(F.abs(F.col("m") - F.col("med"))).over(whole()))
-    w = 1.0 / (F.col("e") * F.col("e"))
-    g = lc.groupBy(KEY).agg(
-        F.count(F.lit(1)).alias("ndet"), F.min("med").alias("median"), (F.sum(F.col("m") * w) / F.sum(w)).alias("wmean"), F.min("mad").alias("mad"),
-        F.skewness("m").alias("skew"), F.kurtosis("m").alias("kurtosis"),
-        (F.count_if(F.abs(F.col("m") - F.col("med")) > MAD_STD * F.col("mad")) / F.count(F.lit(1))).alias("beyond1std"),
-        F.percentile("m", F.array(*[F.lit(p / 100) for p in PERCENTILES])).alias("mag_percentiles"),
-    ).where(F.col("ndet") >= LEAST)
-    return g.withColumns({"stdev": MAD_STD * F.col("mad"), "mag_iqr": F.col("mag_percentiles")[8] - F.col("mag_percentiles")[3]})
+    return _measured(frame(lc), [(_moments(), _moments_out())])
 
 
 def flux_measures(lc: DataFrame, is_flux: bool = False) -> DataFrame:
     """Flux percentile ratios and amplitudes; magnitudes become 10^(-0.4 m)."""
-    flux = F.col("m") if is_flux else F.pow(F.lit(10.0), -0.4 * F.col("m"))
-    g = finite_filter(lc).withColumn("f", flux).groupBy(KEY).agg(F.count(F.lit(1)).alias("ndet"), F.median("f").alias("med"), F.max(F.abs("f")).alias("top"), F.percentile("f", F.array(*[F.lit(p / 100) for p in PERCENTILES])).alias("p")).where(F.col("ndet") >= LEAST)
-    span = lambda a, b: F.col("p")[b] - F.col("p")[a]
-    wide = span(0, 11)
-    ratios = {"mid20": span(5, 6), "mid35": span(4, 7), "mid50": span(3, 8), "mid65": span(2, 9), "mid80": span(1, 10)}
-    return g.select(KEY, "ndet", F.col("med").alias("flux_median"), F.try_divide("top", "med").alias("flux_percent_amplitude"), F.col("p").alias("flux_percentiles"), *[F.try_divide(v, wide).alias(f"flux_percentile_ratio_{k}") for k, v in ratios.items()], F.try_divide(wide, F.col("med")).alias("percent_difference_flux_percentile"))
+    return _measured(frame(lc, is_flux), [(_flux(), _flux_out())])
 
 
 def ptp_measures(lc: DataFrame) -> DataFrame:
-    """Point-to-point measures (eta). The last point of a series, and those with no time to the next, are left out."""
-    lc = finite_filter(lc).withColumn("n0", F.count(F.lit(1)).over(whole())).where(F.col("n0") >= LEAST)
-    lc = lc.withColumn("gap", F.lead("t").over(by_time()) - F.col("t")).where("gap <> 0")
-    lc = lc.withColumns({"dt": F.col("t") - F.lag("t").over(by_time()), "dm": F.col("m") - F.lag("m").over(by_time()), "med": F.median("m").over(whole())})
-    w = 1.0 / (F.col("dt") * F.col("dt"))
-    g = lc.groupBy(KEY).agg(
-        F.count(F.lit(1)).alias("n"), F.median(F.abs("dm")).alias("ad"), F.sum(F.col("dm") * F.col("dm")).alias("sq"), F.var_pop("m").alias("var"),
-        F.median(F.abs(F.col("m") - F.col("med"))).alias("mad"), F.sum(w).alias("w"), F.avg(w).alias("wmean"), F.median(w).alias("wmed"),
-        F.sum(w * F.col("dm") * F.col("dm")).alias("wsq"), F.sum(w * F.abs("dm")).alias("wad"), (F.max("t") - F.min("t")).alias("span"),
-    )
-    rv = F.pow(MAD_STD * F.col("mad"), 2)
-    return g.select(
-        KEY,
-        F.try_divide(F.try_divide("sq", "var"), F.col("n") - 1.0).alias("eta_normal"),
-        F.try_divide(F.try_divide(F.col("ad"), rv), F.col("n") - 1.0).alias("eta_robust"),
-        (F.try_divide(F.col("wsq"), F.col("var") * F.col("w")) * F.col("wmean") * F.col("span") * F.col("span")).alias("eta_uneven_normal"),
-        (F.try_divide(F.col("wad"), rv * F.col("w")) * F.col("wmed") * F.col("span") * F.col("span")).alias("eta_uneven_robust"),
-    )
+    """Point-to-point measures (eta)."""
+    return _measured(frame(lc), [(_ptp(), _ptp_out())]).drop("ndet")
 
 
 def series_measures(lc: DataFrame) -> DataFrame:
-    """Counts, times, amplitude, the linear fit's constant term (weights 1 / e^4) and the magnitude ratio."""
-    w = F.pow("e", F.lit(-4.0))
-    lc = finite_filter(lc).withColumn("x", F.col("t") - F.min("t").over(whole())).withColumn("w", w)
-    s = lambda c: F.sum(c)
-    g = lc.groupBy(KEY).agg(
-        F.count(F.lit(1)).alias("ndet"), F.min("t").alias("mintime"), F.max("t").alias("maxtime"), F.max("m").alias("hi"), F.min("m").alias("lo"), F.median("m").alias("med"),
-        s(F.col("w")).alias("w"), s(F.col("w") * F.col("x")).alias("wx"), s(F.col("w") * F.col("m")).alias("wy"), s(F.col("w") * F.col("x") * F.col("x")).alias("wxx"), s(F.col("w") * F.col("x") * F.col("m")).alias("wxy"),
-    ).where(F.col("ndet") >= LEAST)
-    slope = F.try_divide(F.col("w") * F.col("wxy") - F.col("wx") * F.col("wy"), F.col("w") * F.col("wxx") - F.col("wx") * F.col("wx"))
-    at_first = (F.col("wy") - slope * F.col("wx")) / F.col("w")
-    span = F.col("maxtime") - F.col("mintime")
-    return g.select(KEY, "ndet", "mintime", "maxtime", span.alias("timelength"), (0.5 * (F.col("hi") - F.col("lo"))).alias("amplitude"), F.try_divide(F.col("ndet"), span).alias("ndetobslength_ratio"), (at_first - slope * F.col("mintime")).alias("linear_fit_slope"), F.try_divide(F.col("hi") - F.col("med"), F.col("hi") - F.col("lo")).alias("magnitude_ratio"))
+    """Counts, times, amplitude, the linear fit's constant term (weights 1 / e^4) and slope, and the magnitude ratio."""
+    return _measured(frame(lc), [(_series(), _series_out())])
 
 
 def nonperiodic(lc: DataFrame, is_flux: bool = False) -> DataFrame:
-    """All features of this module, a row for each object. All parts are grouped by object, so they share its shuffle."""
-    out = series_measures(lc)
-    for part in (moments(lc).drop("ndet"), flux_measures(lc, is_flux).drop("ndet"), ptp_measures(lc), stetson(lc).drop("ndet")):
-        out = out.join(part, KEY, "left")
-    return out
+    """All features of this module, a row for each object: one scan, one shuffle and one aggregation."""
+    return _measured(frame(lc, is_flux), [(_series(), _series_out()), (_moments(), _moments_out()), (_flux(), _flux_out()), (_ptp(), _ptp_out()), (_stetson(), _stetson_out())])
 
 
 def best_magcol(features: DataFrame, least: int = 10) -> DataFrame:

@@ -20,16 +20,18 @@ def magnitude_bin(mag: Column, low: float = 8.0, high: float = 16.25, step: floa
     return F.when(mag < low, 0).when(mag >= high, n + 1).otherwise(F.floor((mag - low) / step) + 1).cast("int")
 
 
-def variability_threshold(features: DataFrame, indices: list[str], sigma: float = 4.0, low: float = 8.0, high: float = 16.25, step: float = 0.25, least: int = 5) -> DataFrame:
+def variability_threshold(features: DataFrame, indices: list[str], sigma: float = 4.0, low: float = 8.0, high: float = 16.25, step: float = 0.25, least: int = 5, accuracy: int | None = None) -> DataFrame:
     """``features`` (objectid, mag, indices) with magbin, ``<index>_cut``, ``<index>_var`` and all_var.
 
     A bin with ``least`` objects or more has a cut of median + sigma 1.483 MAD for each index. Objects meet their own
-    bin's cut, so an empty bin moves nothing.
+    bin's cut, so an empty bin moves nothing. Exact medians hold a bin's distinct values in one task; with ``accuracy`` they
+    are sketches of bounded size, within 1 / accuracy of the rank.
     """
+    median = F.median if accuracy is None else lambda c: F.percentile_approx(c, 0.5, accuracy)
     f = features.withColumn("magbin", magnitude_bin(F.col("mag"), low, high, step))
-    med = f.groupBy("magbin").agg(F.count(F.lit(1)).alias("_n"), *[F.median(i).alias(f"_med_{i}") for i in indices]).where(F.col("_n") >= least)
+    med = f.groupBy("magbin").agg(F.count(F.lit(1)).alias("_n"), *[median(F.col(i)).alias(f"_med_{i}") for i in indices]).where(F.col("_n") >= least)
     j = f.join(med, "magbin")
-    mads = j.groupBy("magbin").agg(*[F.median(F.abs(F.col(i) - F.col(f"_med_{i}"))).alias(f"_mad_{i}") for i in indices])
+    mads = j.groupBy("magbin").agg(*[median(F.abs(F.col(i) - F.col(f"_med_{i}"))).alias(f"_mad_{i}") for i in indices])
     j = j.join(mads, "magbin")
     for i in indices:
         j = j.withColumn(f"{i}_cut", F.col(f"_med_{i}") + sigma * MAD_STD * F.col(f"_mad_{i}")).withColumn(f"{i}_var", F.coalesce(F.col(i) > F.col(f"{i}_cut"), F.lit(False)))
@@ -85,9 +87,8 @@ def feature_vectors(features: DataFrame, names: list[str], labels: DataFrame | N
 
 
 def train_classifier(vectors: DataFrame, seed: int = 7, folds: int = 3, trees: tuple[int, ...] = (50, 100), depths: tuple[int, ...] = (3, 5)) -> tuple[RandomForestClassificationModel, dict[str, float]]:
-    """(model, scores on a held-out quarter): random forests by cross-validation over a grid, split by label and id hash."""
-    cut = F.percent_rank().over(Window.partitionBy("label").orderBy(F.xxhash64(KEY, F.lit(seed))))
-    split = vectors.withColumn("_r", cut)
+    """(model, scores on a held-out quarter): random forests by cross-validation over a grid, split by a hash of the id."""
+    split = vectors.withColumn("_r", F.shiftrightunsigned(F.xxhash64(KEY, F.lit(seed)), 11).cast("double") / float(1 << 53))
     rf = RandomForestClassifier(seed=seed)
     grid = ParamGridBuilder().addGrid(rf.numTrees, list(trees)).addGrid(rf.maxDepth, list(depths)).build()
     best = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="f1"), numFolds=folds, seed=seed).fit(split.where("_r < 0.75")).bestModel

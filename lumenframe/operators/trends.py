@@ -7,8 +7,6 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,12 +17,24 @@ from .series import KEY, MAD_STD, by_time, finite_filter, whole
 TEMPLATE_BYTES = 256 << 20
 
 
-def running_median(lc: DataFrame, window: int = 5, out: str = "smooth") -> DataFrame:
-    """Adds the median of ``window`` points around each; shorter windows at the ends."""
-    near = F.sort_array(F.collect_list("m").over(by_time().rowsBetween(-(window // 2), window // 2)))
-    lc = lc.withColumn("_near", near)
+def running_median(lc: DataFrame, window: int = 5, out: str = "smooth", edges: str = "reflect") -> DataFrame:
+    """Adds the median of ``window`` points around each.
+
+    Beyond the ends the series is reflected ("reflect": its end point comes twice), zero ("zero"), or the window shrinks
+    ("shrink"). Series shorter than half a window shrink it, too.
+    """
+    h = window // 2
+    lc = lc.withColumns({"_near": F.collect_list("m").over(by_time().rowsBetween(-h, h)), "_i": F.row_number().over(by_time()), "_n": F.count(F.lit(1)).over(whole())})
+    left, right = F.greatest(F.lit(0), h + 1 - F.col("_i")), F.greatest(F.lit(0), h - F.col("_n") + F.col("_i")).cast("int")
+    if edges == "reflect":
+        near = F.concat("_near", F.slice("_near", F.lit(1), left), F.slice(F.reverse("_near"), F.lit(1), right))
+    elif edges == "zero":
+        near = F.concat("_near", F.array_repeat(F.lit(0.0), (left + right).cast("int")))
+    else:
+        near = F.col("_near")
+    lc = lc.withColumn("_near", F.sort_array(near))
     at = lambda i: F.element_at("_near", i.cast("int"))
-    return lc.withColumn(out, (at(F.floor((F.size("_near") + 1) / 2)) + at(F.floor(F.size("_near") / 2) + 1)) / 2).drop("_near")
+    return lc.withColumn(out, (at(F.floor((F.size("_near") + 1) / 2)) + at(F.floor(F.size("_near") / 2) + 1)) / 2).drop("_near", "_i", "_n")
 
 
 def running_gauss(lc: DataFrame, window: int = 5, sigma: float = 3.0, out: str = "smooth") -> DataFrame:
@@ -80,12 +90,55 @@ def epd(lc: DataFrame, names: tuple[str, ...] = ("fsv", "fdv", "fkv", "xcc", "yc
     return per_object(finite_filter(lc, nonzero_errors=False), run, "m_epd double")
 
 
-def rf_epd(lc: DataFrame, names: list[str], trees: int = 20, seed: int = 5) -> DataFrame:
-    """Adds ``m_rfepd``: a random forest of the external columns, pooled over objects as residuals from their medians."""
-    c = finite_filter(lc, nonzero_errors=False).withColumn("_med", F.median("m").over(whole())).withColumn("_y", F.col("m") - F.col("_med"))
-    v = VectorAssembler(inputCols=names, outputCol="_x", handleInvalid="skip").transform(c)
-    model = RandomForestRegressor(featuresCol="_x", labelCol="_y", predictionCol="_fit", numTrees=trees, seed=seed).fit(v)
-    return model.transform(v).withColumn("m_rfepd", F.col("m") - F.col("_fit")).drop("_x", "_y", "_fit", "_med")
+def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, tried: int, depth: int, least: int) -> tuple | float:
+    """A regression tree: (feature, threshold, left, right), or the mean of a leaf. Splits lower the sum of squares most."""
+    if depth == 0 or len(y) < 2 * least or np.ptp(y) == 0:
+        return float(y.mean())
+    best = (0.0, -1, 0.0)
+    for f in rng.choice(x.shape[1], min(tried, x.shape[1]), replace=False).tolist():
+        order = np.argsort(x[:, f], kind="stable")
+        v, s = x[order, f], np.cumsum(y[order])
+        n = np.arange(1, len(y))
+        gain = s[:-1] ** 2 / n + (s[-1] - s[:-1]) ** 2 / (len(y) - n) - s[-1] ** 2 / len(y)
+        gain[(v[1:] == v[:-1]) | (n < least) | (len(y) - n < least)] = 0.0
+        i = int(gain.argmax())
+        if gain[i] > best[0]:
+            best = (gain[i], f, 0.5 * (v[i] + v[i + 1]))
+    if best[1] < 0:
+        return float(y.mean())
+    left = x[:, best[1]] <= best[2]
+    return best[1], best[2], grow(x[left], y[left], rng, tried, depth - 1, least), grow(x[~left], y[~left], rng, tried, depth - 1, least)
+
+
+def predict(tree: tuple | float, x: np.ndarray) -> np.ndarray:
+    if not isinstance(tree, tuple):
+        return np.full(len(x), tree)
+    left, out = x[:, tree[0]] <= tree[1], np.empty(len(x))
+    out[left], out[~left] = predict(tree[2], x[left]), predict(tree[3], x[~left])
+    return out
+
+
+def rf_epd(lc: DataFrame, names: list[str], trees: int = 100, depth: int = 8, least: int = 5, sigma: float = 3.0, window: int = 21, seed: int = 5) -> DataFrame:
+    """Adds ``m_rfepd``: median + m - prediction of a random forest of the external columns, one for each object.
+
+    As in epd() the forest learns smoothed, clipped points. Trees are grown on points drawn with replacement, from a third
+    of the columns at each split; draws follow from the seed, so reruns agree.
+    """
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        m, x = p["m"].to_numpy(float), p[names].to_numpy(float)
+        med = np.median(m)
+        keep = (np.abs(m - med) < sigma * MAD_STD * np.median(np.abs(m - med))) & np.isfinite(x).all(1)
+        if keep.sum() < 2 * least:
+            return p.assign(m_rfepd=m)
+        y = pd.Series(m[keep]).rolling(window | 1, center=True, min_periods=1).median().to_numpy()
+        rng, fit = np.random.default_rng(seed), np.zeros(len(m))
+        for _ in range(trees):
+            i = rng.integers(0, len(y), len(y))
+            fit += predict(grow(x[keep][i], y[i], rng, max(1, len(names) // 3), depth, least), np.nan_to_num(x)) / trees
+        return p.assign(m_rfepd=med + m - fit)
+
+    return per_object(finite_filter(lc, nonzero_errors=False), run, "m_rfepd double")
 
 
 def centroid_offsets(lc: DataFrame, transits: DataFrame, duration: float, buffer: float = 0.1, factor: float = 3.0, arcsec: float = 3.98) -> DataFrame:
@@ -123,13 +176,13 @@ def tfa(lc: DataFrame, templates: DataFrame, catalog: DataFrame, exclude_arcmin:
     """Adds ``m_tfa``: the series less its projection on template series, sampled at its times.
 
     ``templates``: points of template objects; ``catalog``: (objectid, ra, decl). A template is not used for itself or
-    for objects within ``exclude_arcmin``. Templates are a chosen number of series, so they go to every task, after a
-    check of their size.
+    for objects within ``exclude_arcmin``. Templates are a chosen number of series, so they go to every task; Spark counts
+    their points first.
     """
+    if 16 * templates.count() > TEMPLATE_BYTES:
+        raise ValueError("too many template points; choose fewer templates")
     rows = templates.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("t", "m"))).alias("a")).join(catalog, KEY).select(KEY, "ra", "decl", "a").orderBy(KEY).collect()
     series = [(r[KEY], r["ra"], r["decl"], np.array([x["t"] for x in r["a"]]), np.array([x["m"] for x in r["a"]])) for r in rows]
-    if sum(16 * len(s[3]) for s in series) > TEMPLATE_BYTES:
-        raise ValueError("too many template points; choose fewer templates")
     shared = lc.sparkSession.sparkContext.broadcast([(k, r, d, t, m - np.median(m)) for k, r, d, t, m in series if len(t)])
     limit = math.radians(exclude_arcmin / 60)
 
@@ -156,7 +209,7 @@ def find_flares(lc: DataFrame, sigma: float = 4.0, window: int = 5) -> DataFrame
 
     An extension: the grouping is by gaps and islands over the flagged points.
     """
-    s = running_median(lc, window).withColumn("r", F.col("m") - F.col("smooth")).withColumn("i", F.row_number().over(by_time()))
+    s = running_median(lc, window, edges="shrink").withColumn("r", F.col("m") - F.col("smooth")).withColumn("i", F.row_number().over(by_time()))
     s = s.withColumn("d", MAD_STD * F.median(F.abs(F.col("r"))).over(whole())).where((F.col("d") > 0) & (F.abs(F.col("r")) > sigma * F.col("d")))
     s = s.withColumn("g", F.col("i") - F.row_number().over(by_time()))
     runs = s.groupBy(KEY, "g").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("start"), F.max("t").alias("end"), F.max(F.abs("r")).alias("peak"))

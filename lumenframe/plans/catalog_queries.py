@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import coords, models, photometry, times
-from ..operators import catalog, fits, periodograms, selection, series, simulate, spatial, transits, trends
+from ..operators import catalog, features, fits, periodograms, selection, series, simulate, spatial, transits, trends
 from .series_queries import LC, rounded
 from .tables import STARS_SQL, events, stars, supplies, table
 
@@ -384,14 +384,16 @@ def epd(s: SparkSession, d: str) -> DataFrame:
 @query("rf_epd", None)
 def rf_epd(s: SparkSession, d: str) -> DataFrame:
     lc = events(s, d).withColumns({"a": F.sin("t"), "b": F.cos(F.col("t") * 2)})
-    return trends.rf_epd(lc, ["a", "b"], trees=5).select("objectid", "seq", "m_rfepd")
+    return trends.rf_epd(lc, ["a", "b"], trees=10, depth=5).select("objectid", "seq", "m_rfepd")
 
 
 @query("tfa", None)
 def tfa(s: SparkSession, d: str) -> DataFrame:
     lc = events(s, d)
     pos = lc.select("objectid").distinct().selectExpr("objectid", "(objectid * 137) % 360 + 0.25D AS ra", "(objectid * 53) % 180 - 89.75D AS decl")
-    return trends.tfa(lc, lc.where("objectid % 20 = 3"), pos).select("objectid", "seq", "m_tfa")
+    f = features.nonperiodic(lc, is_flux=True).select("objectid", F.col("median").alias("mag"), "mad", "eta_normal", "ndet")
+    chosen = trends.tfa_templates(f, most=20, low=0.0, high=1e4, max_rms=1e4)
+    return trends.tfa(lc, lc.join(F.broadcast(chosen), "objectid", "left_semi"), pos).select("objectid", "seq", "m_tfa")
 
 
 @query("simulate_variables", None)

@@ -357,11 +357,19 @@ def out_of_transit(s: SparkSession, d: str) -> DataFrame:
     return transits.out_of_transit(lc, _windows(lc)).select("objectid", "seq")
 
 
-@query("running_median", f"{LC} SELECT objectid, seq, round(median(m) OVER (PARTITION BY objectid ORDER BY t, seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smooth FROM lc")
+NEAR = "li AS (SELECT objectid, list(m ORDER BY t, seq) AS v, list(seq ORDER BY t, seq) AS q FROM lc GROUP BY 1), ix AS (SELECT objectid, v, q, unnest(range(len(v))) AS i FROM li), nr AS (SELECT objectid, q[i + 1] AS seq, list_transform(range(i - 2, i + 3), lambda j: {at}) AS w FROM ix)"
+
+
+@query("running_median", f"{LC}, {NEAR.format(at='v[1 + CASE WHEN j < 0 THEN -j - 1 WHEN j >= len(v) THEN 2 * len(v) - j - 1 ELSE j END]')} SELECT objectid, seq, round(list_median(w), 6) AS smooth FROM nr")
 def running_median(s: SparkSession, d: str) -> DataFrame:
     return rounded(trends.running_median(events(s, d)).select("objectid", "seq", "smooth"))
 
 
+@query("running_median_zero", f"{LC}, {NEAR.format(at='CASE WHEN j < 0 OR j >= len(v) THEN 0.0::DOUBLE ELSE v[1 + j] END')} SELECT objectid, seq, round(list_median(w), 6) AS smooth FROM nr")
+def running_median_zero(s: SparkSession, d: str) -> DataFrame:
+    return rounded(trends.running_median(events(s, d), edges="zero").select("objectid", "seq", "smooth"))
+
+
 @query("running_gauss", f"{LC} SELECT objectid, seq, round((exp(-0.5 * (1 / 3.0::DOUBLE) ^ 2) * (coalesce(lag(m) OVER w, m) + coalesce(lead(m) OVER w, m)) + m) / (1 + 2 * exp(-0.5 * (1 / 3.0::DOUBLE) ^ 2)), 6) AS smooth FROM lc WINDOW w AS (PARTITION BY objectid ORDER BY t, seq)")
 def running_gauss(s: SparkSession, d: str) -> DataFrame:
     return rounded(trends.running_gauss(events(s, d), 3).select("objectid", "seq", "smooth"))
