@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .simulate import uniform
 from .series import KEY, finite
 
 #: Words that a filter string may hold besides columns, numbers and quoted strings.
@@ -80,7 +81,7 @@ def sort_catalog(catalog: DataFrame, spec: str, tie: str = KEY) -> DataFrame:
 
 def sample_sort_limit(catalog: DataFrame, share_in: int, of: int, sort: str, limit: int, seed: int = 0) -> DataFrame:
     """A hash sample of ``share_in`` in ``of``, then sorted, then limited (in this order)."""
-    return sort_catalog(catalog.where(F.pmod(F.xxhash64(KEY, F.lit(seed)), F.lit(of)) < share_in), sort).limit(limit)
+    return sort_catalog(catalog.where(uniform("sample", 0.0, 1.0, seed) * of < share_in), sort).limit(limit)
 
 
 def build(lc: DataFrame, info: DataFrame, magcol: str = "m") -> DataFrame:

@@ -1,4 +1,5 @@
-"""Injection of simulated variability: parameters and noise are hashes of the object, so every run is the same."""
+"""Injection of simulated variability: parameters and noise follow from hashes of object and observation number, so every
+run is the same."""
 
 from __future__ import annotations
 
@@ -11,14 +12,15 @@ from .series import KEY, MAD_STD, whole
 
 
 def uniform(name: str, low: float, high: float, seed: int = 1, *more: str) -> Column:
-    """Uniform in [low, high) from a hash of the object, a name and more columns."""
-    u = F.shiftrightunsigned(F.xxhash64(KEY, F.lit(name), F.lit(seed), *more), 11).cast("double") / float(1 << 53)
+    """Uniform in [low, high) from the MD5 of the object, a name, a seed and more columns: the same in any engine."""
+    key = F.concat_ws("/", F.col(KEY).cast("string"), F.lit(name), F.lit(str(seed)), *[F.col(c).cast("string") for c in more])
+    u = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / float(1 << 52)
     return low + (high - low) * u
 
 
 def normal(name: str, mean: float, std: float, seed: int = 1, *more: str) -> Column:
     """Normal by Box and Muller from two hashes."""
-    return mean + std * F.sqrt(-2.0 * F.log(1.0 - uniform(name + "/a", 0.0, 1.0, seed, *more))) * F.cos(2 * math.pi * uniform(name + "/b", 0.0, 1.0, seed, *more))
+    return mean + std * F.sqrt(-2.0 * F.log(1.0 - uniform(f"{name}-a", 0.0, 1.0, seed, *more))) * F.cos(2 * math.pi * uniform(f"{name}-b", 0.0, 1.0, seed, *more))
 
 
 #: Period range, order range, amplitude range and phase offset of the kinds made of sine series.
@@ -80,13 +82,13 @@ def inject(lc: DataFrame, kinds: DataFrame, is_flux: bool = False, seed: int = 1
     c = lc.withColumns({"_t0": F.min("t").over(whole()), "_t1": F.max("t").over(whole()), "_m": F.median("m").over(whole()), "_e": F.median("e").over(whole())})
     c = c.withColumns({"_dm": F.median(F.abs(F.col("m") - F.col("_m"))).over(whole()), "_de": F.median(F.abs(F.col("e") - F.col("_e"))).over(whole())}).join(parameters(kinds, seed), KEY, "left")
     c = c.withColumn("_x", (F.col("t") - F.col("_t0") - F.col("at") * F.col("period")) / F.col("period")).withColumn("_x", F.col("_x") - F.floor("_x"))
-    m = F.col("_m") + variation(is_flux) + normal("m", 0.0, 1.0, seed, "t", "seq") * MAD_STD * F.col("_dm")
-    e = F.col("_e") + normal("e", 0.0, 1.0, seed, "t", "seq") * MAD_STD * F.col("_de")
+    m = F.col("_m") + variation(is_flux) + normal("m", 0.0, 1.0, seed, "seq") * MAD_STD * F.col("_dm")
+    e = F.col("_e") + normal("e", 0.0, 1.0, seed, "seq") * MAD_STD * F.col("_de")
     return c.select(KEY, "t", m.alias("m"), e.alias("e"), "seq", "kind")
 
 
 def choose(catalog: DataFrame, n: int, kinds: list[str] | None = None, seed: int = 1) -> DataFrame:
     """(objectid, kind): ``n`` objects by a hash, each with a kind by a hash."""
     names = F.array(*[F.lit(k) for k in kinds or KINDS])
-    some = catalog.select(KEY).orderBy(F.xxhash64(KEY, F.lit(seed)), KEY).limit(n)
-    return some.withColumn("kind", F.element_at(names, (F.pmod(F.xxhash64(KEY, F.lit(seed + 1)), F.size(names)) + 1).cast("int")))
+    some = catalog.select(KEY).orderBy(uniform("chosen", 0.0, 1.0, seed), KEY).limit(n)
+    return some.withColumn("kind", F.element_at(names, F.floor(uniform("kind", 1.0, len(kinds or KINDS) + 1.0, seed)).cast("int")))

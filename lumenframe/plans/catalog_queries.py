@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import coords, models, photometry, times
 from ..operators import catalog, features, fits, periodograms, selection, series, simulate, spatial, transits, trends
-from .series_queries import LC, rounded
-from .tables import STARS_SQL, events, stars, supplies, table
+from .series_queries import BIN, CLIP, LC, rounded
+from .tables import STARS_SQL, SUPPLIES_SQL, events, stars, supplies, table
 
 Q: dict[str, tuple] = {}
 ST = f"WITH st AS ({STARS_SQL})"
@@ -69,10 +69,13 @@ def neighbors(s: SparkSession, d: str) -> DataFrame:
     return rounded(spatial.neighbor_features(stars(s, d), 7200.0), 3)
 
 
-@query("xi_eta", None)
+XYZ = "xyz AS (SELECT objectid, cos(radians(decl)) * cos(radians(ra)) AS x, cos(radians(decl)) * sin(radians(ra)) AS y, sin(radians(decl)) AS z FROM st)"
+
+
+@query("xi_eta", f"{ST}, {XYZ}, r AS (SELECT objectid, cos(radians(20)) * cos(radians(100)) * x + cos(radians(20)) * sin(radians(100)) * y + sin(radians(20)) * z AS u, cos(radians(100)) * y - sin(radians(100)) * x AS v, cos(radians(20)) * z - sin(radians(20)) * cos(radians(100)) * x - sin(radians(20)) * sin(radians(100)) * y AS w FROM xyz) SELECT objectid, round(v * degrees(atan2(sqrt(v * v + w * w), u)) / sqrt(v * v + w * w), 5) AS xi, round(w * degrees(atan2(sqrt(v * v + w * w), u)) / sqrt(v * v + w * w), 5) AS eta FROM r")
 def xi_eta(s: SparkSession, d: str) -> DataFrame:
     xi, eta = coords.xi_eta(F.col("ra"), F.col("decl"), 100.0, 20.0)
-    return rounded(stars(s, d).select("objectid", xi.alias("xi"), eta.alias("eta")))
+    return rounded(stars(s, d).select("objectid", xi.alias("xi"), eta.alias("eta")), 5)
 
 
 _G = coords.GALACTIC
@@ -93,7 +96,11 @@ def galactic_roundtrip(s: SparkSession, d: str) -> DataFrame:
     return rounded(g.select("objectid", ra.alias("ra"), decl.alias("decl")))
 
 
-@query("precess", None)
+#: The three angles of the precession from 2000 to 2015.5 in SQL.
+ARC = {"zeta": "(2306.2181 * q + 0.30188 * q ^ 2 + 0.017998 * q ^ 3)", "z": "(2306.2181 * q + 1.09468 * q ^ 2 + 0.018203 * q ^ 3)", "theta": "(2004.3109 * q - 0.42665 * q ^ 2 - 0.041833 * q ^ 3)"}
+
+
+@query("precess", f"{ST}, q AS (SELECT 0.155::DOUBLE AS q), an AS (SELECT radians({ARC['zeta']} / 3600) AS ze, radians({ARC['z']} / 3600) AS zz, radians({ARC['theta']} / 3600) AS th FROM q), r AS (SELECT objectid, cos(radians(decl)) * sin(radians(ra) + ze) AS a, cos(th) * cos(radians(decl)) * cos(radians(ra) + ze) - sin(th) * sin(radians(decl)) AS b, sin(th) * cos(radians(decl)) * cos(radians(ra) + ze) + cos(th) * sin(radians(decl)) AS c, zz FROM st, an) SELECT objectid, round((degrees(atan2(a, b) + zz) + 720) % 360, 6) AS ra, round(degrees(asin(c)), 6) AS decl FROM r")
 def precess(s: SparkSession, d: str) -> DataFrame:
     ra, decl = coords.precess(F.col("ra"), F.col("decl"), 2000.0, 2015.5)
     return rounded(stars(s, d).select("objectid", ra.alias("ra"), decl.alias("decl")))
@@ -208,9 +215,13 @@ def catalog_sort_top(s: SparkSession, d: str) -> DataFrame:
     return rounded(catalog.sort_catalog(stars(s, d), "jmag|desc").limit(25).select("objectid", "jmag"), 9)
 
 
-@query("sample_sort_limit", None)
+#: A uniform number from an object's id, a name and a seed, and more columns, as operators.simulate makes it.
+U = lambda name, low, high, seed=1, more="", key="objectid": f"({low}::DOUBLE + ({high}::DOUBLE - {low}::DOUBLE) * (('0x' || substr(md5({key} || '/{name}/{seed}'{more}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE))"
+
+
+@query("sample_sort_limit", f"{ST} SELECT objectid, round(jmag, 9) AS jmag FROM st WHERE {U('sample', 0.0, 1.0, 0)} * 3 < 1 ORDER BY st.jmag, objectid LIMIT 50")
 def sample_sort_limit(s: SparkSession, d: str) -> DataFrame:
-    return catalog.sample_sort_limit(stars(s, d), 1, 3, "jmag|asc", 50).select("objectid", "jmag")
+    return rounded(catalog.sample_sort_limit(stars(s, d), 1, 3, "jmag|asc", 50).select("objectid", "jmag"), 9)
 
 
 @query("add_info", f"{ST} SELECT st.objectid, o.o_orderkey, o.o_orderstatus FROM st LEFT JOIN (SELECT o_custkey, min_by(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, min_by(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus FROM orders GROUP BY 1) o ON st.objectid = o.o_custkey")
@@ -346,30 +357,61 @@ def documents_assemble(s: SparkSession, d: str) -> DataFrame:
     return catalog.assemble(info, {"peaks": (peaks, ["rank"]), "phased": (binned, ["bin"])})
 
 
+#: Least squares on 1, f and g with weights w, by Cramer's rule (from table fb: objectid, y, f, g, w).
+CRAMER = "su AS (SELECT objectid, sum(w) AS a, sum(w * f) AS b, sum(w * g) AS c, sum(w * f * f) AS d, sum(w * f * g) AS e, sum(w * g * g) AS h, sum(w * y) AS p, sum(w * y * f) AS q, sum(w * y * g) AS r FROM fb GROUP BY 1), de AS (SELECT *, a * (d * h - e * e) - b * (b * h - e * c) + c * (b * e - d * c) AS det FROM su), co AS (SELECT objectid, (p * (d * h - e * e) - b * (q * h - e * r) + c * (q * e - d * r)) / det AS k0, (a * (q * h - e * r) - p * (b * h - e * c) + c * (b * r - q * c)) / det AS k1, (a * (d * r - q * e) - b * (b * r - q * c) + p * (b * e - d * c)) / det AS k2 FROM de)"
+#: A clipped, folded series: phase, and median of the whole.
+FIT = f"{LC}, {CLIP.format(a='lc', b='c5', cond='abs(m - med) < 5.0 * sg')}, ok AS (SELECT objectid, t, m, e, seq, count(*) OVER p AS n, median(m) OVER p AS med, (t - min(t) OVER p) / 2.5 AS x FROM c5 WHERE e <> 0 WINDOW p AS (PARTITION BY objectid)), fo AS (SELECT *, x - floor(x) AS p FROM ok WHERE n >= 10)"
+SCORES = "SELECT objectid, '{model}' AS model, round(sum(((fit - m) / e) ^ 2), 3) AS chisq, {red} AS redchisq, count(*) AS n, round(median(abs(m - fit - mr)), 5) AS residual_mad FROM (SELECT *, median(m - fit) OVER (PARTITION BY objectid) AS mr FROM fi) GROUP BY 1"
+RED = "round(sum(((fit - m) / e) ^ 2) / (count(*) - {free}), 5)"
+
+FOURIER = f"{FIT}, fb AS (SELECT *, m - med AS y, cos(2 * pi() * p) AS f, sin(2 * pi() * p) AS g, 1 / (e * e) AS w FROM fo), {CRAMER}, fi AS (SELECT fb.*, med + k0 + k1 * f + k2 * g AS fit FROM fb JOIN co USING (objectid)) {SCORES.format(model='fourier', red=RED.format(free=4))}"
+LEGENDRE = f"{FIT}, fb AS (SELECT *, m AS y, p AS f, p * p AS g, 1.0 AS w FROM fo), {CRAMER}, fi AS (SELECT fb.*, k0 + k1 * f + k2 * g AS fit FROM fb JOIN co USING (objectid)) {SCORES.format(model='legendre', red=RED.format(free=4))}"
+#: Rows of the projection on quadratics over five points: of the first, second and middle point.
+HAT = [[31, 9, -3, -5, 3], [9, 13, 12, 6, -5], [-3, 12, 17, 12, -3], [-5, 6, 12, 13, 9], [3, -5, -3, 9, 31]]
+WRAPPED = f"{FIT}, li AS (SELECT objectid, list(m ORDER BY p, t, seq) AS v, list(e ORDER BY p, t, seq) AS es FROM fo GROUP BY 1), ix AS (SELECT objectid, v, es, unnest(range(len(v))) AS i FROM li), fi AS (SELECT objectid, v[i + 1] AS m, es[i + 1] AS e, list_sum(list_transform(range(-2, 3), lambda j: {HAT[2]}[j + 3] * v[1 + (i + j + len(v)) % len(v)])) / 35.0 AS fit FROM ix) {SCORES.format(model='savgol', red='-99.0::DOUBLE')}"
+
+
 def _fit(model: str, **options: object):  # noqa: ANN202
     def run(s: SparkSession, d: str) -> DataFrame:
-        return fits.fit(series.sigclip(events(s, d), 5.0), model, 2.5, **options).select("objectid", "model", "chisq", "redchisq", "n", "residual_mad")
+        found = fits.fit(series.sigclip(events(s, d), 5.0), model, 2.5, **options).select("objectid", "model", "chisq", "redchisq", "n", "residual_mad")
+        return rounded(found, chisq=3, redchisq=5, residual_mad=5)
 
     return run
 
 
-for _m, _o in (("fourier", {"order": 3}), ("spline", {"knot_fraction": 0.1}), ("savgol", {}), ("legendre", {"degree": 5}), ("trapezoid", {}), ("eclipses", {})):
-    Q[f"fit_{_m}"] = (_fit(_m, **_o), None)
+for _m, _o, _sql in (("fourier", {"order": 2}, FOURIER), ("spline", {"knot_fraction": 0.1}, None), ("savgol", {}, WRAPPED), ("legendre", {"degree": 2}, LEGENDRE), ("trapezoid", {}, None), ("eclipses", {}, None)):
+    Q[f"fit_{_m}"] = (_fit(_m, **_o), _sql)
 
 
-@query("prewhiten", None)
+WHITE = f"{LC}, ok AS (SELECT objectid, t, m, e, seq, median(m) OVER p AS med, (t - min(t) OVER p) / 2.5 AS x FROM lc WHERE e <> 0 WINDOW p AS (PARTITION BY objectid)), fb AS (SELECT *, m - med AS y, cos(2 * pi() * (x - floor(x))) AS f, sin(2 * pi() * (x - floor(x))) AS g, 1 / (e * e) AS w FROM ok), {CRAMER} SELECT fb.objectid, seq, round(m - (k0 + k1 * f + k2 * g), 5) AS m FROM fb JOIN co ON co.objectid = fb.objectid"
+
+
+@query("prewhiten", WHITE)
 def prewhiten(s: SparkSession, d: str) -> DataFrame:
-    return fits.prewhiten(events(s, d), 2.5, 3).select("objectid", "seq", "m")
+    return rounded(fits.prewhiten(events(s, d), 2.5, 2).select("objectid", "seq", "m"), 5)
+
+
+#: Savitzky-Golay over five points with quadratics, the ends by the first and last window (table sg: objectid, seq, t, m, e, smooth).
+SAVGOL = f"li AS (SELECT objectid, list(m ORDER BY t, seq) AS v, list(seq ORDER BY t, seq) AS q, list(t ORDER BY t, seq) AS ts, list(e ORDER BY t, seq) AS es FROM sr GROUP BY 1), ix AS (SELECT *, unnest(range(len(v))) AS i FROM li), aw AS (SELECT *, greatest(0, least(i - 2, len(v) - 5)) AS s FROM ix), sg AS (SELECT objectid, q[i + 1] AS seq, ts[i + 1] AS t, v[i + 1] AS m, es[i + 1] AS e, CASE WHEN len(v) < 5 THEN v[i + 1] ELSE list_sum(list_transform(range(5), lambda j: {HAT}[i - s + 1][j + 1] * v[s + j + 1])) / 35.0 END AS smooth FROM aw)"
 
 
-@query("running_savgol", None)
+@query("running_savgol", f"{LC}, sr AS (SELECT * FROM lc), {SAVGOL} SELECT objectid, seq, round(smooth, 5) AS smooth FROM sg")
 def running_savgol(s: SparkSession, d: str) -> DataFrame:
-    return trends.running_savgol(events(s, d)).select("objectid", "seq", "smooth")
+    return rounded(trends.running_savgol(events(s, d), 5).select("objectid", "seq", "smooth"), 5)
 
 
-@query("cdpp", None)
+@query("cdpp", f"WITH lc AS ({SUPPLIES_SQL}), sr AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY objectid) AS n0 FROM lc) WHERE n0 >= 15 AND e <> 0), {SAVGOL}, rs AS (SELECT objectid, t, m - smooth AS m, e, seq FROM sg), b AS ({BIN.format(v='t', w='20.0::DOUBLE', src='rs')}), g AS (SELECT objectid, bin, median(m) AS m FROM b WHERE abs(v - (lo + bin * 20.0::DOUBLE)) <= 10.0 GROUP BY ALL HAVING count(*) >= 7) SELECT objectid, round(1.168 * stddev_pop(m), 3) AS cdpp FROM g GROUP BY 1")
 def cdpp(s: SparkSession, d: str) -> DataFrame:
-    return trends.gilliland_cdpp(supplies(s, d), seconds=20 * 86400.0)
+    return rounded(trends.gilliland_cdpp(supplies(s, d), window=5, seconds=20 * 86400.0), 3)
+
+
+@query("epd_line", f"{LC}, md AS (SELECT *, median(m) OVER (PARTITION BY objectid) AS med FROM lc), dv AS (SELECT *, 1.483 * median(abs(m - med)) OVER (PARTITION BY objectid) AS sg, sin(t) AS a FROM md), kp AS (SELECT objectid, a, median(m) OVER (PARTITION BY objectid ORDER BY t, seq ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS y FROM dv WHERE abs(m - med) < 3.0 * sg), rg AS (SELECT objectid, regr_slope(y, a) AS b, regr_intercept(y, a) AS c FROM kp GROUP BY 1 HAVING count(*) > 2) SELECT dv.objectid, seq, round(CASE WHEN b IS NULL THEN m ELSE med + m - (b * a + c) END, 5) AS m_epd FROM dv LEFT JOIN rg ON rg.objectid = dv.objectid")
+def epd_line(s: SparkSession, d: str) -> DataFrame:
+    """Decorrelation on one external column, of which SQL has the fit in closed form."""
+    import numpy as np
+
+    lc = events(s, d).withColumn("a", F.sin("t"))
+    return rounded(trends.epd(lc, ("a",), terms=lambda a: np.stack([a, np.ones_like(a)], 1)).select("objectid", "seq", "m_epd"), 5)
 
 
 @query("epd", None)
@@ -396,10 +438,43 @@ def tfa(s: SparkSession, d: str) -> DataFrame:
     return trends.tfa(lc, lc.join(F.broadcast(chosen), "objectid", "left_semi"), pos).select("objectid", "seq", "m_tfa")
 
 
-@query("simulate_variables", None)
+def _simulated() -> str:
+    kinds = simulate.KINDS
+    sines = simulate.SINE_KINDS
+    case = lambda of: "CASE kind " + " ".join(f"WHEN '{k}' THEN {of(k)}" for k in kinds if of(k)) + " END"
+    cap = lambda name, ranges: case(lambda k: U(name, *ranges[k]) if k in ranges else None)
+    n = lambda name, more="": f"sqrt(-2.0 * ln(1.0 - {U(name + '-a', 0.0, 1.0, 1, more)})) * cos(2 * pi() * {U(name + '-b', 0.0, 1.0, 1, more)})"
+    cols = {
+        "period": cap("period", {"planet": (0.1, 50.0), "eb": (0.2, 100.0)} | {k: v[0] for k, v in sines.items()}),
+        "depth": cap("depth", {"planet": (1e-4, 0.0201), "eb": (1e-4, 0.7001)}),
+        "duration": cap("duration", {"planet": (0.01, 0.30), "eb": (0.01, 0.45)}),
+        "ratio": U("ratio", 0.01, 1.0), "secondary": f"0.5 + 0.1 * {n('secondary')}",
+        "amplitude": cap("amplitude", {"flare": (0.01, 1.0)} | {k: v[2] for k, v in sines.items()}),
+        "rise": U("rise", 0.007, 0.047), "decay": U("decay", 0.04, 0.203), "ingress_share": U("ingress", 0.05, 0.5),
+        "peaks": f"[{', '.join(U(f'peak{i}', 0.0, 1.0) for i in range(4))}][1:floor({U('n', 1.0, 5.0)})::INT]",
+        "ord": case(lambda k: f"floor({U('order', sines[k][1][0], sines[k][1][1] + 1)})" if k in sines else None),
+        "shift": case(lambda k: f"{sines[k][3]}::DOUBLE" if k in sines else None), "onset": U("epoch", 0.0, 1.0),
+    }
+    bell = lambda d: f"exp(-({d}) * ({d}) / (2 * (duration / 5) * (duration / 5)))"
+    near = "least(x, 1 - x)"
+    variation = f"""CASE WHEN kind IS NULL THEN 0.0
+      WHEN kind = 'planet' THEN depth * greatest(0, least(1, (duration / 2 - {near}) / (duration * ingress_share)))
+      WHEN kind = 'eb' THEN depth * CASE WHEN abs(x - secondary) <= duration / 2 THEN ratio * {bell('x - secondary')} WHEN {near} <= duration / 2 THEN {bell(near)} ELSE 0 END
+      WHEN kind = 'flare' THEN -amplitude * list_sum(list_transform(peaks, lambda q: CASE WHEN t < t0 + q * (t1 - t0) THEN exp(-((t - t0 - q * (t1 - t0)) ^ 2) / (2 * rise * rise)) ELSE exp(-(t - t0 - q * (t1 - t0)) / decay) END))
+      ELSE amplitude * list_sum(list_transform(range(1, ord::BIGINT + 1), lambda i: sin(2 * pi() * i * x + (i + 1) * shift) / 2 ^ (i - 1))) END"""
+    seq = " || '/' || seq"
+    return f"""{LC}, few AS (SELECT objectid FROM (SELECT DISTINCT objectid FROM lc) ORDER BY {U('chosen', 0.0, 1.0)}, objectid LIMIT 60),
+    ki AS (SELECT objectid, {kinds}[floor({U('kind', 1.0, len(kinds) + 1.0)})::INT] AS kind FROM few), pa AS (SELECT objectid, kind, {', '.join(f'{v} AS {k}' for k, v in cols.items())} FROM ki),
+    a AS (SELECT *, min(t) OVER w AS t0, max(t) OVER w AS t1, median(m) OVER w AS mm, median(e) OVER w AS me FROM lc WINDOW w AS (PARTITION BY objectid)),
+    b AS (SELECT *, median(abs(m - mm)) OVER (PARTITION BY objectid) AS dm, median(abs(e - me)) OVER (PARTITION BY objectid) AS de FROM a),
+    c AS (SELECT b.objectid, b.t, b.seq, mm, me, dm, de, t0, t1, pa.* EXCLUDE (objectid), (t - t0 - onset * period) / period AS xx FROM b LEFT JOIN pa ON pa.objectid = b.objectid), d AS (SELECT *, xx - floor(xx) AS x FROM c)
+    SELECT objectid, round(t, 6) AS t, round(mm + {variation} + {n('m', seq)} * 1.483 * dm, 5) AS m, round(me + {n('e', seq)} * 1.483 * de, 6) AS e, seq, kind FROM d"""
+
+
+@query("simulate_variables", _simulated())
 def simulate_variables(s: SparkSession, d: str) -> DataFrame:
     lc = events(s, d)
-    return simulate.inject(lc, simulate.choose(lc.select("objectid").distinct(), 60))
+    return rounded(simulate.inject(lc, simulate.choose(lc.select("objectid").distinct(), 60)), m=5)
 
 
 @query("classify_random_forest", None)

@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.catalog import checked_filter
@@ -105,7 +105,7 @@ _FITS = {"D": "d", "E": "f", "J": "i", "I": "h", "K": "q", "B": "B"}
 
 
 def fits_units(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header, data) of every unit of a FITS file."""
+    """(header, data) of every unit of a FITS file; a card's comment is under its key and " /"."""
     at = 0
     while at + 2880 <= len(data):
         header: dict[str, str] = {}
@@ -118,7 +118,11 @@ def fits_units(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
                     break
                 if card[8:10] == "= ":
                     v = card[10:].strip()
-                    header[card[:8].strip()] = re.match(r"'((?:[^']|'')*)'", v)[1].rstrip() if v.startswith("'") else v.split("/")[0].strip()
+                    m = re.match(r"('(?:[^']|'')*'|[^/]*)(?:/(.*))?$", v)
+                    key, value = card[:8].strip(), m[1].strip()
+                    header[key] = value[1:-1].replace("''", "'").rstrip() if value.startswith("'") else value
+                    if m[2]:
+                        header[f"{key} /"] = m[2].strip()
             at += 2880
         axes = [int(header.get(f"NAXIS{i + 1}", 0)) for i in range(int(header.get("NAXIS", 0)))]
         n = abs(int(header.get("BITPIX", 8))) // 8 * int(header.get("GCOUNT", 1))
@@ -171,6 +175,11 @@ FORMATS: dict[str, LightCurveFormat] = {
         LightCurveFormat("hat-sql", "*-hatlc.sqlite*", "sqlite", [("rjd", "aep_000", "aie_000"), ("rjd", "atf_000", "aie_000")]),
         LightCurveFormat("hat-csv", "*-hatlc.csv*", "csv", [("rjd", "aep_000", "aie_000"), ("rjd", "atf_000", "aie_000")]),
         LightCurveFormat("hp-txt", "HAT-*tfalc.TF1*", "text", [("rjd", "iep1", "ire1"), ("rjd", "itf1", "ire1")]),
+        LightCurveFormat("lcc-csv", "*-csvlc*", "csv", [("rjd", "aep_000", "aie_000"), ("rjd", "atf_000", "aie_000")]),
+        LightCurveFormat("k2-csv", "*-k2lc.csv*", "csv", [("BJD", "IM00", "IE00"), ("BJD", "CF00", "IE00"), ("BJD", "TF00", "IE00")]),
+        LightCurveFormat("hat-old", "*.hatlc*", "text", [("rjd", "iep1", "ire1")]),
+        LightCurveFormat("hat-epd", "*.epdlc*", "text", [("rjd", "iep1", "ire1")]),
+        LightCurveFormat("k2sff-fits", "hlsp_k2sff_*.fits", "fits", [("t", "fcor", "ferr"), ("t", "fraw", "ferr")], is_flux=True),
         LightCurveFormat("kep-fits", "*_llc.fits", "fits", [("time", "sap_flux", "sap_flux_err"), ("time", "pdcsap_flux", "pdcsap_flux_err")], is_flux=True),
         LightCurveFormat("tess-fits", "*_lc.fits", "fits", [("time", "sap_flux", "sap_flux_err"), ("time", "pdcsap_flux", "pdcsap_flux_err")], is_flux=True),
     )
@@ -195,8 +204,13 @@ def from_json(text: str) -> LightCurveFormat:
     return LightCurveFormat(**d | {"columns": [tuple(c) for c in d["columns"]]})
 
 
-def read(spark: SparkSession, path: str, fmt: str | LightCurveFormat, columns: tuple[str, str, str] | None = None, recursive: bool = True, where: str | None = None) -> DataFrame:
-    """Files under ``path`` as a long table (objectid, file, seq, t, m, e, ext); other columns are in ``ext`` as text."""
+def files(spark: SparkSession, path: str, glob: str, recursive: bool = True) -> DataFrame:
+    """(path, content) of the files under ``path``."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "content")
+
+
+def parsed(found: DataFrame, fmt: str | LightCurveFormat, columns: tuple[str, str, str] | None = None, where: str | None = None) -> DataFrame:
+    """Files (path, content) as a long table (objectid, file, seq, t, m, e, ext); other columns are in ``ext`` as text."""
     f = FORMATS[fmt] if isinstance(fmt, str) else fmt
     tc, mc, ec = columns or f.columns[0]
     parser = PARSERS[f.parser]
@@ -211,8 +225,53 @@ def read(spark: SparkSession, path: str, fmt: str | LightCurveFormat, columns: t
                     "ext": [{k: str(v) for k, v in r.items() if k not in (tc, mc, ec) and v is not None} for r in rows],
                 })
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f.glob).option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "content")
-    return files.mapInPandas(each, LONG)
+    return found.mapInPandas(each, LONG)
+
+
+def read(spark: SparkSession, path: str, fmt: str | LightCurveFormat, columns: tuple[str, str, str] | None = None, recursive: bool = True, where: str | None = None) -> DataFrame:
+    """Files under ``path`` as a long table: files() and parsed()."""
+    f = FORMATS[fmt] if isinstance(fmt, str) else fmt
+    return parsed(files(spark, path, f.glob, recursive), f, columns, where)
+
+
+def headers(found: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(file, unit, key, value, comment) of the header cards of FITS files (path, content): all, or those named."""
+    wanted = {k.upper() for k in keys} if keys else None
+
+    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for name, data in zip(p["path"], p["content"], strict=True):
+                rows = [(name, unit, k, v, header.get(f"{k} /")) for unit, (header, _) in enumerate(fits_units(unpacked(name, bytes(data)))) for k, v in header.items() if not k.endswith(" /") and (wanted is None or k in wanted)]
+                yield pd.DataFrame(rows, columns=["file", "unit", "key", "value", "comment"])
+
+    return found.mapInPandas(each, "file string, unit int, key string, value string, comment string")
+
+
+def consolidated(lc: DataFrame, normalize: bool = True) -> DataFrame:
+    """The files of each object (quarters, sectors) as one series in order of time, times that are missing last.
+
+    Adds ``lcn``, the number of the file in order of its first time. With ``normalize`` values and errors are divided by the
+    file's median, where that is not zero.
+    """
+    by_file = Window.partitionBy("objectid", "file")
+    c = lc.withColumns({"_first": F.min("t").over(by_file), "_med": F.median("m").over(by_file)})
+    c = c.withColumn("lcn", (F.dense_rank().over(Window.partitionBy("objectid").orderBy("_first", "file")) - 1).cast("int"))
+    if normalize:
+        c = c.withColumns({x: F.try_divide(x, F.when(F.col("_med") != 0, F.col("_med"))) for x in ("m", "e")})
+    order = Window.partitionBy("objectid").orderBy(F.col("t").asc_nulls_last(), "lcn", "seq")
+    return c.withColumn("seq", F.row_number().over(order).cast("long") - 1).drop("_first", "_med")
+
+
+def merged_apertures(curves: dict[str, DataFrame], key: str = "frk") -> DataFrame:
+    """(objectid, key, t, m_<aperture>, e_<aperture>): the series of several apertures side by side, a row for each frame.
+
+    ``key`` is a column of ``ext`` that names the frame.
+    """
+    out = None
+    for name, lc in curves.items():
+        part = lc.select("objectid", F.col("ext")[key].alias(key), F.col("t").alias(f"t_{name}"), F.col("m").alias(f"m_{name}"), F.col("e").alias(f"e_{name}"))
+        out = part if out is None else out.join(part, ["objectid", key], "full")
+    return out.select("objectid", key, F.coalesce(*[f"t_{n}" for n in curves]).alias("t"), *[f"{c}_{n}" for n in curves for c in "me"])
 
 
 def read_table(spark: SparkSession, path: str, schema: str, sep: str = " ") -> DataFrame:
@@ -230,5 +289,6 @@ def from_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> Data
 
 
 def describe(lc: DataFrame) -> DataFrame:
-    """(objectid, ndet, mintime, maxtime, files): what a collection holds."""
-    return lc.groupBy("objectid").agg(F.count(F.lit(1)).alias("ndet"), F.min("t").alias("mintime"), F.max("t").alias("maxtime"), F.count_distinct("file").alias("files"))
+    """(objectid, ndet, mintime, maxtime, files, columns): what a collection holds."""
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.map_keys("ext")))))
+    return lc.groupBy("objectid").agg(F.count(F.lit(1)).alias("ndet"), F.min("t").alias("mintime"), F.max("t").alias("maxtime"), F.count_distinct("file").alias("files"), F.array_join(names, ",").alias("columns"))
