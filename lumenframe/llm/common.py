@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,16 +45,70 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+#: Paths of the tables made within each open scratch(), the innermost last.
+_scopes: list[list[str]] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends here, and survives lost executors."""
     spark = session(df)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialise() that nothing will read again."""
+    for t in tables:
+        _delete(session(t), t.stored_at)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that materialise() has made within it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, written; the tables that it made on the way are deleted."""
+    with scratch(spark):
+        df = make()
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name``, with as many underscores behind it as it takes to differ from the columns ``taken``."""
+    names = {x.lower() for x in taken}
+    while name.lower() in names:
+        name += "_"
+    return name
 
 
 def map_batches(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches small enough for long texts."""
+    """``mapInArrow`` with batches small enough for long texts.
+
+    The two settings hold for the session from then on: a plan reads them when it runs, not when it is made.
+    """
     conf = session(df).conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
