@@ -1,25 +1,32 @@
 """Quality classifier: importance resampling with hashed n-gram models, by Gumbel top-k.
 
-Two generative models over hashed n-grams are fitted: of target text (labelled good and not toxic) and of raw text
-(all labelled text). An n-gram is present in a text or not; n-grams are a whole word, its first four characters, the
-punctuation it ends with, whether it is in capitals, runs of two to twelve equal words, and three or eight tokens of the
-same punctuation. The logarithm of a text's importance weight is the sum of the
-log-ratios of its distinct n-grams. Ratios within a factor of e, which samples of any size are full of, count as one;
-so the weight does not drift with the length of a text.
+Two generative models over BUCKETS hashed n-grams: of target text, counted over labelled documents that are good and not
+toxic, and of raw text, counted over all documents. An n-gram is present in a text or not. N-grams are words in lower
+case without outer punctuation, pairs of such words that follow each other, and shapes: the punctuation that a word ends
+with, words all of punctuation, words in capitals, each once, three and eight times, and runs of 2, 4, 8 and 12 equal
+words.
 
-Resampling keeps k documents by Gumbel top-k: the k largest of log weight / TEMPERATURE plus Gumbel noise, which is
-sampling without replacement in proportion to the tempered weights. k is the number of documents whose log weight
-reaches the cut found on labelled documents that the model has not seen. The noise of a document is a hash of its id.
+Where the target has c texts with an n-gram and the raw model expects e of them, the ratio of the models is
+(c + PRIOR) / (e + PRIOR), the mean of the rate under a Gamma prior of mean one. Ratios for which c is within SURE
+standard deviations of e count as one, since sums over thousands of them would measure the length of a text and the luck
+of the sample. The logarithm of a text's importance weight is the sum of the logarithms of its n-grams' ratios.
 
-Null and empty texts have weight one. Documents that tie at the k-th key are all kept, so repeated rows share a fate.
+Resampling keeps k documents by Gumbel top-k: the k largest of log weight / TEMPERATURE plus Gumbel noise, which is
+sampling without replacement in proportion to the (tempered) weights. Unless given, k is the number of documents whose
+log weight reaches a cut found on labelled documents that the target model has not seen. The noise of a document is a
+hash of its id, so reruns agree.
+
+Null and empty texts and those of white space have no n-grams and weight one: they are treated like any text of
+average quality, and kept as a rule. Texts of any length are read whole, in pieces of PIECE words. Documents that tie
+at the k-th key are all kept, so repeated rows share a fate. Without labels, or with those of one kind only, all weights
+are what the counts give and the cut is -4. An empty table gives an empty one. The input's columns are returned as they
+are, whatever their names; resample() reads doc_id and text only.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterable, Iterator
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -27,108 +34,122 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise, table
+from .common import discard, fresh, map_batches, materialise, table
 
-#: Labelled documents that the models are fitted on, at most: those with the smallest hashes of their ids.
+#: Labelled documents that the target model and the cut are fitted on, at most: those with the smallest hashes of ids.
 SAMPLE = 9000
 
-#: Buckets of the n-gram hash.
-BUCKETS = 1 << 24
+#: Buckets of the n-gram hash: bounds both models, a row for each on the driver at most.
+BUCKETS = 1 << 19
+
+#: Divides log weights before the noise is added.
+TEMPERATURE = 1.0
 
-#: Divides log weights before the noise is added: the smaller, the closer the sample is to a cut.
-TEMPERATURE = 0.05
+#: Texts that the prior on a ratio is worth; standard deviations that a ratio must be from one.
+PRIOR, SURE = 1.0, 4.0
 
 #: Share of held-out good documents that the cut may cost, at most.
 LOSS = 0.001
 
-#: Words that a worker remembers.
-KNOWN = 400_000
+#: Words that a worker remembers, and words of a piece of a long text.
+KNOWN, PIECE = 400_000, 1 << 17
+
+#: Lengths of runs of equal words, and counts of a shape, that are n-grams of their own.
+RUNS, TIMES = (2, 4, 8, 12), (1, 3, 8)
 
 _EDGE = re.compile(r"^\W+|\W+$")
 _TAIL = re.compile(r"\W+$")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hash(x: str) -> int:
+    return xxhash.xxh64_intdigest(x.encode("utf-8", "replace"))
+
+
+class Grams(dict):
+    """A worker's table of words, cleared when full, and the n-grams of texts made from it."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        size = KNOWN + PIECE + 1
+        self.whole, self.shape, self.capital = np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.zeros(size, bool)
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        low = _EDGE.sub("", word.lower())
+        tail = _TAIL.search(word)
+        self.whole[at] = _hash(f"w{low}") if low else 0
+        self.shape[at] = _hash(f"t{tail[0][:8]}") if tail else 0
+        self.capital[at] = len(low) > 1 and word.upper() == word and word.lower() != word
+        return at
+
+    def of(self, text: str | None) -> np.ndarray:
+        """Buckets of the n-grams in a text, each once, in order."""
+        w = (text or "").split()
+        found, shapes = [np.zeros(0, np.uint64)], []
+        for i in range(0, len(w), PIECE):
+            if len(self) > KNOWN:
+                self.clear()
+            part = w[max(0, i - max(RUNS)) : i + PIECE]  # what lies across the border is seen again
+            ids = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
+            whole = self.whole[ids]
+            found += [whole[whole > 0], (whole[:-1] * _ODD + whole[1:])[(whole[:-1] > 0) & (whole[1:] > 0)] | np.uint64(1)]
+            own = ids[min(i, max(RUNS)) :]
+            shapes += [self.shape[own], np.full(int(self.capital[own].sum()), _hash("U"), np.uint64)]
+            ends = np.flatnonzero(np.append(ids[1:] != ids[:-1], True))
+            longest = int(np.diff(ends, prepend=-1).max())
+            found.append(np.array([_hash(f"r{n}") for n in RUNS if n <= longest], np.uint64))
+        if shapes:
+            seen, n = np.unique(np.concatenate(shapes), return_counts=True)
+            found += [seen[(n >= t) & (seen > 0)] * np.uint64(2 * t + 1) for t in TIMES]
+        mixed = np.concatenate(found)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return np.unique((mixed >> np.uint64(40)).astype(np.int64) % BUCKETS)
+
+
+def counted(texts: DataFrame) -> DataFrame:
+    """(gram, n): in how many rows of ``texts`` (text) each n-gram is; summed within tasks, then between them."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        grams, n = Grams(), np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                n[grams.of(text)] += 1
+        seen = np.flatnonzero(n)
+        for i in range(0, len(seen), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(seen[i : i + (1 << 16)]), pa.array(n[seen[i : i + (1 << 16)]])], names=["gram", "n"])
+
+    return map_batches(texts.select("text"), each, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def log_weight(text: str | None, grams: Grams, ratios: np.ndarray) -> float:
+    return float(ratios[grams.of(text)].sum(dtype=np.float64))
+
+
+def ratios_of(target: DataFrame, raw: DataFrame, n_target: int, n_raw: int) -> np.ndarray:
+    """Log-ratios by bucket, zero where the counts (gram, n) of target and raw text do not tell them apart."""
+    e = F.col("raw") * (n_target / max(1, n_raw))
+    both = raw.withColumnRenamed("n", "raw").join(target.withColumnRenamed("n", "target"), "gram", "full").na.fill(0)
+    apart = both.where(F.abs(F.col("target") - e) > SURE * F.sqrt(e + PRIOR)).select("gram", F.log((F.col("target") + PRIOR) / (e + PRIOR)).alias("r"))
+    out = np.zeros(BUCKETS, np.float32)
+    for x in apart.collect():
+        out[x["gram"]] = x["r"]
+    return out
 
 
-def grams(word: str) -> list[int]:
-    """Hashed n-grams of a word."""
-    low = _EDGE.sub("", word.lower())
-    tail = _TAIL.search(word)
-    out = [f"w{low}", f"p{low[:4]}"] if low else [f"t{word[:8]}"]
-    if tail and low:
-        out.append(f"t{tail[0][:8]}")
-    if len(low) > 1 and word.upper() == word and word.lower() != word:
-        out.append("U")
-    return [xxhash.xxh64_intdigest(x) % BUCKETS for x in out]
-
-
-class Words:
-    """A worker's table from words to n-grams or to (gram, log-ratio) pairs, cleared when full."""
-
-    def __init__(self, ratios: dict[int, float] | None = None) -> None:
-        self.ratios, self.known = ratios, {}
-
-    def __call__(self, word: str) -> tuple:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= KNOWN:
-                self.known.clear()
-            g = grams(word)
-            found = self.known[word] = tuple(g) if self.ratios is None else tuple((x, self.ratios[x]) for x in g if x in self.ratios)
-        return found
-
-
-def text_grams(w: list[str], distinct: set[str]) -> list[int]:
-    """Hashed n-grams that take more than one word to see."""
-    out = []
-    for n in (2, 4, 8, 12):
-        same = map(eq, w, w[1:]) if n == 2 else (len(set(x)) == 1 for x in zip(*(w[i:] for i in range(n)), strict=False))
-        if not any(same):
-            break
-        out.append(f"r{n}")
-    for mark in (x for x in distinct if len(x) <= 3 and not x.isalnum() and not _EDGE.sub("", x)):
-        out += [f"n{n}{mark}" for n in (3, 8) if w.count(mark) >= n]
-    return [xxhash.xxh64_intdigest(x) % BUCKETS for x in out]
-
-
-def log_weight(text: str | None, words: Words) -> float:
-    w = (text or "").split()
-    distinct = set(w)
-    hits = {g: words.ratios.get(g, 0.0) for g in text_grams(w, distinct)}
-    for x in distinct:
-        found = words(x)
-        if found:
-            hits.update(found)
-    return math.fsum(hits.values())
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[int, float], float]:
-    """(log-ratios by n-gram, cut). Equal texts count once; of conflicting labels of a text the worse one counts.
-
-    Two thirds of the sample give the models, the rest the cut.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+    """(log-ratios by bucket, cut). Of conflicting labels of a document the worse one counts.
+
+    Two thirds of the sample give the target model, the rest the cut. Parts are drawn by id, so a text with many copies has
+    its share in the target model as it has in the raw one.
     """
     chosen = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.coalesce(F.min("quality"), F.lit(0)) * (1 - F.coalesce(F.max("toxic"), F.lit(0)))).alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("text").alias("th"), "text", "good")
-    texts = materialise(texts.groupBy("th").agg(F.first("text").alias("text"), F.min("good").cast("int").alias("good")).withColumn("part", F.expr("pmod(th, 3)")), "sample")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        words = Words()
-        for b in batches:
-            n: dict[int, list[int]] = {}
-            for text, good in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                w = (text or "").split()
-                distinct = set(w)
-                for g in {x for y in distinct for x in words(y)}.union(text_grams(w, distinct)):
-                    c = n.setdefault(g, [0, 0])
-                    c[0] += good
-                    c[1] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), *(pa.array([c[i] for c in n.values()], pa.int64()) for i in (0, 1))], names=["gram", "target", "raw"])
-
-    seen = texts.where("part < 2")
-    n_target, n_raw = seen.agg(F.coalesce(F.sum("good"), F.lit(0)), F.count(F.lit(1))).first()
-    counts = map_batches(seen.select("text", "good"), count, "gram long, target long, raw long").groupBy("gram").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
-    ratio = F.log((F.col("target") + 0.5) / (n_target + 1.0)) - F.log((F.col("raw") + 0.5) / (n_raw + 1.0))
-    counts = counts.where(F.col("raw") >= max(4, round(0.0015 * n_raw))).select("gram", ratio.alias("r")).where("abs(r) > 1")
-    ratios = {x["gram"]: float(x["r"]) for x in counts.collect()}
-    held = weights(texts.where("part = 2").withColumn("doc_id", F.col("th")).select("doc_id", "text", "good"), ratios, keep=["good"]).select("log_weight", "good").collect()
+    texts = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("good").cast("int").alias("good"), F.expr("pmod(xxhash64(1, doc_id), 3)").alias("part")), "sample")
+    seen = texts.where("part < 2 AND good = 1")
+    raw = materialise(counted(docs), "raw")
+    ratios = ratios_of(counted(seen), raw, seen.count(), docs.count())
+    held = weights(texts.where("part = 2"), ratios, keep=["good"]).collect()
+    discard(texts, raw)
     return ratios, cut([x["log_weight"] for x in held if x["good"]], [x["log_weight"] for x in held if not x["good"]])
 
 
@@ -142,29 +163,24 @@ def cut(good: list[float], bad: list[float], loss: float = LOSS) -> float:
     return float(0.8 * highest + 0.2 * max(under)) if under else float(highest)
 
 
-def weights(docs: DataFrame, ratios: dict[int, float], keep: list[str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, columns in ``keep``, log_weight) of every document."""
-    keep = keep or []
-    table_of = session_broadcast(docs, ratios)
+def weights(docs: DataFrame, ratios: np.ndarray, keep: list[str], text: str = "text", out: str = "log_weight") -> DataFrame:
+    """(columns in ``keep``, log_weight) of every row; ``ratios`` is broadcast, BUCKETS floats."""
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        words = Words(table_of.value)
+        grams, model = Grams(), shared.value
         for b in batches:
-            got = [log_weight(t, words) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(got, pa.float64())], names=[key, *keep, "log_weight"])
-
-    kinds = dict(docs.dtypes)
-    return map_batches(docs.select(text, key, *keep), each, ", ".join([f"`{c}` {kinds[c]}" for c in (key, *keep)] + ["log_weight double"]))
-
+            got = [log_weight(t, grams, model) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(got, pa.float64())], names=[*keep, out])
 
-def session_broadcast(df: DataFrame, value: object):  # noqa: ANN201
-    """A broadcast of a table whose size the sample's bound limits."""
-    return df.sparkSession.sparkContext.broadcast(value)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    chosen = docs.select(F.col(f"`{text}`").alias(fresh("_", keep)), *[F.col(f"`{c}`") for c in keep])
+    return map_batches(chosen, each, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{out}` double"]))
 
 
 def gumbel(key: str = "doc_id", seed: int = 7):  # noqa: ANN201
     """Standard Gumbel noise from a hash of the id."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11).cast("double") + 0.5) / float(1 << 53)
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(f"`{key}`")), 11).cast("double") + 0.5) / float(1 << 53)
     return -F.log(-F.log(u))
 
 
@@ -188,38 +204,29 @@ def kth_largest(keys: DataFrame, k: int, small: int = 10_000) -> float:
             left -= x["n"]
 
 
-def resample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, temperature: float = TEMPERATURE) -> DataFrame:
+def kept(scored: DataFrame, k: int, temperature: float = TEMPERATURE, key: str = "doc_id", weight: str = "log_weight", seed: int = 7):  # noqa: ANN201
+    """A column that tells which rows of ``scored`` Gumbel top-k keeps. Rows that tie with the k-th are kept."""
+    if k <= 0:
+        return F.lit(False)
+    g = F.col(f"`{weight}`") / temperature + gumbel(key, seed)
+    return g >= F.lit(kth_largest(scored.select(g.alias("g")), k))
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, sample: int = SAMPLE, temperature: float = TEMPERATURE) -> DataFrame:
     """(doc_id, log_weight, kept) of every document."""
     ratios, at = fit(docs, labels, sample)
-    scored = materialise(weights(docs, ratios), "weights")
-    keyed = scored.withColumn("g", F.col("log_weight") / temperature + gumbel())
-    k = scored.where(F.col("log_weight") >= at).count()
-    if k == 0:
-        return scored.withColumn("kept", F.lit(False))
-    least = kth_largest(keyed.select("g"), k)
-    return keyed.select("doc_id", "log_weight", (F.col("g") >= least).alias("kept"))
+    scored = materialise(weights(docs, ratios, ["doc_id"]), "weights")
+    k = scored.where(F.col("log_weight") >= at).count() if k is None else k
+    return scored.select("doc_id", "log_weight", kept(scored, k, temperature).alias("kept"))
 
 
-def accept(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, temperature: float = TEMPERATURE) -> DataFrame:
+def accept(docs: DataFrame, labels: DataFrame, k: int | None = None, sample: int = SAMPLE, temperature: float = TEMPERATURE) -> DataFrame:
     """The rows of ``docs`` that resampling keeps, with their columns. Texts stay where they are: no join brings them."""
     ratios, at = fit(docs, labels, sample)
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
-    where = docs.columns.index("text")
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        words = Words(shared.value)
-        for b in batches:
-            got = [log_weight(t, words) for t in b.column(where).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=[*b.schema.names, "__log_weight"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    scored = map_batches(docs, each, f"{fields}, `__log_weight` double").withColumn("__g", F.col("__log_weight") / temperature + gumbel())
-    keyed = materialise(scored, "weights")
-    k = keyed.where(F.col("__log_weight") >= at).count()
-    if k == 0:
-        return docs.limit(0)
-    least = kth_largest(keyed.select(F.col("__g").alias("g")), k)
-    return keyed.where(F.col("__g") >= least).drop("__g", "__log_weight")
+    name = fresh("log_weight", docs.columns)
+    scored = materialise(weights(docs, ratios, docs.columns, out=name), "weights")
+    k = scored.where(F.col(f"`{name}`") >= at).count() if k is None else k
+    return scored.where(kept(scored, k, temperature, weight=name)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
