@@ -8,10 +8,18 @@ Three kinds of evidence meet in one posterior per text:
 * the place: a prior for the host, smoothed towards its address suffix, which is smoothed towards all rows; these, too,
   from grouped counts over all rows of the languages that the texts alone suggest.
 
+Declarations are all that there is to learn the text models from, so they serve twice: as labels of a sample, and as
+evidence whose weight follows from how often text and declaration agree. A declaration that says nothing gets no weight.
+
 The trigram models are fitted on at most SAMPLE rows of each declared language, those with the smallest hashes of their
-ids, so how common a language is does not decide whether it has a model: LEAST rows in the whole table do. Counts by place are one row for each host before they meet the rows again. A null or empty text has no likelihood
-of its own and takes the language of declaration and place; a null declaration counts as "und". Hosts may be null, too:
-such rows share a prior. Repeated rows are each judged.
+ids, so how common a language is does not decide whether it has a model: LEAST rows in the whole table do. The MODELS
+most common ones are modelled, which bounds what the driver gathers; declarations of all others count together.
+
+Counts by place are one row for each host before they meet the rows again, and that join is of two written tables, so
+Spark can split the rows of a hot host. A null or empty text has no likelihood of its own and takes the language of
+declaration and place; a null or unreadable declaration counts as "und". Hosts and suffixes may be null, too: such rows
+share a prior. Of languages with the same posterior the first in order of the alphabet is taken. Repeated rows are each
+judged. Texts of any length are read whole. An empty table gives an empty one. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -24,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise, table
+from .common import discard, map_batches, materialise, table
+from .url_filters import host_of
 
 #: Rows that the model of a language is fitted on, at most.
 SAMPLE = 1000
@@ -38,8 +47,8 @@ OVERLAP = 3.0
 #: Weight of the wider prior, in rows.
 TO_SUFFIX, TO_ALL = 5.0, 20.0
 
-#: Languages with fewer rows in the table than this are not modelled.
-LEAST = 5
+#: Languages with fewer rows in the table than this are not modelled, and no more than MODELS are.
+LEAST, MODELS = 5, 256
 
 
 def trigrams(text: str | None) -> np.ndarray:
@@ -49,17 +58,18 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 def sampled(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(text, declared): of each language with LEAST rows or more, those with the smallest hashes of their keys.
+    """(text, declared): of each modelled language the rows with the smallest hashes of their keys.
 
-    If no language has LEAST rows, all are taken. A threshold on the hash, from the language's count, leaves about twice
-    the sample before the rows of a language meet to be ranked.
+    If no language has LEAST rows, the most common ones are modelled all the same. A threshold on the hash, from the
+    language's count, leaves about twice the sample before the rows of a language meet to be ranked.
     """
     told = rows.where("declared <> 'und' AND text IS NOT NULL").select("key", "text", "declared")
-    counts = materialise(told.groupBy("declared").agg(F.count(F.lit(1)).alias("n")), "declared")
+    counts = told.groupBy("declared").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "declared").limit(MODELS)
+    counts = materialise(counts, "declared")
     enough = counts.where(F.col("n") >= LEAST)
     counts = enough if enough.limit(1).count() else counts
     share = (F.shiftrightunsigned(F.xxhash64("key"), 11).cast("double") + 0.5) / float(1 << 53)
-    few = told.withColumn("share", share).join(counts, "declared").where(F.col("share") * F.col("n") < 2 * sample + 50)
+    few = told.withColumn("share", share).join(F.broadcast(counts), "declared").where(F.col("share") * F.col("n") < 2 * sample + 50)
     ranked = few.withColumn("at", F.row_number().over(Window.partitionBy("declared").orderBy("share", "key")))
     return ranked.where(F.col("at") <= sample).select("text", "declared")
 
@@ -85,6 +95,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     found = sorted(total) or ["und"]
     counts = np.stack([total[d][1] if d in total else np.zeros(BUCKETS, np.int64) for d in found], 1).astype(np.float64)
     p = (counts + 0.1) / (counts.sum(0) + 0.1 * BUCKETS)
+    discard(chosen)
     return found, np.log(p).astype(np.float32)
 
 
@@ -99,57 +110,55 @@ def identify(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            out = []
+            out, best = [], []
             for t in b.column(0).to_pylist():
                 g, total = trigrams(t), np.zeros(n)
                 for i in range(0, len(g), 1 << 16):
                     total += model[g[i : i + (1 << 16)]].sum(0, dtype=np.float64)
                 out.append((total / OVERLAP).tolist())
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(out, pa.list_(pa.float64()))], names=["key", "declared", "host", "suffix", "ll"])
+                best.append(int(total.argmax()) if len(g) else None)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(out, pa.list_(pa.float64())), pa.array(best, pa.int32())], names=["key", "declared", "host", "suffix", "ll", "best"])
 
-    scored = materialise(map_batches(rows.select("text", "key", "declared", "host", "suffix"), score, f"key {kind}, declared string, host string, suffix string, ll array<double>"), "likelihoods")
-    # 1-based place of the best language by the text alone; null where the text says nothing
-    scored = scored.withColumn("best", F.when(F.array_max("ll") < 0, F.array_position("ll", F.array_max("ll")).cast("int")))
+    # best: place of the best language by the text alone; null where the text says nothing
+    scored = materialise(map_batches(rows.select("text", "key", "declared", "host", "suffix"), score, f"key {kind}, declared string, host string, suffix string, ll array<double>, best int"), "likelihoods")
     told = scored.where("best IS NOT NULL")
-    per = lambda: [F.count_if(F.col("best") == i + 1).alias(f"n{i}") for i in range(n)]
-
-    by_host = told.groupBy("host", "suffix").agg(*per())
-    counts = [F.sum(f"n{i}").alias(f"n{i}") for i in range(n)]
-    by_suffix = by_host.groupBy("suffix").agg(*counts)
-    every = by_suffix.agg(*counts).first()
-    total = sum(x or 0 for x in every)
-    base = [((x or 0) + 1.0) / (total + n) for x in every]
-    of_suffix = by_suffix.select("suffix", *[((F.col(f"n{i}") + TO_ALL * base[i]) / (sum(F.col(f"n{j}") for j in range(n)) + TO_ALL)).alias(f"s{i}") for i in range(n)])
-    of_host = by_host.join(of_suffix, "suffix").select("host", "suffix", F.array(*[F.log((F.col(f"n{i}") + TO_SUFFIX * F.col(f"s{i}")) / (sum(F.col(f"n{j}") for j in range(n)) + TO_SUFFIX)) for i in range(n)]).alias("prior"))
-
-    # declarations that are no modelled language count together, so this table has a bounded number of rows
+    each = [F.count_if(F.col("best") == i) for i in range(n)]
+    added = lambda: F.array(*[F.sum(F.col("c")[i]) for i in range(n)])
+    smoothed = lambda counts, wider, weight: F.zip_with(counts, wider, lambda c, w: (c + weight * w) / (F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x) + weight))
+
+    by_host = told.groupBy("host", "suffix").agg(F.array(*each).alias("c"))
+    by_suffix = materialise(by_host.groupBy("suffix").agg(added().alias("c")), "suffixes")
+    every = [x or 0 for x in by_suffix.agg(added().alias("c")).first()[0]]
+    base = [(x + 1.0) / (sum(every) + n) for x in every]
+    flat = F.array(*[F.lit(x) for x in base])
+    of_suffix = by_suffix.select("suffix", smoothed(F.col("c"), flat, TO_ALL).alias("wider"))
+    priors = by_host.join(of_suffix, "suffix").select("host", "suffix", F.transform(smoothed(F.col("c"), F.col("wider"), TO_SUFFIX), lambda x: F.log(x)).alias("prior"))
+    priors = materialise(priors, "priors")
+
+    # declarations that are no modelled language count together, so this table has a row for each language and one more
     declared = F.when(F.col("declared").isin(*languages), F.col("declared")).otherwise("und")
-    pairs = {x[0]: [x[i + 1] for i in range(n)] for x in told.groupBy(declared.alias("d")).agg(*per()).collect()}
-    names = [*languages, "und"]
-    said = {d: [float(np.log((pairs.get(d, [0] * n)[i] + 1.0) / ((every[i] or 0) + len(names)))) for i in range(n)] for d in names}
-    evidence = F.coalesce(*[F.when(declared == d, F.array(*[F.lit(x) for x in said[d]])) for d in names])
-    flat = F.array(*[F.lit(float(np.log(x))) for x in base])
-    joined = scored.join(of_host, ["host", "suffix"], "left")
-    logit = joined.withColumn("x", F.zip_with(F.zip_with("ll", F.coalesce("prior", flat), lambda a, b: a + b), evidence, lambda a, b: a + b))
-    at = F.array_position("x", F.array_max("x")).cast("int")
-    top = F.array_max("x")
+    pairs = {x[0]: x[1] for x in told.groupBy(declared.alias("d")).agg(F.array(*each)).collect()}
+    names = [*languages, *(["und"] if "und" not in languages else [])]
+    said = [(d, [float(np.log((pairs.get(d, [0] * n)[i] + 1.0) / (every[i] + len(names)))) for i in range(n)]) for d in names]
+    evidence = rows.sparkSession.createDataFrame(said, "said string, evidence array<double>")
+    joined = scored.join(priors, ["host", "suffix"], "left").withColumn("said", declared).join(F.broadcast(evidence), "said")
+    logit = joined.withColumn("x", F.zip_with(F.zip_with("ll", F.coalesce("prior", F.transform(flat, lambda x: F.log(x))), lambda a, b: a + b), "evidence", lambda a, b: a + b)).withColumn("top", F.array_max("x"))
+    at = F.array_position("x", F.col("top")).cast("int")
     mass = F.aggregate("x", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))
     names_of = F.array(*[F.lit(x) for x in languages])
-    return logit.withColumn("top", top).select("key", F.element_at(names_of, at).alias("lang"), (F.lit(1.0) / mass).alias("confidence"), F.when(F.col("best").isNotNull(), F.element_at(names_of, F.col("best"))).alias("text_lang"), "declared", "host")
+    return logit.select("key", F.element_at(names_of, at).alias("lang"), (F.lit(1.0) / mass).alias("confidence"), F.get(names_of, F.col("best")).alias("text_lang"), "declared", "host")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op3: the language of every document; its declared language is column lang, its place column source."""
-    d = table(spark, sf_dir, "documents")
-    rows = d.select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit("").alias("suffix"))
-    return identify(rows).select(F.col("key").alias("doc_id"), "lang", "confidence", "text_lang", F.col("host").alias("source"))
-
-
-def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of every page: text without tags, the lang attribute of the markup, host and address suffix."""
-    from .url_filters import host_of
-
+    """op3: the language of every page: text without tags, the lang attribute of the markup, host and address suffix."""
     p = table(spark, sf_dir, "pages").withColumn("host", host_of(F.col("url")))
     text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ")
     rows = p.select(F.col("page_id").alias("key"), text.alias("text"), F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z]+)", 1).alias("declared"), "host", F.regexp_extract("host", r"[^.]*$", 0).alias("suffix"))
     return identify(rows).select(F.col("key").alias("page_id"), "lang", "confidence", "text_lang", "declared", "host")
+
+
+def language_id_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; its declared language is column lang, its place column source, without a suffix."""
+    d = table(spark, sf_dir, "documents")
+    rows = d.select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit("").alias("suffix"))
+    return identify(rows).select(F.col("key").alias("doc_id"), "lang", "confidence", "text_lang", F.col("host").alias("source"))

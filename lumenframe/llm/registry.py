@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op8_decontaminate
 from .html_text import op1_html_text
-from .language_id import language_id_pages, op3_language_id
+from .language_id import language_id_documents, op3_language_id
 from .packing import op4_best_fit_packing
 from .quality_classifier import op6_quality_classifier
 from .quality_rules import OP5_SQL, op5_quality_rules
@@ -23,7 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_html_text": op1_html_text,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_language_id": op3_language_id,
-        "language_id_pages": language_id_pages,
+        "language_id_documents": language_id_documents,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_quality_rules": op5_quality_rules,
         "op6_quality_classifier": op6_quality_classifier,
