@@ -1,14 +1,19 @@
-"""URL filters: dated list entries become validity intervals; every capture meets the entries of its fetch time.
+"""URL filters: dated list entries become validity intervals; an as-of join judges every capture at its fetch time.
 
 An entry names a host or a domain above it and is added or removed at a time. Per pattern the entries in order of time
 become intervals from an "add" up to, but not including, the next "remove"; repeated adds or removes change nothing,
-and of entries at the same time "remove" comes last. Captures are not joined one by one: their distinct hosts, each
-with the domains above it, meet the patterns, and what comes back is one row for each host with the intervals of its
-patterns. Captures join that by host, and the intervals active at the fetch time are picked inside the row. A hot host
-is one row on that side, so its captures can be split over many tasks.
+and of entries at the same time "remove" comes last. The last interval of a pattern may be open.
+
+The as-of join is of distinct (host, time) of the captures, each with the host's name and the domains above it as
+patterns. Closed intervals are cut along the calendar into slices of SLICE days, so it is an equality of pattern and slice
+with a condition on the time: a pattern that is edited often, or a host that is captured often, is spread over its
+slices. Of open intervals a pattern has one at most, so those meet by pattern alone. The longest active pattern decides,
+and goes back to the captures by host and time. No list is gathered by host or pattern.
 
 All of it is DataFrame operations. A capture without a host (null, empty or relative URL) or without a time matches
-nothing. Rows that repeat are each judged. Entries with a null pattern, time or action are left out.
+nothing. Rows that repeat are each judged, and are one to the join. Entries with a null pattern, time or action are left
+out. Empty tables are allowed on either side. The captures' columns are returned as they are; a result whose name is taken
+gets an underscore.
 """
 
 from __future__ import annotations
@@ -16,7 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
+
+#: Days of a slice of time.
+SLICE = 32
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
@@ -37,15 +45,28 @@ def intervals(entries: DataFrame) -> DataFrame:
     return turns.withColumn("until", F.lead("at").over(w)).where("on").select("pattern", F.col("at").alias("since"), "until")
 
 
+def as_of(keys: DataFrame, spans: DataFrame) -> DataFrame:
+    """``keys`` (host, at, pattern) with the interval of ``spans`` (pattern, since, until) that holds at the time: (host, at,
+    pattern, since). Others are left out; a pattern has one interval at a time."""
+    part = lambda c: F.floor(F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")) / SLICE)
+    closed = spans.where("until IS NOT NULL").select("*", F.explode(F.sequence(part("since"), part("until"))).alias("slice"))
+    within = keys.withColumn("slice", part("at")).join(closed, ["pattern", "slice"]).where("since <= at AND at < until")
+    after = keys.join(spans.where("until IS NULL"), "pattern").where("since <= at")
+    return within.select("host", "at", "pattern", "since").unionAll(after.select("host", "at", "pattern", "since"))
+
+
 def matches(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "fetched_at") -> DataFrame:
-    """``captures`` with host, blocked, pattern (the longest active one) and since, the start of its interval."""
-    c = captures.withColumn("host", host_of(F.col(url)))
-    hosts = c.select("host").where("host IS NOT NULL").distinct()
+    """``captures`` and, as the last four columns, host, blocked, pattern (the longest active one) and since, the start of
+    its interval."""
+    names = [fresh(c, captures.columns) for c in ("host", "blocked", "pattern", "since")]
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(captures.columns)]
+    c = captures.select(*own, host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{at}`").alias("at"))
     labels = F.split("host", r"\.")
-    above = hosts.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("pattern"))
-    known = above.join(intervals(entries), "pattern").groupBy("host").agg(F.collect_list(F.struct(F.length("pattern").alias("n"), "since", "until", "pattern")).alias("spans"))
-    active = F.array_max(F.filter("spans", lambda s: (s["since"] <= F.col(at)) & (s["until"].isNull() | (F.col(at) < s["until"]))))
-    return c.join(known, "host", "left").withColumn("hit", active).select(*[F.col(f"`{x}`") for x in captures.columns], "host", F.col("hit").isNotNull().alias("blocked"), F.col("hit.pattern").alias("pattern"), F.col("hit.since").alias("since"))
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    keys = c.select("host", "at").where("host IS NOT NULL AND at IS NOT NULL").distinct().select("host", "at", F.explode(above).alias("pattern"))
+    hits = as_of(keys, intervals(entries)).groupBy("host", "at").agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", "since")).alias("hit"))
+    out = (F.col("host"), F.col("hit").isNotNull(), F.col("hit.pattern"), F.col("hit.since"))
+    return c.join(hits, ["host", "at"], "left").select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(captures.columns)], *[v.alias(n) for v, n in zip(out, names, strict=True)])
 
 
 def derived_captures(pages: DataFrame) -> DataFrame:
