@@ -12,9 +12,13 @@ Before the walk, windows are passed over that can't be within that distance: eac
 item's word pairs, so a window needs the rest of its pairs among those of the items, where a pair that repeats the one
 before it counts once. No true window is lost by that.
 
-The items are the query set: they are gathered in blocks of at most BLOCK items and every document is scanned against
-each block. Items with no word are not searched; those too short for one edit must occur as they are. Null and empty
-texts have no hits. Rows with the same id are scanned each for itself.
+The items are the query set: they are gathered in blocks of about BLOCK items and BLOCK_BYTES bytes and every document is
+scanned against each block. Items with no word are not searched; those too short for one edit must occur as they are. An
+item without an id is searched like any other, its hits have a null item_id, and all such items count as one. Equal items
+under several ids are each found. Null and empty texts have no hits, whatever the length of others; texts are read whole.
+Rows with the same id are scanned each for itself. Of stretches with the same distance the first counts. Where no number
+of tables up to TABLES reaches RECALL, every window that may match is verified. Empty tables are allowed on either side.
+Columns of the documents are returned as they are.
 """
 
 from __future__ import annotations
@@ -28,16 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table
+from .common import fresh, map_batches, table
 
 #: Share of an item's words that may be edited.
 EDITS = 0.15
 
-#: Coordinates of a table's sample, share of edited items to find, tables at most.
-SAMPLED, RECALL, MOST_TABLES = 3, 0.95, 40
+#: Coordinates of a table's sample, share of edited items to find, tables beyond which windows are verified without them.
+SAMPLED, RECALL, TABLES = 3, 0.95, 200
 
-#: Items of a block: bounds what is sent to the executors.
-BLOCK = 20_000
+#: Items and bytes of a block: bound what is sent to the executors.
+BLOCK, BLOCK_BYTES = 20_000, 16 << 20
 
 #: Words that a worker remembers.
 KNOWN = 1_200_000
@@ -114,7 +118,7 @@ def _near(places: np.ndarray, n: int, width: int) -> bool:
 class Index:
     """Walks, samples and words of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str | None]], edits: float = EDITS, recall: float = RECALL) -> None:
+    def __init__(self, items: list[tuple[int | None, str | None]], edits: float = EDITS, recall: float = RECALL, most: int = TABLES) -> None:
         self.edits, self.ids, self.items = edits, {}, []
         for key, text in items:
             words = [w for w in map(plain, (text or "").split()) if w]
@@ -130,7 +134,7 @@ class Index:
         self.need = {n: max(0, n - 1 - 2 * self.allowed(n) - max(sum(a == b == c for a, b, c in zip(w, w[1:], w[2:], strict=False)) for w in (self.items[m][1] for m in members))) for n, members in self.by_length.items()}
         self.fewest = min(self.need.values(), default=0)
         self.longest = max(self.by_length, default=0)
-        self.tables = self._tables(recall)
+        self.tables, self.exact = self._tables(recall, most)
         self.found: dict[int, list[tuple[Walk, dict[int, list[int]]]]] = {n: [self._table(t, n) for t in range(self.tables)] for n in self.by_length}
 
     def allowed(self, n: int) -> int:
@@ -143,8 +147,9 @@ class Index:
             found.setdefault(s, []).append(at)
         return walk, found
 
-    def _tables(self, recall: float, most: int = MOST_TABLES, tried: int = 400) -> int:
-        """The least number of tables that finds ``recall`` of randomly edited items."""
+    def _tables(self, recall: float, most: int, tried: int = 400) -> tuple[int, bool]:
+        """The least number of tables that finds ``recall`` of randomly edited items; or none, and True, if none up to
+        ``most`` does."""
         rng = np.random.default_rng(5)
         left = []
         for at in rng.choice(len(self.items), min(tried, len(self.items)), replace=False).tolist() if self.items else []:
@@ -160,12 +165,14 @@ class Index:
             groups.setdefault(len(w), []).append((w, e))
         lost = {n: np.ones(len(x), bool) for n, x in groups.items()}
         t = 0
-        while t < most and (t == 0 or sum(x.sum() for x in lost.values()) > (1 - recall) * len(left)):
+        while t == 0 or sum(x.sum() for x in lost.values()) > (1 - recall) * len(left):
+            if t == most:
+                return 0, True
             for n, x in groups.items():
                 walk, starts = Walk(t, n), np.arange(len(x)) * n
                 lost[n] &= walk.samples(np.concatenate([w for w, _ in x]), starts) != walk.samples(np.concatenate([e for _, e in x]), starts)
             t += 1
-        return t
+        return t, False
 
     def hits(self, ids: np.ndarray) -> list[dict]:
         """The items in a text, the best stretch of each, ordered by item; places are word numbers."""
@@ -200,7 +207,7 @@ class Index:
                 starts = places[padded[places] > 0]
             if not len(starts):
                 continue
-            tried = set()
+            tried = {(at, p) for at in self.by_length[n] for p in starts.tolist()} if self.exact else set()
             for walk, found in tables:
                 for p, s in zip(starts.tolist(), walk.samples(padded, starts).tolist(), strict=True):
                     for at in found.get(s, ()):
@@ -220,7 +227,7 @@ class Index:
         for at, got in best.items():
             key = self.items[at][0]
             by_item[key] = min(got, by_item.get(key, got))
-        return [{"item_id": key, "start": s, "end": e, "distance": d} for key, (d, s, e) in sorted(by_item.items())]
+        return [{"item_id": key, "start": s, "end": e, "distance": d} for key, (d, s, e) in sorted(by_item.items(), key=lambda x: (x[0] is not None, x[0] or 0))]
 
 
 class Ids(dict):
@@ -260,12 +267,13 @@ def mark(docs: DataFrame, items: list[tuple[int, str | None]], text: str = "text
     return map_batches(docs, each, f"{fields}, `{column}` {_HIT_DDL}")
 
 
-def blocks(benchmark: DataFrame, block: int = BLOCK, key: str = "item_id", text: str = "text") -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks of about ``block``; one empty block if there are none."""
-    n = max(1, math.ceil(benchmark.count() / block))
+def blocks(benchmark: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, key: str = "item_id", text: str = "text") -> Iterator[list[tuple[int | None, str | None]]]:
+    """The items in blocks of about ``block`` items and ``block_bytes`` bytes; one empty block if there are none."""
+    count, size = benchmark.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    n = max(1, math.ceil(count / block), math.ceil(size / block_bytes))
     for i in range(n):
-        part = benchmark.where(F.expr(f"pmod(xxhash64(`{key}`), {n}) = {i}")) if n > 1 else benchmark
-        yield [(x[0], x[1]) for x in part.select(F.col(key).cast("long"), text).collect() if x[0] is not None]
+        part = benchmark.where(F.pmod(F.xxhash64(key, text), F.lit(n)) == i) if n > 1 else benchmark
+        yield [(x[0], x[1]) for x in part.select(F.col(key).cast("long"), text).collect()]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -279,8 +287,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item is found."""
+    hits = fresh("hits", docs.columns)
     for part in blocks(benchmark):
-        docs = mark(docs, part, column="__hits").where("size(__hits) = 0").drop("__hits")
+        docs = mark(docs, part, column=hits).where(F.size(f"`{hits}`") == 0).drop(hits)
     return docs
 
 
