@@ -2,7 +2,7 @@
 
 A segment is a self-contained byte string:
 
-    magic 4s | version u1 | bits u1 | pad u2 | block u4 | n_docs u4 | n_ids u8 | first u8
+    magic 4s | version u1 | bits u1 | pad u2 | block u4 | n_docs u4 | n_null u4 | n_ids u8 | first u8
     doc_id i8[n_docs] | n_tokens u8[n_docs] | block_offset u8[n_blocks + 1] | payload
 
 All numbers are little-endian. Block b holds ids b*block and on, each in ``bits`` bits, lowest bit first, and starts
@@ -10,7 +10,10 @@ at payload byte block_offset[b]. ``first`` counts the ids of the same shard befo
 documents in ascending doc_id, are ordered by (shard, segment), and lie in the rows of a Parquet table, so Spark's
 commit protocol decides which of two attempts of a task counts, on any file system.
 
-Null and empty texts are a document of the end id alone. Rows with the same doc_id are documents of their own.
+Null and empty texts are a document of the end id alone. Rows with the same doc_id are documents of their own, in order of
+their packed ids. Rows without a doc_id come first; n_null counts them, and they are read back without one. A text of any length
+is one document, in the memory of one task. An empty table makes no segment and reads back empty. Only the two named
+columns are written.
 """
 
 from __future__ import annotations
@@ -22,14 +25,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, shared_dir, table
 from .tokens import Encoder, default_tokenizer, vocabulary_bits
 
-HEAD = struct.Struct("<4sBBHIIQQ")
+HEAD = struct.Struct("<4sBBHIIIQQ")
 MAGIC = b"LFTB"
 
 #: Ids of a block: the unit of random access.
@@ -58,21 +60,21 @@ def unpack(data: bytes | memoryview, n: int, bits: int) -> np.ndarray:
     return np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(-1)
 
 
-def write_segment(doc_ids: list[int], ids: list[bytes], bits: int, first: int, block: int = BLOCK) -> bytes:
-    """A segment of documents; ``ids``: of each, as unsigned 32-bit bytes."""
+def write_segment(doc_ids: list[int | None], ids: list[bytes], bits: int, first: int, block: int = BLOCK) -> bytes:
+    """A segment of documents, those without an id first; ``ids``: of each, as unsigned 32-bit bytes."""
     every = np.frombuffer(b"".join(ids), "<u4")
     blocks = [pack(every[i : i + block], bits) for i in range(0, len(every), block)]
     offsets = np.cumsum([0, *map(len, blocks)]).astype("<u8")
-    head = HEAD.pack(MAGIC, 1, bits, 0, block, len(doc_ids), len(every), first)
-    return b"".join([head, np.array(doc_ids, "<i8").tobytes(), np.array([len(x) // 4 for x in ids], "<u8").tobytes(), offsets.tobytes(), *blocks])
+    head = HEAD.pack(MAGIC, 2, bits, 0, block, len(doc_ids), sum(d is None for d in doc_ids), len(every), first)
+    return b"".join([head, np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([len(x) // 4 for x in ids], "<u8").tobytes(), offsets.tobytes(), *blocks])
 
 
 class Segment:
     """Reads a segment; only the blocks that a range touches are unpacked."""
 
     def __init__(self, data: bytes) -> None:
-        magic, version, self.bits, _, self.block, n, self.n_ids, self.first = HEAD.unpack_from(data)
-        if magic != MAGIC or version != 1:
+        magic, version, self.bits, _, self.block, n, self.n_null, self.n_ids, self.first = HEAD.unpack_from(data)
+        if magic != MAGIC or version != 2:
             raise ValueError("not a token segment")
         at = HEAD.size
         self.doc_ids = np.frombuffer(data, "<i8", n, at)
@@ -95,38 +97,52 @@ class Segment:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1, text: str = "text", key: str = "doc_id") -> None:
-    """Tokenizes whole texts and writes their segments to ``path`` in ascending key, one shard for each task.
+    """Tokenizes whole texts and writes their segments to ``path`` in ascending key, one shard for each range of keys.
 
-    The texts are dealt out by ranges of the key first, which needs a scan for the ranges and one shuffle.
+    A scan of the keys gives the ranges, as many as shuffle partitions; texts are encoded where they are, and packed ids
+    are what is shuffled.
     """
     name = tokenizer or default_tokenizer()
     bits = vocabulary_bits(name)
     end = np.array([end_id], "<u4").tobytes()
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.agg(F.percentile_approx("k", F.array(*[F.lit(i / n) for i in range(1, n + 1)]), 10_000)).first()[0]
+    bounds = np.unique(np.array(found or [0], np.int64))[:-1]
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        encode, shard, number, first = Encoder(name), TaskContext.get().partitionId(), 0, 0
-        keys: list[int] = []
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        encode = Encoder(name)
+        for b in batches:
+            ids = [np.frombuffer(x + end, "<u4") for x in encode(b.column(1).to_pylist())]
+            # rows without a key come before all others
+            shard = [0 if k is None else int(np.searchsorted(bounds, k, side="left")) for k in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([pack(x, bits) for x in ids], pa.binary())], names=["shard", "k", "n", "ids"])
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        shard, number, first, size = None, 0, 0, 0
+        keys: list[int | None] = []
         parts: list[bytes] = []
-        size = 0
 
         def segment() -> pa.RecordBatch:
-            row = [[shard], [number], [size // 4], [write_segment(keys, parts, bits, first)]]
+            row = [[shard], [number], [size], [write_segment(keys, parts, bits, first)]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["shard", "segment", "n_ids", "data"])
 
         for b in batches:
-            for k, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
-                keys.append(k)
-                parts.append(ids + end)
-                size += len(ids) + 4
-                if size >= 4 * SEGMENT:
+            for s, k, n_ids, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if size >= SEGMENT or s != shard and keys:
                     yield segment()
-                    number, first = number + 1, first + size // 4
-                    keys, parts, size = [], [], 0
+                    number, first, size, keys, parts = number + 1, first + size, 0, [], []
+                if s != shard:
+                    shard, number, first = s, 0, 0
+                keys.append(k)
+                parts.append(unpack(ids, n_ids, bits).tobytes())
+                size += n_ids
         if keys:
             yield segment()
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange("k").sortWithinPartitions("k", "t")
-    map_batches(rows, each, "shard int, segment int, n_ids long, data binary").write.option("compression", "uncompressed").parquet(path)
+    made = map_batches(rows, encoded, "shard int, k long, n long, ids binary")
+    dealt = made.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "k", "ids")
+    map_batches(dealt, segments, "shard int, segment int, n_ids long, data binary").write.option("compression", "uncompressed").parquet(path)
 
 
 def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
@@ -147,7 +163,7 @@ def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
                 ids = s.read(0, s.n_ids)
                 for at, n in zip(s.starts.tolist(), s.lengths.tolist(), strict=True):
                     crc.append(zlib.crc32(ids[at : at + n].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids), pa.array(s.starts + (base + s.first)), pa.array(s.lengths), pa.array(crc, pa.int64())], names=[key, "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, mask=np.arange(len(s.doc_ids)) < s.n_null), pa.array(s.starts + (base + s.first)), pa.array(s.lengths), pa.array(crc, pa.int64())], names=[key, "start", "n_tokens", "ids_crc32"])
 
     rows = segments.join(F.broadcast(starts), "shard").select("base", "data")
     return map_batches(rows, each, f"{key} long, start long, n_tokens long, ids_crc32 long")
