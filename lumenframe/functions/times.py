@@ -32,3 +32,28 @@ def mjd_to_jd(mjd: Column) -> Column:
 
 def jd_now() -> Column:
     return timestamp_to_jd(F.current_timestamp())
+
+
+#: Fixed value: seconds that light takes for an astronomical unit.
+AU_SECONDS = 499.004784
+
+
+def earth_position(jd: Column) -> tuple[Column, Column, Column]:
+    """The Earth around the Sun in astronomical units, equatorial, by the low-precision solar formulae (about 0.01 degrees)."""
+    n = jd - 2451545.0
+    g = F.radians(357.528 + 0.9856003 * n)
+    lon = F.radians(280.460 + 0.9856474 * n + 1.915 * F.sin(g) + 0.020 * F.sin(2 * g))
+    r = 1.00014 - 0.01671 * F.cos(g) - 0.00014 * F.cos(2 * g)
+    tilt = F.radians(23.439 - 0.0000004 * n)
+    return -r * F.cos(lon), -r * F.cos(tilt) * F.sin(lon), -r * F.sin(tilt) * F.sin(lon)
+
+
+def jd_corr(jd: Column, ra: Column, decl: Column) -> Column:
+    """The Julian date at which the light would have passed the Sun: heliocentric, within some seconds of barycentric time.
+
+    No ephemeris file is needed; the Sun's own motion around the barycentre (up to four seconds) and the difference of time
+    scales are left out.
+    """
+    x, y, z = earth_position(jd)
+    a, d = F.radians(ra), F.radians(decl)
+    return jd + (x * F.cos(d) * F.cos(a) + y * F.cos(d) * F.sin(a) + z * F.sin(d)) * AU_SECONDS / 86400.0

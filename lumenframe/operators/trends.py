@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fits import savgol
-from .series import KEY, MAD_STD, by_time, finite_filter, whole
+from .series import KEY, MAD_STD, by_time, finite, finite_filter, timegroups, whole
 
 #: Bytes of a template matrix that may go to every task.
 TEMPLATE_BYTES = 256 << 20
@@ -141,6 +141,43 @@ def rf_epd(lc: DataFrame, names: list[str], trees: int = 100, depth: int = 8, le
     return per_object(finite_filter(lc, nonzero_errors=False), run, "m_rfepd double")
 
 
+#: Legendre degrees of a centroid fit by numbers of points; between them the degree is interpolated.
+CENTROID_DEGREES = ([1e2, 3e2, 5e2, 1e3, 3e3], [4, 5, 6, 10, 15])
+
+
+def centroid_degree(points: int) -> int:
+    return int(math.floor(np.interp(points, *CENTROID_DEGREES)))
+
+
+def detrend_centroids(lc: DataFrame, gap: float = 0.5, sigma: float = 30.0, degree: int | None = None) -> DataFrame:
+    """(objectid, t, seq, x, y, dx, dy) of ``lc`` (objectid, t, seq, x, y, quality): centroids less a Legendre fit over time.
+
+    Points of quality zero that are finite and within sigma deviations in both coordinates are cut into groups by ``gap``
+    days; those within ``gap`` of a group's ends, and again of the series' ends, go. The degree follows from their number,
+    unless given.
+    """
+    ok = lc.where("quality = 0" if "quality" in lc.columns else "true").where(finite("t") & finite("x") & finite("y")).select(KEY, "t", "seq", "x", "y")
+    for c in ("x", "y"):
+        ok = ok.withColumn(f"_m{c}", F.median(c).over(whole()))
+    for c in ("x", "y"):
+        ok = ok.withColumn(f"_s{c}", MAD_STD * F.median(F.abs(F.col(c) - F.col(f"_m{c}"))).over(whole()))
+    ok = ok.where(" AND ".join(f"abs({c} - _m{c}) < {sigma} * _s{c}" for c in ("x", "y")))
+    groups = Window.partitionBy(KEY, "tgroup")
+    inner = timegroups(ok, gap).withColumns({"_lo": F.min("t").over(groups), "_hi": F.max("t").over(groups)}).where((F.col("t") > F.col("_lo") + gap) & (F.col("t") < F.col("_hi") - gap))
+    inner = inner.withColumns({"_lo": F.min("t").over(whole()), "_hi": F.max("t").over(whole())}).where((F.col("t") > F.col("_lo") + gap) & (F.col("t") < F.col("_hi") - gap))
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        t, n = p["t"].to_numpy(float), len(p)
+        k = centroid_degree(n) if degree is None else degree
+        out = {}
+        for c in ("x", "y"):
+            v = p[c].to_numpy(float)
+            out[f"d{c}"] = v - (np.polynomial.Legendre.fit(t, v, k)(t) if n > k and np.ptp(t) > 0 else v.mean())
+        return p.assign(**out)
+
+    return per_object(inner.select(KEY, "t", "seq", "x", "y"), run, "dx double, dy double")
+
+
 def centroid_offsets(lc: DataFrame, transits: DataFrame, duration: float, buffer: float = 0.1, factor: float = 3.0, arcsec: float = 3.98) -> DataFrame:
     """(objectid, transit, dx_in, dy_in, dx_out, dy_out): mean centroid residuals inside and beside each transit.
 

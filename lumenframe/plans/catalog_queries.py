@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import coords, models, photometry, times
-from ..operators import catalog, features, fits, periodograms, selection, series, simulate, spatial, transits, trends
-from .series_queries import BIN, CLIP, LC, rounded
+from ..operators import catalog, features, fits, periodic, periodograms, selection, series, simulate, spatial, transit_fits, transits, trends
+from ..sources import readers
+from .series_queries import BIN, CLIP, GLS, LC, REC, WALK, rounded
 from .tables import STARS_SQL, SUPPLIES_SQL, events, stars, supplies, table
 
 Q: dict[str, tuple] = {}
@@ -484,3 +485,74 @@ def classify_random_forest(s: SparkSession, d: str) -> DataFrame:
     v = selection.feature_vectors(f, ["jmag", "hmag", "kmag", "ra", "decl"], labels)
     model, _ = selection.train_classifier(v, folds=2, trees=(10,), depths=(3,))
     return selection.classify(model, v)
+
+
+@query("light_time", f"{ST}, j AS (SELECT objectid, ra, decl, 2460310.5 + (objectid % 366)::DOUBLE AS jd FROM st), k AS (SELECT *, jd - 2451545.0 AS n FROM j), g AS (SELECT *, radians(357.528 + 0.9856003 * n) AS g, radians(23.439 - 0.0000004 * n) AS ep FROM k), l AS (SELECT *, radians(280.460 + 0.9856474 * n + 1.915 * sin(g) + 0.020 * sin(2 * g)) AS lon, 1.00014 - 0.01671 * cos(g) - 0.00014 * cos(2 * g) AS r FROM g) SELECT objectid, round(-r * (cos(lon) * cos(radians(decl)) * cos(radians(ra)) + cos(ep) * sin(lon) * cos(radians(decl)) * sin(radians(ra)) + sin(ep) * sin(lon) * sin(radians(decl))) * 499.004784, 2) AS seconds FROM l")
+def light_time(s: SparkSession, d: str) -> DataFrame:
+    jd = 2460310.5 + (F.col("objectid") % 366).cast("double")
+    c = stars(s, d).withColumn("jd", jd)
+    return rounded(c.select("objectid", ((times.jd_corr(F.lit(0.0) + F.col("jd"), F.col("ra"), F.col("decl")) - F.col("jd")) * 86400.0).alias("seconds")), 2)
+
+
+@query("external_catalog", f"{ST} SELECT objectid AS id, ra, round(jmag, 6) AS jmag FROM st")
+def external_catalog(s: SparkSession, d: str) -> DataFrame:
+    head = '# {"colsep": "|", "columns": [{"key": "id", "name": "id", "dtype": "i8", "unit": ""},\n# {"key": "name", "name": "name", "dtype": "U20", "unit": ""}, {"key": "ra", "name": "ra", "dtype": "f8", "unit": "deg"},\n# {"key": "jmag", "name": "J", "dtype": "f8", "unit": "mag"}]}'
+    lines = stars(s, d).select(F.concat_ws("|", "objectid", F.lit("a, b"), "ra", "jmag").alias("value"))
+    comment = s.createDataFrame([(x,) for x in head.split("\n")], "value string")
+    return rounded(readers.catalog_columns(comment.unionAll(lines), readers.catalog_header(head), ["id", "ra", "jmag", "none"]))
+
+
+UNIFORM = "CASE WHEN z >= 1.1 THEN 1.0 WHEN z <= 0.9 THEN 1 - 0.01 ELSE 1 - (0.01 * acos((0.01 + z * z - 1) / (0.2 * z)) + acos((1 - 0.01 + z * z) / (2 * z)) - sqrt(greatest(0, 4 * z * z - (1 + z * z - 0.01) ^ 2)) / 2) / pi() END"
+
+
+@query("transit_model", f"{LC}, a AS (SELECT objectid, seq, 2 * pi() * (t - 60310.5) / 3.3 AS f FROM lc), b AS (SELECT objectid, seq, cos(f) > 0 AS front, 8.0 * sqrt(sin(f) ^ 2 + (0.3 / 8.0) ^ 2 * cos(f) ^ 2) AS z FROM a) SELECT objectid, seq, round(CASE WHEN front THEN {UNIFORM} ELSE 1 END, 6) AS flux FROM b")
+def transit_model(s: SparkSession, d: str) -> DataFrame:
+    """A star without limb darkening, of which the SQL has the closed form."""
+    return rounded(trends.per_object(events(s, d).select("objectid", "t", "seq"), lambda p: p.assign(flux=transit_fits.transit_model(p["t"].to_numpy(float), 60310.5, 3.3, 0.1, 8.0, 0.3)), "flux double").select("objectid", "seq", "flux"))
+
+
+@query("fit_mandelagol")
+def fit_mandelagol(s: SparkSession, d: str) -> DataFrame:
+    """Transits put on the events' times, and fitted with a line and a short chain."""
+    lc = events(s, d).withColumns({"e": F.lit(0.0005)})
+    made = trends.per_object(lc.select("objectid", "t", "m", "e", "seq"), lambda p: p.assign(m=transit_fits.transit_model(p["t"].to_numpy(float), 60310.9, 1.7, 0.1, 5.0, 0.2, (0.3, 0.2)) * (1 + 1e-4 * (p["t"].to_numpy(float) - 60310.9)))).select("objectid", "t", "m", "e", "seq")
+    at = lc.select("objectid").distinct().selectExpr("objectid", "1.7D AS period", "60310.88D AS t0")
+    return transit_fits.fit_transits(made, at, line=True, steps=200)
+
+
+@query("detrend_centroids", f"{LC}, c AS (SELECT objectid, t, seq, sin(t) + 0.01 * t AS x, cos(t) AS y, seq % 2 AS quality FROM lc), ok AS (SELECT * FROM c WHERE quality = 0), m1 AS (SELECT *, median(x) OVER w AS mx, median(y) OVER w AS my FROM ok WINDOW w AS (PARTITION BY objectid)), m2 AS (SELECT *, 1.483 * median(abs(x - mx)) OVER w AS sx, 1.483 * median(abs(y - my)) OVER w AS sy FROM m1 WINDOW w AS (PARTITION BY objectid)), k AS (SELECT objectid, t, seq, x, y FROM m2 WHERE abs(x - mx) < 30 * sx AND abs(y - my) < 30 * sy), g AS (SELECT *, sum(CASE WHEN t - pt > 2.0 THEN 1 ELSE 0 END) OVER (PARTITION BY objectid ORDER BY t, seq) AS tg FROM (SELECT *, lag(t) OVER (PARTITION BY objectid ORDER BY t, seq) AS pt FROM k)), i1 AS (SELECT * FROM (SELECT *, min(t) OVER w AS lo, max(t) OVER w AS hi FROM g WINDOW w AS (PARTITION BY objectid, tg)) WHERE t > lo + 2.0::DOUBLE AND t < hi - 2.0::DOUBLE), i2 AS (SELECT objectid, t, seq, x, y FROM (SELECT * EXCLUDE (lo, hi), min(t) OVER w AS lo, max(t) OVER w AS hi FROM i1 WINDOW w AS (PARTITION BY objectid)) WHERE t > lo + 2.0::DOUBLE AND t < hi - 2.0::DOUBLE), r AS (SELECT objectid, count(*) AS n, regr_slope(x, t) AS bx, regr_intercept(x, t) AS ax, regr_slope(y, t) AS by_, regr_intercept(y, t) AS ay, avg(x) AS mx, avg(y) AS my FROM i2 GROUP BY 1) SELECT i2.objectid, seq, round(CASE WHEN n > 1 THEN x - (ax + bx * t) ELSE x - mx END, 5) AS dx, round(CASE WHEN n > 1 THEN y - (ay + by_ * t) ELSE y - my END, 5) AS dy FROM i2 JOIN r USING (objectid)")
+def detrend_centroids(s: SparkSession, d: str) -> DataFrame:
+    """Lines instead of higher degrees, of which SQL has the fit in closed form."""
+    lc = events(s, d).selectExpr("objectid", "t", "seq", "sin(t) + 0.01D * t AS x", "cos(t) AS y", "seq % 2 AS quality")
+    return rounded(trends.detrend_centroids(lc, 2.0, degree=1).select("objectid", "seq", "dx", "dy"), 5)
+
+
+@query("star_features", f"{ST}, r AS (SELECT objectid, {_ROW(0)} AS x, {_ROW(1)} AS y, {_ROW(2)} AS z FROM st), ga AS (SELECT objectid, round((degrees(atan2(y, x)) + 360) % 360, 6) AS gl, round(degrees(asin(z)), 6) AS gb FROM r), c1 AS (SELECT objectid, jmag AS j, hmag AS h, kmag AS k, {MAGS} FROM st), c2 AS (SELECT *, {INDEX} FROM c1), c3 AS (SELECT *, {SUBTYPE} AS m_class FROM c2), m AS (SELECT a.objectid, b.objectid AS n, {TWO} AS dist FROM st a JOIN st b ON abs(a.decl - b.decl) < 3 AND {TWO} < 7200 WHERE {TWO} > 0), nb AS (SELECT a.objectid, count(m.n) AS n_neighbors, round(min(m.dist), 3) AS closest_arcsec FROM st a LEFT JOIN m ON a.objectid = m.objectid GROUP BY 1) SELECT objectid, gl, gb, round(v_color, 6) AS v_color, m_class, n_neighbors, closest_arcsec FROM ga JOIN c3 USING (objectid) JOIN nb USING (objectid)")
+def star_features(s: SparkSession, d: str) -> DataFrame:
+    j, h, k = F.col("jmag"), F.col("hmag"), F.col("kmag")
+    bands = {x: photometry.from_jhk(b, j, h, k) + (F.col("objectid") % p) * 0.05 for b, x, p in (("sdssu", "u", 47), ("sdssg", "g", 31), ("sdssr", "r", 17), ("sdssi", "i", 13), ("sdssz", "z", 7))}
+    f = periodic.star_features(stars(s, d), 7200.0, bands)
+    return rounded(f.select("objectid", "gl", "gb", "v_color", "m_class", "n_neighbors", "closest_arcsec"), closest_arcsec=3)
+
+
+def _searched(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    lc = events(s, d)
+    grids = periodograms.frequency_grids(lc)
+    gls, win = periodograms.gls(lc, grids), periodograms.spectral_window(lc, grids)
+    peaks = periodograms.peaks(gls, best=3).select("objectid", F.lit("gls").alias("method"), "rank", "period", F.col("power").alias("score"))
+    return lc, peaks, gls.select("objectid", F.lit("gls").alias("method"), F.col("power").alias("score")), win
+
+
+WIN = "gx AS (SELECT objectid, t - min(t) OVER (PARTITION BY objectid) AS x FROM lc), wa AS (SELECT gx.objectid, k, freq, count(*) AS n, sum(cos(2 * pi() * freq * x)) AS c1, sum(sin(2 * pi() * freq * x)) AS s1, sum(cos(4 * pi() * freq * x)) AS c2, sum(sin(4 * pi() * freq * x)) AS s2 FROM gx JOIN f ON gx.objectid = f.objectid GROUP BY ALL), wb AS (SELECT *, atan(s2 / c2) / 2 AS th FROM wa), wi AS (SELECT objectid, freq, 0.5 * ((c1 * cos(th) + s1 * sin(th)) ^ 2 / (n / 2 + (c2 * cos(2 * th) + s2 * sin(2 * th)) / 2) + (s1 * cos(th) - c1 * sin(th)) ^ 2 / (n / 2 - (c2 * cos(2 * th) + s2 * sin(2 * th)) / 2)) AS power FROM wb)"
+
+
+@query("periodogram_features", f"{REC}, {GLS}, sc AS (SELECT objectid, k, freq, -power AS v FROM gls), {WALK.format(best=3)}, {WIN}, sp AS (SELECT objectid, max(power) - min(power) AS span FROM gls GROUP BY 1), wo AS (SELECT objectid, max(power) - min(power) AS own FROM wi GROUP BY 1), wn AS (SELECT wi.objectid, 1 / freq AS p, power / own AS w FROM wi JOIN wo ON wo.objectid = wi.objectid), at_ AS (SELECT pk.objectid, rank, avg(w) AS mean FROM pk JOIN wn ON wn.objectid = pk.objectid AND abs(p - period) < 0.0001 GROUP BY ALL), rt AS (SELECT pk.objectid, pk.rank, period, (-v / span) / mean AS ratio FROM pk JOIN sp ON sp.objectid = pk.objectid LEFT JOIN at_ ON at_.objectid = pk.objectid AND at_.rank = pk.rank), pr AS (SELECT a.objectid, count(*) AS n, count(*) FILTER (abs(a.period - b.period) < 0.0001) AS c FROM pk a JOIN pk b ON a.objectid = b.objectid AND a.rank < b.rank GROUP BY 1) SELECT rt.objectid, count(*) FILTER (ratio > 5.0) AS n_abovesampling, count(*) FILTER ((period - 1.0027379) / period < 0.0001 OR (period - 0.9972696) / period < 0.0001) AS n_sidereal, count(*) FILTER (abs(period - 1.0027379) / period < 0.0001 OR abs(period - 0.9972696) / period < 0.0001) AS n_near_sidereal, coalesce(any_value(pr.n), 0) AS n_pairs, coalesce(any_value(c), 0) AS n_close_pairs FROM rt LEFT JOIN pr ON pr.objectid = rt.objectid GROUP BY rt.objectid")
+def periodogram_features(s: SparkSession, d: str) -> DataFrame:
+    _, peaks, scores, window = _searched(s, d)
+    return periodic.periodogram_features(peaks, scores, window)
+
+
+@query("periodic_features")
+def periodic_features(s: SparkSession, d: str) -> DataFrame:
+    """All features of every object at its best period."""
+    return periodic.periodic_features(*_searched(s, d), "gls")

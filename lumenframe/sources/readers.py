@@ -279,6 +279,38 @@ def read_table(spark: SparkSession, path: str, schema: str, sep: str = " ") -> D
     return spark.read.schema(schema).option("sep", sep).option("comment", "#").option("ignoreLeadingWhiteSpace", "true").csv(path)
 
 
+def catalog_header(text: str) -> dict:
+    """The JSON in the comment lines at the top of an external catalog: its columns' keys, names, types and units."""
+    head = []
+    for line in text.split("\n"):
+        if not line.startswith("#"):
+            break
+        head.append(line.replace("#", "").strip())
+    if not head:
+        raise ValueError("no catalog definition")
+    return json.loads(" ".join(head))
+
+
+_CATALOG_TYPES = {"f8": "double", "f4": "float", "i8": "long", "i4": "int"}
+
+
+def catalog_columns(lines: DataFrame, header: dict, columns: list[str] | None = None, sep: str | None = None) -> DataFrame:
+    """``lines`` (value) of an external catalog as the named columns of its header, typed; comment lines are left out."""
+    known = header["columns"]
+    keys = [c["key"] for c in known]
+    wanted = [c for c in columns or keys if c in keys]
+    schema = ", ".join(f"`{c['key']}` {_CATALOG_TYPES.get(c['dtype'], 'string')}" for c in known)
+    rows = lines.where("value NOT LIKE '#%' AND trim(value) <> ''").select(F.from_csv("value", schema, {"sep": sep or header.get("colsep", ",")}).alias("r"))
+    return rows.select(*[F.col(f"r.`{c}`").alias(c) for c in wanted])
+
+
+def read_catalog(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """An external catalog in text, packed or not; only its first lines are read for the header."""
+    lines = spark.read.text(path)
+    head = [r["value"] for r in lines.where("value LIKE '#%'").limit(1000).collect()]
+    return catalog_columns(lines, catalog_header("\n".join(head)), columns)
+
+
 def write(lc: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Sink: Parquet (or JSON, CSV without maps), repeated runs overwrite."""
     lc.write.mode("overwrite").format(fmt).save(path)
