@@ -57,15 +57,15 @@ def savgol(y: np.ndarray, window: int, degree: int, mode: str = "interp") -> np.
     return out
 
 
-def least_squares(f: Callable[[np.ndarray], np.ndarray], start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray] | None:
-    """(parameters, their errors) that minimize the sum of f squared within bounds, or None."""
+def least_squares(f: Callable[[np.ndarray], np.ndarray], start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 100, steps: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """(parameters, their errors) that minimize the sum of f squared within bounds, or None. ``steps``: of its slopes."""
     x, lam = np.clip(np.asarray(start, float), low, high), 1e-3
     r = f(x)
     cost = r @ r
     j = None
     for _ in range(rounds):
-        step = 1e-6 * np.maximum(np.abs(x), 1e-4)
-        j = np.stack([(f(x + d) - r) / d.sum() for d in np.diag(step)], 1)
+        step = 1e-6 * np.maximum(np.abs(x), 1e-4) if steps is None else steps
+        j = np.stack([(f(x + d) - (r if steps is None else f(x - d))) / (d.sum() * (1 if steps is None else 2)) for d in np.diag(step)], 1)
         a, g = j.T @ j, j.T @ r
         for _ in range(12):
             try:

@@ -125,7 +125,7 @@ def store(found: DataFrame, folder: str) -> None:
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root)
         for r in rows:
-            with system.open_output_stream(f"{root}/{r['path']}") as out:
+            with system.open_output_stream(f"{root}/{r['path']}", compression=None) as out:
                 out.write(bytes(r["content"]))
 
     found.foreachPartition(put)
