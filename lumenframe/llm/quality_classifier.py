@@ -66,45 +66,58 @@ def _hash(x: str) -> int:
     return xxhash.xxh64_intdigest(x.encode("utf-8", "replace"))
 
 
+def _buckets(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int32)
+
+
 class Grams(dict):
     """A worker's table of words, cleared when full, and the n-grams of texts made from it."""
 
     def __init__(self) -> None:
         super().__init__()
         size = KNOWN + PIECE + 1
-        self.whole, self.shape, self.capital = np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.zeros(size, bool)
+        self.whole, self.bucket, self.shape, self.capital = np.zeros(size, np.uint64), np.zeros(size, np.int32), np.zeros(size, np.uint64), np.zeros(size, bool)
+        self.special = np.zeros(size, bool)
+        self.runs = [np.array([_hash(f"r{n}")], np.uint64) for n in RUNS]
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self)
         low = _EDGE.sub("", word.lower())
         tail = _TAIL.search(word)
         self.whole[at] = _hash(f"w{low}") if low else 0
+        self.bucket[at] = _buckets(self.whole[at : at + 1])[0] if low else -1
         self.shape[at] = _hash(f"t{tail[0][:8]}") if tail else 0
         self.capital[at] = len(low) > 1 and word.upper() == word and word.lower() != word
+        self.special[at] = bool(tail) or bool(self.capital[at])
         return at
 
     def of(self, text: str | None) -> np.ndarray:
         """Buckets of the n-grams in a text, each once, in order."""
         w = (text or "").split()
-        found, shapes = [np.zeros(0, np.uint64)], []
+        found, shapes = [np.zeros(0, np.int32)], []
         for i in range(0, len(w), PIECE):
             if len(self) > KNOWN:
                 self.clear()
             part = w[max(0, i - max(RUNS)) : i + PIECE]  # what lies across the border is seen again
             ids = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
-            whole = self.whole[ids]
-            found += [whole[whole > 0], (whole[:-1] * _ODD + whole[1:])[(whole[:-1] > 0) & (whole[1:] > 0)] | np.uint64(1)]
+            whole, bucket = self.whole[ids], self.bucket[ids]
+            pair = (bucket[:-1] >= 0) & (bucket[1:] >= 0)
+            found += [bucket[bucket >= 0], _buckets((whole[:-1] * _ODD + whole[1:])[pair] | np.uint64(1))]
             own = ids[min(i, max(RUNS)) :]
+            own = own[self.special[own]]
             shapes += [self.shape[own], np.full(int(self.capital[own].sum()), _hash("U"), np.uint64)]
-            ends = np.flatnonzero(np.append(ids[1:] != ids[:-1], True))
-            longest = int(np.diff(ends, prepend=-1).max())
-            found.append(np.array([_hash(f"r{n}") for n in RUNS if n <= longest], np.uint64))
+            same = ids[1:] == ids[:-1]
+            if same.any():
+                ends = np.flatnonzero(np.append(~same, True))
+                longest = int(np.diff(ends, prepend=-1).max())
+                found += [_buckets(r) for n, r in zip(RUNS, self.runs, strict=True) if n <= longest]
         if shapes:
             seen, n = np.unique(np.concatenate(shapes), return_counts=True)
-            found += [seen[(n >= t) & (seen > 0)] * np.uint64(2 * t + 1) for t in TIMES]
-        mixed = np.concatenate(found)
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return np.unique((mixed >> np.uint64(40)).astype(np.int64) % BUCKETS)
+            found += [_buckets(seen[(n >= t) & (seen > 0)] * np.uint64(2 * t + 1)) for t in TIMES]
+        out = np.concatenate(found)
+        out.sort()
+        return out[np.append(True, out[1:] != out[:-1])] if len(out) else out
 
 
 def counted(texts: DataFrame) -> DataFrame:
@@ -117,7 +130,7 @@ def counted(texts: DataFrame) -> DataFrame:
                 n[grams.of(text)] += 1
         seen = np.flatnonzero(n)
         for i in range(0, len(seen), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(seen[i : i + (1 << 16)]), pa.array(n[seen[i : i + (1 << 16)]])], names=["gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(seen[i : i + (1 << 16)], pa.int64()), pa.array(n[seen[i : i + (1 << 16)]])], names=["gram", "n"])
 
     return map_batches(texts.select("text"), each, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
