@@ -48,12 +48,17 @@ def earth_position(jd: Column) -> tuple[Column, Column, Column]:
     return -r * F.cos(lon), -r * F.cos(tilt) * F.sin(lon), -r * F.sin(tilt) * F.sin(lon)
 
 
+def light_delay(jd: Column, ra: Column, decl: Column) -> Column:
+    """Days by which light from a direction passes the Sun later than the Earth (less, where it is negative)."""
+    x, y, z = earth_position(jd)
+    a, d = F.radians(ra), F.radians(decl)
+    return (x * F.cos(d) * F.cos(a) + y * F.cos(d) * F.sin(a) + z * F.sin(d)) * AU_SECONDS / 86400.0
+
+
 def jd_corr(jd: Column, ra: Column, decl: Column) -> Column:
     """The Julian date at which the light would have passed the Sun: heliocentric, within some seconds of barycentric time.
 
     No ephemeris file is needed; the Sun's own motion around the barycentre (up to four seconds) and the difference of time
     scales are left out.
     """
-    x, y, z = earth_position(jd)
-    a, d = F.radians(ra), F.radians(decl)
-    return jd + (x * F.cos(d) * F.cos(a) + y * F.cos(d) * F.sin(a) + z * F.sin(d)) * AU_SECONDS / 86400.0
+    return jd + light_delay(jd, ra, decl)

@@ -79,7 +79,7 @@ def least_squares(f: Callable[[np.ndarray], np.ndarray], start: np.ndarray, low:
             lam *= 10
         else:
             break
-        done = cost - rn @ rn < 1e-12 * max(cost, 1e-300)
+        done = cost - rn @ rn < 1e-12 * max(cost, 1e-300) or rn @ rn < 1e-12
         x, r, cost, lam = new, rn, rn @ rn, lam / 10
         if done:
             break

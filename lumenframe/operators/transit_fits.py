@@ -126,8 +126,8 @@ def metropolis(posterior: Callable[[np.ndarray], float], start: np.ndarray, cov:
     return chain[steps // 2 :], taken / max(1, steps)
 
 
-def fit_mandel_agol(t: np.ndarray, y: np.ndarray, e: np.ndarray, period: float, t0: float, rp: float = 0.1, a: float = 8.0, b: float = 0.3, u: tuple[float, float] = (0.3, 0.2), line: bool = False, steps: int = 0, seed: int = 1, exposure: float = 0.0) -> dict:
-    """Transit fit at a fixed period, of flux around one: the best of several least-squares fits and, with ``steps``, a chain.
+def fit_mandel_agol(t: np.ndarray, y: np.ndarray, e: np.ndarray, period: float, t0: float, rp: float = 0.1, a: float = 8.0, b: float = 0.3, u: tuple[float, float] = (0.3, 0.2), line: bool = False, steps: int = 0, seed: int = 1, exposure: float = 0.0, starts: int = 6) -> dict:
+    """Transit fit at a fixed period, of flux around one: the best of ``starts`` least-squares fits and, with ``steps``, a chain.
 
     Free are t0, rp, a and b and, with ``line``, the slope and level of a line that the flux is multiplied by. Returns
     params, errs (of the curvature, or the chain's deviation), chisq, redchisq, medians of the chain and accepted share.
@@ -137,8 +137,8 @@ def fit_mandel_agol(t: np.ndarray, y: np.ndarray, e: np.ndarray, period: float,
     start = np.clip(np.array([t0, rp, a, b, *([0.0, 1.0] if line else [])]), low, high)
     model = lambda x: transit_model(t, x[0], period, x[1], x[2], x[3], u, exposure=exposure) * ((x[5] + x[4] * (t - t0)) if line else 1.0)
     slopes = np.array([1e-4 * period, 1e-4, 1e-2, 1e-2, 1e-5, 1e-5])[: len(start)]
-    starts = [np.clip(np.array([start[0], start[1], start[2] * f, at, *start[4:]]), low, high) for f in (1.0, 0.6, 1.6) for at in (b, 0.7)]
-    tried = [x for x in (least_squares(lambda v: (model(v) - y) / e, s, low, high, steps=slopes) for s in starts) if x is not None]
+    begins = [np.clip(np.array([start[0], start[1], start[2] * f, at, *start[4:]]), low, high) for f in (1.0, 0.6, 1.6) for at in (b, 0.7)][:starts]
+    tried = [x for x in (least_squares(lambda v: (model(v) - y) / e, s, low, high, steps=slopes) for s in begins) if x is not None]
     got = min(tried, key=lambda x: float(np.sum(((model(x[0]) - y) / e) ** 2)), default=None)
     if got is None:
         return {"params": None, "errs": None, "chisq": math.nan, "redchisq": math.nan, "medians": None, "accepted": None}

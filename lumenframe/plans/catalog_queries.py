@@ -384,12 +384,12 @@ for _m, _o, _sql in (("fourier", {"order": 2}, FOURIER), ("spline", {"knot_fract
     Q[f"fit_{_m}"] = (_fit(_m, **_o), _sql)
 
 
-WHITE = f"{LC}, ok AS (SELECT objectid, t, m, e, seq, median(m) OVER p AS med, (t - min(t) OVER p) / 2.5 AS x FROM lc WHERE e <> 0 WINDOW p AS (PARTITION BY objectid)), fb AS (SELECT *, m - med AS y, cos(2 * pi() * (x - floor(x))) AS f, sin(2 * pi() * (x - floor(x))) AS g, 1 / (e * e) AS w FROM ok), {CRAMER} SELECT fb.objectid, seq, round(m - (k0 + k1 * f + k2 * g), 5) AS m FROM fb JOIN co ON co.objectid = fb.objectid"
+WHITE = f"{LC}, ok AS (SELECT objectid, t, m, e, seq, median(m) OVER p AS med, (t - min(t) OVER p) / 2.5 AS x FROM lc WHERE e <> 0 WINDOW p AS (PARTITION BY objectid)), fb AS (SELECT *, m - med AS y, cos(2 * pi() * (x - floor(x))) AS f, sin(2 * pi() * (x - floor(x))) AS g, 1 / (e * e) AS w FROM ok), {CRAMER} SELECT fb.objectid, seq, round(m - (k0 + k1 * f + k2 * g), 3) AS m FROM fb JOIN co ON co.objectid = fb.objectid"
 
 
 @query("prewhiten", WHITE)
 def prewhiten(s: SparkSession, d: str) -> DataFrame:
-    return rounded(fits.prewhiten(events(s, d), 2.5, 2).select("objectid", "seq", "m"), 5)
+    return rounded(fits.prewhiten(events(s, d), 2.5, 2).select("objectid", "seq", "m"), 3)
 
 
 #: Savitzky-Golay over five points with quadratics, the ends by the first and last window (table sg: objectid, seq, t, m, e, smooth).
@@ -487,11 +487,10 @@ def classify_random_forest(s: SparkSession, d: str) -> DataFrame:
     return selection.classify(model, v)
 
 
-@query("light_time", f"{ST}, j AS (SELECT objectid, ra, decl, 2460310.5 + (objectid % 366)::DOUBLE AS jd FROM st), k AS (SELECT *, jd - 2451545.0 AS n FROM j), g AS (SELECT *, radians(357.528 + 0.9856003 * n) AS g, radians(23.439 - 0.0000004 * n) AS ep FROM k), l AS (SELECT *, radians(280.460 + 0.9856474 * n + 1.915 * sin(g) + 0.020 * sin(2 * g)) AS lon, 1.00014 - 0.01671 * cos(g) - 0.00014 * cos(2 * g) AS r FROM g) SELECT objectid, round(-r * (cos(lon) * cos(radians(decl)) * cos(radians(ra)) + cos(ep) * sin(lon) * cos(radians(decl)) * sin(radians(ra)) + sin(ep) * sin(lon) * sin(radians(decl))) * 499.004784, 2) AS seconds FROM l")
+@query("light_time", f"{ST}, j AS (SELECT objectid, ra, decl, 2460310.5 + (objectid % 366)::DOUBLE AS jd FROM st), k AS (SELECT *, jd - 2451545.0 AS n FROM j), g AS (SELECT *, radians(357.528 + 0.9856003 * n) AS g, radians(23.439 - 0.0000004 * n) AS ep FROM k), l AS (SELECT *, radians(280.460 + 0.9856474 * n + 1.915 * sin(g) + 0.020 * sin(2 * g)) AS lon, 1.00014 - 0.01671 * cos(g) - 0.00014 * cos(2 * g) AS r FROM g) SELECT objectid, round(-r * (cos(lon) * cos(radians(decl)) * cos(radians(ra)) + cos(ep) * sin(lon) * cos(radians(decl)) * sin(radians(ra)) + sin(ep) * sin(lon) * sin(radians(decl))) * 499.004784, 4) AS seconds FROM l")
 def light_time(s: SparkSession, d: str) -> DataFrame:
     jd = 2460310.5 + (F.col("objectid") % 366).cast("double")
-    c = stars(s, d).withColumn("jd", jd)
-    return rounded(c.select("objectid", ((times.jd_corr(F.lit(0.0) + F.col("jd"), F.col("ra"), F.col("decl")) - F.col("jd")) * 86400.0).alias("seconds")), 2)
+    return rounded(stars(s, d).select("objectid", (times.light_delay(jd, F.col("ra"), F.col("decl")) * 86400.0).alias("seconds")), 4)
 
 
 @query("external_catalog", f"{ST} SELECT objectid AS id, ra, round(jmag, 6) AS jmag FROM st")
@@ -517,7 +516,7 @@ def fit_mandelagol(s: SparkSession, d: str) -> DataFrame:
     lc = events(s, d).withColumns({"e": F.lit(0.0005)})
     made = trends.per_object(lc.select("objectid", "t", "m", "e", "seq"), lambda p: p.assign(m=transit_fits.transit_model(p["t"].to_numpy(float), 60310.9, 1.7, 0.1, 5.0, 0.2, (0.3, 0.2)) * (1 + 1e-4 * (p["t"].to_numpy(float) - 60310.9)))).select("objectid", "t", "m", "e", "seq")
     at = lc.select("objectid").distinct().selectExpr("objectid", "1.7D AS period", "60310.88D AS t0")
-    return transit_fits.fit_transits(made, at, line=True, steps=200)
+    return transit_fits.fit_transits(made, at, line=True, steps=100, starts=1)
 
 
 @query("detrend_centroids", f"{LC}, c AS (SELECT objectid, t, seq, sin(t) + 0.01 * t AS x, cos(t) AS y, seq % 2 AS quality FROM lc), ok AS (SELECT * FROM c WHERE quality = 0), m1 AS (SELECT *, median(x) OVER w AS mx, median(y) OVER w AS my FROM ok WINDOW w AS (PARTITION BY objectid)), m2 AS (SELECT *, 1.483 * median(abs(x - mx)) OVER w AS sx, 1.483 * median(abs(y - my)) OVER w AS sy FROM m1 WINDOW w AS (PARTITION BY objectid)), k AS (SELECT objectid, t, seq, x, y FROM m2 WHERE abs(x - mx) < 30 * sx AND abs(y - my) < 30 * sy), g AS (SELECT *, sum(CASE WHEN t - pt > 2.0 THEN 1 ELSE 0 END) OVER (PARTITION BY objectid ORDER BY t, seq) AS tg FROM (SELECT *, lag(t) OVER (PARTITION BY objectid ORDER BY t, seq) AS pt FROM k)), i1 AS (SELECT * FROM (SELECT *, min(t) OVER w AS lo, max(t) OVER w AS hi FROM g WINDOW w AS (PARTITION BY objectid, tg)) WHERE t > lo + 2.0::DOUBLE AND t < hi - 2.0::DOUBLE), i2 AS (SELECT objectid, t, seq, x, y FROM (SELECT * EXCLUDE (lo, hi), min(t) OVER w AS lo, max(t) OVER w AS hi FROM i1 WINDOW w AS (PARTITION BY objectid)) WHERE t > lo + 2.0::DOUBLE AND t < hi - 2.0::DOUBLE), r AS (SELECT objectid, count(*) AS n, regr_slope(x, t) AS bx, regr_intercept(x, t) AS ax, regr_slope(y, t) AS by_, regr_intercept(y, t) AS ay, avg(x) AS mx, avg(y) AS my FROM i2 GROUP BY 1) SELECT i2.objectid, seq, round(CASE WHEN n > 1 THEN x - (ax + bx * t) ELSE x - mx END, 5) AS dx, round(CASE WHEN n > 1 THEN y - (ay + by_ * t) ELSE y - my END, 5) AS dy FROM i2 JOIN r USING (objectid)")

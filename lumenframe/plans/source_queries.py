@@ -46,8 +46,8 @@ def _quarters(s: SparkSession, d: str) -> DataFrame:
 
 
 Q["consolidate"] = (
-    lambda s, d: rounded(readers.consolidated(_quarters(s, d)).select("objectid", "lcn", "seq", "t", "m", "e")),
-    f"{LC}, q AS (SELECT *, floor((t - 60310.0) / 10)::INT AS quarter FROM lc), n AS (SELECT *, median(m) OVER (PARTITION BY objectid, quarter) AS med FROM q) SELECT objectid::VARCHAR AS objectid, (dense_rank() OVER (PARTITION BY objectid ORDER BY quarter) - 1)::INT AS lcn, row_number() OVER (PARTITION BY objectid ORDER BY t, quarter, seq) - 1 AS seq, round(t, 6) AS t, round(m / nullif(med, 0), 6) AS m, round(e / nullif(med, 0), 6) AS e FROM n",
+    lambda s, d: rounded(readers.consolidated(_quarters(s, d)).select("objectid", "lcn", "seq", "t", "m", "e"), m=9, e=12),
+    f"{LC}, q AS (SELECT *, floor((t - 60310.0) / 10)::INT AS quarter FROM lc), n AS (SELECT *, median(m) OVER (PARTITION BY objectid, quarter) AS med FROM q) SELECT objectid::VARCHAR AS objectid, (dense_rank() OVER (PARTITION BY objectid ORDER BY quarter) - 1)::INT AS lcn, row_number() OVER (PARTITION BY objectid ORDER BY t, quarter, seq) - 1 AS seq, round(t, 6) AS t, round(m / nullif(med, 0), 9) AS m, round(e / nullif(med, 0), 12) AS e FROM n",
 )
 Q["describe_files"] = (
     lambda s, d: rounded(readers.describe(_quarters(s, d))),
