@@ -5,26 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
+
+
+def _to_roots(hop: DataFrame) -> DataFrame:
+    """``hop`` (node, root), a forest, with each node's topmost root: paths double until nothing moves."""
+    while True:
+        above = hop.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        new = materialise(hop.select("node", "root").join(above, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")), "forest")
+        discard(hop)
+        hop = new
+        if hop.where("moved").limit(1).count() == 0:
+            return hop
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b: long): root is the smallest node reachable.
 
-    Each round gives a node the smallest label among its neighbours' and then its label's own label, so labels jump
-    over paths and the rounds grow with the logarithm of a component's diameter. Labels are written each round. Sums
-    by node are combined before the shuffle, so a node with very many links costs its links once. Self-links,
-    repeated links and an empty table are allowed.
+    Each round a node points to its smallest neighbour if that is smaller than itself, the trees that this makes are
+    compressed to their roots, and links between roots go on to the next round; links within a tree are done. Sums by node
+    are combined before the shuffle, so a node with very many links costs its links once. Tables are written each round.
+    Self-links, repeated links and an empty table are allowed.
     """
-    both = links.select("a", "b").where("a <> b").distinct()
-    edges = materialise(both.select("a", "b").unionAll(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "labels")
+    both = links.select("a", "b").where("a <> b")
+    edges = materialise(both.unionAll(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = None
     for _ in range(most_rounds):
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
-        top = hooked.select(F.col("node").alias("mid"), F.col("mid").alias("above"))
-        new = materialise(hooked.join(top, "mid", "left").select("node", F.coalesce("above", "mid").alias("root"), (F.col("old") != F.coalesce("above", "mid")).alias("moved")), "labels")
-        labels = new.select("node", "root")
-        if new.where("moved").limit(1).count() == 0:
+        hop = _to_roots(materialise(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "forest")).select("node", "root")
+        if labels is None:
+            labels = hop
+        else:
+            labels = materialise(labels.join(hop.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")), "labels")
+        between = edges.join(hop.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(hop.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+        left = materialise(between.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "edges")
+        discard(edges)
+        edges = left
+        if edges.limit(1).count() == 0:
             return labels
     raise RuntimeError(f"no end after {most_rounds} rounds")
