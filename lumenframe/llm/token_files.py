@@ -11,7 +11,7 @@ documents in ascending doc_id, are ordered by (shard, segment), and lie in the r
 commit protocol decides which of two attempts of a task counts, on any file system.
 
 Null and empty texts are a document of the end id alone. Rows with the same doc_id are documents of their own, in order of
-their packed ids. Rows without a doc_id come first; n_null counts them, and they are read back without one. A text of any length
+their texts. Rows without a doc_id come first; n_null counts them, and they are read back without one. A text of any length
 is one document, in the memory of one task. An empty table makes no segment and reads back empty. Only the two named
 columns are written.
 """
@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,52 +98,38 @@ class Segment:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1, text: str = "text", key: str = "doc_id") -> None:
-    """Tokenizes whole texts and writes their segments to ``path`` in ascending key, one shard for each range of keys.
+    """Tokenizes whole texts and writes their segments to ``path`` in ascending key, one shard for each task.
 
-    A scan of the keys gives the ranges, as many as shuffle partitions; texts are encoded where they are, and packed ids
-    are what is shuffled.
+    The texts are dealt out by ranges of the key first, which needs a scan for the ranges and one shuffle.
     """
     name = tokenizer or default_tokenizer()
     bits = vocabulary_bits(name)
     end = np.array([end_id], "<u4").tobytes()
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.agg(F.percentile_approx("k", F.array(*[F.lit(i / n) for i in range(1, n + 1)]), 10_000)).first()[0]
-    bounds = np.unique(np.array(found or [0], np.int64))[:-1]
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        encode = Encoder(name)
-        for b in batches:
-            ids = [np.frombuffer(x + end, "<u4") for x in encode(b.column(1).to_pylist())]
-            # rows without a key come before all others
-            shard = [0 if k is None else int(np.searchsorted(bounds, k, side="left")) for k in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([pack(x, bits) for x in ids], pa.binary())], names=["shard", "k", "n", "ids"])
-
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        shard, number, first, size = None, 0, 0, 0
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        encode, shard, number, first = Encoder(name), TaskContext.get().partitionId(), 0, 0
         keys: list[int | None] = []
         parts: list[bytes] = []
+        size = 0
 
         def segment() -> pa.RecordBatch:
-            row = [[shard], [number], [size], [write_segment(keys, parts, bits, first)]]
+            row = [[shard], [number], [size // 4], [write_segment(keys, parts, bits, first)]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["shard", "segment", "n_ids", "data"])
 
         for b in batches:
-            for s, k, n_ids, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size >= SEGMENT or s != shard and keys:
-                    yield segment()
-                    number, first, size, keys, parts = number + 1, first + size, 0, [], []
-                if s != shard:
-                    shard, number, first = s, 0, 0
+            for k, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
                 keys.append(k)
-                parts.append(unpack(ids, n_ids, bits).tobytes())
-                size += n_ids
+                parts.append(ids + end)
+                size += len(ids) + 4
+                if size >= 4 * SEGMENT:
+                    yield segment()
+                    number, first = number + 1, first + size // 4
+                    keys, parts, size = [], [], 0
         if keys:
             yield segment()
 
-    made = map_batches(rows, encoded, "shard int, k long, n long, ids binary")
-    dealt = made.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "k", "ids")
-    map_batches(dealt, segments, "shard int, segment int, n_ids long, data binary").write.option("compression", "uncompressed").parquet(path)
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange("k").sortWithinPartitions("k", "t")
+    map_batches(rows, each, "shard int, segment int, n_ids long, data binary").write.option("compression", "uncompressed").parquet(path)
 
 
 def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
