@@ -9,7 +9,10 @@ Packers work side by side on pieces dealt out by hash; each leaves at most OPEN
 number follows the count of pieces (PIECES each). Only lengths and checksums travel to them; ids stay in the table of
 pieces, from which sequences() puts whole sequences together.
 
-Null and empty texts are a piece of the end id alone. Rows with the same doc_id are packed each for itself.
+Null and empty texts are a piece of the end id alone. Rows with the same doc_id are packed each for itself, and a row
+without one like any other; its pieces have none. Pieces whose hashes tie go by id and number. A text of any length is
+encoded whole, in one task. Only the id and the text are read, so other columns may have any names. An empty table makes
+no piece and no sequence.
 """
 
 from __future__ import annotations

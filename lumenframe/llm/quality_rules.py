@@ -2,7 +2,8 @@
 
 Counts are taken over the whole text. Words are runs of characters other than space, tab, line feed, vertical tab,
 form feed and carriage return. A null text counts as an empty one: it has no words, so it fails the base rule.
-Repeated rows give repeated results; the columns of the input besides the id and the text are not looked at, so
+Texts of any length are counted whole, an empty table gives an empty one, and a row without an id is judged like any
+other. Repeated rows give repeated results; the columns of the input besides the id and the text are not looked at, so
 extra columns with clashing names do no harm.
 """
 

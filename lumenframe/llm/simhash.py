@@ -9,7 +9,11 @@ A crowded cell would mean all pairs of a group. Its fingerprints go to the fines
 bit, where a cell and one step are a fingerprint and one flipped bit: at most 65 fingerprints can meet there, all of
 them within two bits of each other, so a star of links to the smallest joins them without pairs.
 
-Copies of a text share a fingerprint and are one row until the end. Null, empty and white texts have fingerprint zero.
+Copies of a text share a fingerprint and are one row until the end. Null, empty and white texts have fingerprint zero. A
+bit that is set in exactly half of the hashes is 0. Rows with the same id are rows of their own. A row without an id has
+the component of the rows it links to, null where none has an id, and always stays in first_of_each(). Texts of any
+length are read whole. Only the id and the text are read, so other columns may have any names. An empty table gives an
+empty one.
 """
 
 from __future__ import annotations
