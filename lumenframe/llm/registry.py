@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op8_decontaminate
+from .hard_negatives import OP11_SQL, op11_hard_negatives
 from .html_text import op1_html_text
 from .language_id import language_id_documents, op3_language_id
 from .packing import op4_best_fit_packing
@@ -31,8 +32,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_token_files": op9_token_files,
         "op10_simhash": op10_simhash,
+        "op11_hard_negatives": op11_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op5_quality_rules": OP5_SQL, "op7_url_filters": OP7_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op5_quality_rules": OP5_SQL, "op7_url_filters": OP7_SQL, "op11_hard_negatives": OP11_SQL}
