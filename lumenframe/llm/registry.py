@@ -13,6 +13,7 @@ from .language_id import language_id_documents, op3_language_id
 from .packing import op4_best_fit_packing
 from .quality_classifier import op6_quality_classifier
 from .quality_rules import OP5_SQL, op5_quality_rules
+from .resampling import op12_importance_resampling
 from .simhash import op10_simhash
 from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .token_files import op9_token_files
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_files": op9_token_files,
         "op10_simhash": op10_simhash,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_importance_resampling": op12_importance_resampling,
     }
 
 
