@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op8_decontaminate
+from .embedding_dedup import OP13_SQL, op13_embedding_dedup
 from .hard_negatives import OP11_SQL, op11_hard_negatives
 from .html_text import op1_html_text
 from .language_id import language_id_documents, op3_language_id
@@ -35,8 +36,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_simhash": op10_simhash,
         "op11_hard_negatives": op11_hard_negatives,
         "op12_importance_resampling": op12_importance_resampling,
+        "op13_embedding_dedup": op13_embedding_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op5_quality_rules": OP5_SQL, "op7_url_filters": OP7_SQL, "op11_hard_negatives": OP11_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op5_quality_rules": OP5_SQL, "op7_url_filters": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op13_embedding_dedup": OP13_SQL}
