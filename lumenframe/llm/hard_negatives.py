@@ -6,7 +6,7 @@ list with centroid c and radius r the score a.x lies within |a| r of a.c. So a l
 of scores that is asked for, or whose lower bound is above it, holds nothing, and once an anchor has its k rows a list
 counts only if its upper bound is not strictly below the k-th score.
 
-Anchors of one list search together, in blocks of at most BLOCK; the rows of a list are in slices of about SLICE. A block
+Anchors of neighbouring lists search together, in blocks of about BLOCK; the rows of a list are in slices of about SLICE. A block
 meets a slice in one call, so hot lists, copies and many anchors only make more calls. Lists are visited in two rounds:
 FIRST lists by the bound give k-th scores, then all others whose bound these do not rule out. The search has no cap, so it
 is exact (recall 1).
@@ -31,7 +31,7 @@ from .common import map_batches, materialise, settled, table
 from .vectors import dimension, each_row, finite, matrix, packed, sample, sliced
 
 #: Inverted lists at most, rows of a slice, anchors of a block, lists of the first round.
-LISTS, SLICE, BLOCK, FIRST = 256, 4096, 256, 8
+LISTS, SLICE, BLOCK, FIRST = 256, 8192, 1024, 8
 
 #: Scores beyond these are clipped.
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
@@ -42,14 +42,14 @@ _RELABELLED = "CASE WHEN vec_id % 7 = 0 THEN (cast(label AS bigint) + 1) % 10 EL
 def rows_of(embeddings: DataFrame, scale: float = 256.0, relabel: str = _RELABELLED) -> DataFrame:
     """(id, label, v) of the rows that take part; components are scaled and floored, labels follow from ``relabel``."""
     kept = embeddings.where("vec_id IS NOT NULL AND label IS NOT NULL").where(finite("embedding"))
-    known = kept.select(F.col("vec_id").cast("long").alias("id"), F.expr(relabel).alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    known = kept.select(F.col("vec_id").cast("long").alias("id"), F.expr(relabel).cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     once = known.groupBy("id").agg(F.min(F.struct("label", "v")).alias("x"))
     return once.select("id", "x.label", F.transform("x.v", lambda x: _floored(F.lit(scale) * x)).alias("v"))
 
 
 def _floored(x: Column) -> Column:
-    """The floor as a double; doubles from 2^52 on are whole, and those over 1e300 are taken as 1e300."""
-    return F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(F.greatest(F.lit(-1e300), F.least(F.lit(1e300), x)))
+    """The floor as a double; doubles from 2^52 on are whole, and those over 1e150 are taken as 1e150."""
+    return F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(F.greatest(F.lit(-1e150), F.least(F.lit(1e150), x)))
 
 
 def centroids(points: np.ndarray, number: int, rounds: int = 10) -> np.ndarray:
@@ -162,8 +162,15 @@ class Index:
         self.slices = materialise(packed(sliced(self.rows, ["list"], "id", size).select("list", "slice", "id", "label", "v"), ["list", "slice"], fill, "ids binary, labels binary, v binary"), "slices")
 
     def blocks(self, anchors: DataFrame, size: int) -> DataFrame:
-        """(block, a_ids, a_labels, a_v, w_*) of ``anchors`` (list, id, label, v, windows): anchors of one list together."""
+        """(block, a_ids, a_labels, a_v, w_*) of ``anchors`` (list, id, label, v, windows): those of neighbouring lists together."""
         dims = self.dims
+        held = {r["list"]: r["n"] for r in anchors.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each list
+        group, n, of = 0, 0, []
+        for x in np.argsort(self.c @ np.linalg.svd(self.c, full_matrices=False)[2][0], kind="stable").tolist():
+            group, n = (group + 1, 0) if n + held.get(x, 0) > size else (group, n)
+            n += held.get(x, 0)
+            of.append((x, group))
+        anchors = anchors.join(anchors.sparkSession.createDataFrame(of, "list int, `group` int"), "list")
 
         def fill(t: pa.Table) -> dict[str, object]:
             w = t.column("windows").to_pylist()
@@ -171,8 +178,8 @@ class Index:
             flat = [np.array([y[c] for x in w for y in x], np.int64).tobytes() for c in ("name", "low", "high")]
             return {"a_ids": _bytes(t, "id", np.int64), "a_labels": _bytes(t, "label", np.int64), "a_v": _vectors(t, dims), "w_at": np.array(at, np.int64).tobytes(), **dict(zip(("w_name", "w_low", "w_high"), flat, strict=True))}
 
-        made = packed(sliced(anchors, ["list"], "id", size).select("list", "slice", "id", "label", "v", "windows"), ["list", "slice"], fill, "a_ids binary, a_labels binary, a_v binary, w_at binary, w_name binary, w_low binary, w_high binary")
-        return made.select(F.struct("list", "slice").alias("of"), *[c for c in made.columns if c not in ("list", "slice")]).withColumn("block", F.expr("cast(of.list AS bigint) * 4294967296 + of.slice")).drop("of")
+        made = packed(sliced(anchors, ["group"], "id", size).select("group", "slice", "id", "label", "v", "windows"), ["group", "slice"], fill, "a_ids binary, a_labels binary, a_v binary, w_at binary, w_name binary, w_low binary, w_high binary")
+        return made.withColumn("block", F.expr("cast(`group` AS bigint) * 4294967296 + slice")).drop("group", "slice")
 
     def _visits(self, blocks: DataFrame, k: int, same: bool, ahead: bool, first: int) -> DataFrame:
         """(anchor, name, id, score): for each window the k best rows of every slice visited."""
