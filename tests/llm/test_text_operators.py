@@ -198,9 +198,10 @@ def jaccard(a, b):
     return len(x & y) / len(x | y) if x | y else 1.0
 
 
-@pytest.mark.parametrize(("crowded", "rounds", "deep"), [(1, 2, 2), (3, 0, 3), (24, 3, 200)])
-def test_near_copies_of_the_whole_band(spark, crowded, rounds, deep, monkeypatch):
-    monkeypatch.setattr(near_copies.links, "__defaults__", (crowded, rounds, deep))
+@pytest.mark.parametrize(("rounds", "hot"), [(0, (1000, 32)), (1, (2, 0.5)), (3, (1000, 32))])
+def test_near_copies_of_the_whole_band(spark, rounds, hot, monkeypatch):
+    monkeypatch.setattr(near_copies.links, "__defaults__", (rounds,))
+    monkeypatch.setattr(near_copies, "HOT", hot)
     r = random.Random(11)
     texts = {}
     for i in range(60):
