@@ -52,15 +52,21 @@ _scopes: list[list[str]] = []
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends here, and survives lost executors."""
     spark = session(df)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted at the end of the scratch() that it is asked for in, if any."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
@@ -85,12 +91,10 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
     """What ``make`` returns, written; the tables that it made on the way are deleted."""
+    path = scratch_path(spark, name)
     with scratch(spark):
         df = make()
-        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -18,12 +18,15 @@ most common ones are modelled, which bounds what the driver gathers; declaration
 Counts by place are one row for each host before they meet the rows again, and that join is of two written tables, so
 Spark can split the rows of a hot host. A null or empty text has no likelihood of its own and takes the language of
 declaration and place; a null or unreadable declaration counts as "und". Hosts and suffixes may be null, too: such rows
-share a prior. Of languages with the same posterior the first in order of the alphabet is taken. Repeated rows are each
+share a prior. Markup is read in one pass whatever it holds: the text has its character references decoded and leaves out
+tags, comments, scripts and styles; one that never ends goes on to the end of the page. Of languages with the same posterior the first in order of the alphabet is taken. Repeated rows are each
 judged. Texts of any length are read whole. An empty table gives an empty one. Only the named columns are read.
 """
 
 from __future__ import annotations
 
+import html
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, map_batches, materialise, table
+from .common import discard, map_batches, materialise, settled, table
 from .url_filters import host_of
 
 #: Rows that the model of a language is fitted on, at most.
@@ -47,9 +50,64 @@ OVERLAP = 3.0
 #: Weight of the wider prior, in rows.
 TO_SUFFIX, TO_ALL = 5.0, 20.0
 
-#: Languages with fewer rows in the table than this are not modelled, and no more than MODELS are.
+#: Languages with fewer rows in the table than this are not modelled, and no more than MODELS are, unless identify() is told
+#: otherwise; the driver gathers BUCKETS counts for each.
 LEAST, MODELS = 5, 256
 
+_RAW_END = {name: re.compile(f"</{name}", re.I) for name in ("script", "style")}
+_ROOT = re.compile(r"<html(?=[\s/>])", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
+
+
+def visible(page: str | None) -> str | None:
+    """The text of markup, in time that grows with its length alone."""
+    if page is None:
+        return None
+    out, at = [], 0
+    while (start := page.find("<", at)) >= 0:
+        out.append(page[at:start])
+        if page.startswith("<!--", start):
+            end, size = page.find("-->", start + 4), 3
+        elif page[start + 1 : start + 2].isalpha() or page[start + 1 : start + 2] in ("/", "!", "?"):
+            end, size = page.find(">", start + 1), 1
+            name = page[start + 1 : start + 7].lower()
+            raw = next((x for x in _RAW_END if name.startswith(x) and not page[start + 1 + len(x) : start + 2 + len(x)].isalnum()), None)
+            if raw and end >= 0:
+                close = _RAW_END[raw].search(page, end)
+                end = page.find(">", close.start()) if close else -1
+        else:  # a sign, not a tag
+            out.append("<")
+            at = start + 1
+            continue
+        out.append(" ")
+        if end < 0:
+            at = len(page)
+            break
+        at = end + size
+    out.append(page[at:])
+    return html.unescape("".join(out))
+
+
+def declared_language(page: str | None) -> str | None:
+    """The lang attribute of the first html tag."""
+    tag = _ROOT.search(page) if page else None
+    end = page.find(">", tag.start()) if tag else -1
+    found = _LANG.search(page, tag.end(), end) if end >= 0 else None
+    return found.group(1) if found else None
+
+
+def opened(pages: DataFrame) -> DataFrame:
+    """(key, text, declared, host, suffix) of ``pages`` (page_id, url, html)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            markup = b.column(2).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([visible(x) for x in markup], pa.string()), pa.array([declared_language(x) for x in markup], pa.string())], names=["key", "host", "text", "declared"])
+
+    rows = pages.select(F.col("page_id").cast("long").alias("key"), host_of(F.col("url")).alias("host"), "html")
+    made = map_batches(rows, each, "key long, host string, text string, declared string")
+    return made.select("key", "text", "declared", "host", F.regexp_extract("host", r"[^.]*$", 0).alias("suffix"))
+
 
 def trigrams(text: str | None) -> np.ndarray:
     """Bucket of each trigram of bytes of the text in lower case, a space before and after it."""
@@ -57,14 +115,14 @@ def trigrams(text: str | None) -> np.ndarray:
     return ((b[:-2] * 65_599 + b[1:-1] * 263 + b[2:]) * np.uint32(2_654_435_761) >> np.uint32(16)) if text else np.zeros(0, np.uint32)
 
 
-def sampled(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def sampled(rows: DataFrame, sample: int = SAMPLE, models: int = MODELS) -> DataFrame:
     """(text, declared): of each modelled language the rows with the smallest hashes of their keys.
 
     If no language has LEAST rows, the most common ones are modelled all the same. A threshold on the hash, from the
     language's count, leaves about twice the sample before the rows of a language meet to be ranked.
     """
     told = rows.where("declared <> 'und' AND text IS NOT NULL").select("key", "text", "declared")
-    counts = told.groupBy("declared").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "declared").limit(MODELS)
+    counts = told.groupBy("declared").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "declared").limit(models)
     counts = materialise(counts, "declared")
     enough = counts.where(F.col("n") >= LEAST)
     counts = enough if enough.limit(1).count() else counts
@@ -74,9 +132,9 @@ def sampled(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return ranked.where(F.col("at") <= sample).select("text", "declared")
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+def fit(rows: DataFrame, sample: int = SAMPLE, models: int = MODELS) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities BUCKETS x languages) from ``rows`` (key, text, declared)."""
-    chosen = materialise(sampled(rows, sample), "sample")
+    chosen = materialise(sampled(rows, sample, models), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         n: dict[str, np.ndarray] = {}
@@ -99,10 +157,10 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     return found, np.log(p).astype(np.float32)
 
 
-def identify(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def identify(rows: DataFrame, sample: int = SAMPLE, models: int = MODELS) -> DataFrame:
     """(key, lang, confidence, text_lang, declared, host) from ``rows`` (key, text, declared, host, suffix)."""
     rows = rows.select("key", "text", F.coalesce(F.nullif(F.lower(F.regexp_extract("declared", "^[A-Za-z]+", 0)), F.lit("")), F.lit("und")).alias("declared"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("suffix", F.lit("")).alias("suffix"))
-    languages, logs = fit(rows, sample)
+    languages, logs = fit(rows, sample, models)
     shared = rows.sparkSession.sparkContext.broadcast(logs)
     n = len(languages)
     kind = rows.schema["key"].dataType.simpleString()
@@ -150,15 +208,12 @@ def identify(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op3: the language of every page: text without tags, the lang attribute of the markup, host and address suffix."""
-    p = table(spark, sf_dir, "pages").withColumn("host", host_of(F.col("url")))
-    text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ")
-    rows = p.select(F.col("page_id").alias("key"), text.alias("text"), F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z]+)", 1).alias("declared"), "host", F.regexp_extract("host", r"[^.]*$", 0).alias("suffix"))
-    return identify(rows).select(F.col("key").alias("page_id"), "lang", "confidence", "text_lang", "declared", "host")
+    """op3: the language of every page: its text, the lang attribute of the markup, host and address suffix."""
+    return settled(spark, lambda: identify(materialise(opened(table(spark, sf_dir, "pages")), "opened")).select(F.col("key").alias("page_id"), "lang", "confidence", "text_lang", "declared", "host"), "languages")
 
 
 def language_id_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; its declared language is column lang, its place column source, without a suffix."""
     d = table(spark, sf_dir, "documents")
     rows = d.select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit("").alias("suffix"))
-    return identify(rows).select(F.col("key").alias("doc_id"), "lang", "confidence", "text_lang", F.col("host").alias("source"))
+    return settled(spark, lambda: identify(rows).select(F.col("key").alias("doc_id"), "lang", "confidence", "text_lang", F.col("host").alias("source")), "languages")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import settled
 from .decontaminate import op8_decontaminate
 from .embedding_dedup import OP13_SQL, op13_embedding_dedup
 from .hard_negatives import OP11_SQL, op11_hard_negatives
@@ -21,7 +22,21 @@ from .token_files import op9_token_files
 from .url_filters import OP7_SQL, op7_url_filters
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _settled(name: str, query: Query) -> Query:
+    """``query`` with its rows written, and the tables that it made on the way deleted."""
+    return lambda spark, sf_dir: settled(spark, lambda: query(spark, sf_dir), name)
+
+
+def queries() -> dict[str, Query]:
+    """All queries. Where rows are much smaller than the texts they come from they are written, and scratch tables go."""
+    small = ("op2_substring_dedup", "op4_best_fit_packing", "op6_quality_classifier", "op9_token_files", "op10_simhash")
+    return {name: _settled(name, query) if name in small else query for name, query in _queries().items()}
+
+
+def _queries() -> dict[str, Query]:
     return {
         "op1_html_text": op1_html_text,
         "op2_substring_dedup": op2_substring_dedup,

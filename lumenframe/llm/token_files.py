@@ -19,7 +19,6 @@ columns are written.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -29,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, shared_dir, table
+from .common import map_batches, scratch_path, table
 from .tokens import Encoder, default_tokenizer, vocabulary_bits
 
 HEAD = struct.Struct("<4sBBHIIIQQ")
@@ -158,6 +157,6 @@ def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: documents written as token files and read back."""
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tokens")
     write(table(spark, sf_dir, "documents"), path)
     return read(spark, path)

@@ -174,3 +174,97 @@ def test_the_pipeline_packs_what_the_stages_leave(spark, corpus):
         assert x.offset == fill.get(x.sequence_id, 0)
         fill[x.sequence_id] = x.offset + x.length
     assert max(fill.values()) <= 2048
+
+
+# --------------------------------------------------------------------------------------- what is left behind, and size
+
+
+def in_shared_folder(spark):
+    import os
+
+    from lumenframe.llm.common import shared_dir
+
+    return set(os.listdir(shared_dir(spark).removeprefix("file://")))
+
+
+def test_the_pipeline_leaves_its_result_alone(spark, corpus):
+    import corpus_pipeline
+
+    before = in_shared_folder(spark)
+    got = corpus_pipeline.run(spark, corpus[0])
+    left = in_shared_folder(spark) - before
+    assert len(left) == 1 and got.stored_at.endswith(left.pop()) and got.count() > 300
+
+
+@pytest.mark.parametrize("name", ["op2_substring_dedup", "op4_best_fit_packing", "op6_quality_classifier", "op9_token_files", "op10_simhash", "op12_importance_resampling"])
+def test_queries_leave_their_result_alone(spark, corpus, name):
+    from lumenframe.llm import registry
+
+    before = in_shared_folder(spark)
+    got = registry.queries()[name](spark, corpus[0])
+    left = in_shared_folder(spark) - before
+    assert len(left) == 1 and got.stored_at.endswith(left.pop()) and got.count() > 300
+
+
+@pytest.mark.parametrize("part", ["<", "<script>", "<!--", "<a", "<html lang ", "</", "<script></scrip", "<style", "a<b>", "&amp;", "<![CDATA["])
+def test_markup_that_never_ends_takes_no_time(part):
+    import time
+
+    page = part * (1_000_000 // len(part))
+    began = time.time()
+    language_id.visible(page), language_id.declared_language(page)
+    assert time.time() - began < 5
+
+
+def test_text_and_declaration_of_markup():
+    page = '<!doctype html><HTML xml:lang=fr class=x><title>T&auml;</title><style>s{}</style><p>1 < 2<!-- no --> a<SCRIPT a="b">bad()</script >b<scripted>c</p><script>rest'
+    assert language_id.visible(page).split() == "Tä 1 < 2 a b c".split() and language_id.declared_language(page) == "fr"
+    assert language_id.visible(None) is None and language_id.visible("") == "" and language_id.declared_language("<html") is None
+
+
+def jaccard_groups(texts):
+    runs = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts.items()}
+    top = {i: i for i in texts}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a in texts:
+        for b in texts:
+            if a < b and 5 * (n := len(runs[a] & runs[b])) >= 4 * (len(runs[a]) + len(runs[b]) - n):
+                x, y = find(a), find(b)
+                top[max(x, y)] = min(x, y)
+    return {i: find(i) for i in texts}
+
+
+def test_templates_chains_and_copies_against_all_pairs(spark):
+    r = random.Random(4)
+    own = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    template, texts = own(120), {}
+    for i in range(150):  # a template with tails that are too long for most pairs
+        texts[i] = " ".join(template + own(r.randint(8, 22)))
+    chain = own(100)
+    for i in range(200, 260):  # each like the next, the ends alike in nothing
+        chain = chain[6:] + own(6)
+        texts[i] = " ".join(chain)
+    original = own(110)
+    for i in range(300, 420):  # copies with edits, of each other or only of the original
+        w = list(original)
+        for k in r.sample(range(len(w)), r.choice([1, 2, 3, 5])):
+            w[k] = own(1)[0]
+        texts[i] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in near_copies.groups(docs).collect()}
+    assert got == jaccard_groups(texts) and 20 < len(set(got.values())) < 200
+
+
+def test_six_thousand_pages_of_a_template_make_no_pairs(spark):
+    r = random.Random(5)
+    template = [f"t{i}" for i in range(200)]
+    docs = spark.createDataFrame([(i, " ".join(template + [f"w{r.randrange(10**7)}" for _ in range(35)])) for i in range(6000)], "doc_id long, text string")
+    probes = near_copies.cells(docs, near_copies.rarity(near_copies.sketches(docs)))
+    indexed = probes.where("pos < n - (8 * n + 8) div 9 + 1").count()
+    assert probes.count() > 40_000 and indexed < 6000
+    assert near_copies.first_of_each(docs).count() == 6000
