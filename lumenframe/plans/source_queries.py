@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import readers, writers
+from ..operators import periodograms
+from ..sources import datasource, readers, writers
+from ..streaming import resumable
 from .series_queries import LC, rounded
+from .series_queries import Q as SERIES
 from .tables import events
 
 Q: dict[str, tuple] = {}
@@ -74,3 +79,44 @@ def document_pictures(s: SparkSession, d: str) -> DataFrame:
 
 
 Q["document_pictures"] = (document_pictures, f"{LC} SELECT objectid, base64(encode('png-' || min(seq))) AS base64, 'png-' || min(seq) AS picture FROM lc GROUP BY 1")
+
+
+def folder(s: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir; on one machine, where that is unset, under the temporary one."""
+    shared = s.conf.get("spark.checkpoint.dir", None)
+    if not shared and not s.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp(prefix='lumenframe-')}/{name}-{uuid.uuid4().hex}"
+
+
+def _scanned(layout: str, columns: dict[str, str], name: str, where: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The events as files in a folder, read by the data source: only ``columns``, and rows and files by a pushed filter."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        path = folder(s, layout)
+        writers.store(writers.encode(events(s, d), layout), path)
+        t, m, e = columns
+        found = datasource.scan(s, path, layout, dict(columns), name).where(where)
+        return rounded(found.select("objectid", F.col(t).alias("t"), F.col(m).alias("m"), F.col(e).alias("e")))
+
+    return run
+
+
+Q["scan_sqlite_pushed"] = (_scanned("hat-sql", {"rjd": "double", "aep_000": "double", "aie_000": "double"}, r"^(\d+)-hatlc", "rjd < 60320.0 AND aep_000 > 50.0 AND objectid IN ('1', '3', '7', '40', '149')"), ROWS.format(key="objectid::VARCHAR") + " WHERE t < 60320.0 AND m > 50.0 AND objectid IN (1, 3, 7, 40, 149)")
+Q["scan_csv_pushed"] = (_scanned("hat-csv", {"rjd": "double", "aep_000": "double", "aie_000": "double"}, r"^(\d+)-hatlc", "rjd >= 60325.0 AND aep_000 <= 200.0"), ROWS.format(key="objectid::VARCHAR") + " WHERE t >= 60325.0 AND m <= 200.0")
+Q["scan_fits_pushed"] = (_scanned("kep-fits", {"time": "double", "sap_flux": "double", "sap_flux_err": "double"}, r"^kplr(\d+)_llc", "time > 60330.5 AND objectid LIKE '1%'"), ROWS.format(key="objectid::VARCHAR") + " WHERE t > 60330.5 AND objectid::VARCHAR LIKE '1%'")
+
+
+def resumable_periods(s: SparkSession, d: str) -> DataFrame:
+    """find_periods over the events as files by third of the time, one file a batch: each object comes three times, twice late."""
+    periodograms.register_method("pdm5", periodograms.pdm_kernel(5, 5), "theta", False)
+    source, results = folder(s, "events"), folder(s, "results")
+    lc = events(s, d).select(F.col("objectid").cast("string"), "t", "m", "e", "seq", F.floor((F.col("t") - 60310.0) / 10).alias("third"))
+    lc.repartition("third").drop("third").write.parquet(source)
+    options = {"best": 3, "sigma": None}
+    resumable.search_periods(s, source, results, ["gls", "pdm5"], files_a_batch=1, **options).awaitTermination()
+    got = resumable.found_periods(s, results, ["gls", "pdm5"], **options)
+    return rounded(got.select(F.col("objectid").cast("long"), F.when(F.col("method") == "pdm5", "pdm").otherwise(F.col("method")).alias("method"), "rank", "period", "score"), period=5, score=4)
+
+
+Q["resumable_periods"] = (resumable_periods, SERIES["find_periods"][1])
