@@ -21,8 +21,9 @@ from .series import KEY, finite_filter, sigclip
 
 TWO_PI = 2.0 * math.pi
 
-#: Pairs of point and frequency in a call of a kernel, and in an array within it.
-WORK, BLOCK = 1 << 28, 1 << 19
+#: Pairs of point and frequency in a call of a kernel, and in an array within it, which fits a core's cache; frequencies in
+#: such an array, at least.
+WORK, BLOCK, ROWS = 1 << 28, 1 << 16, 16
 
 Grid = tuple[float, float, int] | DataFrame
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]]
@@ -102,7 +103,7 @@ def opened(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
 
 def _blocks(points: int, count: int) -> Iterator[tuple[int, int]]:
     """(start, end) of blocks of frequencies whose arrays have about BLOCK elements."""
-    size = max(1, BLOCK // max(1, points))
+    size = max(ROWS, BLOCK // max(1, points))
     for i in range(0, count, size):
         yield i, min(i + size, count)
 
@@ -248,16 +249,24 @@ def bls_kernel(bins: int = 200, qmin: float = 0.01, qmax: float = 0.1) -> Kernel
         sums = lambda v: np.bincount(b, np.broadcast_to(v, (number, len(x))).ravel(), number * bins).reshape(number, bins)
         around = lambda v: np.cumsum(np.concatenate([np.zeros((number, 1)), v, v], 1), 1)
         cw, cy = around(sums(w)), around(sums(w * y))
-        best, size, start, rr, sy = (np.zeros(number) for _ in range(5))
-        best -= 1.0
+        best, size, start = np.full(number, -1.0), np.zeros(number), np.zeros(number)
         rows = np.arange(number)
+        r, s, spread = (np.empty((number, bins)) for _ in range(3))  # the same memory for all lengths
         for n in lengths:
-            r, s = cw[:, n : bins + n] - cw[:, :bins], cy[:, n : bins + n] - cy[:, :bins]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                sr = np.where((r > 1e-12) & (r < 1 - 1e-12), s * s / (r * (1 - r)), 0.0)
-            j = sr.argmax(1)
-            new = sr[rows, j] > best
-            best, size, start, rr, sy = (np.where(new, a, c) for a, c in ((sr[rows, j], best), (n, size), (j, start), (r[rows, j], rr), (s[rows, j], sy)))
+            np.subtract(cw[:, n : bins + n], cw[:, :bins], out=r)
+            np.subtract(cy[:, n : bins + n], cy[:, :bins], out=s)
+            np.subtract(1.0, r, out=spread)
+            spread *= r
+            np.maximum(spread, 1e-300, out=spread)
+            s *= s
+            s /= spread
+            s[(r <= 1e-12) | (r >= 1 - 1e-12)] = 0.0
+            j = s.argmax(1)
+            top = s[rows, j]
+            new = top > best
+            best[new], size[new], start[new] = top[new], n, j[new]
+        first, last = start.astype(int), (start + size).astype(int)
+        rr, sy = cw[rows, last] - cw[rows, first], cy[rows, last] - cy[rows, first]
         with np.errstate(divide="ignore", invalid="ignore"):
             depth = np.where((rr > 0) & (rr < 1), sy / (rr * (1 - rr)), 0.0)
         return {"power": np.sqrt(np.maximum(best, 0.0)), "depth": depth, "duration": size / bins, "ingress": start / bins}
@@ -320,6 +329,63 @@ def peaks(scores: DataFrame, score: str = "power", best: int = 5, epsilon: float
     return got.select(KEY, (F.col("rank") + 1).alias("rank"), F.col("x.p").alias("period"), (-F.col("x.s") if largest else F.col("x.s")).alias(score))
 
 
+def walked(s: np.ndarray, p: np.ndarray, best: int, epsilon: float) -> np.ndarray:
+    """Places of the peaks that peaks() takes, of values ``s`` (least first, ties in order) at periods ``p``."""
+    order = np.argsort(s, kind="stable")
+    q = p[order]
+    fresh = np.ones(len(q), bool)
+    fresh[1:] = np.abs(q[1:] - q[:-1]) > epsilon * q[:-1]
+    left, got = np.flatnonzero(fresh), []
+    while len(left) and len(got) < best:
+        got.append(left[0])
+        left = left[1:][np.abs(q[left[1:]] - q[left[0]]) > epsilon * q[left[0]]]
+    return order[got]
+
+
+def best_peaks(lc: DataFrame, grid: Grid, methods: list[str], best: int = 5, epsilon: float = 0.1, work: int = WORK) -> DataFrame:
+    """(objectid, method, rank, period, score): peaks() of each of ``methods`` (names of METHODS) over one grid.
+
+    All methods run in one call over an object's points. A whole grid in one call leaves only its peaks; of a grid in several
+    stretches the scores meet once, packed, eight bytes a frequency and method, and no row is made for a frequency.
+    """
+    how = {name: METHODS[name] for name in methods}
+    kind = lc.schema[KEY].dataType.simpleString()
+    names = [KEY, "method", "part", "first", "step", "packed", "period", "score"]
+
+    def found(name: str, v: np.ndarray, freqs: np.ndarray) -> tuple[list[float], list[float]]:
+        at = np.flatnonzero(np.isfinite(v) & (freqs > 0))
+        p = 1.0 / freqs[at]
+        top = walked(-v[at] if how[name][2] else v[at], p, best, epsilon)
+        return p[top].tolist(), v[at][top].tolist()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, m, e, _, freqs = opened(pdf)
+        x = pdf.iloc[0]
+        out = []
+        for name, (kernel, score, _) in how.items():
+            v = np.concatenate([kernel(t, m, e, freqs[i:j])[score] for i, j in _blocks(len(t), len(freqs))])
+            whole = len(freqs) == int(x["number"])
+            period, value = found(name, v, freqs) if whole else (None, None)
+            out.append((x[KEY], name, int(x["part"]), float(x["first"]), float(x["step"]), None if whole else v.astype(float).tobytes(), period, value))
+        return pd.DataFrame(out, columns=names)
+
+    def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            tops = []
+            for name, first, step, period, score, pieces in zip(*(pdf[c] for c in ("method", "first", "step", "period", "score", "pieces")), strict=True):
+                if len(pieces):
+                    v = np.concatenate([np.frombuffer(b, float) for _, b in sorted((int(y["part"]), y["packed"]) for y in pieces)])
+                    period, score = found(name, v, first + np.arange(len(v)) * step)
+                tops.append((period, score))
+            sizes = [len(x) for x, _ in tops]
+            flat = [np.concatenate([np.zeros(0), *(x[c] for x in tops)]) for c in (0, 1)]
+            yield pd.DataFrame({KEY: np.repeat(pdf[KEY], sizes), "method": np.repeat(pdf["method"], sizes), "rank": np.concatenate([np.zeros(0), *(np.arange(1, n + 1) for n in sizes)]).astype(np.int32), "period": flat[0], "score": flat[1]})
+
+    rows = stretches(lc, grid, work).groupBy(KEY, "part").applyInPandas(run, f"{KEY} {kind}, method string, part long, first double, step double, packed binary, period array<double>, score array<double>")
+    met = rows.groupBy(KEY, "method").agg(F.first("first").alias("first"), F.first("step").alias("step"), F.first("period").alias("period"), F.first("score").alias("score"), F.collect_list(F.when(F.col("packed").isNotNull(), F.struct("part", "packed"))).alias("pieces"))
+    return met.mapInPandas(merge, f"{KEY} {kind}, method string, rank int, period double, score double")
+
+
 def independent_frequencies(freq_span: Column, time_span: Column, n_times: Column, n_freqs: Column) -> Column:
     """The least of number of times, of frequencies, and the product of spans."""
     return F.least(n_times.cast("double"), n_freqs.cast("double"), freq_span * time_span)
@@ -471,15 +537,20 @@ def find_periods(lc: DataFrame, methods: list[str], grids: dict[str, Grid] | Non
     """(objectid, method, rank, period, score): the best peaks of every object by every method, in one table.
 
     Series are clipped first and need ``least`` points. Methods without a grid of their own share the automatic one, of each
-    object. The points are read once for each method; nothing but peaks leaves an object's tasks.
+    object. Methods that share a grid read the points once and run in one call; see best_peaks() for what leaves it.
     """
     lc = sigclip(lc, sigma).select(KEY, "t", "m", "e", "seq")
-    out = None
+    shared: list[tuple[Grid | None, list[str]]] = []
     for name in methods:
-        kernel, score, largest = METHODS[name]
         grid = (grids or {}).get(name)
-        scores = search(lc if name != "win" else lc.withColumns({"m": F.lit(1.0), "e": F.lit(1.0)}), frequency_grids(lc, least=least) if grid is None else grid, kernel, [score])
-        found = peaks(scores, score, best, epsilon, largest).select(KEY, F.lit(name).alias("method"), "rank", "period", F.col(score).alias("score"))
+        same = next((names for g, names in shared if g is grid or isinstance(g, tuple) and g == grid), None)
+        if same is None:
+            shared.append((grid, [name]))
+        else:
+            same.append(name)
+    out = None
+    for grid, names in shared:
+        found = best_peaks(lc, frequency_grids(lc, least=least) if grid is None else grid, names, best, epsilon)
         out = found if out is None else out.unionAll(found)
     return out
 

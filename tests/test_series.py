@@ -275,3 +275,16 @@ def test_empty_table(spark):
     assert features.nonperiodic(none).count() == 0
     assert periodograms.gls(none, 0.1, 0.1, 5).count() == 0
     assert series.fill_gaps(none, 0.5).count() == 0
+
+
+@pytest.mark.parametrize("work", [1 << 28, 1500])
+def test_peaks_within_tasks_are_those_of_all_scores(waves, work):
+    grid = (0.1, 0.003, 400)
+    got = {tuple(r) for r in periodograms.best_peaks(waves, grid, ["gls", "pdm", "bls"], 4, 0.05, work).collect()}
+    want = set()
+    for name in ("gls", "pdm", "bls"):
+        kernel, score, largest = periodograms.METHODS[name]
+        scores = periodograms.search(waves, grid, kernel, [score])
+        want |= {(r.objectid, name, r["rank"], r.period, r[score]) for r in periodograms.peaks(scores, score, 4, 0.05, largest).collect()}
+    assert {x[:3] for x in got} == {x[:3] for x in want} and len(want) > 6
+    assert [v for x in sorted(got) for v in x[3:]] == pytest.approx([v for x in sorted(want) for v in x[3:]])
