@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog_queries, neighbour_queries, series_queries, source_queries
+from . import catalog_queries, neighbour_queries, series_queries, signal_queries, source_queries
 
-_ALL = series_queries.Q | catalog_queries.Q | source_queries.Q | neighbour_queries.Q
+_ALL = series_queries.Q | catalog_queries.Q | source_queries.Q | neighbour_queries.Q | signal_queries.Q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -278,7 +278,11 @@ def test_empty_table(spark):
 
 
 @pytest.mark.parametrize("work", [1 << 28, 1500])
-def test_peaks_within_tasks_are_those_of_all_scores(waves, work):
+def test_peaks_within_tasks_are_those_of_all_scores(spark, work):
+    import numpy as np
+
+    r = np.random.default_rng(12)
+    waves = spark.createDataFrame([(k, float(t), float(np.sin(2 * np.pi * t / (2.0 + k)) + 0.2 * r.normal()), 0.1, i) for k in range(3) for i, t in enumerate(np.sort(r.uniform(0, 50, 90)))], "objectid int, t double, m double, e double, seq int")
     grid = (0.1, 0.003, 400)
     got = {tuple(r) for r in periodograms.best_peaks(waves, grid, ["gls", "pdm", "bls"], 4, 0.05, work).collect()}
     want = set()
