@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fits import savgol
@@ -386,6 +386,30 @@ def best_peaks(lc: DataFrame, grid: Grid, methods: list[str], best: int = 5, eps
     return met.mapInPandas(merge, f"{KEY} {kind}, method string, rank int, period double, score double")
 
 
+def combined(scores: dict[str, tuple[DataFrame, str, bool]], width: float) -> DataFrame:
+    """(objectid, bin, freq, methods, power): several periodograms of unlike grids added up in bins of frequency.
+
+    ``scores`` has for each method (rows of objectid and freq, the score's column, whether the largest is best). A method's
+    scores become shares of its object's largest, and where the least is best that least over the score; each stands for the
+    stretch up to halfway to its neighbours, and counts in every bin of ``width`` that it overlaps, the best in a bin for its
+    method. The sums over methods are divided by their object's largest; ``methods`` counts those with a score in the bin.
+    """
+    parts = None
+    for name, (rows, score, largest) in scores.items():
+        ok = rows.where(F.col(score).isNotNull() & ~F.isnan(score) & (F.col("freq") > 0)).select(KEY, "freq", F.col(score).alias("v"))
+        by = Window.partitionBy(KEY)
+        best = F.max("v").over(by) if largest else F.min("v").over(by)
+        ok = ok.withColumn("p", F.try_divide("v", F.when(best != 0, best)) if largest else F.try_divide(best, F.when(F.col("v") != 0, F.col("v"))))
+        order = by.orderBy("freq")
+        low, high = ((F.col("freq") + F.coalesce(f("freq").over(order), F.col("freq"))) / 2 for f in (F.lag, F.lead))
+        ok = ok.withColumns({"low": low, "high": high}).where("p IS NOT NULL")
+        binned = ok.select(KEY, "p", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))).alias("bin"))
+        part = binned.groupBy(KEY, "bin").agg(F.max("p").alias("p")).withColumn("method", F.lit(name))
+        parts = part if parts is None else parts.unionAll(part)
+    total = parts.groupBy(KEY, "bin").agg(F.count(F.lit(1)).cast("int").alias("methods"), F.sum("p").alias("p"))
+    return total.select(KEY, "bin", ((F.col("bin") + 0.5) * width).alias("freq"), "methods", F.try_divide("p", F.max("p").over(Window.partitionBy(KEY))).alias("power"))
+
+
 def independent_frequencies(freq_span: Column, time_span: Column, n_times: Column, n_freqs: Column) -> Column:
     """The least of number of times, of frequencies, and the product of spans."""
     return F.least(n_times.cast("double"), n_freqs.cast("double"), freq_span * time_span)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import flares, periodograms, prewhitening, single_transits, tls, trends
-from .series_queries import LC, rounded
+from .series_queries import FOLDED, GLS, LC, rounded
 from .series_queries import Q as SERIES
 from .tables import events
 
@@ -90,3 +90,23 @@ def flare_fits(s: SparkSession, d: str) -> DataFrame:
 
 
 Q["flare_fits"] = (flare_fits, None)
+
+
+def combined_periodogram(s: SparkSession, d: str) -> DataFrame:
+    """GLS on a grid of its own and PDM on one of a third of the frequencies, three times as far apart, added up."""
+    lc = events(s, d)
+    grids = periodograms.frequency_grids(lc)
+    coarse = grids.withColumns({"step": 3 * F.col("step"), "number": F.ceil(F.col("number") / 3).cast("long")})
+    pdm = periodograms.pdm(lc, coarse, bins=5, least=5)
+    return rounded(periodograms.combined({"gls": (periodograms.gls(lc, grids), "power", True), "pdm": (pdm, "theta", False)}, 0.02), power=4)
+
+
+_ADDED = ", ".join(
+    f"{n}1 AS (SELECT objectid, freq, {share} AS p, (freq + coalesce(lag(freq) OVER w, freq)) / 2 AS low, (freq + coalesce(lead(freq) OVER w, freq)) / 2 AS high FROM {src} WINDOW w AS (PARTITION BY objectid ORDER BY freq)), {n}2 AS (SELECT objectid, bin, max(p) AS p FROM (SELECT objectid, p, unnest(range(floor(low / 0.02)::BIGINT, floor(high / 0.02)::BIGINT + 1)) AS bin FROM {n}1) GROUP BY ALL)"
+    for n, src, share in (("a", "gls", "power / max(power) OVER (PARTITION BY objectid)"), ("b", "pt", "min(theta) OVER (PARTITION BY objectid) / theta"))
+)
+Q["combined_periodogram"] = (
+    combined_periodogram,
+    f"{LC}, {GLS}, {FOLDED.split(', gr AS')[0]}, fb AS {FOLDED.split(', fb AS ')[1]}, v AS (SELECT objectid, var_samp(m) AS v0 FROM lc GROUP BY 1), "
+    f"b AS (SELECT objectid, k, freq, bin, count(*) AS n, var_samp(m) AS s2 FROM fb WHERE k % 3 = 0 GROUP BY ALL HAVING count(*) > 5), g AS (SELECT objectid, k, freq, sum(s2 * (n - 1)) AS top, sum(n) AS n, count(*) AS bins FROM b GROUP BY ALL), pt AS (SELECT g.objectid, k, freq, top / (n - bins) / v0 AS theta FROM g JOIN v ON g.objectid = v.objectid), {_ADDED}, t AS (SELECT objectid, bin, count(*)::INT AS methods, sum(p) AS p FROM (SELECT * FROM a2 UNION ALL SELECT * FROM b2) GROUP BY ALL) SELECT objectid, bin, round((bin + 0.5)::DOUBLE * 0.02::DOUBLE, 6) AS freq, methods, round(p / max(p) OVER (PARTITION BY objectid), 4) AS power FROM t",
+)
