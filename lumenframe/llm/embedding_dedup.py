@@ -46,6 +46,9 @@ SURE = 1e-5
 #: Cuts from the root of a block's tree to a leaf, at most.
 DEPTH = 10
 
+#: Pairs within budget in one matrix product beyond which they are verified by products over the other blocks, too.
+DENSE = 1 << 17
+
 #: What budgets are raised by, against rounding.
 _SLACK = 1e-5
 
@@ -139,6 +142,25 @@ def _firsts(number: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _dense(x: np.ndarray, y: np.ndarray, plan: Plan, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix of the pairs of ``x`` and ``y`` that certainly link and count in block k, places of those to be looked at one by one).
+
+    Distances in each block come from matrix products, whose rounding is far below the room that is left around every limit.
+    """
+    total, clear, here, room = np.zeros((len(x), len(y)), np.float32), np.ones((len(x), len(y)), bool), np.ones((len(x), len(y)), bool), np.float32(2e-5)
+    for b, (s, e) in enumerate(zip(plan.starts, plan.ends, strict=True)):
+        u, v = np.ascontiguousarray(x[:, s:e]), np.ascontiguousarray(y[:, s:e])
+        gap = (u * u).sum(1)[:, None] + (v * v).sum(1) - 2 * (u @ v.T)
+        total += gap
+        if b <= k:
+            within = gap <= np.float32(plan.budget[b])
+            here &= within if b == k else ~within
+            clear &= np.abs(gap - np.float32(plan.budget[b])) > room
+    over = 0.5 * (np.float32(plan.limit) - total)  # cosine less the limit
+    yes = here & clear & (over >= SURE + room)
+    return yes, np.flatnonzero((~clear | here & ~yes) & (over > -(SURE + room)))
+
+
 def _compared(row: dict, plan: Plan) -> Iterator[dict[str, np.ndarray]]:
     """Two slices: (a, b, links) rows with a link to the first of its part and a count, and unsure pairs, links null."""
     dims, k = len(plan.rotation), row["block"]
@@ -156,6 +178,15 @@ def _compared(row: dict, plan: Plan) -> Iterator[dict[str, np.ndarray]]:
         near = own_x[p : p + PART] @ own_y.T
         near -= half_y
         at = np.flatnonzero(near >= room[:, None])
+        if len(at) > DENSE:
+            yes, at = _dense(x[p : p + PART], y, plan, k)
+            if same:
+                yes[np.arange(len(yes))[:, None] + p >= np.arange(len(y))] = False
+            links_x[p : p + PART] += np.round(yes @ jns.astype(float)).astype(np.int64)
+            links_y += np.round(ns[p : p + PART].astype(float) @ yes).astype(np.int64)
+            if yes.any():
+                i, j = np.nonzero(yes)
+                sure.append(_forest(len(x) + (0 if same else len(y)), [(i + p, j if same else j + len(x))]))
         for q in range(0, len(at), 1 << 16):
             i, j = np.divmod(at[q : q + (1 << 16)], len(y))
             i += p

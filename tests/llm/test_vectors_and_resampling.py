@@ -209,3 +209,34 @@ def test_a_pair_is_within_budget_of_a_block(close):
         parts = np.add.reduceat(gap, plan.starts, axis=1)
         linked = x @ x[i] >= 0.9
         assert plan.number > 1 and (parts[linked] <= plan.budget).any(1).all()
+
+
+@pytest.mark.parametrize("dense", [1 << 17, -1])
+def test_two_slices_by_all_pairs(close, dense, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "DENSE", dense)
+    rows, d = close
+    x = embedding_dedup.units(np.array([v for i, v, _ in rows[:260] + rows[600:900]]))
+    plan = embedding_dedup.Plan(x, len(x), 0.9, 4)
+    turned = (x @ plan.rotation).astype(np.float32)
+    slices = [(np.arange(0, 300), 300), (np.arange(300, len(x)), len(x))]
+    pack = lambda at, tag: {f"ids{tag}": at.astype(np.int64).tobytes(), f"ns{tag}": np.ones(len(at), np.int64).tobytes(), f"x{tag}": turned[at].tobytes()}
+    links, edges, unsure = np.zeros(len(x), int), [], []
+    for k in range(plan.number):
+        for same, left, right in ((True, slices[0][0], None), (True, slices[1][0], None), (False, slices[0][0], slices[1][0])):
+            row = {"block": k, "same": same, **pack(left, ""), **(pack(right, "_b") if right is not None else {})}
+            for got in embedding_dedup._compared(row, plan):
+                for a, b, n in zip(got["a"].tolist(), got["b"].tolist(), got["links"].tolist(), strict=True):
+                    if n < 0:
+                        unsure.append((a, b))
+                    else:
+                        links[a] += n
+                        edges.append((a, b))
+    near = x @ x.T >= 0.9
+    for a, b in unsure:
+        assert abs(x[a] @ x[b] - 0.9) < 1e-4
+        links[[a, b]] += int(near[a, b])
+        edges += [(a, b)] if near[a, b] else []
+    assert links.tolist() == (near.sum(1) - 1).tolist() and links.sum() > 10_000
+    i, j = np.nonzero(near)
+    a, b = np.array(edges).T
+    assert embedding_dedup._firsts(len(x), i, j).tolist() == embedding_dedup._firsts(len(x), a, b).tolist()
