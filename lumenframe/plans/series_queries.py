@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from ..operators import features, periodograms, series, transits, trends
 from .tables import EVENTS_SQL, SUPPLIES_SQL, events, supplies
 
-#: First frequency, step and number of a short grid, in cycles a day, for the queries that compare every box or trial.
-GRID = (0.05, 0.01, 60)
-
 LC = f"WITH lc AS ({EVENTS_SQL})"
 SUPPLY = f"WITH lc AS ({SUPPLIES_SQL})"
 MED = "SELECT *, median(m) OVER (PARTITION BY objectid) AS med FROM {src}"
