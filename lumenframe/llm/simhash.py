@@ -85,7 +85,8 @@ def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """
     cells = _grid(fps, SEGMENTS)
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialise(cells.join(sizes, "cell"), "cells")
+    # Spark takes the exploded cells for as small as the fingerprints' file and would broadcast them by way of the driver
+    shared = materialise(cells.hint("merge").join(sizes, "cell"), "cells")
     close = lambda x, y: F.expr(f"bit_count({x} ^ {y}) <= 2")
     met = shared.where(F.col("n") <= crowded).groupBy("cell").agg(F.sort_array(F.collect_list("fp")).alias("f"))
     pairs = met.select(F.explode(F.expr("filter(flatten(transform(f, (x, i) -> transform(slice(f, i + 2, size(f)), y -> struct(x AS a, y AS b)))), p -> bit_count(p.a ^ p.b) <= 2)")).alias("p")).select("p.a", "p.b")

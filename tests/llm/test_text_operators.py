@@ -192,6 +192,21 @@ def test_links_connect_as_all_pairs_do(spark, crowded):
     assert same(got) == same(want)
 
 
+def test_exploded_cells_do_not_pass_through_the_driver(spark, monkeypatch, tmp_path):
+    plans = {}
+    real = simhash.materialise
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(simhash, "materialise", seen)
+    spark.range(500).select((F.col("id") * 7919).alias("fp")).write.parquet(f"{tmp_path}/fps")
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") not in ("-1", "0")
+    simhash.links(spark.read.parquet(f"{tmp_path}/fps")).count()
+    assert "SortMergeJoin" in plans["cells"] and "BroadcastHashJoin" not in plans["cells"]
+
+
 def jaccard(a, b):
     runs = lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
     x, y = runs(words(a.lower())), runs(words(b.lower()))
