@@ -7,12 +7,12 @@ only some words do ("share-price", "related-work") is a hint, and decides nothin
 
 Repeats. The token streams of a host's pages are concatenated, each page's end a token of its own, and their suffixes
 ranked by prefix doubling to a depth of DEPTH tokens. Suffixes that rank alike share their first DEPTH tokens: a run. For
-each run the distinct pages that have it are counted (equal pages count once). Of the runs of a page those count that have
-the least hash among WINNOW neighbours; so a repeated passage has a counted run in every WINNOW positions wherever it
-stands. A block of fewer than DEPTH tokens is, as a whole, a run of its own.
+each run the distinct pages that have it are counted (equal pages count once), at every position of every page. A block
+of fewer than DEPTH tokens is, as a whole, a run of its own.
 
 Decision. A block repeats if half or more of its tokens lie in runs that another page has, and is common if they lie in
-runs that more than half of the host's distinct pages have, where the host has MANY pages or more.
+runs that more than half of the host's distinct pages have, where the host has MANY pages or more. A block of fewer than
+DEPTH tokens does so as a whole only, since runs that begin in the block before may end in it.
 
 * Furniture goes.
 * A block of the article stays, unless it is common, or has a hint and repeats. So a share line or notice on most pages
@@ -21,8 +21,9 @@ runs that more than half of the host's distinct pages have, where the host has M
 * A page that would lose everything this way keeps its blocks of the article or, without one, what is not furniture.
 
 Hosts are dealt out in buckets of about BUCKET bytes of markup by a hash of the text, so a hot host takes many tasks and equal
-pages meet. Where a host has several buckets, each counts its own runs; counts of runs are then summed over the host
-by a grouped aggregation and go back to the buckets that have the run, so results do not depend on BUCKET.
+pages meet. Where a host has several buckets, each counts its own runs and deals them out by hash to as many shards as the
+host has buckets; a shard sums the counts of the runs that several buckets have and sends them back to these, so results do
+not depend on BUCKET. A shard has about as many runs as a bucket, each at most once for each bucket.
 
 A null or empty page has an empty text. A page of any length is parsed whole, in time linear in its length. Repeated rows
 are each returned, and are one page to the counts. Rows without a host (a null or relative address) share one. Ids and
@@ -44,12 +45,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, map_batches, materialise, table
+from .common import map_batches, materialise, table
 
 #: Tokens of a run; a power of two.
 DEPTH = 16
 
-#: Neighbouring runs of which one counts.
+#: Neighbouring runs of which chosen() takes one.
 WINNOW = 16
 
 #: Distinct pages that a host needs for a run to be common.
@@ -270,32 +271,56 @@ class Host:
         streams = [np.array([ids.setdefault(w, len(ids)) for _, _, t in p for w in t.split(" ")], np.int64) for p in pages]
         hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) for w in ids], np.uint64)
         names = [run_names(hashes[s]) for s in streams]
-        self.at = [chosen(n) for n in names]
-        self.runs = [n[at].view(np.int64) for n, at in zip(names, self.at, strict=True)]
-        self.short = [[xxhash.xxh64_intdigest(t.encode("utf-8", "replace"), 7) - (1 << 63) if t.count(" ") + 1 < DEPTH else None for _, _, t in p] for p in pages]
-        self.distinct = len({s.tobytes() for s in streams})
-        self.counts: dict[int, int] = {}
+        self.ends = np.cumsum([len(n) for n in names], dtype=np.int64)
+        self.runs = np.concatenate([*names, np.zeros(0, np.uint64)])
+        self.n = np.concatenate([*(n[: len(k)] for n, k in zip(pages_of_runs(streams), names, strict=True)), np.zeros(0, np.int64)])
+        self.short = [[xxhash.xxh64_intdigest(t.encode("utf-8", "replace"), 7) if t.count(" ") + 1 < DEPTH else None for _, _, t in p] for p in pages]
+        self.n_short: dict[int, int] = {}
         seen: set[bytes] = set()
-        for s, n, at, runs, short in zip(streams, pages_of_runs(streams), self.at, self.runs, self.short, strict=True):
-            self.counts.update(zip(runs.tolist(), n[at].tolist(), strict=True))
+        for s, short in zip(streams, self.short, strict=True):
             if s.tobytes() not in seen:
                 seen.add(s.tobytes())
                 for h in set(short) - {None}:
-                    self.counts[h] = self.counts.get(h, 0) + 1
+                    self.n_short[h] = self.n_short.get(h, 0) + 1
+        self.distinct = len(seen)
+
+    @property
+    def counts(self) -> dict[int, int]:
+        """Pages by run."""
+        return dict(zip(self.runs.tolist(), self.n.tolist(), strict=True)) | self.n_short
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """(runs, pages): each run once, in order."""
+        runs, at = np.unique(np.concatenate([self.runs, np.array(list(self.n_short), np.uint64)]), return_index=True)
+        return runs, np.concatenate([self.n, np.array(list(self.n_short.values()), np.int64)])[at]
+
+    def with_others(self, runs: np.ndarray, pages: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
+        """Pages of each run and by short block, where those in order in ``runs`` have ``pages``, the others what is here."""
+        if not len(runs):
+            return self.n, self.n_short
+        at = np.minimum(np.searchsorted(runs, self.runs), len(runs) - 1)
+        short = np.array(list(self.n_short), np.uint64)
+        there = np.minimum(np.searchsorted(runs, short), len(runs) - 1)
+        more = runs[there] == short
+        return np.where(runs[at] == self.runs, pages[at], self.n), self.n_short | dict(zip(short[more].tolist(), pages[there][more].tolist(), strict=True))
 
     def texts(self, counts: dict[int, int], distinct: int) -> list[str]:
         """Main texts, by the counts of all the host's pages."""
+        return self.decided(np.array([counts[r] for r in self.runs.tolist()], np.int64), counts, distinct)
+
+    def decided(self, pages: np.ndarray, short_pages: dict[int, int], distinct: int) -> list[str]:
+        """Main texts, by the pages that have the run of each position, and each short block, of ``distinct`` in all."""
         many = distinct // 2 if distinct >= MANY else distinct
         out = []
-        for page, at, runs, short in zip(self.pages, self.at, self.runs, self.short, strict=True):
-            n = np.array([counts[r] for r in runs.tolist()], np.int64)
+        for page, n, short in zip(self.pages, np.split(pages, self.ends[:-1]) if len(self.ends) else [], self.short, strict=True):
             total = sum(t.count(" ") + 1 for _, _, t in page)
-            over = [self._covered(at[n > least], total) for least in (1, many)]
+            over = [self._covered(np.flatnonzero(n > least), total) for least in (1, many)]
             kept, article, spare, start = [], [], [], 0
             explicit = any(r == ARTICLE for r, _, _ in page)
             for (region, hint, text), whole in zip(page, short, strict=True):
                 size = text.count(" ") + 1
-                repeats, common = (2 * int(o[start + size] - o[start]) >= size or whole is not None and counts[whole] > least for o, least in zip(over, (1, many), strict=True))
+                least_in = size if whole is not None else (size + 1) // 2
+                repeats, common = (int(o[start + size] - o[start]) >= least_in or whole is not None and short_pages[whole] > least for o, least in zip(over, (1, many), strict=True))
                 start += size
                 if region == ARTICLE:
                     article.append(text)
@@ -312,8 +337,8 @@ class Host:
     def _covered(starts: np.ndarray, total: int) -> np.ndarray:
         """How many tokens before each position lie in one of the runs."""
         steps = np.zeros(total + DEPTH + 1, np.int64)
-        np.add.at(steps, starts, 1)
-        np.add.at(steps, starts + DEPTH, -1)
+        steps[starts] += 1
+        steps[starts + DEPTH] -= 1
         return np.concatenate([[0], np.cumsum(np.cumsum(steps)[:total] > 0)])
 
 
@@ -326,6 +351,37 @@ def _unpack(packed: pa.ChunkedArray) -> list[list[tuple[int, bool, str]]]:
     return [[(r, bool(h), x) for r, h, x in json.loads(press.decompress(p.as_py()))] for p in packed]
 
 
+def _squeeze(x: np.ndarray) -> bytes:
+    """64-bit numbers; those in order have equal first bytes, which take no room."""
+    return zstandard.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _spread(x: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(x), np.uint8).reshape(8, -1).T.copy().view(kind).reshape(-1)
+
+
+_COUNTS = "hid long, bucket int, shard int, runs binary, n binary"
+
+
+def _counts(rows: list[tuple[int, int, int, np.ndarray, np.ndarray]]) -> pa.Table:
+    cols = zip(*((h, b, s, _squeeze(r), _squeeze(n)) for h, b, s, r, n in rows), strict=True) if rows else [()] * 5
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["hid", "bucket", "shard", "runs", "n"])
+
+
+def _summed(t: pa.Table) -> pa.Table:
+    """Of the counts of a shard by bucket those of runs that several buckets have, summed, for each of these buckets; shard -1
+    has the distinct pages of the buckets."""
+    hid, shard, buckets = t.column("hid")[0].as_py(), t.column("shard")[0].as_py(), t.column("bucket").to_pylist()
+    runs, n = ([_spread(x.as_py(), k) for x in t.column(c)] for c, k in (("runs", np.uint64), ("n", np.int64)))
+    ends = np.cumsum([len(x) for x in runs])[:-1]
+    _, which, times = np.unique(np.concatenate(runs), return_inverse=True, return_counts=True)
+    total = np.zeros(len(times), np.int64)
+    np.add.at(total, which, np.concatenate(n))
+    rows = [(hid, b, shard, r[times[w] > 1], total[w][times[w] > 1]) for b, r, w in zip(buckets, runs, np.split(which, ends), strict=True)]
+    return _counts([x for x in rows if len(x[3])])
+
+
 _OUT = "page_id {0}, url string, text string, n_chars long"
 
 
@@ -351,14 +407,14 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
             made = [blocks(x) for x in b.column(4).to_pylist()]
             packed = [_pack(x, press) for x in made]
             bucket = [xxhash.xxh64_intdigest(" ".join(t for _, _, t in x).encode("utf-8", "replace")) % n if n else 0 for x, n in zip(made, b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(bucket, pa.int32()), pa.array(packed, pa.binary())], names=["page_id", "url", "host", "bucket", "blocks"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(bucket, pa.int32()), pa.array(packed, pa.binary())], names=["page_id", "url", "host", "buckets", "bucket", "blocks"])
 
-    shape = "page_id long, url string, host string, bucket int, blocks binary"
+    shape = "page_id long, url string, host string, buckets int, bucket int, blocks binary"
     result = _OUT.format("long")
 
     def alone(t: pa.Table) -> pa.Table:
         h = Host(_unpack(t.column("blocks")))
-        return pa.table(_rows(t, h.texts(h.counts, h.distinct)), names=["page_id", "url", "text", "n_chars"])
+        return pa.table(_rows(t, h.decided(h.n, h.n_short, h.distinct)), names=["page_id", "url", "text", "n_chars"])
 
     if not some:
         return map_batches(dealt, parse, shape).groupBy("host").applyInArrow(alone, result)
@@ -367,28 +423,30 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
 
     def count(t: pa.Table) -> pa.Table:
         h = Host(_unpack(t.column("blocks")))
-        k, v = [0, *h.counts], [h.distinct, *h.counts.values()]
-        same = [pa.array([t.column(c)[0].as_py()] * len(k), x) for c, x in (("hid", pa.int64()), ("bucket", pa.int32()))]
-        return pa.table([*same, pa.array([True] + [False] * (len(k) - 1)), pa.array(k, pa.int64()), pa.array(v, pa.int64())], names=["hid", "bucket", "size", "run", "n"])
+        hid, bucket, shards = (t.column(c)[0].as_py() for c in ("hid", "bucket", "buckets"))
+        runs, n = h.table()
+        shard = (((runs >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+        at = np.flatnonzero(np.diff(shard)) + 1
+        rows = [(hid, bucket, int(s[0]), r, k) for s, r, k in zip(*(np.split(x, at) for x in (shard, runs, n)), strict=True) if len(r)]
+        return _counts([(hid, bucket, -1, np.zeros(1, np.uint64), np.array([h.distinct])), *rows])
 
     parts = parts.withColumn("hid", F.xxhash64("host"))
-    found = materialise(parts.groupBy("hid", "bucket").applyInArrow(count, "hid long, bucket int, size boolean, run long, n long"), "runs")
-    # a run that one page has needs no way back
-    summed = materialise(found.groupBy("hid", "size", "run").agg(F.sum("n").alias("pages")).where("size OR pages > 1"), "counts")
-    known = materialise(found.select("hid", "bucket", "size", "run").join(summed, ["hid", "size", "run"]).select("hid", "bucket", "size", "run", "pages"), "known")
-    discard(found, summed)
+    found = parts.groupBy("hid", "bucket").applyInArrow(count, _COUNTS)
+    # a run that one bucket has needs no way back
+    known = materialise(found.groupBy("hid", "shard").applyInArrow(_summed, _COUNTS), "known")
 
     def together(t: pa.Table, k: pa.Table) -> pa.Table:
         if not len(t):
             return pa.table([pa.array([], x) for x in (pa.int64(), pa.string(), pa.string(), pa.int64())], names=["page_id", "url", "text", "n_chars"])
         h = Host(_unpack(t.column("blocks")))
-        counts, distinct = dict.fromkeys(h.counts, 1), h.distinct
-        for size, run, n in zip(*(k.column(c).to_pylist() for c in ("size", "run", "pages")), strict=True):
-            if size:
-                distinct = n
+        distinct, runs, pages = h.distinct, [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for _, shard, r, n in sorted(zip(*(k.column(c).to_pylist() for c in ("hid", "shard", "runs", "n")), strict=True)):
+            if shard < 0:
+                distinct = int(_spread(n, np.int64)[0])
             else:
-                counts[run] = n
-        return pa.table(_rows(t, h.texts(counts, distinct)), names=["page_id", "url", "text", "n_chars"])
+                runs.append(_spread(r, np.uint64))
+                pages.append(_spread(n, np.int64))
+        return pa.table(_rows(t, h.decided(*h.with_others(np.concatenate(runs), np.concatenate(pages)), distinct)), names=["page_id", "url", "text", "n_chars"])
 
     return small.unionAll(parts.groupBy("hid", "bucket").cogroup(known.groupBy("hid", "bucket")).applyInArrow(together, result))
 

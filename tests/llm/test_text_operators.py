@@ -653,6 +653,22 @@ def test_texts_do_not_depend_on_the_bucket(spark, bucket):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("bucket", [1500, 10**9])
+def test_every_position_of_a_page_counts(spark, bucket):
+    """Passages little longer than a run, of two pages each, go wherever they stand."""
+    r = random.Random(9)
+    words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    rows, want = [], {}
+    for i in range(24):
+        passage = words(17 + i % 4)
+        for k in (2 * i, 2 * i + 1):
+            a, b = words(r.randint(20, 50)), words(r.randint(20, 50))
+            rows.append((k, f"http://h.org/{k}", f"<div><p>{a}</p><p>{passage}</p><p>{b}</p></div>"))
+            want[k] = f"{a}\n\n{b}"
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), bucket=bucket).collect()
+    assert {x.page_id: x.text for x in got} == want
+
+
 def test_host_boilerplate_goes_where_there_is_no_article(spark):
     r = random.Random(7)
     same = " ".join(f"menu{i}" for i in range(30))
