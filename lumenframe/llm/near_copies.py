@@ -1,7 +1,9 @@
-"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, by prefix filtering.
+"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more: SimHash, then the rest.
 
-Op10's fingerprints do not find these: at 0.8 two fingerprints of 64 bits are some ten bits apart, and a popcount grid
-of that radius has more cells for a fingerprint than a corpus has documents. The join here is exact. All shingles are put
+SimHash fingerprints of the sets are linked by op10's popcount grid, and an exact check of the sets decides. Within its two
+bits that finds copies with few edits only: at 0.8 two fingerprints of 64 bits are some ten bits apart, and a popcount grid
+of that radius has more cells for a fingerprint than a corpus has documents. So an exact join by prefix filtering finds the
+rest, between the groups that the fingerprints have made. All shingles are put
 in one order, rare ones first. If two sets of n and m <= n shingles are similar, they share 0.8 n shingles or more, and
 4/9 (n + m) or more; so the first shingle in order that they share is among the first n - 0.8 n + 1 of the larger set (its
 probes) and among the first m - 8/9 m + 1 of the smaller (its index), and after it there are enough left in both. A
@@ -38,6 +40,8 @@ from pyspark.sql import functions as F
 
 from .common import BATCH_ROWS, discard, map_batches, materialise, settled
 from .components import components
+from .simhash import links as simhash_links
+from .simhash import majority
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -52,6 +56,9 @@ HOT = (1000, 32)
 #: one comparison in WORTH found a link.
 ROUNDS, WORTH = 3, 10
 
+#: Bits that mark the sets to be compared, 32768 to a row: others are not shuffled.
+MARKS = 1 << 22
+
 #: Words in a worker's table, and rows of a batch of shingles.
 KNOWN, ROWS = 1_000_000, 50_000
 
@@ -100,21 +107,21 @@ def _bucket(s: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, sid, n, part, counts): the name and size of each document's set; and, with a part, a task's counters."""
+    """(doc_id, sid, n, fp, part, counts): name, size and SimHash of each document's set; with a part, a task's counters."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         made, total = Shingles(), np.zeros(BUCKETS, np.uint32)
-        names = ["doc_id", "sid", "n", "part", "counts"]
+        names = ["doc_id", "sid", "n", "fp", "part", "counts"]
         for b in batches:
             sets = made(b.column(1).to_pylist())
             if len(sets):
                 total += np.bincount(_bucket(np.concatenate(sets)), minlength=BUCKETS).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array([majority(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
         if total.any():
             parts = [zlib.compress(x.tobytes(), 1) for x in total.reshape(PARTS, -1)]
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(PARTS, pa.int64()) for _ in range(3)), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(PARTS, pa.int64()) for _ in range(4)), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), each, "doc_id long, sid long, n long, part int, counts binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), each, "doc_id long, sid long, n long, fp long, part int, counts binary")
 
 
 def _summed(t: pa.Table) -> pa.Table:
@@ -208,9 +215,18 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("text"), each, "sid long, s array<long>")
 
 
+def _marked(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``sets`` that have a sid in ``ids`` (sid), and few others: by MARKS hashed bits, which are broadcast."""
+    mark = F.pmod(F.xxhash64("sid"), F.lit(MARKS))
+    bits = ids.groupBy(F.bitmap_bucket_number(mark).alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(mark)).alias("bits"))
+    at = sets.withColumns({"row": F.bitmap_bucket_number(mark), "at": F.bitmap_bit_position(mark)}).join(F.broadcast(bits), "row")
+    return at.where("shiftright(cast(conv(hex(substring(bits, cast(at div 8 AS int) + 1, 1)), 16, 10) AS int), cast(at % 8 AS int)) % 2 = 1").select("sid", "s")
+
+
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` (a, b) whose sets have a Jaccard similarity of 0.8 or more."""
-    both = pairs.join(sets.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a")
+    """The rows of ``pairs`` (a, b; written) whose sets have a Jaccard similarity of 0.8 or more."""
+    of = lambda x: _marked(sets, pairs.select(F.col(x).alias("sid"))).select(F.col("sid").alias(x), F.col("s").alias(f"s{x}"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(5 * shared >= 4 * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
@@ -223,10 +239,27 @@ def _mixed(probes: DataFrame, labels: DataFrame, at: int) -> DataFrame:
     return e.join(per.where("low <> high").select("token", "members", F.struct("c.sid", "c.n", "c.label").alias("leader")), "token")
 
 
-def links(probes: DataFrame, sets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(a, b): similar pairs among the sets of ``probes``, enough of them to connect the groups."""
-    labels = probes.select("sid").distinct().select("sid", F.col("sid").alias("label"))
-    found: list[DataFrame] = []
+def _joined(labels: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """``labels`` (sid, label) with the groups that the links make."""
+    roots = components(_union(found)).select(F.col("node").alias("sid"), "root")
+    return materialise(labels.join(roots, "sid", "left").select("sid", F.coalesce("root", "label").alias("label")), "labels")
+
+
+def close(fps: DataFrame) -> DataFrame:
+    """(a, b): sets (sid, fp) to be compared, as the popcount grid links their fingerprints; equal ones by a star."""
+    first = materialise(fps.groupBy("fp").agg(F.min("sid").alias("first")), "fingerprints")
+    same = fps.join(first, "fp").where("sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b"))
+    grid = simhash_links(first.select("fp"))
+    for x in ("a", "b"):
+        grid = grid.join(first.select(F.col("fp").alias(x), F.col("first").alias(f"s{x}")), x)
+    return materialise(same.unionAll(grid.select(F.col("sa").alias("a"), F.col("sb").alias("b"))), "close")
+
+
+def links(probes: DataFrame, sets: DataFrame, fps: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(a, b): similar pairs among the sets of ``probes``, with fingerprints ``fps``, enough of them to connect the groups."""
+    labels = probes.select("sid").distinct()
+    found = [materialise(similar(close(fps.join(labels, "sid", "left_semi")), sets), "links")]
+    labels = _joined(labels.select("sid", F.col("sid").alias("label")), found)
     for at in range(rounds):
         mixed = _mixed(probes, labels, at).where("label <> leader.label AND 5 * least(n, leader.n) >= 4 * greatest(n, leader.n)")
         one = mixed.groupBy("label").agg(F.max(F.struct("members", "token", F.col("sid").alias("sid"), F.col("leader.sid").alias("of"))).alias("x"))
@@ -235,8 +268,7 @@ def links(probes: DataFrame, sets: DataFrame, rounds: int = ROUNDS) -> DataFrame
         gained, tried = star.count(), one.count()
         if gained:
             found.append(star)
-            roots = components(_union(found)).select(F.col("node").alias("sid"), "root")
-            labels = materialise(labels.join(roots, "sid", "left").select("sid", F.coalesce("root", "label").alias("label")), "labels")
+            labels = _joined(labels, found)
         if WORTH * gained <= tried:
             break
     mixed = materialise(_mixed(probes, labels, 0).drop("members", "leader"), "mixed")
@@ -264,12 +296,12 @@ def groups(docs: DataFrame) -> DataFrame:
     known = docs.where("doc_id IS NOT NULL")
     made = materialise(sketches(known), "sketches")
     rare = rarity(made)
-    made_of = made.where("part IS NULL").select("doc_id", "sid", "n")
-    reps = materialise(made_of.groupBy("sid").agg(F.min("doc_id").alias("least")), "representatives")
+    made_of = made.where("part IS NULL").select("doc_id", "sid", "n", "fp")
+    reps = materialise(made_of.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")), "representatives")
     probes = cells(known, rare)
     asked = probes.select("sid").distinct().join(reps, "sid").select(F.col("least").alias("doc_id")).distinct()
     sets = materialise(sets_of(known.join(asked, "doc_id", "left_semi")).dropDuplicates(["sid"]), "sets")
-    roots = components(links(probes, sets))
+    roots = components(links(probes, sets, reps.select("sid", "fp")))
     discard(probes, sets)
     named = materialise(reps.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", F.coalesce("root", "sid").alias("root")), "named")
     lookup = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sid", "component_id")

@@ -44,7 +44,11 @@ def fingerprint(words: list[bytes], shingle: int = 3, seed: int = 42) -> int:
     if len(words) < shingle:
         return xxhash.xxh64_intdigest(b" ".join(words), seed)
     runs = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(seed)), np.uint64, len(words) - shingle + 1)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(seed)), np.uint64, len(words) - shingle + 1))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 4096):
         ones += np.unpackbits(h[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)

@@ -268,3 +268,19 @@ def test_six_thousand_pages_of_a_template_make_no_pairs(spark):
     indexed = probes.where("pos < n - (8 * n + 8) div 9 + 1").count()
     assert probes.count() > 40_000 and indexed < 6000
     assert near_copies.first_of_each(docs).count() == 6000
+
+
+def test_near_copies_take_the_links_of_simhash_first(spark, monkeypatch):
+    """Few edits are found by fingerprints and checked, whatever the prefix filter does; fingerprints alone link nothing."""
+    r = random.Random(6)
+    base = [f"w{r.randrange(10**6)}" for _ in range(2000)]
+    texts = {i: " ".join([*base[:-1], f"x{i}"] if i else base) for i in range(6)} | {10: "a b c", 11: "d e f"}
+    tried = []
+    real = near_copies.close
+    monkeypatch.setattr(near_copies, "close", lambda fps: tried.append(real(fps)) or tried[-1])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = []
+    similar = near_copies.similar
+    monkeypatch.setattr(near_copies, "similar", lambda pairs, sets: kept.append(pairs.count()) or similar(pairs, sets))
+    assert {x.doc_id: x.component_id for x in near_copies.groups(docs).collect()} == jaccard_groups(texts) | {10: 10, 11: 11}
+    assert tried[0].count() >= 5 and kept[0] >= 5 and not any(kept[1:])
