@@ -30,6 +30,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,19 +52,22 @@ PRIOR, SURE = 1.0, 4.0
 #: Share of held-out good documents that the cut may cost, at most.
 LOSS = 0.001
 
-#: Words that a worker remembers, and words of a piece of a long text.
-KNOWN, PIECE = 400_000, 1 << 17
+#: Words that are looked at together.
+PIECE = 1 << 18
 
 #: Lengths of runs of equal words, and counts of a shape, that are n-grams of their own.
 RUNS, TIMES = (2, 4, 8, 12), (1, 3, 8)
 
 _EDGE = re.compile(r"^\W+|\W+$")
 _TAIL = re.compile(r"\W+$")
+
+#: What str.split() takes for white space, besides that of ASCII.
+_SPACES = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _hash(x: str) -> int:
-    return xxhash.xxh64_intdigest(x.encode("utf-8", "replace"))
+    return xxhash.xxh64_intdigest(x)
 
 
 def _buckets(h: np.ndarray) -> np.ndarray:
@@ -71,53 +75,83 @@ def _buckets(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int32)
 
 
-class Grams(dict):
-    """A worker's table of words, cleared when full, and the n-grams of texts made from it."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        size = KNOWN + PIECE + 1
-        self.whole, self.bucket, self.shape, self.capital = np.zeros(size, np.uint64), np.zeros(size, np.int32), np.zeros(size, np.uint64), np.zeros(size, bool)
-        self.special = np.zeros(size, bool)
-        self.runs = [np.array([_hash(f"r{n}")], np.uint64) for n in RUNS]
-
-    def __missing__(self, word: str) -> int:
-        at = self[word] = len(self)
-        low = _EDGE.sub("", word.lower())
-        tail = _TAIL.search(word)
-        self.whole[at] = _hash(f"w{low}") if low else 0
-        self.bucket[at] = _buckets(self.whole[at : at + 1])[0] if low else -1
-        self.shape[at] = _hash(f"t{tail[0][:8]}") if tail else 0
-        self.capital[at] = len(low) > 1 and word.upper() == word and word.lower() != word
-        self.special[at] = bool(tail) or bool(self.capital[at])
-        return at
-
-    def of(self, text: str | None) -> np.ndarray:
-        """Buckets of the n-grams in a text, each once, in order."""
-        w = (text or "").split()
-        found, shapes = [np.zeros(0, np.int32)], []
-        for i in range(0, len(w), PIECE):
-            if len(self) > KNOWN:
-                self.clear()
-            part = w[max(0, i - max(RUNS)) : i + PIECE]  # what lies across the border is seen again
-            ids = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
-            whole, bucket = self.whole[ids], self.bucket[ids]
-            pair = (bucket[:-1] >= 0) & (bucket[1:] >= 0)
-            found += [bucket[bucket >= 0], _buckets((whole[:-1] * _ODD + whole[1:])[pair] | np.uint64(1))]
-            own = ids[min(i, max(RUNS)) :]
-            own = own[self.special[own]]
-            shapes += [self.shape[own], np.full(int(self.capital[own].sum()), _hash("U"), np.uint64)]
-            same = ids[1:] == ids[:-1]
+def _once(x: np.ndarray) -> np.ndarray:
+    """Distinct values in order."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+class Grams:
+    """The n-grams of texts, a batch at a time; with log-ratios, those only whose ratio is not one."""
+
+    def __init__(self, ratios: np.ndarray | None = None) -> None:
+        self.told = None if ratios is None else ratios != 0
+        self.runs = _buckets(np.array([_hash(f"r{n}") for n in RUNS], np.uint64))
+
+    @staticmethod
+    def _words(words: list[str]) -> tuple[np.ndarray, ...]:
+        """Of each word: hash without outer punctuation, its bucket (-1: nothing left), hash of the tail (0: none), capitals."""
+        size, lower = len(words), [w.lower() for w in words]
+        low = [x if x.isalnum() else _EDGE.sub("", x) for x in lower]
+        tails = [None if w.isalnum() else _TAIL.search(w) for w in words]
+        digest = xxhash.xxh64_intdigest
+        whole = np.array([digest("w" + x) if x else 0 for x in low], np.uint64)
+        bucket = np.where(np.fromiter(map(bool, low), bool, size), _buckets(whole), np.int32(-1))
+        shape = np.array([digest("t" + t[0][:8]) if t else 0 for t in tails], np.uint64)
+        return whole, bucket, shape, np.array([x != w and len(y) > 1 and w.upper() == w for w, x, y in zip(words, lower, low, strict=True)], bool)
+
+    def keys(self, texts: pa.Array) -> np.ndarray:
+        """row * BUCKETS + bucket of the n-grams in each text, each once, in order. Distinct words of a piece are looked at once."""
+        kind = np.int32 if len(texts) * BUCKETS < 1 << 31 else np.int64
+        texts = pc.fill_null(texts, "")
+        if pc.any(pc.match_substring_regex(texts, _SPACES)).as_py():
+            texts = pc.replace_substring_regex(texts, _SPACES, " ")
+        split = pc.ascii_split_whitespace(texts)
+        words, rows = split.flatten(), pc.list_parent_indices(split).to_numpy().astype(kind)
+        full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+        if not full.all():
+            words, rows = words.filter(pa.array(full)), rows[full]
+        found, shapes = [np.zeros(0, kind)], []
+
+        def add(row: np.ndarray, bucket: np.ndarray) -> None:
+            if self.told is not None:
+                told = self.told[bucket]
+                row, bucket = row[told], bucket[told]
+            found.append(row * kind(BUCKETS) + bucket)
+
+        for i in range(0, len(words), PIECE):
+            back = min(i, max(RUNS))  # what lies across the border is seen again
+            part, row = words[i - back : i + PIECE].dictionary_encode(), rows[i - back : i + PIECE]
+            ids = part.indices.to_numpy()
+            of_whole, of_bucket, of_shape, of_capital = self._words(part.dictionary.to_numpy(zero_copy_only=False).tolist())  # to_pylist() is ten times as slow
+            whole, bucket, near = of_whole[ids], of_bucket[ids], row[1:] == row[:-1]
+            there = bucket >= 0
+            pair = there[:-1] & there[1:] & near
+            add(row[there], bucket[there])
+            add(row[1:][pair], _buckets((whole[:-1] * _ODD + whole[1:])[pair] | np.uint64(1)))
+            shape, capital, own = of_shape[ids[back:]], of_capital[ids[back:]], row[back:]
+            shapes += [(own[shape > 0], shape[shape > 0]), (own[capital], np.full(int(capital.sum()), _hash("U"), np.uint64))]
+            same = near & (ids[1:] == ids[:-1])
             if same.any():
                 ends = np.flatnonzero(np.append(~same, True))
-                longest = int(np.diff(ends, prepend=-1).max())
-                found += [_buckets(r) for n, r in zip(RUNS, self.runs, strict=True) if n <= longest]
+                length = np.diff(ends, prepend=-1)
+                for n, r in zip(RUNS, self.runs, strict=True):
+                    at = row[ends[length >= n]]
+                    add(at, np.full(len(at), r))
+            if sum(map(len, found)) > 1 << 22:
+                found = [_once(np.concatenate(found))]
         if shapes:
-            seen, n = np.unique(np.concatenate(shapes), return_counts=True)
-            found += [_buckets(seen[(n >= t) & (seen > 0)] * np.uint64(2 * t + 1)) for t in TIMES]
-        out = np.concatenate(found)
-        out.sort()
-        return out[np.append(True, out[1:] != out[:-1])] if len(out) else out
+            row, shape = (np.concatenate(x) for x in zip(*shapes, strict=True))
+            kinds, at = np.unique(shape, return_inverse=True)
+            seen, n = np.unique(row.astype(np.int64) * max(1, len(kinds)) + at, return_counts=True)
+            row, shape = (seen // max(1, len(kinds))).astype(kind), kinds[seen % max(1, len(kinds))]
+            for t in TIMES:
+                add(row[n >= t], _buckets(shape[n >= t] * np.uint64(2 * t + 1)))
+        return _once(np.concatenate(found))
+
+    def of(self, text: str | None) -> np.ndarray:
+        """Buckets of the n-grams in a text, each once, in order."""
+        return self.keys(pa.array([text], pa.string()))
 
 
 def counted(texts: DataFrame) -> DataFrame:
@@ -126,8 +160,7 @@ def counted(texts: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         grams, n = Grams(), np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for text in b.column(0).to_pylist():
-                n[grams.of(text)] += 1
+            n += np.bincount(grams.keys(b.column(0)) % BUCKETS, minlength=BUCKETS)
         seen = np.flatnonzero(n)
         for i in range(0, len(seen), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(seen[i : i + (1 << 16)], pa.int64()), pa.array(n[seen[i : i + (1 << 16)]])], names=["gram", "n"])
@@ -135,8 +168,10 @@ def counted(texts: DataFrame) -> DataFrame:
     return map_batches(texts.select("text"), each, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def log_weight(text: str | None, grams: Grams, ratios: np.ndarray) -> float:
-    return float(ratios[grams.of(text)].sum(dtype=np.float64))
+def log_weights(texts: pa.Array, grams: Grams, ratios: np.ndarray) -> np.ndarray:
+    """The sum of the log-ratios of each text's n-grams."""
+    row, bucket = np.divmod(grams.keys(texts), BUCKETS)
+    return np.bincount(row, ratios[bucket], len(texts)).astype(np.float64)
 
 
 def ratios_of(target: DataFrame, raw: DataFrame, n_target: int, n_raw: int) -> np.ndarray:
@@ -181,9 +216,10 @@ def weights(docs: DataFrame, ratios: np.ndarray, keep: list[str], text: str = "t
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        grams, model = Grams(), shared.value
+        model = shared.value
+        grams = Grams(model)
         for b in batches:
-            got = [log_weight(t, grams, model) for t in b.column(0).to_pylist()]
+            got = log_weights(b.column(0), grams, model)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(got, pa.float64())], names=[*keep, out])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}

@@ -11,6 +11,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import Window
@@ -387,6 +388,26 @@ def test_grams_equal_brute_force():
         assert g.of(t).tolist() == want
 
 
+@pytest.mark.parametrize("piece", [20, 1 << 18])
+def test_grams_of_a_batch_equal_those_of_each_text(monkeypatch, piece):
+    """The words of a batch are looked at once each, and no n-gram goes from one text to the next."""
+    r = random.Random(5)
+    some = ["".join(r.choice(["a", "B,", "CC", "x.!", "&&&", "é", "e", " ", " ", "\t", "\x1c", "\x85", "\xa0", "\u2003"]) for _ in range(r.randint(0, 60))) for _ in range(200)] + [None, "", " ", "a a", "a a a", "b " * 50]
+    g = quality_classifier.Grams()
+    want = [g.of(t).tolist() for t in some]
+    split = [g.of(" ".join((t or "").split())).tolist() for t in some]
+    looked = []
+    words = g._words
+    monkeypatch.setattr(g, "_words", lambda x: looked.append(x) or words(x))
+    monkeypatch.setattr(quality_classifier, "PIECE", piece)
+    rows, buckets = np.divmod(g.keys(pa.array(some)), quality_classifier.BUCKETS)
+    assert [buckets[rows == i].tolist() for i in range(len(some))] == want == split
+    assert all(len(x) == len(set(x)) for x in looked) and (piece < 100 or len(looked) == 1)
+    ratios = np.where(np.arange(quality_classifier.BUCKETS) % 3 == 0, 0.5, 0).astype(np.float32)
+    got = quality_classifier.log_weights(pa.array(some), quality_classifier.Grams(ratios), ratios)
+    assert got.tolist() == [0.5 * sum(b % 3 == 0 for b in x) for x in want]
+
+
 def test_gumbel_top_k_samples_in_proportion(spark):
     """Inclusion rates against drawing one after the other without replacement."""
     weights, k, runs = [1.0, 2.0, 3.0, 6.0], 2, 4000
