@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, materialise, table
 from .token_files import pack, unpack
-from .tokens import Encoder, default_tokenizer, vocabulary_bits
+from .tokens import default_tokenizer, encoder, vocabulary_bits
 
 #: Tokens of a sequence.
 LENGTH = 2048
@@ -85,10 +85,10 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, lengt
     end = np.array([end_id], "<u4").tobytes()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        encode = Encoder(name)
+        encode = encoder(name)
         for b in batches:
             rows: list[tuple] = []
-            for k, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+            for k, ids in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
                 every = ids + end
                 for i, at in enumerate(range(0, len(every) // 4, length)):
                     part = every[4 * at : 4 * (at + length)]

@@ -1,10 +1,12 @@
 """Token ids of whole texts by a public tokenizer, at a speed that follows distinct words rather than words.
 
 The tokenizer's pre-tokenizer never joins characters across white space and drops it, and its normalizers (NFC, white
-space, lower case) never look across it, so a text's ids are its words' ids in a row. Words that a worker has not seen
-are encoded by the library in one call per batch; the others come from a table of at most KNOWN words, cleared when
-full. A text with the control characters 1C to 1F, which Python but not the tokenizer takes for white space, is encoded
-as it is.
+space, lower case) never look across it, so a text's ids are its words' ids in a row. Texts are split at the white space
+of ASCII only; a word that holds other white space is encoded by the library as it is.
+
+The distinct words of a batch are looked up in a table of at most KNOWN words, which a worker keeps from task to task and
+clears when full; those that are not there are encoded by the library in one call. What the texts have in ids is then
+gathered in arrays.
 
 A word of letters, perhaps with punctuation after it, is encoded as these two, for the pre-tokenizer splits there;
 the letters are put in lower case first, as the normalizer would. So "Word," and "word" share the costly part. Letters
@@ -18,15 +20,16 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words in a worker's table.
-KNOWN = 800_000
+KNOWN = 1_200_000
 
 #: Characters of the longest word kept in the table.
 LONGEST = 48
@@ -40,10 +43,8 @@ TOGETHER = 4000
 #: Punctuation that may follow a word; the apostrophe is left out, as it has rules of its own.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-_ODD = re.compile("[\x1c-\x1f]")
-
 #: Letters that have one lower-case letter, whatever is around, and that NFC leaves alone.
-_PLAIN = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]+")
+_PLAIN = "^[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]+$"
 
 
 def default_tokenizer() -> str:
@@ -73,11 +74,23 @@ def by_words(path: str) -> bool:
     return kinds == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("invert") is True and split.get("behavior") == "Removed" and split.get("pattern", {}).get("Regex") == _PATTERN and spec["model"].get("end_of_word_suffix") == "</w>" and spec.get("post_processor") is None and not any(" " in x["content"] for x in spec["added_tokens"])
 
 
+def _gather(data: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of ``data``, which end at ``ends``, in the order ``at``, and where each ends."""
+    size = np.diff(ends, prepend=0)
+    n = size[at]
+    to = np.cumsum(n)
+    return data[np.repeat((ends - size)[at] - (to - n), n) + np.arange(to[-1] if len(to) else 0)], to
+
+
+def _strings(x: pa.Array) -> list[str]:
+    return x.to_numpy(zero_copy_only=False).tolist()  # some ten times as fast as to_pylist()
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str) -> None:
-        self.of, self.known, self.parts, self.words = tokenizer(path), {}, {}, by_words(path)
+        self.of, self.known, self.words = tokenizer(path), {"": b""}, by_words(path)
         vocabulary = self.of.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -85,58 +98,70 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.of.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_plain(self, words: list[str]) -> None:
-        """Adds words of plain lower-case letters to the parts."""
+    def _encode_plain(self, words: list[str]) -> list[bytes]:
+        """The same for words of plain lower-case letters."""
+        out: list[bytes] = []
         chunks = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
         for chunk, x in zip(chunks, self.of.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
             ids = np.array(x.ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(chunk):
-                data, at = ids.tobytes(), 0
-                for w, end in zip(chunk, (4 * ends).tolist(), strict=True):
-                    self.parts[w] = data[at:end]
-                    at = end
-            else:
-                self.parts.update(zip(chunk, self._encode(chunk), strict=True))
-
-    def _learn(self, words: list[str]) -> None:
-        """Adds words to the table."""
-        split, odd, parts = [], [], self.parts
-        for w in words:
-            core = w.rstrip(_MARKS)
-            if core and _PLAIN.fullmatch(core):
-                split.append((w, core.lower(), w[len(core) :]))
-            else:
-                odd.append(w)
-        if len(parts) + len(split) > KNOWN:
-            parts.clear()
-        self._encode_plain([c for c in {c for _, c, _ in split} if c not in parts])
-        tails = [m for m in {m for _, _, m in split} if m and m not in parts]
-        parts.update(zip(tails, self._encode(tails), strict=True))
-        parts[""] = b""
-        self.known.update((w, parts[c] + parts[m]) for w, c, m in split)
-        for i in range(0, len(odd), TOGETHER):
-            part = odd[i : i + TOGETHER]
-            self.known.update(zip(part, self._encode(part), strict=True))
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)] if len(ends) == len(chunk) else self._encode(chunk)
+        return out
+
+    def _of_words(self, words: pa.Array, plain: np.ndarray) -> list[bytes]:
+        """The ids of distinct words; ``plain``: which of them are plain lower-case letters."""
+        texts = _strings(words)
+        found = list(map(self.known.get, texts))
+        new = np.array([x is None for x in found], bool)
+        for kind, encode in ((plain, self._encode_plain), (~plain, self._encode)):
+            at = np.flatnonzero(new & kind).tolist()
+            for i in range(0, len(at), TOGETHER * 16):
+                some = at[i : i + TOGETHER * 16]
+                made = encode([texts[j] for j in some])
+                if len(self.known) + len(some) > KNOWN:
+                    self.known = {"": b""}
+                for j, ids in zip(some, made, strict=True):
+                    found[j] = ids
+                    if len(texts[j]) <= LONGEST:
+                        self.known[texts[j]] = ids
+        return found
+
+    def __call__(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """The ids of each text; none for a null or empty one."""
         if not self.words:
-            return [b for t in texts for b in self._encode([t or ""])]
-        known, out = self.known, []
-        split = [t.split() if t and not _ODD.search(t) else None for t in texts]
-        fresh = set().union(*(w for w in split if w)).difference(known)
-        brief = [w for w in fresh if len(w) <= LONGEST]
-        if len(known) + len(brief) > KNOWN:
-            known.clear()
-            brief = [w for w in set().union(*(w for w in split if w)) if len(w) <= LONGEST]
-        self._learn(brief)
-        for t, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(self._encode([t])[0] if t else b"")
-                continue
-            try:
-                out.append(b"".join(map(known.__getitem__, words)))
-            except KeyError:
-                out.append(b"".join(known[w] if len(w) <= LONGEST else self._encode([w])[0] for w in words))
+            return [b for t in (texts.to_pylist() if isinstance(texts, pa.Array) else texts) for b in self._encode([t or ""])]
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        whole = words.dictionary
+        core = pc.utf8_rtrim(whole, _MARKS)
+        plain = pc.match_substring_regex(core, _PLAIN)
+        # each distinct word is a plain core or an odd word, and then punctuation or nothing
+        keys = pc.if_else(plain, pc.utf8_lower(core), whole).dictionary_encode()
+        cut = pc.and_(plain, pc.not_equal(pc.binary_length(core), pc.binary_length(whole))).to_numpy(zero_copy_only=False)
+        at = pa.array(np.flatnonzero(cut))
+        tails = pa.array([w[len(c) :] for w, c in zip(_strings(whole.take(at)), _strings(core.take(at)), strict=True)], pa.string()).dictionary_encode()
+        is_plain = np.zeros(len(keys.dictionary), bool)
+        is_plain[keys.indices.to_numpy()] = plain.to_numpy(zero_copy_only=False)
+        parts = [*self._of_words(keys.dictionary, is_plain), *self._of_words(tails.dictionary, np.zeros(len(tails.dictionary), bool)), b""]
+        both = np.full((len(whole), 2), len(parts) - 1)
+        both[:, 0] = keys.indices.to_numpy()
+        both[cut, 1] = tails.indices.to_numpy() + len(keys.dictionary)
+        ends = np.cumsum([len(x) // 4 for x in parts])
+        ids, ends = _gather(np.frombuffer(b"".join(parts), "<u4"), ends, both.ravel())
+        offsets, at, out = split.offsets.to_numpy() - split.offsets[0].as_py(), words.indices.to_numpy(), []
+        first = 0
+        while first < len(texts):  # rows of some million words together: bounds the arrays
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + TOGETHER * 256, "right")) - 1)
+            some, to = _gather(ids, ends[1::2], at[offsets[first] : offsets[last]])
+            data, to = some.tobytes(), np.append(0, 4 * to)[offsets[first : last + 1] - offsets[first]].tolist()
+            out += [data[a:b] for a, b in zip(to[:-1], to[1:], strict=True)]
+            first = last
         return out
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """The encoder of a worker, whose table outlives its tasks."""
+    return Encoder(path)

@@ -269,6 +269,21 @@ def test_encoder_equals_the_library():
     assert tokens.Encoder(tokens.default_tokenizer())(some) == want
 
 
+def test_encoder_looks_at_distinct_words_once_and_outlives_a_task(monkeypatch):
+    given = []
+    e = tokens.Encoder(tokens.default_tokenizer())
+    of_words = e._of_words
+    monkeypatch.setattr(e, "_of_words", lambda words, plain: given.extend(words.to_pylist()) or of_words(words, plain))
+    some = ["Stone, stone stone. ſtone", None, "", " STONE stone, "] * 50
+    t = tokens.tokenizer(tokens.default_tokenizer())
+    want = [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in some]
+    assert e(pa.array(some)) == want
+    assert sorted(given) == sorted(["", "stone", "ſtone", ",", "."])
+    monkeypatch.setattr(tokens, "KNOWN", 2)
+    assert e(some + [f"{x} word{i}" for i, x in enumerate(some)])[: len(some)] == want
+    assert tokens.encoder(tokens.default_tokenizer()) is tokens.encoder(tokens.default_tokenizer())
+
+
 def test_token_files(spark, docs, encoded, none, tmp_path):
     token_files.write(docs, str(tmp_path / "a"))
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.read(spark, str(tmp_path / "a")).collect())
