@@ -20,6 +20,10 @@ group. The leader is the one in which that shingle comes first, so has the fewes
 than its edited copies; in every second round it is drawn by a hash. Then all pairs that the filter leaves between
 different groups are compared. Nothing is capped or left out: rounds only save pairs whose ends are connected already.
 
+Pairs are compared in two steps. A set has PARITY bits, each the parity of the number of its shingles that fall there; where
+two sets differ in as many bits, they differ in as many shingles at least, so most pairs that are not similar are told by
+128 bytes a set, and none that is similar is lost. Only for the others sets are made from the texts and shuffled.
+
 Documents with one set of shingles are one row until the end. Null, empty and white texts have the empty set and are copies
 of each other. Texts with fewer words have one shingle, all of them. Shingles are compared by 64-bit hashes. Rows without an
 id are no members of any group and stay. Rows that share an id and a text are one; texts of any length are read whole. Only
@@ -31,6 +35,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +64,9 @@ ROUNDS, WORTH = 3, 10
 #: Bits that mark the sets to be compared, 32768 to a row: others are not shuffled.
 MARKS = 1 << 22
 
+#: Bits of a set that bound from below how many shingles it has that another has not, and the reverse.
+PARITY = 1024
+
 #: Words in a worker's table, and rows of a batch of shingles.
 KNOWN, ROWS = 1_000_000, 50_000
 
@@ -106,22 +114,30 @@ def _bucket(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64)
 
 
+def parity(sets: list[np.ndarray]) -> np.ndarray:
+    """The PARITY bits of each set, as longs."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = (np.concatenate(sets) & np.uint64(PARITY - 1)).astype(np.int64) if len(sets) else row
+    n = np.bincount(row * PARITY + at, minlength=len(sets) * PARITY)
+    return np.packbits((n & 1).astype(np.uint8), bitorder="little").view(np.int64).reshape(len(sets), PARITY // 64)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, sid, n, fp, part, counts): name, size and SimHash of each document's set; with a part, a task's counters."""
+    """(doc_id, sid, n, fp, parity, part, counts): of each document's set its name, size, SimHash and parity; with a part, a task's counters."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         made, total = Shingles(), np.zeros(BUCKETS, np.uint32)
-        names = ["doc_id", "sid", "n", "fp", "part", "counts"]
+        names = ["doc_id", "sid", "n", "fp", "parity", "part", "counts"]
         for b in batches:
             sets = made(b.column(1).to_pylist())
             if len(sets):
                 total += np.bincount(_bucket(np.concatenate(sets)), minlength=BUCKETS).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array([majority(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array([majority(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)), pa.FixedSizeListArray.from_arrays(parity(sets).ravel(), PARITY // 64).cast(pa.list_(pa.int64())), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
         if total.any():
             parts = [zlib.compress(x.tobytes(), 1) for x in total.reshape(PARTS, -1)]
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(PARTS, pa.int64()) for _ in range(4)), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(PARTS, pa.int64()) for _ in range(4)), pa.nulls(PARTS, pa.list_(pa.int64())), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), each, "doc_id long, sid long, n long, fp long, part int, counts binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), each, "doc_id long, sid long, n long, fp long, parity array<long>, part int, counts binary")
 
 
 def _summed(t: pa.Table) -> pa.Table:
@@ -215,18 +231,40 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("text"), each, "sid long, s array<long>")
 
 
-def _marked(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``sets`` that have a sid in ``ids`` (sid), and few others: by MARKS hashed bits, which are broadcast."""
-    mark = F.pmod(F.xxhash64("sid"), F.lit(MARKS))
+@dataclass
+class Sets:
+    """Documents (doc_id, text) and their sets: (sid, least, n, parity), ``least`` a document that has the set."""
+
+    docs: DataFrame
+    about: DataFrame
+
+
+def _marked(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of which ``key`` is in ``ids`` (key), and few others: by MARKS hashed bits, which are broadcast."""
+    mark = F.pmod(F.xxhash64(key), F.lit(MARKS))
     bits = ids.groupBy(F.bitmap_bucket_number(mark).alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(mark)).alias("bits"))
-    at = sets.withColumns({"row": F.bitmap_bucket_number(mark), "at": F.bitmap_bit_position(mark)}).join(F.broadcast(bits), "row")
-    return at.where("shiftright(cast(conv(hex(substring(bits, cast(at div 8 AS int) + 1, 1)), 16, 10) AS int), cast(at % 8 AS int)) % 2 = 1").select("sid", "s")
+    at = rows.withColumns({"row": F.bitmap_bucket_number(mark), "at": F.bitmap_bit_position(mark)}).join(F.broadcast(bits), "row")
+    return at.where("shiftright(cast(conv(hex(substring(bits, cast(at div 8 AS int) + 1, 1)), 16, 10) AS int), cast(at % 8 AS int)) % 2 = 1").select(*rows.columns)
+
+
+def possible(pairs: DataFrame, about: DataFrame) -> DataFrame:
+    """(a, b, al, bl): the rows of ``pairs`` (a, b; written) that sizes and parities do not rule out, and documents that have them."""
+
+    def of(x: str) -> DataFrame:
+        return _marked(about, pairs.select(F.col(x).alias("sid")), "sid").select(F.col("sid").alias(x), F.col("least").alias(f"{x}l"), F.col("n").alias(f"{x}n"), F.col("parity").alias(f"{x}p"))
+
+    differ = "aggregate(zip_with(ap, bp, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
+    return pairs.join(of("b"), "b").join(of("a"), "a").where(f"5 * least(an, bn) >= 4 * greatest(an, bn) AND 9 * {differ} <= an + bn").select("a", "b", "al", "bl")
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def similar(pairs: DataFrame, sets: Sets) -> DataFrame:
     """The rows of ``pairs`` (a, b; written) whose sets have a Jaccard similarity of 0.8 or more."""
-    of = lambda x: _marked(sets, pairs.select(F.col(x).alias("sid"))).select(F.col("sid").alias(x), F.col("s").alias(f"s{x}"))
-    both = pairs.join(of("b"), "b").join(of("a"), "a")
+    left = materialise(possible(pairs, sets.about), "possible")
+    asked = left.select(F.col("a").alias("sid"), F.col("al").alias("doc_id")).unionAll(left.select("b", "bl")).distinct()
+    made = sets_of(_marked(sets.docs, asked.select("doc_id"), "doc_id"))
+    made = _marked(made, asked.select("sid"), "sid").dropDuplicates(["sid"])  # one shuffle by sid, which both joins read
+    of = lambda x: made.select(F.col("sid").alias(x), F.col("s").alias(f"s{x}"))
+    both = left.select("a", "b").join(of("b"), "b").join(of("a"), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(5 * shared >= 4 * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
@@ -255,7 +293,7 @@ def close(fps: DataFrame) -> DataFrame:
     return materialise(same.unionAll(grid.select(F.col("sa").alias("a"), F.col("sb").alias("b"))), "close")
 
 
-def links(probes: DataFrame, sets: DataFrame, fps: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def links(probes: DataFrame, sets: Sets, fps: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(a, b): similar pairs among the sets of ``probes``, with fingerprints ``fps``, enough of them to connect the groups."""
     labels = probes.select("sid").distinct()
     found = [materialise(similar(close(fps.join(labels, "sid", "left_semi")), sets), "links")]
@@ -296,13 +334,12 @@ def groups(docs: DataFrame) -> DataFrame:
     known = docs.where("doc_id IS NOT NULL")
     made = materialise(sketches(known), "sketches")
     rare = rarity(made)
-    made_of = made.where("part IS NULL").select("doc_id", "sid", "n", "fp")
-    reps = materialise(made_of.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")), "representatives")
+    made_of = made.where("part IS NULL").select("doc_id", "sid")
+    reps = materialise(made.where("part IS NULL").groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("parity").alias("parity")), "representatives")
     probes = cells(known, rare)
-    asked = probes.select("sid").distinct().join(reps, "sid").select(F.col("least").alias("doc_id")).distinct()
-    sets = materialise(sets_of(known.join(asked, "doc_id", "left_semi")).dropDuplicates(["sid"]), "sets")
+    sets = Sets(known.select(F.col("doc_id").cast("long"), "text"), reps.select("sid", "least", "n", "parity"))
     roots = components(links(probes, sets, reps.select("sid", "fp")))
-    discard(probes, sets)
+    discard(probes)
     named = materialise(reps.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", F.coalesce("root", "sid").alias("root")), "named")
     lookup = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sid", "component_id")
     return made_of.join(lookup, "sid").select("doc_id", "component_id")

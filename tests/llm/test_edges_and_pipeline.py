@@ -284,3 +284,24 @@ def test_near_copies_take_the_links_of_simhash_first(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "similar", lambda pairs, sets: kept.append(pairs.count()) or similar(pairs, sets))
     assert {x.doc_id: x.component_id for x in near_copies.groups(docs).collect()} == jaccard_groups(texts) | {10: 10, 11: 11}
     assert tried[0].count() >= 5 and kept[0] >= 5 and not any(kept[1:])
+
+
+def test_parities_rule_out_pairs_but_no_similar_one(spark):
+    """Sets are made for pairs only that parities leave; 300 words of which 10 or 200 differ, in repeated rows too."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+    change = lambda n: " ".join(f"x{r.random()}" if i < n else w for i, w in enumerate(base))
+    rows = [(0, " ".join(base)), (0, " ".join(base)), (1, change(10)), (1, change(10)), (2, change(200)), (3, ""), (4, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = near_copies.sketches(docs).where("sid IS NOT NULL")
+    about = made.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("parity").alias("parity"))
+    sids = [x.sid for x in about.collect()]
+    pairs = spark.createDataFrame([(a, b) for a in sids for b in sids if a < b], "a long, b long")
+    sets = near_copies.Sets(docs, about)
+    left = {(x.a, x.b) for x in near_copies.possible(pairs, about).collect()}
+    got = {(x.a, x.b) for x in near_copies.similar(pairs, sets).collect()}
+    shingles = {x.sid: set(x.s) for x in near_copies.sets_of(docs).collect()}
+    want = {(a, b) for a in sids for b in sids if a < b and 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b])}
+    assert got == want and len(got) == 3 and got <= left and len(left) < 6
