@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, scratch_path, table
-from .tokens import Encoder, default_tokenizer, vocabulary_bits
+from .tokens import default_tokenizer, encoder, vocabulary_bits
 
 HEAD = struct.Struct("<4sBBHIIIQQ")
 MAGIC = b"LFTB"
@@ -106,7 +106,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     end = np.array([end_id], "<u4").tobytes()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        encode, shard, number, first = Encoder(name), TaskContext.get().partitionId(), 0, 0
+        encode, shard, number, first = encoder(name), TaskContext.get().partitionId(), 0, 0
         keys: list[int | None] = []
         parts: list[bytes] = []
         size = 0
@@ -116,7 +116,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["shard", "segment", "n_ids", "data"])
 
         for b in batches:
-            for k, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+            for k, ids in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
                 keys.append(k)
                 parts.append(ids + end)
                 size += len(ids) + 4
