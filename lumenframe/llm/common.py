@@ -13,6 +13,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space that separates words, in all operators here.
 SPACES = " \t\n\x0b\x0c\r"
@@ -23,6 +24,12 @@ BATCH_ROWS = 500
 #: Bytes of an Arrow batch, for tables whose texts are very long.
 BATCH_BYTES = 32 << 20
 
+#: Spark's setting by which a query's shuffle files go as it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: Bits that mark the rows to be shuffled, 32768 to a row: others stay where they are.
+MARKS = 1 << 22
+
 
 def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
@@ -53,12 +60,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends here, and survives lost executors."""
     spark = session(df)
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    _write(df, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+def _write(df: DataFrame, path: str) -> None:
+    """``df`` as Parquet; its shuffle files are deleted at the end. Other queries of the session keep to its setting."""
+    conf = session(df).conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted at the end of the scratch() that it is asked for in, if any."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -94,7 +112,7 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> Da
     path = scratch_path(spark, name)
     with scratch(spark):
         df = make()
-        df.write.option("compression", "zstd").parquet(path)
+        _write(df, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -108,6 +126,18 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+def marked(rows: DataFrame, ids: DataFrame, keys: list[str], there: bool = True, bits: int = MARKS) -> DataFrame:
+    """The rows of which ``keys`` are in ``ids`` (keys; written), and few others; or the rest, none of which is there.
+
+    ``bits`` hashed bits, which are broadcast, tell: nothing is shuffled. A null key is one like any other.
+    """
+    mark = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    made = ids.groupBy(F.bitmap_bucket_number(mark).alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(mark)).alias("bits"))
+    at = rows.withColumns({"row": F.bitmap_bucket_number(mark), "at": F.bitmap_bit_position(mark)}).join(F.broadcast(made), "row", "inner" if there else "left")
+    bit = "shiftright(cast(conv(hex(substring(bits, cast(at div 8 AS int) + 1, 1)), 16, 10) AS int), cast(at % 8 AS int)) % 2"
+    return at.where(f"coalesce({bit}, 0) = {int(there)}").select(*rows.columns)
+
+
 def map_batches(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches small enough for long texts.
 

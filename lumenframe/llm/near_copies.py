@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, discard, map_batches, materialise, settled
+from .common import BATCH_ROWS, discard, map_batches, marked, materialise, settled
 from .components import components
 from .simhash import links as simhash_links
 from .simhash import majority
@@ -61,9 +61,6 @@ HOT = (1000, 32)
 #: one comparison in WORTH found a link.
 ROUNDS, WORTH = 3, 10
 
-#: Bits that mark the sets to be compared, 32768 to a row: others are not shuffled.
-MARKS = 1 << 22
-
 #: Bits of a set that bound from below how many shingles it has that another has not, and the reverse.
 PARITY = 1024
 
@@ -239,19 +236,11 @@ class Sets:
     about: DataFrame
 
 
-def _marked(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of which ``key`` is in ``ids`` (key), and few others: by MARKS hashed bits, which are broadcast."""
-    mark = F.pmod(F.xxhash64(key), F.lit(MARKS))
-    bits = ids.groupBy(F.bitmap_bucket_number(mark).alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(mark)).alias("bits"))
-    at = rows.withColumns({"row": F.bitmap_bucket_number(mark), "at": F.bitmap_bit_position(mark)}).join(F.broadcast(bits), "row")
-    return at.where("shiftright(cast(conv(hex(substring(bits, cast(at div 8 AS int) + 1, 1)), 16, 10) AS int), cast(at % 8 AS int)) % 2 = 1").select(*rows.columns)
-
-
 def possible(pairs: DataFrame, about: DataFrame) -> DataFrame:
     """(a, b, al, bl): the rows of ``pairs`` (a, b; written) that sizes and parities do not rule out, and documents that have them."""
 
     def of(x: str) -> DataFrame:
-        return _marked(about, pairs.select(F.col(x).alias("sid")), "sid").select(F.col("sid").alias(x), F.col("least").alias(f"{x}l"), F.col("n").alias(f"{x}n"), F.col("parity").alias(f"{x}p"))
+        return marked(about, pairs.select(F.col(x).alias("sid")), ["sid"]).select(F.col("sid").alias(x), F.col("least").alias(f"{x}l"), F.col("n").alias(f"{x}n"), F.col("parity").alias(f"{x}p"))
 
     differ = "aggregate(zip_with(ap, bp, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
     return pairs.join(of("b"), "b").join(of("a"), "a").where(f"5 * least(an, bn) >= 4 * greatest(an, bn) AND 9 * {differ} <= an + bn").select("a", "b", "al", "bl")
@@ -261,8 +250,8 @@ def similar(pairs: DataFrame, sets: Sets) -> DataFrame:
     """The rows of ``pairs`` (a, b; written) whose sets have a Jaccard similarity of 0.8 or more."""
     left = materialise(possible(pairs, sets.about), "possible")
     asked = left.select(F.col("a").alias("sid"), F.col("al").alias("doc_id")).unionAll(left.select("b", "bl")).distinct()
-    made = sets_of(_marked(sets.docs, asked.select("doc_id"), "doc_id"))
-    made = _marked(made, asked.select("sid"), "sid").dropDuplicates(["sid"])  # one shuffle by sid, which both joins read
+    made = sets_of(marked(sets.docs, asked.select("doc_id"), ["doc_id"]))
+    made = marked(made, asked.select("sid"), ["sid"]).dropDuplicates(["sid"])  # one shuffle by sid, which both joins read
     of = lambda x: made.select(F.col("sid").alias(x), F.col("s").alias(f"s{x}"))
     both = left.select("a", "b").join(of("b"), "b").join(of("a"), "a")
     shared = F.size(F.array_intersect("sa", "sb"))

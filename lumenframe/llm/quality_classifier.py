@@ -270,12 +270,16 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, sample: i
 
 
 def accept(docs: DataFrame, labels: DataFrame, k: int | None = None, sample: int = SAMPLE, temperature: float = TEMPERATURE) -> DataFrame:
-    """The rows of ``docs`` that resampling keeps, with their columns. Texts stay where they are: no join brings them."""
+    """The rows of ``docs`` that resampling keeps, with their columns.
+
+    Texts stay where they are: they are weighed again as the result is read, so no join brings them and no copy is stored.
+    """
     ratios, at = fit(docs, labels, sample)
     name = fresh("log_weight", docs.columns)
-    scored = materialise(weights(docs, ratios, docs.columns, out=name), "weights")
+    scored = materialise(weights(docs, ratios, ["doc_id"], out=name), "weights")
     k = scored.where(F.col(f"`{name}`") >= at).count() if k is None else k
-    return scored.where(kept(scored, k, temperature, weight=name)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    passed = kept(scored, k, temperature, weight=name)
+    return weights(docs, ratios, docs.columns, out=name).where(passed).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

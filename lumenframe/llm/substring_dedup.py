@@ -45,11 +45,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, map_batches, materialise, table
+from .common import discard, fresh, map_batches, marked, materialise, table
 
 #: Words of a window and of a k-mer.
 WINDOW, K = 50, 10
 
+#: Bits (4 MB) that tell which texts are to meet their spans.
+MARKS = 1 << 25
+
 _B = 0x9E3779B97F4A7C15
 _B_INVERSE = pow(_B, -1, 1 << 64)
 
@@ -223,7 +226,8 @@ def remove(docs: DataFrame, window: int = WINDOW, k: int = K, carry: bool = True
 
     Returns the columns of ``docs`` and, as the last three, n_words, n_removed and kept_sha256 (of the kept words joined
     by a space). Rows that lose no word keep their text. Without ``carry`` only doc_id and the three figures are
-    returned, and texts that lose nothing are not stored on the way.
+    returned. Texts that lose nothing are not stored on the way; with ``carry`` they are read again with the result, and
+    only texts with a span, and few others, are shuffled.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")] if carry else []
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text", F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.lit(0).alias("none")).alias("rest"))
@@ -238,6 +242,7 @@ def remove(docs: DataFrame, window: int = WINDOW, k: int = K, carry: bool = True
     branching = nodes.where("rep.doc_id > edge_first").select("edge").distinct()
     give = nodes.join(branching, "edge").select("rep.doc_id", "rep.th", F.struct(F.lit(2).alias("kind"), "edge", F.col("rep.low").alias("low"), F.lit(None).cast("array<int>").alias("more"), F.col("rep.n").alias("n")).alias("s"))
     spans = span.unionAll(give).groupBy("doc_id", "th").agg(F.collect_set("s").alias("spans"))
+    keys = ["doc_id", "th"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
@@ -254,16 +259,20 @@ def remove(docs: DataFrame, window: int = WINDOW, k: int = K, carry: bool = True
                         for s in by[kind]:
                             p = np.arange(s["low"], s["low"] + s["n"])
                             hashed[kind] += zip([s["edge"]] * len(p), r.of(p, p + window).view(np.int64).tolist(), p.tolist(), strict=True)
-                for c, v in zip(out, (text if touched or carry else None, len(words), None if touched else _digest(words), [{"low": s["low"], "n": s["n"]} for s in by[0]], [{"edge": e, "window": w, "at": p} for e, w, p in hashed[1]], [{"edge": e, "window": w} for e, w, _ in hashed[2]]), strict=True):
+                for c, v in zip(out, (text if touched else None, len(words), None if touched else _digest(words), [{"low": s["low"], "n": s["n"]} for s in by[0]], [{"edge": e, "window": w, "at": p} for e, w, p in hashed[1]], [{"edge": e, "window": w} for e, w, _ in hashed[2]]), strict=True):
                     c.append(v)
             cols = [pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.string(), _SPAN, _ASKED, _GIVEN), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), cols[0], b.column(3), *cols[1:]], names=["doc_id", "th", "text", "rest", "n_words", "sha", "late", "ask", "give"])
 
     kind = rows.schema["rest"].dataType.simpleString()
-    joined = rows.join(spans, ["doc_id", "th"], "left").select("doc_id", "th", "text", "rest", "spans")
+    if carry:
+        spans = materialise(spans, "spans")
+        joined = marked(rows, spans, keys, bits=MARKS).join(spans, keys).select(*keys, "text", "rest", "spans")
+    else:
+        joined = rows.join(spans, keys, "left").select(*keys, "text", "rest", "spans")
     seen = materialise(map_batches(joined, verify, f"doc_id long, th long, text string, rest {kind}, n_words long, sha string, late array<struct<low:int,n:int>>, ask array<struct<edge:long,window:long,at:int>>, give array<struct<edge:long,window:long>>"), "verified")
 
-    discard(at, nodes, named)
+    discard(at, nodes, named, *([spans] if carry else []))
     asked = seen.where("size(ask) > 0").select("doc_id", "th", F.explode("ask").alias("a")).select("doc_id", "th", "a.edge", "a.window", "a.at")
     given = seen.where("size(give) > 0").select("doc_id", F.explode("give").alias("g")).groupBy("g.edge", "g.window").agg(F.min("doc_id").alias("first"))
     hits = asked.join(given, ["edge", "window"]).where("first < doc_id").groupBy("doc_id", "th").agg(F.collect_set("at").alias("hits"))
@@ -282,11 +291,24 @@ def remove(docs: DataFrame, window: int = WINDOW, k: int = K, carry: bool = True
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.string()), b.column(2), b.column(3), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["doc_id", "text", "rest", "n_words", "n_removed", "kept_sha256"])
 
     touched = seen.where("sha IS NULL").join(hits, ["doc_id", "th"], "left").select("doc_id", "text", "rest", "n_words", "late", "hits")
-    changed = map_batches(touched, finish, f"doc_id long, text string, rest {kind}, n_words long, n_removed long, kept_sha256 string")
-    same = seen.where("sha IS NOT NULL").select("doc_id", "text", "rest", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
-    every = same.unionAll(changed)
+    shape = f"doc_id long, text string, rest {kind}, n_words long, n_removed long, kept_sha256 string"
+    changed = map_batches(touched, finish, shape)
     if not carry:
-        return every.select("doc_id", "n_words", "n_removed", "kept_sha256")
+        same = seen.where("sha IS NOT NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
+        return same.unionAll(changed.select("doc_id", "n_words", "n_removed", "kept_sha256"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            split = [words_of(text) for text in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(len, split), pa.int64()), pa.array([0] * len(split), pa.int64()), pa.array(map(_digest, split), pa.string())], names=["doc_id", "text", "rest", "n_words", "n_removed", "kept_sha256"])
+
+    lost = materialise(seen.where("sha IS NULL").select(*keys).distinct(), "lost")
+    changed = materialise(changed, "changed")
+    discard(seen)
+    # no left_anti: Spark would move it in front of the marks and shuffle all rows
+    perhaps = marked(rows, lost, keys, bits=MARKS).join(lost.withColumn("lost", F.lit(True)), keys, "left").where("lost IS NULL").drop("lost")
+    stay = marked(rows, lost, keys, there=False, bits=MARKS).unionAll(perhaps.select(*rows.columns))
+    every = map_batches(stay.select("doc_id", "text", "rest"), whole, shape).unionAll(changed)
     back = {c: F.col(f"rest.c{i}").alias(c) for i, c in enumerate(rest)}
     return every.select(*[back.get(c, F.col(c)) for c in docs.columns], *[F.col(c).alias(fresh(c, docs.columns)) for c in ("n_words", "n_removed", "kept_sha256")])
 
