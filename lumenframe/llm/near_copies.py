@@ -65,7 +65,7 @@ ROUNDS, WORTH = 3, 10
 PARITY = 1024
 
 #: Words in a worker's table, and rows of a batch of shingles.
-KNOWN, ROWS = 1_000_000, 50_000
+KNOWN, ROWS = 200_000, 50_000
 
 _TIMES, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
