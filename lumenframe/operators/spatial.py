@@ -66,14 +66,24 @@ def xmatch_nearest(left: DataFrame, right: DataFrame, radius_arcsec: float, key:
     return left.join(best, key, "left").select(*left.columns, F.col("b").isNotNull().alias("matched"), F.col("b.x_objectid").alias("x_objectid"), F.col("b.dist_arcsec").alias("dist_arcsec"))
 
 
+def close_pairs(catalog: DataFrame, radius_arcsec: float) -> DataFrame:
+    """(objectid, neighbor, dist_arcsec): all pairs within the radius with a distance over zero, each from either side."""
+    places = catalog.select("objectid", "ra", "decl")
+    return xmatch(places, places, radius_arcsec).where("dist_arcsec > 0").select("objectid", F.col("x_objectid").alias("neighbor"), "dist_arcsec")
+
+
 def neighbors(catalog: DataFrame, radius_arcsec: float, k: int = 100) -> DataFrame:
     """(objectid, rank, neighbor, dist_arcsec): up to ``k`` nearest others with a distance over zero."""
-    m = xmatch(catalog.select("objectid", "ra", "decl"), catalog.select("objectid", "ra", "decl"), radius_arcsec).where("dist_arcsec > 0")
-    w = Window.partitionBy("objectid").orderBy("dist_arcsec", "x_objectid")
-    return m.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("objectid", "rank", F.col("x_objectid").alias("neighbor"), "dist_arcsec")
+    w = Window.partitionBy("objectid").orderBy("dist_arcsec", "neighbor")
+    return close_pairs(catalog, radius_arcsec).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("objectid", "rank", "neighbor", "dist_arcsec")
 
 
 def neighbor_features(catalog: DataFrame, radius_arcsec: float) -> DataFrame:
-    """(objectid, n_neighbors, closest_arcsec) for every object."""
-    n = neighbors(catalog, radius_arcsec).groupBy("objectid").agg(F.count(F.lit(1)).alias("n"), F.min("dist_arcsec").alias("closest_arcsec"))
-    return catalog.select("objectid").join(n, "objectid", "left").select("objectid", F.coalesce("n", F.lit(0)).alias("n_neighbors"), "closest_arcsec")
+    """(objectid, n_neighbors, closest_arcsec) for every object, of all neighbours with a distance over zero.
+
+    Distinct places are compared, and count as many neighbours as they have objects: objects at one place make no pairs.
+    """
+    places = catalog.groupBy("ra", "decl").agg(F.count(F.lit(1)).alias("n"))
+    near = xmatch(places.select("ra", "decl"), places, radius_arcsec).where("dist_arcsec > 0")
+    found = near.groupBy("ra", "decl").agg(F.sum("x_n").alias("n"), F.min("dist_arcsec").alias("closest_arcsec"))
+    return catalog.select("objectid", "ra", "decl").join(found, ["ra", "decl"], "left").select("objectid", F.coalesce("n", F.lit(0)).alias("n_neighbors"), "closest_arcsec")
