@@ -30,14 +30,15 @@ def differences(pairs: DataFrame, catalog: DataFrame, bands: list[str], colors:
     return j.select(*pairs.columns, *[v.alias(f"d_{k}") for k, v in mine.items()])
 
 
-def curves(lc: DataFrame, pairs: DataFrame, periods: DataFrame | None = None, sigma: float | tuple[float, float] | None = 4.0, least: int = 49, gap: float = 4.0, is_flux: bool = False) -> DataFrame:
+def curves(lc: DataFrame, pairs: DataFrame, periods: DataFrame | None = None, sigma: float | tuple[float, float] | None = 4.0, least: int = 49, gap: float = 4.0, is_flux: bool = False, nonzero_errors: bool = True) -> DataFrame:
     """(objectid, neighbor, t, m, e, seq): the clipped and normalised series of the neighbours that keep ``least`` points.
 
     With ``periods`` (objectid, method, period, epoch) of the objects, also method and phase: the neighbour's points folded
-    with the object's period, once for each method; a null epoch is the neighbour's first time.
+    with the object's period, once for each method; a null epoch is the neighbour's first time. ``nonzero_errors`` is
+    that of sigclip().
     """
     asked = pairs.select(F.col("neighbor").alias(KEY)).distinct()
-    clean = normalize(sigclip(lc.join(asked, KEY, "left_semi"), sigma, is_flux), gap, is_flux=is_flux).select(KEY, "t", "m", "e", "seq")
+    clean = normalize(sigclip(lc.join(asked, KEY, "left_semi"), sigma, is_flux, nonzero_errors=nonzero_errors), gap, is_flux=is_flux).select(KEY, "t", "m", "e", "seq")
     enough = clean.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"), F.min("t").alias("_first")).where(F.col("_n") >= least)
     series = clean.join(enough, KEY).withColumnRenamed(KEY, "neighbor")
     out = pairs.select(KEY, "neighbor").join(series, "neighbor").select(KEY, "neighbor", "t", "m", "e", "seq", "_first")

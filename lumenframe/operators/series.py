@@ -43,14 +43,15 @@ def with_center(lc: DataFrame, stat: str = "median") -> DataFrame:
     return c.withColumn("sigma", MAD_STD * F.median(F.abs(F.col("m") - F.col("center"))).over(whole()))
 
 
-def sigclip(lc: DataFrame, sigma: float | tuple[float, float] | None = 4.0, is_flux: bool = False, rounds: int = 1, stat: str = "median") -> DataFrame:
+def sigclip(lc: DataFrame, sigma: float | tuple[float, float] | None = 4.0, is_flux: bool = False, rounds: int = 1, stat: str = "median", nonzero_errors: bool = True) -> DataFrame:
     """Keeps points strictly within sigma of the centre; a pair clips (fainter, brighter) points on their own.
 
     Strictly: an object whose MAD is zero loses every point. ``rounds``: passes at most, each over what the last one
     left; rounds that remove nothing change nothing, so this is clipping until no point goes, or that many times.
+    Points that are not finite go, and with ``nonzero_errors`` those with an error of zero.
     """
     cols = lc.columns
-    lc = finite_filter(lc)
+    lc = finite_filter(lc, nonzero_errors)
     if sigma is None:
         return lc
     for _ in range(rounds):

@@ -1,6 +1,13 @@
 """Results that need every pair or point: no cap, and points that the SQL of a query keeps."""
 
-from lumenframe.operators import spatial
+import datetime
+import math
+
+import duckdb
+import pytest
+
+from lumenframe.operators import neighbours, spatial
+from lumenframe.plans import registry
 
 
 def test_neighbor_features_count_all(spark):
@@ -9,3 +16,44 @@ def test_neighbor_features_count_all(spark):
     got = {r.objectid: (r.n_neighbors, r.closest_arcsec) for r in spatial.neighbor_features(spark.createDataFrame(rows, "objectid int, ra double, decl double"), 100.0).collect()}
     assert len(got) == 135 and {got[i][0] for i in range(130)} == {2} and {round(got[i][1], 6) for i in range(130)} == {36.0}
     assert [got[200 + i][0] for i in range(3)] == [132, 132, 2] and got[300] == (0, None) and got[301] == (0, None)
+
+
+def test_pairs_have_no_cap_and_curves_keep_points_as_asked(spark):
+    """121 stars beside one; the neighbour's points with an error of zero stay where nonzero_errors is false."""
+    cat = spark.createDataFrame([(i, 10.0 + 0.001 * i, 0.0) for i in range(122)], "objectid int, ra double, decl double")
+    assert spatial.close_pairs(cat, 1000.0).where("objectid = 0").count() == 121
+    assert spatial.neighbors(cat, 1000.0).where("objectid = 0").count() == 100
+    lc = spark.createDataFrame([(2, 0.1 * i, float(i % 7), 0.0 if i % 7 == 0 else 0.1, i) for i in range(70)], "objectid int, t double, m double, e double, seq long")
+    pairs = spark.createDataFrame([(1, 2)], "objectid int, neighbor int")
+    assert neighbours.curves(lc, pairs).count() == 60 and neighbours.curves(lc, pairs, nonzero_errors=False).count() == 70
+
+
+ZERO = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+
+
+@pytest.fixture(scope="module")
+def zeros(spark, tmp_path_factory):
+    """Tables of two stars near each other, in whose events some values, and so errors, are zero."""
+    top = str(tmp_path_factory.mktemp("zeros"))
+    value = lambda i, u: 0.0 if i % 17 == u % 5 else round(20 + 9 * math.sin(i * (1.3 + u)) + i % 5, 2)
+    when = lambda i, u: datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC) + datetime.timedelta(hours=9.7 * i + 3.1 * u + (i * 37 % 11) / 7)
+    rows = [(100 * u + i, when(i, u), u, "view", value(i, u), "") for u in (0, 17) for i in range(70)]
+    spark.createDataFrame(rows, ZERO).write.parquet(f"{top}/events.parquet")
+    spark.createDataFrame([(0, 100.0, 1), (17, 50.0, 2), (1, 200.0, 1)], "c_custkey long, c_acctbal double, c_nationkey int").write.parquet(f"{top}/customer.parquet")
+    return top
+
+
+NAMES = ["neighbour_curves", "neighbour_blends"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_points_without_an_error_count_as_in_sql(spark, zeros, name):
+    con = duckdb.connect()
+    for t in ("events", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{zeros}/{t}.parquet/*.parquet'")
+    df = registry.queries()[name](spark, zeros)
+    cur = con.execute(registry.oracle_sql()[name])
+    at = [[d[0] for d in cur.description].index(c) for c in df.columns]
+    show = lambda v: "nan" if isinstance(v, float) and math.isnan(v) else f"{v + 0.0:.7g}" if isinstance(v, (int, float)) else str(v)
+    want = sorted([show(r[i]) for i in at] for r in cur.fetchall())
+    assert want and sorted([show(v) for v in r] for r in df.collect()) == want
