@@ -137,13 +137,14 @@ def phase_bin(folded: DataFrame, width: float = 0.005, least: int = 7, weighted:
     return _bins(folded, "phase", width, least, F.min("phase").over(whole()), [F.median("phase").alias("phase"), m.alias("m")]).drop("_low")
 
 
-def fill_gaps(lc: DataFrame, cadence: float | None = None, fill: float = 0.0, sigma: float = 3.0, is_flux: bool = False) -> DataFrame:
+def fill_gaps(lc: DataFrame, cadence: float | None = None, fill: float = 0.0, sigma: float = 3.0, is_flux: bool = False, nonzero_errors: bool = True) -> DataFrame:
     """(objectid, k, t, m): a regular grid from first to last time; null-free, gaps hold ``fill``.
 
     Points are clipped and their median removed (fluxes: divided by it, minus one). The cadence is the most frequent
     time step, rounded to 1e-9 days, unless given. A cell's value is the median of the points strictly inside it.
+    ``nonzero_errors`` is that of sigclip().
     """
-    c = sigclip(lc, sigma)
+    c = sigclip(lc, sigma, nonzero_errors=nonzero_errors)
     med = F.median("m").over(whole())
     c = c.withColumn("m", F.try_divide(F.col("m"), med) - 1.0 if is_flux else F.col("m") - med).withColumn("_dt", F.round(F.col("t") - F.lag("t").over(by_time()), 9))
     step = F.mode(F.when(F.col("_dt") > 0, F.col("_dt"))) if cadence is None else F.lit(float(cadence))

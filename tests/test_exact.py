@@ -43,7 +43,7 @@ def zeros(spark, tmp_path_factory):
     return top
 
 
-NAMES = ["neighbour_curves", "neighbour_blends"]
+NAMES = ["neighbour_curves", "neighbour_blends", "fill_gaps", "autocorrelation", "acf_period"]
 
 
 @pytest.mark.parametrize("name", NAMES)
