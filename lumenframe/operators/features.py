@@ -15,19 +15,24 @@ LEAST = 10
 Aggregates = dict[str, Column]
 
 
-def frame(lc: DataFrame, is_flux: bool = False, weight_by_time: bool = True) -> DataFrame:
-    """The finite points with what the features sum: window columns over the object, all from one shuffle by object.
+def divided(a: Column, b: Column) -> Column:
+    """a / b, infinite or NaN where b is zero."""
+    return F.when(b != 0, F.try_divide(a, b)).when(F.isnan(a) | (a == 0), float("nan")).otherwise(F.signum(a) * float("inf"))
+
+
+def frame(lc: DataFrame, is_flux: bool = False, weight_by_time: bool = True, nonzero_errors: bool = True) -> DataFrame:
+    """The finite points, with ``nonzero_errors`` those whose error is not zero, with what the features sum: window columns over the object, all from one shuffle by object.
 
     Point-to-point measures leave out the last point of a series and those with no time to the next (``on`` is false);
     their neighbours are those that stay. Columns that a feature does not use are pruned from its plan.
     """
     stay = Window.partitionBy(KEY, "on")
-    lc = finite_filter(lc).withColumns({
+    lc = finite_filter(lc, nonzero_errors).withColumns({
         "n": F.count(F.lit(1)).over(whole()), "med": F.median("m").over(whole()), "x": F.col("t") - F.min("t").over(whole()),
         "dt": F.col("t") - F.lag("t").over(by_time()), "on": F.coalesce(F.lead("t").over(by_time()) - F.col("t") != 0, F.lit(False)),
         "f": F.col("m") if is_flux else F.pow(F.lit(10.0), -0.4 * F.col("m")),
     })
-    lc = lc.withColumns({"ad": F.abs(F.col("m") - F.col("med")), "s": F.try_divide(F.col("n"), F.col("n") - 1) * (F.col("m") - F.col("med")) / F.col("e"), "step": F.median("dt").over(whole())})
+    lc = lc.withColumns({"ad": F.abs(F.col("m") - F.col("med")), "s": F.try_divide(F.col("n"), F.col("n") - 1) * divided(F.col("m") - F.col("med"), F.col("e")), "step": F.median("dt").over(whole())})
     lc = lc.withColumns({"mad": F.median("ad").over(whole()), "before": F.lag("s").over(by_time())})
     near = stay.orderBy("t", "seq")
     lc = lc.withColumns({"pt": F.col("t") - F.lag("t").over(near), "pm": F.col("m") - F.lag("m").over(near), "pmed": F.median("m").over(stay)})
@@ -45,9 +50,9 @@ def _stetson_out() -> dict[str, Column]:
 
 
 def _moments() -> Aggregates:
-    w = 1.0 / (F.col("e") * F.col("e"))
+    e2 = F.col("e") * F.col("e")
     return {
-        "median": F.min("med"), "wmean": F.sum(F.col("m") * w) / F.sum(w), "mad_": F.min("mad"), "skew": F.skewness("m"), "kurtosis": F.kurtosis("m"),
+        "median": F.min("med"), "wmean": F.sum(divided(F.col("m"), e2)) / F.sum(divided(F.lit(1.0), e2)), "mad_": F.min("mad"), "skew": F.skewness("m"), "kurtosis": F.kurtosis("m"),
         "beyond1std": F.count_if(F.col("ad") > MAD_STD * F.col("mad")) / F.count(F.lit(1)), "mag_percentiles": F.percentile("m", F.array(*[F.lit(p / 100) for p in PERCENTILES])),
     }
 
@@ -113,14 +118,17 @@ def stetson(lc: DataFrame, weight_by_time: bool = True) -> DataFrame:
     return _measured(frame(lc, weight_by_time=weight_by_time), [(_stetson(), _stetson_out())])
 
 
-def moments(lc: DataFrame) -> DataFrame:
-    """Median, weighted mean, MAD, 1.483 MAD, population skew, excess kurtosis, share beyond one sigma, percentiles."""
-    return _measured(frame(lc), [(_moments(), _moments_out())])
+def moments(lc: DataFrame, nonzero_errors: bool = True) -> DataFrame:
+    """Median, weighted mean, MAD, 1.483 MAD, population skew, excess kurtosis, share beyond one sigma, percentiles.
+
+    Where points with an error of zero are kept, the weighted mean of their object is NaN.
+    """
+    return _measured(frame(lc, nonzero_errors=nonzero_errors), [(_moments(), _moments_out())])
 
 
-def flux_measures(lc: DataFrame, is_flux: bool = False) -> DataFrame:
+def flux_measures(lc: DataFrame, is_flux: bool = False, nonzero_errors: bool = True) -> DataFrame:
     """Flux percentile ratios and amplitudes; magnitudes become 10^(-0.4 m)."""
-    return _measured(frame(lc, is_flux), [(_flux(), _flux_out())])
+    return _measured(frame(lc, is_flux, nonzero_errors=nonzero_errors), [(_flux(), _flux_out())])
 
 
 def ptp_measures(lc: DataFrame) -> DataFrame:
@@ -128,9 +136,12 @@ def ptp_measures(lc: DataFrame) -> DataFrame:
     return _measured(frame(lc), [(_ptp(), _ptp_out())]).drop("ndet")
 
 
-def series_measures(lc: DataFrame) -> DataFrame:
-    """Counts, times, amplitude, the linear fit's constant term (weights 1 / e^4) and slope, and the magnitude ratio."""
-    return _measured(frame(lc), [(_series(), _series_out())])
+def series_measures(lc: DataFrame, nonzero_errors: bool = True) -> DataFrame:
+    """Counts, times, amplitude, the linear fit's constant term (weights 1 / e^4) and slope, and the magnitude ratio.
+
+    Where points with an error of zero are kept, the fit of their object is NaN.
+    """
+    return _measured(frame(lc, nonzero_errors=nonzero_errors), [(_series(), _series_out())])
 
 
 def nonperiodic(lc: DataFrame, is_flux: bool = False) -> DataFrame:
