@@ -43,7 +43,7 @@ def zeros(spark, tmp_path_factory):
     return top
 
 
-NAMES = ["neighbour_curves", "neighbour_blends", "fill_gaps", "autocorrelation", "acf_period", "moments", "flux_measures", "linear_fit"]
+NAMES = ["neighbour_curves", "neighbour_blends", "fill_gaps", "autocorrelation", "acf_period", "moments", "flux_measures", "linear_fit", "kepler_mags"]
 
 
 @pytest.mark.parametrize("name", NAMES)
