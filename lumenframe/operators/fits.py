@@ -103,7 +103,7 @@ def fit_fourier(t: np.ndarray, m: np.ndarray, e: np.ndarray, period: float, orde
     amps = [abs(c[0])] + [math.hypot(c[2 * i - 1], c[2 * i]) for i in range(1, order)]
     phases = [0.0 if c[0] >= 0 else math.pi] + [math.atan2(-c[2 * i], c[2 * i - 1]) for i in range(1, order)]
     chi, red = scores(m, fit, e, 2 * order)
-    return {"params": amps + phases, "errs": None, "chisq": chi, "redchisq": red, "epoch": float(t[np.argmin(fit)]), "fit": fit, "phase": p, "t": t}
+    return {"params": amps + phases, "errs": None, "chisq": chi, "redchisq": red, "epoch": float(t[np.argmin(fit)]), "fit": fit, "phase": p, "t": t, "m": m}
 
 
 def fit_spline(t: np.ndarray, m: np.ndarray, e: np.ndarray, period: float, knot_fraction: float = 0.01, most_knots: int = 30, epoch: float | None = None) -> dict:
@@ -117,7 +117,7 @@ def fit_spline(t: np.ndarray, m: np.ndarray, e: np.ndarray, period: float, knot_
     c, *_ = np.linalg.lstsq(b / e[:, None], m / e, rcond=None)
     fit = b @ c
     chi, red = scores(m, fit, e, n + 1)
-    return {"params": c.tolist(), "errs": None, "chisq": chi, "redchisq": red, "epoch": float(t[np.argmax(fit)]), "fit": fit, "phase": p, "t": t}
+    return {"params": c.tolist(), "errs": None, "chisq": chi, "redchisq": red, "epoch": float(t[np.argmax(fit)]), "fit": fit, "phase": p, "t": t, "m": m}
 
 
 def fit_savgol(t: np.ndarray, m: np.ndarray, e: np.ndarray, period: float, window: int | None = None, degree: int = 2, epoch: float | None = None) -> dict:
@@ -126,7 +126,7 @@ def fit_savgol(t: np.ndarray, m: np.ndarray, e: np.ndarray, period: float, windo
     w = window or max(degree + 3, int(len(p) / 300))
     w += 1 - w % 2
     fit = savgol(m, w, degree, "wrap")
-    return {"params": [float(w), float(degree)], "errs": None, "chisq": scores(m, fit, e, 0)[0], "redchisq": -99.0, "epoch": float(t[np.argmax(fit)]), "fit": fit, "phase": p, "t": t}
+    return {"params": [float(w), float(degree)], "errs": None, "chisq": scores(m, fit, e, 0)[0], "redchisq": -99.0, "epoch": float(t[np.argmax(fit)]), "fit": fit, "phase": p, "t": t, "m": m}
 
 
 def fit_legendre(t: np.ndarray, m: np.ndarray, e: np.ndarray, period: float, degree: int = 10, epoch: float | None = None) -> dict:
@@ -136,7 +136,7 @@ def fit_legendre(t: np.ndarray, m: np.ndarray, e: np.ndarray, period: float, deg
     c = np.polynomial.legendre.legfit(x, m, degree)
     fit = np.polynomial.legendre.legval(x, c)
     chi, red = scores(m, fit, e, degree + 2)
-    return {"params": c.tolist(), "errs": None, "chisq": chi, "redchisq": red, "epoch": float(t[np.argmax(fit)]), "fit": fit, "phase": p, "t": t}
+    return {"params": c.tolist(), "errs": None, "chisq": chi, "redchisq": red, "epoch": float(t[np.argmax(fit)]), "fit": fit, "phase": p, "t": t, "m": m}
 
 
 def trapezoid(p: np.ndarray, zero: float, depth: float, duration: float, ingress: float) -> np.ndarray:
@@ -165,12 +165,12 @@ def _bounded(model: Callable, names: int, start: list[float], low: list[float],
     span = 0.05 * period
     got = least_squares(residual, np.array([epoch, *start]), np.array([epoch - span, *low]), np.array([epoch + span, *high]))
     if got is None:
-        return {"params": None, "errs": None, "chisq": math.nan, "redchisq": math.nan, "epoch": epoch, "fit": np.full(len(m), math.nan), "phase": at([epoch])[0], "t": t}
+        return {"params": None, "errs": None, "chisq": math.nan, "redchisq": math.nan, "epoch": epoch, "fit": np.full(len(m), math.nan), "phase": at([epoch])[0], "t": t, "m": m}
     x, err = got
     p, ms, es, ts = at(x)
     fit = model(p, zero, *x[1:])
     chi, red = scores(ms, fit, es, names)
-    return {"params": [period, *x.tolist()], "errs": [0.0, *err.tolist()], "chisq": chi, "redchisq": red, "epoch": float(x[0]), "fit": fit, "phase": p, "t": ts}
+    return {"params": [period, *x.tolist()], "errs": [0.0, *err.tolist()], "chisq": chi, "redchisq": red, "epoch": float(x[0]), "fit": fit, "phase": p, "t": ts, "m": ms}
 
 
 def fit_trapezoid(t: np.ndarray, m: np.ndarray, e: np.ndarray, period: float, epoch: float | None = None, depth: float | None = None, duration: float = 0.1, ingress: float = 0.02) -> dict:
@@ -218,8 +218,7 @@ def fit(lc: DataFrame, model: str, period: str | float = "period", least: int =
             return pd.DataFrame(columns=[KEY, "model", "params", "errs", "chisq", "redchisq", "epoch", "n", "residual_mad"])
         t, m, e = (pdf[c].to_numpy(float) for c in ("t", "m", "e"))
         got = kernel(t, m, e, float(pdf["_p"].iloc[0]), **options)
-        by = dict(zip(t.tolist(), m.tolist(), strict=True))
-        r = np.array([by[x] for x in got["t"].tolist()]) - got["fit"]
+        r = got["m"] - got["fit"]
         mad = float(np.median(np.abs(r - np.median(r)))) if np.isfinite(r).all() else math.nan
         return pd.DataFrame([{KEY: pdf[KEY].iloc[0], "model": model, "params": got["params"], "errs": got["errs"], "chisq": got["chisq"], "redchisq": got["redchisq"], "epoch": got["epoch"], "n": len(t), "residual_mad": mad}])
 

@@ -69,8 +69,7 @@ def fit_features(lc: DataFrame, periods: DataFrame, order: int = 5, sigma: float
             got = fit()
             left = np.full(1, math.nan)
             if got["params"] is not None and np.isfinite(got["fit"]).all():
-                by = dict(zip(t.tolist(), m.tolist(), strict=True))
-                left = got["fit"] - np.array([by[x] for x in got["t"].tolist()])
+                left = got["fit"] - got["m"]
             spread = float(np.median(np.abs(left - np.median(left))))
             row |= {f"{kind}_chisq": got["chisq"], f"{kind}_redchisq": got["redchisq"], f"{kind}_residual_mad": spread, f"{kind}_residual_mad_over_lcmad": spread / mad if mad else math.nan}
         return pd.DataFrame([row])[[KEY, *names]]

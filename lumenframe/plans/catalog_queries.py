@@ -374,7 +374,7 @@ WRAPPED = f"{FIT}, li AS (SELECT objectid, list(m ORDER BY p, t, seq) AS v, list
 
 def _fit(model: str, **options: object):  # noqa: ANN202
     def run(s: SparkSession, d: str) -> DataFrame:
-        found = fits.fit(series.sigclip(events(s, d), 5.0), model, 2.5, **options).select("objectid", "model", "chisq", "redchisq", "n", "residual_mad")
+        found = fits.fit(series.sigclip(events(s, d), 5.0, nonzero_errors=False), model, 2.5, **options).select("objectid", "model", "chisq", "redchisq", "n", "residual_mad")
         return rounded(found, chisq=3, redchisq=5, residual_mad=5)
 
     return run

@@ -33,17 +33,19 @@ ZERO = "event_id long, ts timestamp, user_id long, event_type string, value doub
 
 @pytest.fixture(scope="module")
 def zeros(spark, tmp_path_factory):
-    """Tables of two stars near each other, in whose events some values, and so errors, are zero."""
+    """Tables of two stars near each other, in whose events some values, and so errors, are zero; of a third half are, times
+    are equal, and one point lies far from the others, but not from the whole."""
     top = str(tmp_path_factory.mktemp("zeros"))
     value = lambda i, u: 0.0 if i % 17 == u % 5 else round(20 + 9 * math.sin(i * (1.3 + u)) + i % 5, 2)
     when = lambda i, u: datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC) + datetime.timedelta(hours=9.7 * i + 3.1 * u + (i * 37 % 11) / 7)
     rows = [(100 * u + i, when(i, u), u, "view", value(i, u), "") for u in (0, 17) for i in range(70)]
+    rows += [(5000 + i, when(i // 4 * 4, 2), 2, "view", 0.0 if i % 2 else 130.0 if i == 34 else 100.0 + i % 5 / 2, "") for i in range(70)]
     spark.createDataFrame(rows, ZERO).write.parquet(f"{top}/events.parquet")
     spark.createDataFrame([(0, 100.0, 1), (17, 50.0, 2), (1, 200.0, 1)], "c_custkey long, c_acctbal double, c_nationkey int").write.parquet(f"{top}/customer.parquet")
     return top
 
 
-NAMES = ["neighbour_curves", "neighbour_blends", "fill_gaps", "autocorrelation", "acf_period", "moments", "flux_measures", "linear_fit", "kepler_mags"]
+NAMES = ["neighbour_curves", "neighbour_blends", "fill_gaps", "autocorrelation", "acf_period", "moments", "flux_measures", "linear_fit", "kepler_mags", "fit_fourier", "fit_legendre", "fit_savgol"]
 
 
 @pytest.mark.parametrize("name", NAMES)
