@@ -64,17 +64,19 @@ def bls_grids(lc: DataFrame, start_period: float | Column = 0.1, end_period: flo
     return g.select(KEY, F.greatest(low, 2.0 / F.col("span")).alias("first"), "step", F.ceil((high - low) / F.col("step")).cast("long").alias("number")).where("number > 0")
 
 
-def search(lc: DataFrame, grid: Grid, kernel: Kernel, columns: list[str], work: int = WORK) -> DataFrame:
+def search(lc: DataFrame, grid: Grid, kernel: Kernel, columns: list[str], work: int = WORK, whole: bool = False) -> DataFrame:
     """(objectid, k, freq, columns): ``kernel(t, m, e, freqs)`` over each object's grid, in stretches.
 
     Points with a value, time or error that is not finite, or an error of zero, are left out; times are relative to the
-    first. Objects without a grid or with no point left give no row. Scores that are not finite are null.
+    first. Objects without a grid or with no point left give no row. Scores that are not finite are null. With ``whole`` the
+    kernel has a fifth argument, the values of all finite points, also of those with an error of zero.
     """
-    parts = stretches(lc, grid, work)
+    parts = stretches(lc, grid, work, nonzero_errors=not whole)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, m, e, k, freqs = opened(pdf)
-        found = [kernel(t, m, e, freqs[i:j]) for i, j in _blocks(len(t), len(freqs))]
+        every = [pdf["m"].to_numpy(float)] if whole else []
+        t, m, e, k, freqs = opened(pdf[pdf["e"] != 0] if whole else pdf)
+        found = [kernel(t, m, e, freqs[i:j], *every) for i, j in _blocks(len(t), len(freqs))]
         got = {c: np.concatenate([q[c] for q in found]) for c in columns}
         return pd.DataFrame({KEY: pdf[KEY].iloc[0], "k": k, "freq": freqs, **{c: np.where(np.isfinite(v), v, np.nan) for c, v in got.items()}})
 
@@ -82,10 +84,10 @@ def search(lc: DataFrame, grid: Grid, kernel: Kernel, columns: list[str], work:
     return parts.groupBy(KEY, "part").applyInPandas(run, f"{KEY} {kind}, k long, freq double, " + ", ".join(f"{c} double" for c in columns))
 
 
-def stretches(lc: DataFrame, grid: Grid, work: int = WORK) -> DataFrame:
+def stretches(lc: DataFrame, grid: Grid, work: int = WORK, nonzero_errors: bool = True) -> DataFrame:
     """The points of each object, once for each stretch of its grid: (objectid, t, m, e, seq, first, step, number, size, part)."""
-    rows = finite_filter(lc).select(KEY, "t", "m", "e", "seq")
-    n = rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
+    rows = finite_filter(lc, nonzero_errors).select(KEY, "t", "m", "e", "seq")
+    n = rows.groupBy(KEY).agg(F.count_if(F.col("e") != 0).alias("_n")).where("_n > 0")
     g = n.join(grid.select(KEY, "first", "step", "number"), KEY) if isinstance(grid, DataFrame) else n.select(KEY, "_n", F.lit(float(grid[0])).alias("first"), F.lit(float(grid[1])).alias("step"), F.lit(int(grid[2])).cast("long").alias("number"))
     size = F.greatest(F.lit(1), F.least(F.col("number"), F.floor(F.lit(work) / F.col("_n")))).cast("long")
     g = g.withColumn("size", size).select(KEY, "first", "step", "number", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("number") - 1) / F.col("size")))).alias("part"))
@@ -175,11 +177,15 @@ def pdm_kernel(bins: int = 20, least: int = 9) -> Kernel:
 
 
 def aov_kernel(bins: int = 20, least: int = 9) -> Kernel:
-    """Analysis of variance with medians; s2 takes deviations from the overall median."""
+    """Analysis of variance with medians; s2 takes deviations from the overall median.
 
-    def theta(x: np.ndarray, m: np.ndarray, e: np.ndarray, freqs: np.ndarray) -> dict[str, np.ndarray]:
+    That median and the number of points are those of ``every`` value, if given, or else of ``m``.
+    """
+
+    def theta(x: np.ndarray, m: np.ndarray, e: np.ndarray, freqs: np.ndarray, every: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        every = m if every is None else every
         order = np.argsort(m, kind="stable")
-        y = m[order] - np.median(m)
+        y = m[order] - np.median(every)
         out = np.empty(len(freqs))
         for i in range(0, len(freqs), 60_000 // bins):  # keys of 16 bits are sorted in linear time
             k = min(60_000 // bins, len(freqs) - i)
@@ -195,7 +201,7 @@ def aov_kernel(bins: int = 20, least: int = 9) -> Kernel:
             groups = use.sum(1)
             with np.errstate(divide="ignore", invalid="ignore"):
                 s1 = np.where(use, (n * med * med).reshape(k, bins), 0.0).sum(1) / (groups - 1)
-                out[i : i + k] = np.where(groups > 0, s1 / (np.where(use, total, 0.0).sum(1) / (len(y) - groups)), np.nan)
+                out[i : i + k] = np.where(groups > 0, s1 / (np.where(use, total, 0.0).sum(1) / (len(every) - groups)), np.nan)
         return {"theta": out}
 
     return theta
@@ -293,9 +299,9 @@ def pdm(lc: DataFrame, first: float | DataFrame, step: float | None = None, numb
     return search(lc, _grid(first, step, number), pdm_kernel(bins, least), ["theta"])
 
 
-def aov(lc: DataFrame, first: float | DataFrame, step: float | None = None, number: int | None = None, bins: int = 20, least: int = 9) -> DataFrame:
-    """(objectid, k, freq, theta)."""
-    return search(lc, _grid(first, step, number), aov_kernel(bins, least), ["theta"])
+def aov(lc: DataFrame, first: float | DataFrame, step: float | None = None, number: int | None = None, bins: int = 20, least: int = 9, whole: bool = False) -> DataFrame:
+    """(objectid, k, freq, theta); with ``whole`` the median and number of all points also count those with an error of zero."""
+    return search(lc, _grid(first, step, number), aov_kernel(bins, least), ["theta"], whole=whole)
 
 
 def string_length(lc: DataFrame, first: float | DataFrame, step: float | None = None, number: int | None = None) -> DataFrame:

@@ -45,7 +45,7 @@ def zeros(spark, tmp_path_factory):
     return top
 
 
-NAMES = ["neighbour_curves", "neighbour_blends", "fill_gaps", "autocorrelation", "acf_period", "moments", "flux_measures", "linear_fit", "kepler_mags", "fit_fourier", "fit_legendre", "fit_savgol"]
+NAMES = ["neighbour_curves", "neighbour_blends", "fill_gaps", "autocorrelation", "acf_period", "moments", "flux_measures", "linear_fit", "kepler_mags", "fit_fourier", "fit_legendre", "fit_savgol", "aov_theta"]
 
 
 @pytest.mark.parametrize("name", NAMES)
