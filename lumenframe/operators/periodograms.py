@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fits import savgol
-from .series import KEY, finite_filter, sigclip
+from .series import KEY, dealt, finite_filter, sigclip
 
 TWO_PI = 2.0 * math.pi
 
@@ -124,16 +124,17 @@ def turns(x: np.ndarray, freqs: np.ndarray) -> np.ndarray:
 
 
 def gls_power(x: np.ndarray, m: np.ndarray, e: np.ndarray, freqs: np.ndarray) -> dict[str, np.ndarray]:
-    """Generalized Lomb-Scargle power with a floating mean."""
+    """Generalized Lomb-Scargle power with a floating mean; of ``m`` with a row for each of many series, a row for each."""
     w = 1.0 / (e * e)
     w = w / w.sum()
-    y = m - w @ m
+    y = m - (m @ w)[..., None]
     z = turns(x, freqs)
-    plain, by_y, twice = z @ w, z @ (w * y), (z * z) @ w
+    plain, twice = z @ w, (z * z) @ w
+    by_y = z @ (w * y) if y.ndim == 1 else (w * y) @ z.T
     c, s, yc, ys = plain.real, plain.imag, by_y.real, by_y.imag
     cc, ss, cs = 0.5 * (1.0 + twice.real) - c * c, 0.5 * (1.0 - twice.real) - s * s, 0.5 * twice.imag - c * s
     with np.errstate(divide="ignore", invalid="ignore"):
-        return {"power": (ss * yc * yc + cc * ys * ys - 2.0 * cs * yc * ys) / ((w @ (y * y)) * (cc * ss - cs * cs))}
+        return {"power": (ss * yc * yc + cc * ys * ys - 2.0 * cs * yc * ys) / (((y * y) @ w)[..., None] * (cc * ss - cs * cs))}
 
 
 def window_power(x: np.ndarray, m: np.ndarray, e: np.ndarray, freqs: np.ndarray) -> dict[str, np.ndarray]:
@@ -500,22 +501,26 @@ def bootstrap_fap(lc: DataFrame, grid: Grid, kernel: Kernel = gls_power, score:
     """(objectid, best, fap): the share of ``trials`` in which magnitudes drawn anew, with replacement, score as well or better.
 
     fap is (1 + such trials) / (trials + 1). Draws follow from seed, object and trial, so a rerun is the same. Each stretch
-    of a grid gives the best score of each trial; stretches are combined by object and trial.
+    of a grid gives the best score of each trial; stretches are combined by object and trial. Of the kernels, gls_power takes
+    many trials at once, as a product of matrices: what does not depend on the magnitudes is made once.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         t, m, e, _, freqs = opened(pdf)
         name = pdf[KEY].iloc[0]
-        best = []
-        for trial in range(trials + 1):  # trial 0 is the series as it is
-            drawn = m if trial == 0 else m[np.random.default_rng((seed, trial, xxhash64(str(name)))).integers(0, len(m), len(m))]
-            v = np.concatenate([kernel(t, drawn, e, freqs[i:j])[score] for i, j in _blocks(len(t), len(freqs))])
-            v = v[np.isfinite(v)]
-            best.append((v.max() if largest else -v.min()) if len(v) else np.nan)
+        key, best = xxhash64(str(name)), np.full(trials + 1, np.nan)
+        size = max(1, BLOCK // len(m)) if kernel is gls_power else 1
+        for a in range(0, trials + 1, size):
+            every = range(a, min(trials + 1, a + size))
+            drawn = np.stack([m if trial == 0 else m[np.random.default_rng((seed, trial, key)).integers(0, len(m), len(m))] for trial in every])  # trial 0 is the series as it is
+            for i, j in _blocks(max(len(t), len(drawn)), len(freqs)):
+                v = kernel(t, drawn if kernel is gls_power else drawn[0], e, freqs[i:j])[score].reshape(len(drawn), -1)
+                v = np.where(np.isfinite(v), v if largest else -v, -np.inf).max(1)
+                best[a : a + size] = np.fmax(best[a : a + size], np.where(np.isfinite(v), v, np.nan))
         return pd.DataFrame({KEY: name, "trial": np.arange(trials + 1), "score": best})
 
     kind = lc.schema[KEY].dataType.simpleString()
-    got = stretches(lc, grid, max(1, work // (trials + 1))).groupBy(KEY, "part").applyInPandas(run, f"{KEY} {kind}, trial int, score double")
+    got = dealt(stretches(lc, grid, max(1, work // (trials + 1))), KEY, "part").groupBy(KEY, "part").applyInPandas(run, f"{KEY} {kind}, trial int, score double")
     top = got.groupBy(KEY, "trial").agg(F.max("score").alias("score"))
     g = top.groupBy(KEY).agg(F.max(F.when(F.col("trial") == 0, F.col("score"))).alias("own"), F.collect_list(F.when(F.col("trial") > 0, F.col("score"))).alias("drawn"))
     best = F.col("own") if largest else -F.col("own")

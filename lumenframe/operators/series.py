@@ -25,6 +25,12 @@ def whole(key: str = KEY) -> Window:
     return Window.partitionBy(key)
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` to as many partitions as shuffles have: where a kernel works long on few bytes, adaptive execution
+    would join the partitions of many objects in one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def finite(c: str) -> Column:
     return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
 

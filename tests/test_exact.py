@@ -4,9 +4,10 @@ import datetime
 import math
 
 import duckdb
+import numpy as np
 import pytest
 
-from lumenframe.operators import neighbours, spatial
+from lumenframe.operators import neighbours, periodograms, spatial
 from lumenframe.plans import registry
 
 
@@ -59,3 +60,18 @@ def test_points_without_an_error_count_as_in_sql(spark, zeros, name):
     show = lambda v: "nan" if isinstance(v, float) and math.isnan(v) else f"{v + 0.0:.7g}" if isinstance(v, (int, float)) else str(v)
     want = sorted([show(r[i]) for i in at] for r in cur.fetchall())
     assert want and sorted([show(v) for v in r] for r in df.collect()) == want
+
+
+def test_bootstrap_takes_many_trials_at_once(spark):
+    """As one trial after another: the same draws, and calls of the kernel with many rows."""
+    rng = np.random.default_rng(5)
+    t = np.sort(rng.uniform(0, 20, 40))
+    m, e, freqs = 10 + 0.3 * np.sin(t) + rng.normal(0, 0.2, 40), rng.uniform(0.1, 0.3, 40), 0.05 + 0.01 * np.arange(90)
+    drawn = np.stack([m, *(m[np.random.default_rng((3, k, periodograms.xxhash64("7"))).integers(0, 40, 40)] for k in range(1, 31))])
+    one = np.stack([periodograms.gls_power(t - t[0], x, e, freqs)["power"] for x in drawn])
+    assert np.allclose(periodograms.gls_power(t - t[0], drawn, e, freqs)["power"], one, rtol=1e-9, atol=1e-12)
+    lc = spark.createDataFrame([(7, *map(float, x), i) for i, x in enumerate(zip(t, m, e, strict=True))], "objectid int, t double, m double, e double, seq int")
+    got = periodograms.bootstrap_fap(lc, (0.05, 0.01, 90), trials=30).first()
+    assert abs(got.best - one[0].max()) < 1e-9 and got.fap == (1 + (one[1:].max(1) >= one[0].max()).sum()) / 31
+    other = periodograms.bootstrap_fap(lc, (0.05, 0.01, 90), kernel=lambda *x: periodograms.gls_power(*x), trials=30, work=40 * 31 * 20).first()
+    assert abs(other.best - got.best) < 1e-9 and other.fap == got.fap
