@@ -5,15 +5,17 @@ A fit is a row: objectid, model, params, errs, chisq, redchisq, epoch, n; null p
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .series import KEY, finite_filter
+from .series import KEY, dealt, finite_filter
 
 
 def fold(t: np.ndarray, m: np.ndarray, e: np.ndarray, period: float, epoch: float | None = None) -> tuple[np.ndarray, ...]:
@@ -89,6 +91,97 @@ def least_squares(f: Callable[[np.ndarray], np.ndarray], start: np.ndarray, low:
     return x, np.sqrt(np.maximum(np.diag(cov), 0.0))
 
 
+def least_squares_many(f: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(parameters, whether they are finite) of many fits at once, each by the steps of least_squares(); a row a fit.
+
+    ``f(x, at)`` gives residuals of the fits numbered ``at`` at parameters ``x``, zero where a fit has fewer points than others.
+    """
+    x = np.clip(start, low, high)
+    count, width = x.shape
+    r = f(x, np.arange(count))
+    cost, lam, going = np.einsum("ij,ij->i", r, r), np.full(count, 1e-3), np.arange(count)
+    for _ in range(rounds):
+        if not len(going):
+            break
+        j = np.empty((len(going), r.shape[1], width))
+        for i in range(width):
+            d = np.zeros_like(x[going])
+            d[:, i] = steps[going, i]
+            j[:, :, i] = (f(x[going] + d, going) - f(x[going] - d, going)) / (2 * steps[going, i])[:, None]
+        a, g = np.swapaxes(j, 1, 2) @ j, (np.swapaxes(j, 1, 2) @ r[going][:, :, None])[:, :, 0]
+        scale = np.maximum(np.diagonal(a, axis1=1, axis2=2), 1e-12)
+        left, on = np.arange(len(going)), np.zeros(len(going), bool)
+        for _ in range(12):
+            if not len(left):
+                break
+            k = going[left]
+            new = np.clip(x[k] - _solved(a[left] + (lam[k, None] * scale[left])[:, :, None] * np.eye(width), g[left]), low[k], high[k])
+            rn = f(new, k)
+            cn = np.einsum("ij,ij->i", rn, rn)
+            ok = np.isfinite(rn).all(1) & (cn < cost[k])
+            won = k[ok]
+            on[left[ok]] = ~((cost[won] - cn[ok] < 1e-12 * np.maximum(cost[won], 1e-300)) | (cn[ok] < 1e-12))
+            x[won], r[won], cost[won], lam[won] = new[ok], rn[ok], cn[ok], lam[won] / 10
+            lam[k[~ok]] *= 10
+            left = left[~ok]
+        going = going[on]
+    return x, np.isfinite(x).all(1)
+
+
+def _solved(a: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Solutions of many systems; NaN where one is singular."""
+    try:
+        return np.linalg.solve(a, g[:, :, None])[:, :, 0]
+    except np.linalg.LinAlgError:
+        out = np.full_like(g, np.nan)
+        for i in range(len(g)):
+            with contextlib.suppress(np.linalg.LinAlgError):
+                out[i] = np.linalg.solve(a[i], g[i])
+        return out
+
+
+def padded(groups: list[np.ndarray], fill: float) -> np.ndarray:
+    """A row for each of ``groups``, as long as the longest."""
+    out = np.full((len(groups), max(map(len, groups))), fill)
+    for row, v in zip(out, groups, strict=True):
+        row[: len(v)] = v
+    return out
+
+
+#: Points that fits of many at once hold in a call, at least one fit's.
+POINTS = 1 << 13
+
+
+def in_groups(rows: DataFrame, keys: list[str], run: Callable[[list[pd.DataFrame]], pd.DataFrame], schema: str) -> DataFrame:
+    """``run`` of lists of groups, each in order of t and seq: rows are dealt by ``keys`` and pass sorted, and a call has some
+    POINTS of them, or the one group that is larger. Groups of like length come together, as they are padded."""
+
+    def calls(held: list[list[pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        found = sorted((pd.concat(g) if len(g) > 1 else g[0] for g in held), key=len)
+        while found:
+            some = max(1, POINTS // len(found[-1]))
+            yield run(found[-some:])
+            del found[-some:]
+
+    def passing(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[list[pd.DataFrame]] = []  # groups, in the pieces they came in; the last may go on
+        for pdf in parts:
+            if len(pdf):
+                k = pdf[keys]
+                new = (k != k.shift()).any(axis=1).to_numpy()
+                new[0] = not held or any(held[-1][-1][c].iloc[-1] != pdf[c].iloc[0] for c in keys)
+                at = [*np.flatnonzero(new).tolist(), len(pdf)]
+                if at[0]:
+                    held[-1].append(pdf.iloc[: at[0]])
+                held += [[pdf.iloc[i:j]] for i, j in itertools.pairwise(at)]
+                if sum(len(x) for g in held[:-1] for x in g) >= 8 * POINTS:
+                    yield from calls(held[:-1])
+                    held = held[-1:]
+        yield from calls(held)
+
+    return dealt(rows, *keys).sortWithinPartitions(*keys, "t", "seq").mapInPandas(passing, schema)
+
+
 def fit_fourier(t: np.ndarray, m: np.ndarray, e: np.ndarray, period: float, order: int = 8, epoch: float | None = None) -> dict:
     """Cosine series of ``order`` amplitudes and phases; the first term is a constant around the median.
 

@@ -1,4 +1,4 @@
-"""Transits of a limb-darkened star: model, priors, least squares and Metropolis sampling, one kernel call for an object."""
+"""Transits of a limb-darkened star: model, priors, least squares and Metropolis sampling, many objects in a kernel call."""
 
 from __future__ import annotations
 
@@ -9,11 +9,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .fits import least_squares
+from .fits import in_groups, least_squares_many, padded
 from .series import KEY, finite_filter
 
 #: Nodes of the integral over the covered part of the disk.
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(48)
+_SINES, _COSINES = np.sin(np.pi / 2 * _NODES), _WEIGHTS * np.pi / 2 * np.cos(np.pi / 2 * _NODES)
 
 #: Parameters of the model in order; those of the line follow where it is fitted.
 NAMES = ("t0", "rp", "a", "b")
@@ -37,7 +38,7 @@ def separation(t: np.ndarray, t0: float, period: float, a: float, b: float, ecc:
     true = 2 * np.arctan2(math.sqrt(1 + ecc) * np.sin(e / 2), math.sqrt(1 - ecc) * np.cos(e / 2))
     r = a * (1 - ecc * np.cos(e))
     at_transit = a * (1 - ecc * ecc) / (1 + ecc * math.sin(w))
-    cos_i = min(1.0, b / at_transit)
+    cos_i = np.minimum(1.0, b / at_transit)
     s = np.sin(w + true)
     z = r * np.sqrt(np.maximum(0.0, 1 - s * s * (1 - cos_i * cos_i)))
     return np.where(s > 0, z, np.inf)
@@ -47,14 +48,15 @@ def flux(z: np.ndarray, k: float, u: tuple[float, float] = (0.0, 0.0)) -> np.nda
     """Flux of a star with quadratic limb darkening ``u`` with a disk of radius ``k`` at distances ``z`` in front of it.
 
     The covered light is an integral over rings: a ring's share that is covered has a closed form. Substituting the ring's
-    radius by a sine takes away the square roots at both ends.
+    radius by a sine takes away the square roots at both ends. ``k`` may be an array that goes with ``z``.
     """
-    k, z = abs(k), np.asarray(z, float)
+    z = np.asarray(z, float)
+    k = np.broadcast_to(np.abs(k), z.shape)
     out = np.ones_like(z)
-    near = z < 1 + k
-    if not near.any() or k == 0:
+    near = (z < 1 + k) & (k > 0)
+    if not near.any():
         return out
-    d = np.maximum(z[near], 1e-12)
+    d, k = np.maximum(z[near], 1e-12), k[near]
     covered = np.zeros_like(d)
     norm = math.pi * (1 - u[0] / 3 - u[1] / 6)
 
@@ -64,14 +66,15 @@ def flux(z: np.ndarray, k: float, u: tuple[float, float] = (0.0, 0.0)) -> np.nda
 
     def rings(low: np.ndarray, high: np.ndarray, share: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
         half, mid = (high - low)[:, None] / 2, (high + low)[:, None] / 2
-        angle = np.pi / 2 * _NODES
-        r = mid + half * np.sin(angle)
-        return np.sum(_WEIGHTS * np.pi / 2 * np.cos(angle) * half * 2 * r * light(r) * share(r), 1)
+        r = mid + half * _SINES
+        return np.sum(_COSINES * half * 2 * r * light(r) * share(r), 1)
 
     whole = np.maximum(0.0, k - d)  # rings that lie under the disk as a whole
-    covered += rings(np.zeros_like(d), np.minimum(1.0, whole), lambda r: np.full_like(r, np.pi))
+    under = whole > 0
+    if under.any():
+        covered[under] = rings(np.zeros(under.sum()), np.minimum(1.0, whole[under]), lambda r: np.full_like(r, np.pi))
     low, high = np.minimum(1.0, np.abs(d - k)), np.minimum(1.0, d + k)
-    covered += rings(low, np.maximum(low, high), lambda r: np.arccos(np.clip((r * r + d[:, None] ** 2 - k * k) / np.maximum(2 * r * d[:, None], 1e-300), -1.0, 1.0)))
+    covered += rings(low, np.maximum(low, high), lambda r: np.arccos(np.clip((r * r + (d * d - k * k)[:, None]) / np.maximum(2 * r * d[:, None], 1e-300), -1.0, 1.0)))
     out[near] = 1 - covered / norm
     return out
 
@@ -99,16 +102,19 @@ def log_posterior(theta: np.ndarray, model: Callable[[np.ndarray], np.ndarray],
     return prior + log_likelihood(theta, model, y, e) if math.isfinite(prior) else -math.inf
 
 
-def covariance(model: Callable[[np.ndarray], np.ndarray], x: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Of the parameters at ``x``, from the model's slopes; a parameter that changes nothing has no variance."""
-    j = np.empty((len(e), len(x)))
-    for i, v in enumerate(x):
-        d = np.zeros(len(x))
-        d[i] = 1e-4 * max(abs(v), 1e-2) if i else 1e-5
-        j[:, i] = (model(x + d) - model(x - d)) / (2 * d[i]) / e
-    size = np.sqrt(np.maximum((j * j).sum(0), 1e-300))
-    inverse = np.linalg.pinv((j / size).T @ (j / size), rcond=1e-8)
-    return np.where((j != 0).any(0)[:, None] & (j != 0).any(0)[None, :], inverse / np.outer(size, size), 0.0)
+def covariances(residuals: Callable[[np.ndarray, np.ndarray], np.ndarray], x: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Of the parameters at each row of ``x``, from the model's slopes; a parameter that changes nothing has no variance."""
+    j = []
+    for i in range(x.shape[1]):
+        d = np.zeros_like(x)
+        d[:, i] = 1e-4 * np.maximum(np.abs(x[:, i]), 1e-2) if i else 1e-5
+        j.append((residuals(x + d, at) - residuals(x - d, at)) / (2 * d[:, i, None]))
+    out = []
+    for s in np.stack(j, 2):
+        size = np.sqrt(np.maximum((s * s).sum(0), 1e-300))
+        inverse = np.linalg.pinv((s / size).T @ (s / size), rcond=1e-8)
+        out.append(np.where((s != 0).any(0)[:, None] & (s != 0).any(0)[None, :], inverse / np.outer(size, size), 0.0))
+    return out
 
 
 def metropolis(posterior: Callable[[np.ndarray], float], start: np.ndarray, cov: np.ndarray, steps: int, seed: int) -> tuple[np.ndarray, float]:
@@ -132,24 +138,70 @@ def fit_mandel_agol(t: np.ndarray, y: np.ndarray, e: np.ndarray, period: float,
     Free are t0, rp, a and b and, with ``line``, the slope and level of a line that the flux is multiplied by. Returns
     params, errs (of the curvature, or the chain's deviation), chisq, redchisq, medians of the chain and accepted share.
     """
-    low = np.array([t0 - 0.1 * period, 1e-4, 1.05, 0.0, *([-0.5, 0.5] if line else [])])
-    high = np.array([t0 + 0.1 * period, 0.9, 300.0, 1.0, *([0.5, 1.5] if line else [])])
-    start = np.clip(np.array([t0, rp, a, b, *([0.0, 1.0] if line else [])]), low, high)
-    model = lambda x: transit_model(t, x[0], period, x[1], x[2], x[3], u, exposure=exposure) * ((x[5] + x[4] * (t - t0)) if line else 1.0)
-    slopes = np.array([1e-4 * period, 1e-4, 1e-2, 1e-2, 1e-5, 1e-5])[: len(start)]
-    begins = [np.clip(np.array([start[0], start[1], start[2] * f, at, *start[4:]]), low, high) for f in (1.0, 0.6, 1.6) for at in (b, 0.7)][:starts]
-    tried = [x for x in (least_squares(lambda v: (model(v) - y) / e, s, low, high, steps=slopes) for s in begins) if x is not None]
-    got = min(tried, key=lambda x: float(np.sum(((model(x[0]) - y) / e) ** 2)), default=None)
-    if got is None:
-        return {"params": None, "errs": None, "chisq": math.nan, "redchisq": math.nan, "medians": None, "accepted": None}
-    x, _ = got
-    cov = covariance(model, x, e)
-    err = np.sqrt(np.diag(cov))
-    chi = float(np.sum(((model(x) - y) / e) ** 2))
-    out = {"params": x.tolist(), "errs": err.tolist(), "chisq": chi, "redchisq": chi / (len(t) - len(x)) if len(t) > len(x) else math.nan, "medians": None, "accepted": None}
+    options = {"rp": rp, "a": a, "b": b, "u": u, "line": line, "steps": steps, "seed": seed, "exposure": exposure, "starts": starts}
+    return fit_many([t], [y], [e], np.array([period]), np.array([t0]), **options)[0]
+
+
+def metropolis_many(posterior: Callable[[np.ndarray], np.ndarray], start: np.ndarray, cov: np.ndarray, steps: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """metropolis() of many chains at once, a row each; every chain draws as it would alone."""
+    rngs, x = [np.random.default_rng(seed) for _ in start], np.array(start, float)
+    values, vectors = np.linalg.eigh(cov)
+    root = vectors * np.sqrt(np.maximum(values, 0.0))[:, None, :] * (2.0 / math.sqrt(x.shape[1]))
+    p, chain, taken = posterior(x), np.empty((len(x), steps, x.shape[1])), np.zeros(len(x))
+    for i in range(steps):
+        new = x + (root @ np.stack([rng.normal(0.0, 1.0, x.shape[1]) for rng in rngs])[:, :, None])[:, :, 0]
+        q = posterior(new)
+        ok = np.array([b >= a or rng.random() < math.exp(b - a) for a, b, rng in zip(p.tolist(), q.tolist(), rngs, strict=True)])
+        x[ok], p[ok], taken = new[ok], q[ok], taken + ok
+        chain[:, i] = x
+    return chain[:, steps // 2 :], taken / max(1, steps)
+
+
+def fit_many(ts: list[np.ndarray], ys: list[np.ndarray], es: list[np.ndarray], period: np.ndarray, t0: np.ndarray, rp: float = 0.1, a: float = 8.0, b: float = 0.3, u: tuple[float, float] = (0.3, 0.2), line: bool = False, steps: int = 0, seed: int = 1, exposure: float = 0.0, starts: int = 6) -> list[dict]:
+    """fit_mandel_agol() of many objects at once. Shorter series are filled up with points behind the star that weigh nothing."""
+    count, size = len(ts), np.array([len(t) for t in ts])
+    t, y, e = padded(ts, np.nan), padded(ys, 1.0), padded(es, np.inf)
+    t = np.where(np.isnan(t), (t0 + period / 2)[:, None], t)
+    ends = [[(t0 - 0.1 * period, t0 + 0.1 * period), (1e-4, 0.9), (1.05, 300.0), (0.0, 1.0), (-0.5, 0.5), (0.5, 1.5)][i] for i in range(6 if line else 4)]
+    table = lambda *columns: np.stack([np.broadcast_to(np.asarray(c, float), count) for c in columns], 1)
+    low, high = table(*[x for x, _ in ends]), table(*[x for _, x in ends])
+    start = np.clip(table(t0, rp, a, b, *([0.0, 1.0] if line else [])), low, high)
+    slopes = table(1e-4 * period, 1e-4, 1e-2, 1e-2, 1e-5, 1e-5)[:, : start.shape[1]]
+
+    def residuals(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        v, when = [c[:, None] for c in x.T], t[at]
+        m = transit_model(when, v[0], period[at, None], v[1], v[2], v[3], u, exposure=exposure)
+        return (m * ((v[5] + v[4] * (when - t0[at, None])) if line else 1.0) - y[at]) / e[at]
+
+    chi = lambda x: np.sum(residuals(x, every) ** 2, 1)
+    every, x, best = np.arange(count), np.full_like(start, np.nan), np.full(count, np.inf)
+    for f, at in [(f, at) for f in (1.0, 0.6, 1.6) for at in (b, 0.7)][:starts]:
+        begin = start.copy()
+        begin[:, 2], begin[:, 3] = start[:, 2] * f, at
+        got, ok = least_squares_many(residuals, np.clip(begin, low, high), low, high, 100, slopes)
+        c = np.where(ok, chi(np.where(ok[:, None], got, start)), np.inf)
+        new = ok & (np.isnan(x[:, 0]) | (c < best))
+        x[new], best[new] = got[new], c[new]
+    found = np.flatnonzero(~np.isnan(x[:, 0]))
+    out = [{"params": None, "errs": None, "chisq": math.nan, "redchisq": math.nan, "medians": None, "accepted": None} for _ in range(count)]
+    if not len(found):
+        return out
+    x = x[found]
+    cov = np.stack(covariances(residuals, x, found))
+    for i, k in enumerate(found.tolist()):
+        c = float(best[k])
+        out[k] |= {"params": x[i].tolist(), "errs": np.sqrt(np.diag(cov[i])).tolist(), "chisq": c, "redchisq": c / (size[k] - x.shape[1]) if size[k] > x.shape[1] else math.nan}
     if steps:
-        chain, share = metropolis(lambda v: log_posterior(v, model, y, e, low, high), x, cov, steps, seed)
-        out |= {"medians": np.median(chain, 0).tolist(), "errs": chain.std(0).tolist(), "accepted": share}
+
+        def posterior(v: np.ndarray) -> np.ndarray:
+            inside = ((v >= low[found]) & (v <= high[found])).all(1)
+            p = np.full(len(v), -math.inf)
+            p[inside] = -0.5 * np.sum(residuals(v[inside], found[inside]) ** 2, 1)
+            return p
+
+        chain, share = metropolis_many(posterior, x, cov, steps, seed)
+        for i, k in enumerate(found.tolist()):
+            out[k] |= {"medians": np.median(chain[i], 0).tolist(), "errs": chain[i].std(0).tolist(), "accepted": float(share[i])}
     return out
 
 
@@ -160,18 +212,19 @@ def fit_transits(lc: DataFrame, ephemeris: DataFrame, least: int = 20, **options
     out.
     """
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        cols = [KEY, "params", "errs", "chisq", "redchisq", "medians", "accepted", "n"]
-        if len(p) < least:
+    cols = [KEY, "params", "errs", "chisq", "redchisq", "medians", "accepted", "n"]
+
+    def run(groups: list[pd.DataFrame]) -> pd.DataFrame:
+        groups = [p for p in groups if len(p) >= least]
+        if not groups:
             return pd.DataFrame(columns=cols)
-        p = p.sort_values(["t", "seq"], kind="stable")
-        t, y, e = (p[c].to_numpy(float) for c in ("t", "m", "e"))
-        got = fit_mandel_agol(t, y, e, float(p["period"].iloc[0]), float(p["t0"].iloc[0]), **options)
-        return pd.DataFrame([{KEY: p[KEY].iloc[0], **got, "n": len(t)}])[cols]
+        series = ([p[c].to_numpy(float) for p in groups] for c in ("t", "m", "e"))
+        first = (np.array([float(p[c].iloc[0]) for p in groups]) for c in ("period", "t0"))
+        return pd.DataFrame([{KEY: p[KEY].iloc[0], **got, "n": len(p)} for p, got in zip(groups, fit_many(*series, *first, **options), strict=True)])[cols]
 
     kind = lc.schema[KEY].dataType.simpleString()
     rows = finite_filter(lc).select(KEY, "t", "m", "e", "seq").join(ephemeris.select(KEY, "period", "t0"), KEY)
-    return rows.groupBy(KEY).applyInPandas(run, f"{KEY} {kind}, params array<double>, errs array<double>, chisq double, redchisq double, medians array<double>, accepted double, n long")
+    return in_groups(rows, [KEY], run, f"{KEY} {kind}, params array<double>, errs array<double>, chisq double, redchisq double, medians array<double>, accepted double, n long")
 
 
 def contacts(t0: float, period: float, a: float, rp: float, b: float, t_min: float, t_max: float, widen: float = 1.05) -> list[tuple[float, float, float]]:
