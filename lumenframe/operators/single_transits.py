@@ -1,4 +1,4 @@
-"""Mid-times of single transits: points are dealt to the transit they are nearest to by arithmetic, then one small fit each.
+"""Mid-times of single transits: points are dealt to the transit they are nearest to by arithmetic, then fitted, many in a kernel call.
 
 No interval join is needed: with a period and an epoch a time has one nearest transit, so object and number of the transit
 are the key of one shuffle, and a long series with many transits is many small groups.
@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fits import least_squares
+from .fits import in_groups, least_squares_many, padded
 from .series import KEY, finite_filter
 from .transit_fits import transit_model
 
@@ -31,26 +31,41 @@ def with_transits(lc: DataFrame, ephemeris: DataFrame, widen: float = 2.0) -> Da
     return j.where(F.abs(F.col("t") - F.col("predicted")) <= widen * F.col("duration"))
 
 
-def fit_midtime(t: np.ndarray, y: np.ndarray, e: np.ndarray, predicted: float, period: float, duration: float, shape: tuple[float, float, float], u: tuple[float, float]) -> tuple[float, float, float, float, float] | None:
-    """(mid-time, its error, level, slope, chi squared) of one transit of known shape (rp, a, b) times a line.
+def fit_many(ts: list[np.ndarray], ys: list[np.ndarray], es: list[np.ndarray], at: np.ndarray, u: tuple[float, float]) -> list[tuple[float, float, float, float, float] | None]:
+    """(mid-time, its error, level, slope, chi squared) of each of some transits of known shape times a line.
 
-    The shape is tried at steps of a quarter of the duration, so a transit that is off by some of it is found.
+    ``at`` has predicted time, period, duration, rp, a and b in rows. A shape is tried at steps of a quarter of the duration, so
+    a transit that is off by some of it is found. Shorter series are filled up with points that weigh nothing.
     """
-    low, high = np.array([predicted - 1.5 * duration, 0.0, -np.inf]), np.array([predicted + 1.5 * duration, np.inf, np.inf])
-    model = lambda x: transit_model(t, x[0], period, *shape, u) * (x[1] + x[2] * (t - predicted))
-    steps = np.array([1e-4 * duration, 1e-6, 1e-6])
-    level = float(np.median(y))
-    tried = []
-    for k in range(-4, 5):
-        start = np.array([predicted + 0.25 * k * duration, level, 0.0])
-        tried.append((float(np.sum(((model(start) - y) / e) ** 2)), k, start))
-    got = least_squares(lambda v: (model(v) - y) / e, min(tried)[2], low, high, rounds=30, steps=steps)
-    if got is None:
-        return None
-    x = got[0]
-    slopes = np.stack([(model(x + d) - model(x - d)) / (2 * s) / e for s, d in ((s, s * np.eye(3)[i]) for i, s in enumerate(steps))], 1)
-    cov = np.linalg.pinv(slopes.T @ slopes)
-    return float(x[0]), math.sqrt(max(0.0, cov[0, 0])), float(x[1]), float(x[2]), float(np.sum(((model(x) - y) / e) ** 2))
+    predicted, period, duration, *shape = at.T
+    t, y, e = padded(ts, np.nan), padded(ys, 1.0), padded(es, np.inf)
+    t = np.where(np.isnan(t), (predicted + period / 2)[:, None], t)
+    free = np.full(len(ts), np.inf)
+    low, high = np.stack([predicted - 1.5 * duration, np.zeros(len(ts)), -free], 1), np.stack([predicted + 1.5 * duration, free, free], 1)
+    steps = np.stack([1e-4 * duration, np.full(len(ts), 1e-6), np.full(len(ts), 1e-6)], 1)
+
+    def residuals(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+        mid, level, slope = (c[:, None] for c in x.T)
+        return (transit_model(t[k], mid, period[k, None], *[c[k, None] for c in shape], u) * (level + slope * (t[k] - predicted[k, None])) - y[k]) / e[k]
+
+    every, level = np.arange(len(ts)), np.array([float(np.median(v)) for v in ys])
+    starts = np.stack([np.stack([predicted + 0.25 * k * duration, level, np.zeros(len(ts))], 1) for k in range(-4, 5)])
+    best = np.argmin([np.sum(residuals(x, every) ** 2, 1) for x in starts], 0)
+    x, ok = least_squares_many(residuals, starts[best, every], low, high, 30, steps)
+    out: list[tuple[float, float, float, float, float] | None] = [None] * len(ts)
+    every = np.flatnonzero(ok)
+    if not len(every):
+        return out
+    x, steps = x[every], steps[every]
+    chi = np.sum(residuals(x, every) ** 2, 1)
+    slopes = []
+    for i in range(3):
+        d = np.zeros_like(x)
+        d[:, i] = steps[:, i]
+        slopes.append((residuals(x + d, every) - residuals(x - d, every)) / (2 * steps[:, i, None]))
+    for v, c, j, i in zip(x.tolist(), chi.tolist(), np.stack(slopes, 2), every.tolist(), strict=True):
+        out[i] = (v[0], math.sqrt(max(0.0, np.linalg.pinv(j.T @ j)[0, 0])), v[1], v[2], c)
+    return out
 
 
 def midtimes(lc: DataFrame, ephemeris: DataFrame, u: tuple[float, float] = (0.3, 0.2), widen: float = 2.0, least: int = 8, least_in: int = 3) -> DataFrame:
@@ -61,24 +76,27 @@ def midtimes(lc: DataFrame, ephemeris: DataFrame, u: tuple[float, float] = (0.3,
     either side of it. A fit that does not converge, or has fewer points than parameters, gives no row.
     """
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        cols = [KEY, "transit", *[c.split()[0] for c in _FIT.split(", ")]]
-        p = p.sort_values(["t", "seq"], kind="stable")
-        t, y, e = (p[c].to_numpy(float) for c in ("t", "m", "e"))
-        x = p.iloc[0]
-        off = t - x["predicted"]
-        inside = np.abs(off) <= x["duration"] / 2
-        if len(t) < max(least, 4) or inside.sum() < least_in:
+    cols = [KEY, "transit", *[c.split()[0] for c in _FIT.split(", ")]]
+
+    def run(groups: list[pd.DataFrame]) -> pd.DataFrame:
+        kept = []
+        for p in groups:
+            if len(p) >= max(least, 4):
+                off, half = (p["t"] - p["predicted"]).to_numpy(float), float(p["duration"].iloc[0]) / 2
+                counts = len(p), int((np.abs(off) <= half).sum()), int((off < -half).sum()), int((off > half).sum())
+                if counts[1] >= least_in:
+                    kept.append((p, counts))
+        if not kept:
             return pd.DataFrame(columns=cols)
-        got = fit_midtime(t, y, e, float(x["predicted"]), float(x["period"]), float(x["duration"]), (float(x["rp"]), float(x["a"]), float(x["b"])), u)
-        if got is None:
-            return pd.DataFrame(columns=cols)
-        return pd.DataFrame([(x[KEY], x["transit"], *got, len(t), int(inside.sum()), int((off < -x["duration"] / 2).sum()), int((off > x["duration"] / 2).sum()))], columns=cols)
+        series = ([p[c].to_numpy(float) for p, _ in kept] for c in ("t", "m", "e"))
+        at = np.array([[float(p[c].iloc[0]) for c in ("predicted", "period", "duration", "rp", "a", "b")] for p, _ in kept])
+        found = zip(kept, fit_many(*series, at, u), strict=True)
+        return pd.DataFrame([(p[KEY].iloc[0], p["transit"].iloc[0], *got, *counts) for (p, counts), got in found if got is not None], columns=cols)
 
     kind = lc.schema[KEY].dataType.simpleString()
     shape = ephemeris.select(KEY, "period", "t0", "duration", "rp", "a", "b")
     rows = with_transits(finite_filter(lc).select(KEY, "t", "m", "e", "seq"), shape, widen)
-    return rows.groupBy(KEY, "transit").applyInPandas(run, f"{KEY} {kind}, transit long, {_FIT}")
+    return in_groups(rows, [KEY, "transit"], run, f"{KEY} {kind}, transit long, {_FIT}")
 
 
 def observed_minus_calculated(found: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ import math
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
-from lumenframe.operators import neighbours, periodograms, spatial
+from lumenframe.operators import fits, flares, neighbours, periodograms, single_transits, spatial, transit_fits
 from lumenframe.plans import registry
 
 
@@ -75,3 +76,46 @@ def test_bootstrap_takes_many_trials_at_once(spark):
     assert abs(got.best - one[0].max()) < 1e-9 and got.fap == (1 + (one[1:].max(1) >= one[0].max()).sum()) / 31
     other = periodograms.bootstrap_fap(lc, (0.05, 0.01, 90), kernel=lambda *x: periodograms.gls_power(*x), trials=30, work=40 * 31 * 20).first()
     assert abs(other.best - got.best) < 1e-9 and other.fap == got.fap
+
+
+def test_groups_come_whole_and_many_in_a_call(spark):
+    """Groups of unlike sizes, also over several batches of Arrow: each comes once, in order of t, and not one a call."""
+    sizes = {i: 1 + i * 7 % 13 for i in range(200)} | {500: 300}
+    rows = [(i, float(n - j), 0.5, 0.1, j) for i, n in sizes.items() for j in range(n)]
+    lc = spark.createDataFrame(rows, "objectid int, t double, m double, e double, seq int")
+
+    def run(groups):
+        return pd.DataFrame({"objectid": [g["objectid"].iloc[0] for g in groups], "n": [len(g) for g in groups], "calls": [len(groups)] * len(groups), "ok": [bool((g["t"].diff().dropna() > 0).all()) for g in groups]})
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = fits.in_groups(lc, ["objectid"], run, "objectid int, n int, calls int, ok boolean").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r.objectid: r.n for r in got} == sizes and len(got) == len(sizes) and all(r.ok for r in got) and min(r.calls for r in got) > 1
+
+
+def test_many_fits_are_as_each_alone():
+    """Of unlike lengths, one of them without a fit: filled-up points weigh nothing."""
+    rng = np.random.default_rng(4)
+    ts = [np.sort(rng.uniform(0, 12, n)) for n in (60, 90, 75)]
+    es = [np.full(len(t), 1e-3) for t in ts]
+    ys = [transit_fits.transit_model(t, 1.0 + 0.01 * i, 2.0, 0.1, 6.0, 0.2, (0.3, 0.2)) + rng.normal(0, 1e-4, len(t)) for i, t in enumerate(ts)]
+    p, t0 = np.full(3, 2.0), np.full(3, 1.0)
+    many = transit_fits.fit_many(ts, ys, es, p, t0, starts=2, steps=20)
+    for i, got in enumerate(many):
+        alone = transit_fits.fit_mandel_agol(ts[i], ys[i], es[i], 2.0, 1.0, starts=2, steps=20)
+        assert np.allclose(got["params"], alone["params"], rtol=1e-6) and abs(got["chisq"] - alone["chisq"]) < 1e-6
+        assert abs(got["params"][0] - 1.0 - 0.01 * i) < 0.05
+    at = np.array([[1.0 + 0.01 * i, 2.0, 0.2, 0.1, 6.0, 0.2] for i in range(3)])
+    near = [np.abs(t - a[0]) < 0.8 for t, a in zip(ts, at, strict=True)]
+    cut = [[x[k] for x, k in zip(v, near, strict=True)] for v in (ts, ys, es)]
+    mids = single_transits.fit_many(*cut, at, (0.3, 0.2))
+    alone = [single_transits.fit_many([a], [b], [c], d[None], (0.3, 0.2))[0] for a, b, c, d in zip(*cut, at, strict=True)]
+    assert np.allclose(mids, alone, rtol=1e-6, atol=1e-6)
+    t = np.linspace(0, 3, 80)
+    m = [flares.flare_curve(t[:n], 2.0 + n / 100, 1.0, 0.1, 0.3, 5.0) for n in (80, 60, 5)]
+    e = [np.full(len(x), 0.01) for x in m]
+    got = flares.fit_many([t[: len(x)] for x in m], m, e, [0.9] * 3, [1.3] * 3)
+    assert got[2] is None and all(abs(g["amplitude"] - a) < 1e-4 and abs(g["peak"] - 1.0) < 1e-4 and g["n"] == n for g, a, n in zip(got, (2.8, 2.6), (80, 60), strict=False))
