@@ -91,7 +91,7 @@ def least_squares(f: Callable[[np.ndarray], np.ndarray], start: np.ndarray, low:
     return x, np.sqrt(np.maximum(np.diag(cov), 0.0))
 
 
-def least_squares_many(f: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def least_squares_many(f: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 100, steps: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(parameters, whether they are finite) of many fits at once, each by the steps of least_squares(); a row a fit.
 
     ``f(x, at)`` gives residuals of the fits numbered ``at`` at parameters ``x``, zero where a fit has fewer points than others.
@@ -106,8 +106,8 @@ def least_squares_many(f: Callable[[np.ndarray, np.ndarray], np.ndarray], start:
         j = np.empty((len(going), r.shape[1], width))
         for i in range(width):
             d = np.zeros_like(x[going])
-            d[:, i] = steps[going, i]
-            j[:, :, i] = (f(x[going] + d, going) - f(x[going] - d, going)) / (2 * steps[going, i])[:, None]
+            d[:, i] = 1e-6 * np.maximum(np.abs(x[going, i]), 1e-4) if steps is None else steps[going, i]
+            j[:, :, i] = (f(x[going] + d, going) - (r[going] if steps is None else f(x[going] - d, going))) / (d[:, i] * (1 if steps is None else 2))[:, None]
         a, g = np.swapaxes(j, 1, 2) @ j, (np.swapaxes(j, 1, 2) @ r[going][:, :, None])[:, :, 0]
         scale = np.maximum(np.diagonal(a, axis1=1, axis2=2), 1e-12)
         left, on = np.arange(len(going)), np.zeros(len(going), bool)
@@ -236,7 +236,7 @@ def trapezoid(p: np.ndarray, zero: float, depth: float, duration: float, ingress
     """Trapezoid around phase 0, for fits."""
     d = np.minimum(p, 1 - p)
     half = duration / 2
-    return zero - depth * np.clip((half - d) / max(ingress, 1e-9), 0.0, 1.0)
+    return zero - depth * np.clip((half - d) / np.maximum(ingress, 1e-9), 0.0, 1.0)
 
 
 def eclipses(p: np.ndarray, zero: float, depth: float, duration: float, ratio: float, secondary: float) -> np.ndarray:
@@ -282,6 +282,32 @@ def fit_eclipses(t: np.ndarray, m: np.ndarray, e: np.ndarray, period: float, epo
     return _bounded(eclipses, 6, [deep, duration, ratio, secondary], [-side, 0.005, 0.0, 0.2], [side, 0.5, 1.5, 0.8], t, m, e, period, epoch)
 
 
+def bounded_many(shape: str, ts: list[np.ndarray], ms: list[np.ndarray], es: list[np.ndarray], period: np.ndarray, epoch: np.ndarray) -> list[tuple[float, float, np.ndarray] | None]:
+    """(chi squared, reduced chi squared, fit less magnitudes in the order of ``ts``) of many fits by fit_trapezoid() or
+    fit_eclipses(), with their starting values; None where one does not converge."""
+    zero, deep = (np.array([f(m) for m in ms], float) for f in (np.median, lambda m: np.median(m) - np.percentile(m, 2)))
+    side, span = np.maximum(np.abs(deep), 1e-6) * 5, 0.05 * period
+    model, ends = {
+        "trapezoid": (trapezoid, ((0.1, 0.005, 0.5), (0.02, 0.0005, 0.25))),
+        "eclipses": (eclipses, ((0.1, 0.005, 0.5), (0.5, 0.0, 1.5), (0.5, 0.2, 0.8))),
+    }[shape]
+    table = lambda *columns: np.stack([np.broadcast_to(c, len(ts)) for c in columns], 1)
+    start, low, high = (table(at, d, *[x[i] for x in ends]) for i, (at, d) in enumerate(((epoch, deep), (epoch - span, -side), (epoch + span, side))))
+    t, m, e = padded(ts, 0.0), padded(ms, 0.0), padded(es, np.inf)
+
+    def left(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        p = (t[at] - x[:, :1]) / period[at, None]
+        return model(p - np.floor(p), zero[at, None], *[c[:, None] for c in x.T[1:]]) - m[at]
+
+    x, ok = least_squares_many(lambda v, at: left(v, at) / e[at], start, low, high)
+    out: list[tuple[float, float, np.ndarray] | None] = []
+    for i, r in enumerate(left(np.where(ok[:, None], x, start), np.arange(len(ts)))):
+        n, free = len(ts[i]), len(ends) + 3
+        chi = float(np.sum((r[:n] / es[i]) ** 2))
+        out.append((chi, chi / (n - free) if n > free else math.nan, r[:n]) if ok[i] else None)
+    return out
+
+
 MODELS: dict[str, Callable[..., dict]] = {"fourier": fit_fourier, "spline": fit_spline, "savgol": fit_savgol, "legendre": fit_legendre, "trapezoid": fit_trapezoid, "eclipses": fit_eclipses}
 
 

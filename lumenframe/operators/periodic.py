@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coords, photometry
 from . import features, series, spatial
-from .fits import fit_eclipses, fit_fourier, fit_trapezoid
+from .fits import bounded_many, fit_fourier, fit_spline, in_groups
 from .series import KEY, sigclip
 
 #: Lengths of the sidereal day in days, over and under.
@@ -57,26 +57,32 @@ def fit_features(lc: DataFrame, periods: DataFrame, order: int = 5, sigma: float
     kinds = ("fourier", "planet", "eb", "ebx2")
     names = [f"{k}_{c}" for k in kinds for c in ("chisq", "redchisq", "residual_mad", "residual_mad_over_lcmad")]
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        period = float(p["period"].iloc[0])
-        if len(p) < least or not period > 0:
+    def run(groups: list[pd.DataFrame]) -> pd.DataFrame:
+        groups = [p for p in groups if len(p) >= least and float(p["period"].iloc[0]) > 0]
+        if not groups:
             return pd.DataFrame(columns=[KEY, *names])
-        p = p.sort_values(["t", "seq"], kind="stable")
-        t, m, e = (p[c].to_numpy(float) for c in ("t", "m", "e"))
-        mad = float(np.median(np.abs(m - np.median(m))))
-        row: dict = {KEY: p[KEY].iloc[0]}
-        for kind, fit, at in (("fourier", lambda: fit_fourier(t, m, e, period, order), period), ("planet", lambda: fit_trapezoid(t, m, e, period), period), ("eb", lambda: fit_eclipses(t, m, e, period), period), ("ebx2", lambda: fit_eclipses(t, m, e, 2 * period), 2 * period)):
-            got = fit()
-            left = np.full(1, math.nan)
-            if got["params"] is not None and np.isfinite(got["fit"]).all():
-                left = got["fit"] - got["m"]
-            spread = float(np.median(np.abs(left - np.median(left))))
-            row |= {f"{kind}_chisq": got["chisq"], f"{kind}_redchisq": got["redchisq"], f"{kind}_residual_mad": spread, f"{kind}_residual_mad_over_lcmad": spread / mad if mad else math.nan}
-        return pd.DataFrame([row])[[KEY, *names]]
+        series = ts, ms, es = [[p[c].to_numpy(float) for p in groups] for c in ("t", "m", "e")]
+        periods = np.array([float(p["period"].iloc[0]) for p in groups])
+        once, twice = (np.array([fit_spline(t, m, e, x)["epoch"] for t, m, e, x in zip(*series, f * periods, strict=True)]) for f in (1, 2))
+        found: dict[str, list] = {"fourier": []}
+        for t, m, e, x in zip(*series, periods, strict=True):
+            got = fit_fourier(t, m, e, x, order)
+            found["fourier"].append((got["chisq"], got["redchisq"], got["fit"] - got["m"]))
+        found |= {"planet": bounded_many("trapezoid", *series, periods, once), "eb": bounded_many("eclipses", *series, periods, once), "ebx2": bounded_many("eclipses", *series, 2 * periods, twice)}
+        rows = []
+        for i, p in enumerate(groups):
+            mad = float(np.median(np.abs(ms[i] - np.median(ms[i]))))
+            row: dict = {KEY: p[KEY].iloc[0]}
+            for kind in kinds:
+                chi, red, left = found[kind][i] or (math.nan, math.nan, np.full(1, math.nan))
+                spread = float(np.median(np.abs(left - np.median(left)))) if np.isfinite(left).all() else math.nan
+                row |= {f"{kind}_chisq": chi, f"{kind}_redchisq": red, f"{kind}_residual_mad": spread, f"{kind}_residual_mad_over_lcmad": spread / mad if mad else math.nan}
+            rows.append(row)
+        return pd.DataFrame(rows)[[KEY, *names]]
 
     kind = lc.schema[KEY].dataType.simpleString()
     rows = sigclip(lc, sigma).select(KEY, "t", "m", "e", "seq").join(periods.select(KEY, "period"), KEY)
-    return rows.groupBy(KEY).applyInPandas(run, f"{KEY} {kind}, " + ", ".join(f"{c} double" for c in names))
+    return in_groups(rows, [KEY], run, f"{KEY} {kind}, " + ", ".join(f"{c} double" for c in names))
 
 
 def periodic_features(lc: DataFrame, peaks: DataFrame, scores: DataFrame, window: DataFrame, method: str, order: int = 5) -> DataFrame:

@@ -119,3 +119,15 @@ def test_many_fits_are_as_each_alone():
     e = [np.full(len(x), 0.01) for x in m]
     got = flares.fit_many([t[: len(x)] for x in m], m, e, [0.9] * 3, [1.3] * 3)
     assert got[2] is None and all(abs(g["amplitude"] - a) < 1e-4 and abs(g["peak"] - 1.0) < 1e-4 and g["n"] == n for g, a, n in zip(got, (2.8, 2.6), (80, 60), strict=False))
+
+
+def test_bounded_fits_of_many_are_as_each_alone():
+    rng = np.random.default_rng(8)
+    ts = [np.sort(rng.uniform(0, 30, n)) for n in (70, 120, 95)]
+    ms = [10 + 0.3 * fits.trapezoid(((t - 0.4) / p) % 1.0, 0.0, 1.0, 0.2, 0.05) + rng.normal(0, 0.01, len(t)) for t, p in zip(ts, (2.1, 3.3, 4.7), strict=True)]
+    es, p = [np.full(len(t), 0.01) for t in ts], np.array([2.1, 3.3, 4.7])
+    epoch = np.array([fits.fit_spline(t, m, e, x)["epoch"] for t, m, e, x in zip(ts, ms, es, p, strict=True)])
+    for shape, alone in (("trapezoid", fits.fit_trapezoid), ("eclipses", fits.fit_eclipses)):
+        for got, *series in zip(fits.bounded_many(shape, ts, ms, es, p, epoch), ts, ms, es, p, strict=True):
+            want = alone(*series)
+            assert np.allclose(got[:2], (want["chisq"], want["redchisq"]), rtol=1e-4) and len(got[2]) == len(series[0])
