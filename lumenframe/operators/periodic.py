@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import coords, photometry
-from . import features, series, spatial
+from . import features, periodograms, series, spatial
 from .fits import bounded_many, fit_fourier, fit_spline, in_groups
 from .series import KEY, sigclip
 
@@ -48,6 +48,60 @@ def periodogram_features(peaks: DataFrame, scores: DataFrame, window: DataFrame,
     return g.select(KEY, "n_abovesampling", "n_sidereal", "n_near_sidereal", (n * (n - 1) / 2).cast("long").alias("n_pairs"), close.cast("long").alias("n_close_pairs"))
 
 
+def searched_features(lc: DataFrame, grids: DataFrame, method: str = "gls", best: int = 3, near: float = 1e-4, sidereal: float = 1e-4, multiplier: float = 5.0, work: int = periodograms.WORK) -> DataFrame:
+    """periodogram_features() of the ``best`` peaks of ``method`` over ``grids`` (objectid, first, step, number), and ``period``,
+    the best of them.
+
+    An object's scores and the periodogram of its sampling are made once, and no row is made for a frequency. Those of a grid
+    in several stretches meet once, packed, sixteen bytes a frequency.
+    """
+    kernel, score, largest = periodograms.METHODS[method]
+    columns = [KEY, "n_abovesampling", "n_sidereal", "n_near_sidereal", "n_pairs", "n_close_pairs", "period"]
+
+    def summary(v: np.ndarray, w: np.ndarray, freqs: np.ndarray) -> tuple | None:
+        at = np.flatnonzero(np.isfinite(v) & (freqs > 0))
+        if not len(at):
+            return None
+        p, up = 1.0 / freqs[at], 1.0 - v[at] if method == "pdm" else v[at]
+        top = periodograms.walked(-v[at] if largest else v[at], p, best, 0.1)
+        seen = np.isfinite(w)
+        span, own = up.max() - up.min(), w[seen].max() - w[seen].min() if seen.any() else 0.0
+        above = 0
+        for i in top:
+            here = w[seen & (np.abs(1.0 / np.where(freqs != 0, freqs, np.nan) - p[i]) < near)]
+            if span and own and len(here) and here.mean():
+                above += int(up[i] / span / (here / own).mean() > multiplier)
+        q = p[top]
+        off = np.array([(q - x) / q for x in SIDEREAL])
+        close = sum(int((np.abs(q[i + 1 :] - q[i]) < near).sum()) for i in range(len(q)))
+        return above, int((off < sidereal).any(0).sum()), int((np.abs(off) < sidereal).any(0).sum()), len(q) * (len(q) - 1) // 2, close, float(q[0])
+
+    def scores(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.iloc[0]
+        t, _, e, _, freqs = periodograms.opened(pdf)
+        w = np.concatenate([periodograms.window_power(t, t, e, freqs[i:j])["power"] for i, j in periodograms._blocks(len(t), len(freqs))])
+        t, m, e, _, freqs = periodograms.opened(pdf[pdf["e"] != 0])
+        v = np.concatenate([kernel(t, m, e, freqs[i:j])[score] for i, j in periodograms._blocks(len(t), len(freqs))])
+        got = (x[KEY], int(x["part"]), float(x["first"]), float(x["step"]))
+        if len(freqs) < int(x["number"]):
+            return pd.DataFrame([(*got, v.astype(float).tobytes(), w.astype(float).tobytes(), *[None] * 6)], columns=[KEY, "part", "first", "step", "v", "w", *columns[1:]])
+        return pd.DataFrame([(*got, None, None, *(summary(v, w, freqs) or [None] * 6))], columns=[KEY, "part", "first", "step", "v", "w", *columns[1:]])
+
+    def met(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["v"].iloc[0] is not None:
+            pdf = pdf.sort_values("part")
+            v, w = (np.concatenate([np.frombuffer(b, float) for b in pdf[c]]) for c in ("v", "w"))
+            got = summary(v, w, float(pdf["first"].iloc[0]) + np.arange(len(v)) * float(pdf["step"].iloc[0]))
+            return pd.DataFrame([(pdf[KEY].iloc[0], *got)] if got else [], columns=columns)
+        return pdf[columns].dropna(subset=["period"])
+
+    ok = series.finite("m") & series.finite("e") & (F.col("e") != 0)
+    rows = lc.where(series.finite("t")).withColumns({"m": F.when(ok, F.col("m")).otherwise(0.0), "e": F.when(ok, F.col("e")).otherwise(0.0)})
+    kind, counts = lc.schema[KEY].dataType.simpleString(), ", ".join(f"{c} long" for c in columns[1:-1]) + ", period double"
+    parts = series.dealt(periodograms.stretches(rows, grids, work, nonzero_errors=False), KEY, "part").groupBy(KEY, "part").applyInPandas(scores, f"{KEY} {kind}, part long, first double, step double, v binary, w binary, {counts}")
+    return parts.groupBy(KEY).applyInPandas(met, f"{KEY} {kind}, {counts}")
+
+
 def fit_features(lc: DataFrame, periods: DataFrame, order: int = 5, sigma: float | None = 10.0, least: int = 10) -> DataFrame:
     """(objectid, fourier_*, planet_*, eb_*, ebx2_*) of objects with ``periods`` (objectid, period): chisq, redchisq,
     residual_mad and residual_mad_over_lcmad of a Fourier series, a transit, eclipses, and eclipses at twice the period.
@@ -85,13 +139,13 @@ def fit_features(lc: DataFrame, periods: DataFrame, order: int = 5, sigma: float
     return in_groups(rows, [KEY], run, f"{KEY} {kind}, " + ", ".join(f"{c} double" for c in names))
 
 
-def periodic_features(lc: DataFrame, peaks: DataFrame, scores: DataFrame, window: DataFrame, method: str, order: int = 5) -> DataFrame:
-    """One row for each object: periodogram_features(), fit_features() and phased features at the best period of ``method``."""
-    best = peaks.where((F.col("method") == method) & (F.col("rank") == 1)).select(KEY, "period")
+def periodic_features(lc: DataFrame, found: DataFrame, order: int = 5) -> DataFrame:
+    """One row for each object of ``found`` (searched_features()): that, and fit_features() and phased features at its period."""
+    best = found.select(KEY, "period")
     at = series.finite_filter(lc).join(best, KEY)
     x = (F.col("t") - F.min("t").over(series.whole())) / F.col("period")
     folded = at.withColumn("phase", x - F.floor(x))
-    return periodogram_features(peaks, scores, window).join(best, KEY).join(features.phased_features(folded), KEY, "left").join(fit_features(lc, best, order), KEY, "left")
+    return found.join(features.phased_features(folded), KEY, "left").join(fit_features(lc, best, order), KEY, "left")
 
 
 def star_features(catalog: DataFrame, radius_arcsec: float = 7200.0, bands: dict[str, Column] | None = None) -> DataFrame:

@@ -554,4 +554,5 @@ def periodogram_features(s: SparkSession, d: str) -> DataFrame:
 @query("periodic_features")
 def periodic_features(s: SparkSession, d: str) -> DataFrame:
     """All features of every object at its best period."""
-    return periodic.periodic_features(*_searched(s, d), "gls")
+    lc = events(s, d)
+    return periodic.periodic_features(lc, periodic.searched_features(lc, periodograms.frequency_grids(lc)))

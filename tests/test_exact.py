@@ -8,8 +8,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lumenframe.operators import fits, flares, neighbours, periodograms, single_transits, spatial, transit_fits
-from lumenframe.plans import registry
+from lumenframe.operators import fits, flares, neighbours, periodic, periodograms, single_transits, spatial, transit_fits
+from lumenframe.plans import catalog_queries, registry
 
 
 def test_neighbor_features_count_all(spark):
@@ -131,3 +131,13 @@ def test_bounded_fits_of_many_are_as_each_alone():
         for got, *series in zip(fits.bounded_many(shape, ts, ms, es, p, epoch), ts, ms, es, p, strict=True):
             want = alone(*series)
             assert np.allclose(got[:2], (want["chisq"], want["redchisq"]), rtol=1e-4) and len(got[2]) == len(series[0])
+
+
+def test_searched_features_are_those_of_the_tables_of_scores(spark, zeros):
+    """Of a whole grid and of one in stretches, with points whose error is zero in the sampling alone."""
+    lc, peaks, scores, window = catalog_queries._searched(spark, zeros)
+    want = {tuple(r) for r in periodic.periodogram_features(peaks, scores, window).collect()}
+    period = {r.objectid: r.period for r in peaks.where("rank = 1").collect()}
+    for work in (periodograms.WORK, 5000):
+        got = periodic.searched_features(lc, periodograms.frequency_grids(lc), work=work).collect()
+        assert len(got) == 3 and {tuple(r)[:-1] for r in got} == want and {r.objectid: r.period for r in got} == period
