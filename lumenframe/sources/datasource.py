@@ -1,6 +1,6 @@
 """Light-curve files as a Python Data Source: ``spark.read.format("lightcurves")``.
 
-Each file is a partition. The schema that is asked for says which columns are read: a SQLite file is asked for these
+A partition is a file, or many small ones, read one after another. The schema that is asked for says which columns are read: a SQLite file is asked for these
 alone, and text, CSV and FITS rows are cut down to them before they leave the parser. Filters that Spark pushes down
 prune files, where they are on the object's id and the format's file names hold it, and rows: in SQLite by its own WHERE,
 elsewhere before rows become Python objects for Spark. What a file can't decide as Spark would stays with Spark.
@@ -36,11 +36,15 @@ _COMPARE: dict[type, tuple[str, Callable[[object, object], bool]]] = {
 _OURS = ("objectid", "file")
 
 
-class File(ds.InputPartition):
-    """One file."""
+#: Bytes of a partition's files, where there are several, what opening a file counts as, and partitions that are not made fewer.
+PARTITION, OPENING, LEAST = 1 << 24, 1 << 18, 64
 
-    def __init__(self, path: str) -> None:
-        self.path = path
+
+class Files(ds.InputPartition):
+    """Some files."""
+
+    def __init__(self, paths: list[str]) -> None:
+        self.paths = paths
 
 
 def _system(path: str):  # noqa: ANN202
@@ -50,12 +54,13 @@ def _system(path: str):  # noqa: ANN202
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(path))
 
 
-def _listed(path: str, glob: str) -> list[str]:
+def _listed(path: str, glob: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the files, in order."""
     from pyarrow import fs
 
     system, root = _system(path)
     found = system.get_file_info(fs.FileSelector(root, recursive=True)) if system.get_file_info(root).type == fs.FileType.Directory else [system.get_file_info(root)]
-    return sorted(f.path for f in found if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, glob))
+    return sorted((f.path, f.size or 0) for f in found if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, glob))
 
 
 def _cast(kind: object, value: object) -> object:
@@ -120,21 +125,31 @@ class LightCurveReader(ds.DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[File]:
+    def partitions(self) -> list[Files]:
         found = _listed(self.path, self.format.glob)
         if self.objects and self.id_in_name:
             named = re.compile(self.id_in_name)
             # a name without an id may be of any object
             keep = lambda p: not (m := named.search(os.path.basename(p))) or all(test(m[1]) for test in self.objects)
-            found = [p for p in found if keep(p)]
-        return [File(p) for p in found] or [File("")]
-
-    def read(self, partition: File) -> Iterator[tuple]:
-        if not partition.path:
-            return
+            found = [x for x in found if keep(x[0])]
+        most = min(PARTITION, sum(size + OPENING for _, size in found) // LEAST)
+        out, room = [Files([])], most
+        for path, size in found:
+            if out[-1].paths and room < size + OPENING:
+                out.append(Files([]))
+                room = most
+            out[-1].paths.append(path)
+            room -= size + OPENING
+        return out
+
+    def read(self, partition: Files) -> Iterator[tuple]:
+        for path in partition.paths:
+            yield from self._rows(path)
+
+    def _rows(self, path: str) -> Iterator[tuple]:
         system, _ = _system(self.path)
-        with system.open_input_stream(partition.path, compression=None) as f:
-            data = readers.unpacked(partition.path, f.read())
+        with system.open_input_stream(path, compression=None) as f:
+            data = readers.unpacked(path, f.read())
         columns = [f.name for f in self.schema.fields if f.name not in _OURS]
         # compared as doubles both in files and in Spark; integer columns are left to Spark
         doubles = {f.name for f in self.schema.fields if isinstance(f.dataType, DoubleType)}
@@ -142,12 +157,12 @@ class LightCurveReader(ds.DataSourceReader):
         if self.format.parser == "sqlite":
             key, rows = _sqlite(data, columns, [(c, op, v) for c, (op, _), v in tests])
         else:
-            key, found = readers.PARSERS[self.format.parser](os.path.basename(partition.path), data, **self.format.options)
+            key, found = readers.PARSERS[self.format.parser](os.path.basename(path), data, **self.format.options)
             fits = lambda r: all((x := readers.number(r.get(c))) is not None and test(x, v) for c, (_, test), v in tests)
             rows = (tuple(r.get(c) for c in columns) for r in found if fits(r))
         if not all(test(key) for test in self.objects):
             return
-        fixed = {"objectid": key, "file": partition.path}
+        fixed = {"objectid": key, "file": path}
         places = [(f.name if f.name in _OURS else None, columns.index(f.name) if f.name in columns else -1, f.dataType) for f in self.schema.fields]
         for row in rows:
             yield tuple(fixed[ours] if ours else _cast(kind, row[at]) for ours, at, kind in places)

@@ -7,9 +7,11 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import types as T
 
 from lumenframe.operators import fits, flares, neighbours, periodic, periodograms, single_transits, spatial, transit_fits
 from lumenframe.plans import catalog_queries, registry
+from lumenframe.sources import datasource, readers, writers
 
 
 def test_neighbor_features_count_all(spark):
@@ -141,3 +143,21 @@ def test_searched_features_are_those_of_the_tables_of_scores(spark, zeros):
     for work in (periodograms.WORK, 5000):
         got = periodic.searched_features(lc, periodograms.frequency_grids(lc), work=work).collect()
         assert len(got) == 3 and {tuple(r)[:-1] for r in got} == want and {r.objectid: r.period for r in got} == period
+
+
+def test_small_files_share_a_partition(spark, tmp_path, monkeypatch):
+    """Each file once, a large one alone; a folder without files is no row."""
+    for i in range(40):
+        (tmp_path / f"{i}-hatlc.csv").write_bytes(writers.csv_file(str(i), pd.DataFrame({"t": [1.0, 2.0], "m": [3.0, 4.0], "e": [0.1, 0.1], "seq": [0, 1]})))
+    schema = T.StructType([T.StructField("objectid", T.StringType()), T.StructField("rjd", T.DoubleType())])
+    r = datasource.LightCurveReader(schema, f"file://{tmp_path}", readers.FORMATS["hat-csv"], None)
+    assert len(r.partitions()) == 40
+    monkeypatch.setattr(datasource, "LEAST", 1)
+    assert len(r.partitions()) == 1 and sorted(r.read(r.partitions()[0])) == sorted((str(i), t) for i in range(40) for t in (1.0, 2.0))
+    monkeypatch.setattr(datasource, "PARTITION", 10 * (datasource.OPENING + 200))
+    parts = r.partitions()
+    assert 4 <= len(parts) <= 5 and sorted(row for p in parts for row in r.read(p)) == sorted((str(i), t) for i in range(40) for t in (1.0, 2.0))
+    monkeypatch.setattr(datasource, "PARTITION", 1)
+    assert len(r.partitions()) == 40
+    (tmp_path / "none").mkdir()
+    assert datasource.scan(spark, f"file://{tmp_path}/none", "hat-csv", {"rjd": "double"}).count() == 0
